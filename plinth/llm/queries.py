@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import jaccard, mixing, substrings, topk, urls, warc
+from plinth.llm import jaccard, mixing, quality, substrings, topk, toxicity, urls, warc
 from plinth.llm.bpe import BpeCodec
 from plinth.runtime import new_path, read_table
 
@@ -81,13 +81,37 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def held_out(doc_id: F.Column) -> F.Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are the hosts and their languages the paths. Learns from the rows that op9 learns from."""
+    labels = read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "quality")
+    found = quality.score_quality(read_table(spark, sf_dir, "documents"), labels)
+    return found.select(F.col("id").alias("doc_id"), "score", "kept", "evidence", "prior")
+
+
+def toxicity_classifier(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityClassifier:
+    one = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return toxicity.train(docs.select("doc_id", "text", "lang").join(one, "doc_id"))
+
+
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = toxicity_classifier(docs, read_table(spark, sf_dir, "labels"))
+    scored = docs.withColumn("score", model.score(F.col("text")))
+    out = scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), model.threshold(F.col("lang")).alias("threshold"))
+    return out.withColumn("toxic", F.col("score") >= F.col("threshold"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op10_substring_dedup]
+    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
