@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import jaccard, mixing, quality, substrings, topk, toxicity, urls, warc
+from plinth.llm import jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
 from plinth.llm.bpe import BpeCodec
 from plinth.runtime import new_path, read_table
 
@@ -81,6 +81,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
@@ -111,7 +116,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup]
+    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup]
     return {f.__name__: f for f in found}
 
 
