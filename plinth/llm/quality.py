@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.runtime import materialise
 
@@ -40,7 +41,7 @@ def shape(text: bytes) -> list[float]:
     return [c / size for c in counts] + [np.log1p(n), size / max(n, 1), len(set(words)) / max(n, 1), len(set(lines)) / max(len(lines), 1), ended / max(n, 1), np.log1p(size / max(len(lines), 1)), text.count(b" | ") / max(n, 1)]
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def shape_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         rows = np.array([shape(t.as_py() or b"") for t in texts.cast(pa.binary())], np.float32).reshape(-1, FEATURES)
