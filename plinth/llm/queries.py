@@ -98,8 +98,7 @@ def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_classifier(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityClassifier:
-    one = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.train(docs.select("doc_id", "text", "lang").join(one, "doc_id"))
+    return toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")))
 
 
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
