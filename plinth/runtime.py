@@ -21,12 +21,14 @@ def ship_package() -> None:
 
 
 def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
-    """A value that is built once in each Python worker process and kept between its tasks."""
-    store = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE))
-    found = store.__dict__.setdefault("values", {})
-    if key not in found:
-        found[key] = build()
-    return found[key]
+    """A value that is built once in each Python worker process and kept between its tasks, until another one is asked for: workers
+    outlive operators, and their memory is small."""
+    store = sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__
+    if store.get("key") != key:
+        store.clear()
+        store["value"] = build()
+        store["key"] = key
+    return store["value"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,18 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch that goes to a Python worker. Texts may be long, and a batch is held several times over.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on no batch of this session for Python is larger than BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
