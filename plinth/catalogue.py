@@ -1,21 +1,658 @@
-"""The queries of the retrieval engine, with the SQL that gives the same rows."""
+"""The queries of the retrieval engine, each over its whole tables, with the SQL that gives the same rows.
+
+Documents stand for files (a document is a source of one page unless said otherwise), benchmark items for questions. Scores are
+rounded before they are ranked, so that the order doesn't hang on the last bit of a sum.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.functions import rules
+from plinth.functions import text as T
+from plinth.operators import answers, chunking, cleaning, embedding, layout, lexical, manifest, retrieval
+from plinth.plans import summary
+from plinth.runtime import materialise, read_table
+from plinth.settings import PARSER_VERSION, Settings
+from plinth.sources.tables import cache_split
+
+DIMENSIONS = 768
+QUERY_EVERY = 50
+#: Candidates and results of a search for five, as the engine widens them.
+CANDIDATES, RESULTS = 50, 20
+EN = "lang = 'en'"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents")
+
+
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as one chunk."""
+    return documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_ord"), "text", "lang", F.col("source").alias("source_id"))
+
+
+def question_rows(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+# -- lexical ------------------------------------------------------------------------------------------------------------------
+
+
+def tokenize_terms(spark: SparkSession, d: str) -> DataFrame:
+    found = documents(spark, d).select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("terms"))
+    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.size(F.array_distinct("terms")).cast("long").alias("n_distinct"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
+
+
+def term_freq(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.postings(documents(spark, d), "doc_id")
+
+
+def doc_freq(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.term_stats(lexical.postings(documents(spark, d), "doc_id"))
+
+
+def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.corpus_stats(lexical.doc_stats(documents(spark, d), "doc_id")).select("n", "total_tokens", F.round("avgdl", 6).alias("avgdl"))
+
+
+def lexical_ranks(spark: SparkSession, d: str, questions: DataFrame, k: int) -> DataFrame:
+    rows = chunk_rows(spark, d)
+    scores = lexical.bm25_scores(questions, materialise(lexical.postings(rows), "postings"), lexical.doc_stats(rows))
+    return retrieval.ranked(scores.withColumn("score", F.round("score", 9)), [F.desc("score"), F.col("chunk_id")], limit=k)
+
+
+def shown(ranks: DataFrame) -> DataFrame:
+    return ranks.select("query_id", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """One question: the words of the first benchmark item."""
+    first = question_rows(spark, d).orderBy("query_id").limit(1)
+    return shown(lexical_ranks(spark, d, first, RESULTS))
+
+
+def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
+    return shown(lexical_ranks(spark, d, question_rows(spark, d), RESULTS))
+
+
+TOKENS = r"list_transform(regexp_extract_all({}, '[a-zA-Z][a-zA-Z0-9_+-]*|[0-9]+(?:\.[0-9]+)?'), lambda x: lower(x))"
+WORDS = r"list_transform(regexp_extract_all({}, '[a-zA-Z][a-zA-Z0-9_+-]*'), lambda x: lower(x))"
+SQL_TERMS = f"""
+tokens AS (SELECT doc_id, {TOKENS.format("coalesce(text, '')")} AS t FROM documents),
+terms AS (SELECT doc_id, unnest(t) AS term FROM tokens),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)"""
+SQL_BM25 = f"""{SQL_TERMS},
+lengths AS (SELECT doc_id, len(t) AS dl FROM tokens),
+corpus AS (SELECT count(*) AS n, sum(dl) / count(*) AS avgdl FROM lengths),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+asked AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+bm25 AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))), 9) AS score
+         FROM asked JOIN postings USING (term) JOIN dfs USING (term) JOIN lengths USING (doc_id), corpus GROUP BY ALL HAVING score > 0),
+bm25_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm25)"""
+
+
+# -- vectors ------------------------------------------------------------------------------------------------------------------
+
+
+def vector_search(spark: SparkSession, d: str, keep: Column | None = None) -> DataFrame:
+    rows = read_table(spark, d, "embeddings")
+    asked = rows.where(F.col("vec_id") % QUERY_EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = retrieval.dense_topk(asked, rows, 5, "vec_id", "embedding", keep)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return vector_search(spark, d)
+
+
+def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return vector_search(spark, d, retrieval.matches({"label": 3}))
+
+
+def sql_vectors(where: str) -> str:
+    return f"""
+WITH scored AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 9) AS score
+  FROM embeddings q JOIN embeddings c ON len(q.embedding) = len(c.embedding) WHERE q.vec_id % 50 = 0 AND {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5"""
+
+
+def sparse(spark: SparkSession, d: str, profile: str = "md5") -> DataFrame:
+    return embedding.hash_embed(documents(spark, d), "doc_id", "text", profile, DIMENSIONS)
+
+
+def hash_embed_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return sparse(spark, d).select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+def hash_embed_norm(spark: SparkSession, d: str) -> DataFrame:
+    n = sparse(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 9).alias("squares"))
+    return documents(spark, d).select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("buckets", F.lit(0)).alias("buckets"), F.coalesce("squares", F.lit(0.0)).alias("squares"))
+
+
+def hash_embed_blake2b(spark: SparkSession, d: str) -> DataFrame:
+    return sparse(spark, d, "blake2b").select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+def hashed_ranks(spark: SparkSession, d: str, k: int, keep: Column | None = None) -> DataFrame:
+    rows = chunk_rows(spark, d)
+    weights = materialise(embedding.hash_embed(rows, "chunk_id", "text", "md5", DIMENSIONS), "weights")
+    asked = embedding.hash_embed(question_rows(spark, d), "query_id", "question", "md5", DIMENSIONS)
+    names = (rows if keep is None else rows.where(keep)).select("chunk_id", "chunk_ord")
+    return retrieval.sparse_topk(asked, weights, names, k)
+
+
+def hash_vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    return shown(hashed_ranks(spark, d, RESULTS))
+
+
+def sql_hashed(name: str, key: str, table: str) -> str:
+    return f"""
+{name}_t AS (SELECT {key}, {TOKENS.format("coalesce(text, '')")} AS t FROM {table}),
+{name}_terms AS (SELECT {key}, unnest(list_concat(t, list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] || '_' || p[2]))) AS term FROM {name}_t),
+{name}_sums AS (SELECT {key}, (('0x' || substr(md5(term), 1, 8))::BIGINT % 768)::INTEGER AS bucket, sum(CASE WHEN ('0x' || substr(md5(term), 9, 2))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w
+  FROM {name}_terms GROUP BY ALL HAVING w <> 0),
+{name} AS (SELECT {key}, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS weight FROM {name}_sums)"""
+
+
+def sql_hashed_ranks(where: str = "true") -> str:
+    return f"""{sql_hashed("stored", "doc_id", "documents")}, {sql_hashed("wanted", "item_id", "benchmark")},
+near AS (SELECT i.item_id AS query_id, d.doc_id, round(coalesce(s.score, 0), 9) AS score
+  FROM (SELECT DISTINCT item_id FROM wanted) i CROSS JOIN (SELECT doc_id FROM documents WHERE {where}) d
+  LEFT JOIN (SELECT w.item_id, s.doc_id, sum(w.weight * s.weight) AS score FROM wanted w JOIN stored s USING (bucket) GROUP BY ALL) s ON s.item_id = i.item_id AND s.doc_id = d.doc_id),
+near_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near)"""
+
+
+# -- fusion, filters, reranking -----------------------------------------------------------------------------------------------
+
+
+def fused(spark: SparkSession, d: str, filters: dict | None = None) -> DataFrame:
+    """Vector ranks below the filter, lexical ranks above it."""
+    rows = chunk_rows(spark, d).where(retrieval.matches(filters))
+    near = hashed_ranks(spark, d, CANDIDATES, retrieval.matches(filters))
+    said = lexical_ranks(spark, d, question_rows(spark, d), CANDIDATES)
+    both = retrieval.rrf(near, said, CANDIDATES).join(rows, "chunk_id").withColumn("score", F.round("score", 12))
+    return retrieval.ranked(both, [F.desc("score"), F.col("chunk_ord")], limit=RESULTS)
+
+
+def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return fused(spark, d).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("left_rank").cast("int").alias("vector_rank"), F.col("right_rank").cast("int").alias("bm25_rank"), F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def rrf_filtered_asymmetric(spark: SparkSession, d: str) -> DataFrame:
+    return shown(fused(spark, d, {"lang": "en"}))
+
+
+def min_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return shown(fused(spark, d).where(F.col("score") >= 0.02))
+
+
+def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
+    again = retrieval.rerank(fused(spark, d).join(question_rows(spark, d), "query_id"))
+    return shown(again.where(F.col("rank") <= 5))
+
+
+def sql_fused(where: str = "true") -> str:
+    return f"""{SQL_BM25}, {sql_hashed_ranks(where)},
+a AS (SELECT query_id, doc_id, rank FROM near_ranks WHERE rank <= 50), b AS (SELECT query_id, doc_id, rank FROM bm25_ranks WHERE rank <= 50),
+both_legs AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS vector_rank, b.rank AS bm25_rank,
+  round(1.0::DOUBLE / (60 + coalesce(a.rank, 110)) + 1.0::DOUBLE / (60 + coalesce(b.rank, 110)), 12) AS score FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+fused AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM both_legs f JOIN documents USING (doc_id) WHERE {where}) WHERE rank <= 20)"""
+
+
+SQL_RERANK = f"""{sql_fused()},
+scored AS (SELECT f.query_id, f.doc_id, f.score, f.rank, round(0.4 * len(list_intersect(list_distinct({TOKENS.format("q.text")}), list_distinct({TOKENS.format("d.text")}))) / greatest(len(list_distinct({TOKENS.format("q.text")})), 1)
+    + CASE WHEN contains(lower(d.text), lower(q.text)) THEN 0.2 ELSE 0 END + 0.4 * f.score, 12) AS combined
+  FROM fused f JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = f.query_id),
+again AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, rank) AS rank FROM scored)"""
+
+
+# -- sources, duplicates, manifest --------------------------------------------------------------------------------------------
+
+
+def source_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A document is a source; its lines are chunks, forty to a page."""
+    lines = documents(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    rows = lines.select(F.concat(F.lit("doc-"), "doc_id").alias("source_id"), F.concat(F.lit("Title "), F.col("n").cast("string")).alias("title"), F.concat(F.lit("/corpus/"), "doc_id").alias("source_path"), (F.floor(F.col("n") / 40) + 1).alias("page"), F.col("n").alias("chunk_ord"))
+    return retrieval.source_summaries(rows).select("source_id", "title", "source_path", F.col("chunks"), F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+def file_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: the path, and what the file system would say."""
+    text = F.coalesce("text", F.lit(""))
+    return documents(spark, d).select(F.format_string("/corpus/%010d.txt", "doc_id").alias("path"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha256"), F.octet_length(text).cast("long").alias("size"), (F.col("doc_id") * 1000).alias("mtime_ns"), "lang")
+
+
+def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.mark_duplicates(file_rows(spark, d)).select("path", "sha256", "duplicate_of")
+
+
+def unique_files(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.mark_duplicates(file_rows(spark, d)).where("duplicate_of is null").select("path", "sha256", "size")
+
+
+SQL_FILES = """
+files AS (SELECT format('/corpus/{:010d}.txt', doc_id) AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size, doc_id * 1000 AS mtime_ns, lang FROM documents),
+marked AS (SELECT *, CASE WHEN first_value(path) OVER (PARTITION BY sha256 ORDER BY path) <> path THEN first_value(path) OVER (PARTITION BY sha256 ORDER BY path) END AS duplicate_of FROM files)"""
+
+
+def old_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest of an earlier run, by language: German files were unknown, French ones failed, Spanish ones are deleted, and English ones
+    of an odd size had one byte more. Three files of then are gone."""
+    rows = manifest.outcome(manifest.mark_duplicates(file_rows(spark, d)).withColumn("pages", F.lit(1)).withColumn("chunks", F.lit(2)), "indexed", PARSER_VERSION, 1400, 220, "model")
+    rows = rows.join(file_rows(spark, d).select("path", "lang"), "path").where("lang <> 'de'")
+    status = F.when(F.col("lang") == "fr", "failed").when(F.col("lang") == "es", "deleted").otherwise("indexed")
+    rows = rows.withColumns({"status": status, "size": F.when((F.col("lang") == "en") & (F.col("size") % 2 == 1), F.col("size") + 1).otherwise(F.col("size"))}).drop("lang")
+    gone = spark.range(3).select(F.format_string("/corpus/gone-%d.txt", "id").alias("path"), F.lit("0").alias("sha256"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
+    return rows.unionByName(manifest.outcome(gone, "indexed", PARSER_VERSION, 1400, 220, "model")).withColumn("updated_at", F.lit(1.0))
+
+
+def changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    files, known = manifest.mark_duplicates(file_rows(spark, d)), old_manifest(spark, d)
+    return files, known, manifest.changed_files(files, known, PARSER_VERSION, 1400, 220, "model")
+
+
+def manifest_changed(spark: SparkSession, d: str) -> DataFrame:
+    return changes(spark, d)[2].select("path", "size")
+
+
+def manifest_deleted(spark: SparkSession, d: str) -> DataFrame:
+    files, known, _ = changes(spark, d)
+    return manifest.deleted_paths(files, known)
+
+
+def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All changed files were indexed but those of over 20,000 bytes, which failed."""
+    files, known, changed = changes(spark, d)
+    fine = manifest.outcome(changed.where("size <= 20000").withColumn("pages", F.lit(3)).withColumn("chunks", F.lit(4)), "indexed", PARSER_VERSION, 1400, 220, "model")
+    bad = manifest.outcome(changed.where("size > 20000").withColumn("error", F.repeat(F.lit("x"), 2500)), "failed", PARSER_VERSION)
+    copies = manifest.outcome(files.where("duplicate_of is not null"), "duplicate", PARSER_VERSION)
+    out = manifest.upsert(known, fine.unionByName(bad).unionByName(copies), manifest.deleted_paths(files, known), 2.0, PARSER_VERSION)
+    return out.select("path", "size", "status", "duplicate_of", "pages", "chunks", F.length("error").alias("error_chars"), "chunk_size_chars", "updated_at")
+
+
+def ingest_report(spark: SparkSession, d: str) -> DataFrame:
+    files, known, changed = changes(spark, d)
+    own = files.where("duplicate_of is null")
+    return manifest.report(files, changed, changed.where("size > 20000"), manifest.deleted_paths(files, known), own, own, own.join(changed.select("path"), "path", "left_anti"))
+
+
+def cache_hits_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of English files are cached."""
+    files = file_rows(spark, d)
+    hits, misses = cache_split(files.select("path", "sha256"), files.where("lang = 'en'").select("sha256", F.lit(True).alias("cached")), ["sha256"])
+    return hits.select("path", F.lit(True).alias("hit")).union(misses.select("path", F.lit(False)))
+
+
+SQL_MANIFEST = f"""{SQL_FILES},
+known AS (SELECT path, sha256, CASE WHEN lang = 'en' AND size % 2 = 1 THEN size + 1 ELSE size END AS size, mtime_ns, CASE lang WHEN 'fr' THEN 'failed' WHEN 'es' THEN 'deleted' ELSE 'indexed' END AS status, 1 AS pages, 2 AS chunks, lang
+  FROM files WHERE lang <> 'de'
+  UNION ALL SELECT '/corpus/gone-' || i || '.txt', '0', 1, 1, 'indexed', 0, 0, NULL FROM range(3) t(i)),
+changed AS (SELECT m.* FROM marked m LEFT JOIN known k USING (path) WHERE m.duplicate_of IS NULL AND (k.path IS NULL OR k.status IN ('failed', 'deleted') OR k.size <> m.size)),
+deleted AS (SELECT path FROM known WHERE status <> 'deleted' AND path NOT IN (SELECT path FROM files)),
+outcomes AS (SELECT path, size, CASE WHEN size <= 20000 THEN 'indexed' ELSE 'failed' END AS status, NULL AS duplicate_of FROM changed UNION ALL SELECT path, size, 'duplicate', duplicate_of FROM marked WHERE duplicate_of IS NOT NULL)"""
+
+
+# -- text ---------------------------------------------------------------------------------------------------------------------
+
+
+def doc_pages(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select(
+        F.col("doc_id").alias("page_ord"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("/corpus/"), "doc_id").alias("source_path"), F.concat(F.lit("Document "), "doc_id").alias("title"),
+        F.lit(1).alias("page_number"), "text", F.lit(None).cast("array<string>").alias("hierarchy"),
+    )
+
+
+def repeated_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as laid-out documents, their documents as pages, lines as blocks."""
+    docs = documents(spark, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    lines = docs.select("doc", "page", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    texts = lines.select("doc", "page", layout.normalised(T.strip(F.col("line"))).alias("norm"))
+    return layout.repeated_texts(texts, docs).select("doc", "norm", "n")
+
+
+def clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = cleaning.clean_lines(doc_pages(spark, d))
+    return lines.select(F.col("page_ord").alias("doc_id"), F.col("line_no").alias("line_no"), "line")
+
+
+NOISE = ("42", "Page 5", "page12", "12345", "Page", "doi: 10.1161/x", "See DOI:10.1/abc here", "https://example.org/a", "visit www.example.org", "Copyright 2020 by them", "downloaded from there", "Published by X", "All rights reserved.", "Supplemental material is online", "Patients aged 42", "The dose was 10 mg", "supplement", "")
+
+
+def noise_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(NOISE)], "id long, line string")
+    return rows.select("id", "line", T.is_noise(F.col("line")).alias("noise"))
+
+
+SQL_NOISE = r"(regexp_matches(line, '(?i)^(?:page\s*)?[0-9]{1,4}$') OR regexp_matches(line, '(?i)\bdoi:\s*10\.') OR regexp_matches(line, '(?i)https?://|www\.') OR regexp_matches(lower(line), '^(copyright|downloaded from|published by|all rights reserved|supplemental material)'))"
+
+
+def sql_values(rows: list[tuple]) -> str:
+    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
+
+
+HYPHENS = (("p1", "reha-"), ("p1", "bilita-"), ("p1", "tion helps"), ("p2", "post-"), ("p2", "Stroke care"), ("p3", "ends with-"), ("p4", "a"), ("p4", "b-"), ("p4", "ébauche"), ("p4", "c"), ("p5", "-"), ("p5", "x-"), ("p5", "9y"))
+
+
+def hyphen_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(p, 0, i, x) for i, (p, x) in enumerate(HYPHENS)], "source_id string, page_ord int, line_no int, line string")
+    return cleaning.merge_hyphens(rows).select("source_id", "line_no", "line")
+
+
+SQL_ISLANDS = """
+j AS (SELECT *, coalesce(lag(line) OVER w LIKE '%-' AND regexp_matches(line, '^\\p{Ll}'), false) AS joins FROM lines WINDOW w AS (PARTITION BY source_id ORDER BY line_no)),
+g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER w AS island, coalesce(lead(joins) OVER w, false) AS next_joins FROM j WINDOW w AS (PARTITION BY source_id ORDER BY line_no)),
+merged AS (SELECT source_id, min(line_no) AS line_no, string_agg(CASE WHEN next_joins THEN line[:-2] ELSE line END, '' ORDER BY line_no) AS line FROM g GROUP BY source_id, island)"""
+SQL_DOC_LINES = f"""
+raw AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents),
+tidy AS (SELECT source_id, line_no, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM raw),
+lines AS (SELECT * FROM tidy WHERE line <> '' AND NOT {SQL_NOISE}), {SQL_ISLANDS}"""
+
+HEADINGS = ("RESULTS", "Background and purpose", "Methods:", "1.2 Study design", "POST-STROKE CARE", "Key Points", "AB", "Summary.", "The patients were seen.", "Acute Stroke Management", "Note: see below", "Early Mobilisation and Rehabilitation After Stroke", "acute stroke care:", "One two three Four", "One Two Three four", "A very long heading of more than twelve words that nobody would use at all here", "12) Outcomes", "---:", "Treatment", "Mean (SD) Values", "ÉTUDE CLINIQUE", "x" * 111)
+
+
+def headings(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(HEADINGS)], "id long, line string")
+    return rows.select("id", T.heading(F.col("line")).alias("heading"))
+
+
+def line_headings(spark: SparkSession, d: str) -> DataFrame:
+    """How often each heading occurs among the cleaned lines of all documents."""
+    found = cleaning.clean_lines(doc_pages(spark, d)).select(T.heading(F.col("line")).alias("heading")).where("heading is not null")
+    return found.groupBy("heading").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sql_heading(line: str) -> str:
+    c = f"regexp_replace(trim({line}), '^:+|:+$', '', 'g')"
+    low = f"lower({c})"
+    known = f"{low} IN ({', '.join(repr(h) for h in rules.SECTION_HEADINGS)})"
+    words = f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda w: w <> '')"
+    upper = "(regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches({0}, '[\\p{{Ll}}\\p{{Lt}}]'))"
+    clean = f"regexp_replace(regexp_replace({c}, '^[0-9]+(?:\\.[0-9]+)*[.)]?\\s+', ''), '^[ :-]+|[ :-]+$', '', 'g')"
+    title = f"array_to_string(list_transform(regexp_extract_all({clean}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(r[1]) || lower(r[2:])), '')"
+    named = f"CASE WHEN {upper.format(clean)} THEN {title} ELSE upper(({clean})[1]) || ({clean})[2:] END"
+    fits = f"length({c}) BETWEEN 3 AND 110 AND len({words}) <= 12 AND (NOT ends_with({c}, '.') OR {known})"
+    titled = f"(len({words}) >= 2 AND len(list_filter({words}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= 0.75 * len({words}) AND NOT regexp_matches({c}, '[.;()]'))"
+    says = f"({known} OR regexp_matches({c}, '^[0-9]+(?:\\.[0-9]+)*[.)]?\\s+[A-Z][A-Za-z0-9, /&-]{{2,}}$') OR ({upper.format(c)} AND len({words}) BETWEEN 1 AND 10) OR (ends_with({line}, ':') AND len({words}) <= 10) OR {titled})"
+    return f"CASE WHEN {fits} AND {says} THEN nullif({named}, '') END"
+
+
+PAPER = (
+    ("a", 1, "Title Page Of Study\nINTRODUCTION\nStroke is common.\nIt is serious ."), ("a", 2, "More on it.\nMETHODS\nWe looked at reha-\nbilitation."), ("a", 3, "RESULTS\nAll were well.\nREFERENCES\n1. Nobody. Nothing."), ("a", 4, "Never seen."),
+    ("b", 5, "no heading here, and on\nit goes."), ("b", 6, "Discussion\nend of it ,\nnearly."),
+)
+
+
+def paper(spark: SparkSession) -> DataFrame:
+    rows = [(page, source, f"/corpus/{source}.txt", source.upper(), page, text, None) for source, page, text in PAPER]
+    return spark.createDataFrame(rows, "page_ord int, source_id string, source_path string, title string, page_number int, text string, hierarchy array<string>")
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.segments(paper(spark)).select("source_id", F.col("seg_id").cast("int").alias("seg_id"), "section", "page_start", "page_end", "text")
+
+
+def document_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of all documents."""
+    found = cleaning.segments(doc_pages(spark, d))
+    return found.select(F.col("source_id").cast("long").alias("doc_id"), F.col("seg_id").cast("int").alias("seg_id"), "section", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+def references_cut(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of each source."""
+    found = cleaning.segments(paper(spark))
+    return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("page_end").alias("last_page"))
+
+
+def sql_segments(merged: str) -> str:
+    """From merged (source_id, page, line_no, line)."""
+    tidy = "trim(regexp_replace(regexp_replace(string_agg(line, ' ' ORDER BY page, line_no), '\\s+([,.;:?!])', '\\1', 'g'), '\\s+', ' ', 'g'))"
+    return f"""
+flagged AS (SELECT *, lower(regexp_replace(trim(line), '^:+|:+$', '', 'g')) IN ('references', 'bibliography', 'reference') AS is_ref, {sql_heading("line")} AS heading FROM {merged}),
+running AS (SELECT *, max(is_ref::INTEGER) OVER w AS stopped FROM flagged WINDOW w AS (PARTITION BY source_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)),
+numbered AS (SELECT *, count(heading) OVER w AS seg_id FROM running WHERE stopped = 0 WINDOW w AS (PARTITION BY source_id ORDER BY page, line_no ROWS UNBOUNDED PRECEDING)),
+segs AS (SELECT n.source_id, n.seg_id, any_value(h.heading) AS section, min(n.page) AS page_start, max(n.page) AS page_end, {tidy.replace("line", "n.line", 1).replace("page, line_no", "n.page, n.line_no")} AS text
+  FROM numbered n LEFT JOIN (SELECT source_id, seg_id, heading FROM numbered WHERE heading IS NOT NULL) h USING (source_id, seg_id) WHERE n.heading IS NULL GROUP BY n.source_id, n.seg_id HAVING text <> '')"""
+
+
+SQL_PAPER = f"""
+raw AS (SELECT s || ':' || p AS source_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM {sql_values(list(PAPER))} v(s, p, t)),
+lines AS (SELECT source_id, line_no, trim(line) AS line FROM raw WHERE trim(line) <> '' AND NOT {SQL_NOISE}), {SQL_ISLANDS},
+placed AS (SELECT split_part(source_id, ':', 1) AS source_id, split_part(source_id, ':', 2)::INTEGER AS page, line_no, line FROM merged)"""
+
+
+def sentences(spark: SparkSession, d: str) -> DataFrame:
+    found = documents(spark, d).select("doc_id", T.sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("sentences_md5"))
+
+
+SQL_SENTENCES = r"""
+SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS sentences_md5 FROM (
+  SELECT doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)"""
+
+
+def all_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunks(cleaning.segments(doc_pages(spark, d)).withColumn("source_ord", F.col("source_ord").cast("long")), Settings())
+
+
+def chunks_packed(spark: SparkSession, d: str) -> DataFrame:
+    return all_chunks(spark, d).select(F.col("source_id").cast("long").alias("doc_id"), "chunk_index", "section", F.length("text").alias("chars"), "text")
+
+
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return all_chunks(spark, d).select("chunk_id", F.col("source_id").cast("long").alias("doc_id"), "chunk_index", "page", "page_range", "chunking_strategy")
+
+
+# -- layout -------------------------------------------------------------------------------------------------------------------
+
+#: (doc, page, block, x0, y0, spans as (x0, text)); pages are 600 wide.
+BLOCKS = (
+    ("two", 1, 0, 10.0, 50.0, ((10.0, "left one"),)), ("two", 1, 1, 320.0, 10.0, ((320.0, "right one"),)), ("two", 1, 2, 10.0, 90.0, ((10.0, "left two"),)), ("two", 1, 3, 320.0, 60.0, ((320.0, "right two"),)),
+    ("one", 1, 0, 10.0, 80.0, ((10.0, "third"),)), ("one", 1, 1, 320.0, 20.0, ((320.0, "first"),)), ("one", 1, 2, 10.0, 40.0, ((10.0, "second"),)), ("one", 1, 3, 12.0, 95.0, ((12.0, "fourth"),)),
+    ("tab", 1, 0, 10.0, 10.0, ((25.0, "Drug"), (35.0, "Dose"), (200.0, "n = 12"))), ("tab", 1, 1, 10.0, 30.0, ((10.0, "a"), (12.0, "b"), (14.0, "c"))), ("tab", 1, 2, 10.0, 50.0, ((10.0, "only"), (100.0, "two"))), ("tab", 1, 3, 10.0, 70.0, ((10.0, " "),)),
+    *[("rep", p, 0, 10.0, 5.0, ((10.0, "Journal  of X"),)) for p in (1, 2, 3)], *[("rep", p, 1, 10.0, 50.0, ((10.0, f"Body {p}"),)) for p in (1, 2, 3, 4, 5)],
+    ("rep", 4, 2, 10.0, 70.0, ((10.0, "References:"),)), ("rep", 4, 3, 10.0, 90.0, ((10.0, "1. Gone"),)), ("rep", 2, 2, 10.0, 90.0, ((10.0, "Page 2"),)),
+)
+
+
+def block_rows(spark: SparkSession) -> DataFrame:
+    rows = [(doc, page, 600.0, no, 0, [x, y, x + 50, y + 10], [([(t, [sx, y, sx + 20, y + 10]) for sx, t in spans],)]) for doc, page, no, x, y, spans in BLOCKS]
+    return spark.createDataFrame(rows, layout.BLOCKS)
+
+
+def column_order(spark: SparkSession, d: str) -> DataFrame:
+    found = layout.reading_order(block_rows(spark))
+    return found.select("doc", "page", "block_no", "columns", F.col("place").cast("int").alias("place"))
+
+
+def table_rows(spark: SparkSession, d: str) -> DataFrame:
+    return block_rows(spark).select("doc", "page", "block_no", layout.is_table_row(F.col("lines")).alias("is_table"), layout.table_row(F.col("lines")).alias("row"))
+
+
+def page_assembly(spark: SparkSession, d: str) -> DataFrame:
+    return layout.assemble_pages(block_rows(spark)).select("doc", "page", "text", "columns", "has_table")
+
+
+SQL_BLOCKS = f"""
+spans AS (SELECT * FROM {sql_values([(doc, page, no, x, y, i, sx, t) for doc, page, no, x, y, spans in BLOCKS for i, (sx, t) in enumerate(spans)])} v(doc, page, block_no, x0, y0, i, sx, t)),
+blocks AS (SELECT doc, page, block_no, any_value(x0)::DOUBLE AS x0, any_value(y0)::DOUBLE AS y0, coalesce(string_agg(t, '' ORDER BY i) FILTER (trim(t) <> ''), '') AS raw,
+  coalesce(count(*) FILTER (trim(t) <> '') >= 3 AND count(DISTINCT round_even(sx::DOUBLE / 10, 0)) FILTER (trim(t) <> '') >= 3 AND count(*) FILTER (trim(t) <> '' AND length(trim(t)) < 40) >= 0.7 * count(*) FILTER (trim(t) <> ''), false) AS is_table,
+  coalesce(string_agg(trim(t), ' | ' ORDER BY i) FILTER (trim(t) <> ''), '') AS row FROM spans GROUP BY ALL),
+cols AS (SELECT *, CASE WHEN avg(CASE WHEN x0 > 270 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page) > 0.3 THEN 2 ELSE 1 END AS columns FROM blocks),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN columns = 2 AND x0 > 270 THEN 1 ELSE 0 END, y0, block_no) AS place FROM cols)"""
+SQL_PAGES = f"""{SQL_BLOCKS},
+normed AS (SELECT *, lower(regexp_replace(raw, '\\s+', ' ', 'g')) AS norm FROM placed),
+again AS (SELECT doc, norm FROM normed WHERE norm <> '' AND length(norm) < 120 GROUP BY doc, norm HAVING count(DISTINCT page) >= greatest(3, floor(0.15 * (SELECT count(DISTINCT page) FROM placed p WHERE p.doc = normed.doc)))),
+kept AS (SELECT *, max((regexp_replace(norm, '^:+|:+$', '', 'g') IN ('references', 'bibliography', 'reference'))::INTEGER) OVER (PARTITION BY doc ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS stopped
+  FROM normed WHERE raw <> '' AND (doc, norm) NOT IN (SELECT doc, norm FROM again)),
+body AS (SELECT doc, page, string_agg(CASE WHEN is_table THEN row ELSE raw END, chr(10) ORDER BY place) AS text, bool_or(is_table) AS has_table FROM kept WHERE stopped = 0 AND NOT {SQL_NOISE.replace("line", "raw")} GROUP BY ALL)
+SELECT doc, page, coalesce(text, '') AS text, columns, coalesce(has_table, false) AS has_table FROM (SELECT DISTINCT doc, page, columns FROM placed) LEFT JOIN body USING (doc, page)"""
+
+
+# -- answers ------------------------------------------------------------------------------------------------------------------
+
+
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    rows = documents(spark, d).select(F.lit(1).alias("rank"), F.col("source").alias("source_id"), F.lit(1).alias("page"), F.col("doc_id").cast("string").alias("chunk_id"), (F.lit(1.0) / (F.col("doc_id") + 3)).alias("score"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(answers.citation().alias("c")).select(F.col("c.chunk_id").cast("long").alias("doc_id"), "c.source", "c.score", "c.excerpt")
+
+
+SQL_CITATIONS = r"""
+SELECT doc_id, coalesce(source, 'unknown') AS source, round(1.0::DOUBLE / (doc_id + 3), 6) AS score, CASE WHEN length(x) <= 320 THEN x ELSE trim(CASE WHEN contains(x[:319], ' ') THEN regexp_replace(x[:319], ' [^ ]*$', '') ELSE x[:319] END) || '...' END AS excerpt
+FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS x FROM documents)"""
+
+
+def excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The best excerpt of every document for the question that begins its own text."""
+    rows = documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.substring(F.coalesce("text", F.lit("")), 1, 60).alias("question"))
+    return rows.select("doc_id", T.best_excerpt(F.col("text"), F.col("question")).alias("excerpt"))
+
+
+DIET_QUESTIONS = ((1, "What foods should I eat?"), (2, "What is tPA?"), (3, "Meals after stroke"), (4, "MEALTIME advice"), (5, "Is a dietary plan needed?"))
+DIET_HITS = (
+    ("q1", "patient", 1, "Screen swallowing before meals.", "Guide", None), ("q1", "patient", 2, "Eat fruit and less salt.", "Diet", "Prevention"), ("q2", "clinician", 1, "Nasogastric feeding is reasonable.", "Tubes", None),
+    ("q3", "patient", 1, "Nutrition matters.", "General", None), ("q4", "clinician", 1, "Aspiration risk and saturated fat.", "Mixed", "Diet"), ("q5", "patient", 1, "Statins lower risk.", "Drugs", "Results"),
+)
+
+
+def diet_expand(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.createDataFrame(list(DIET_QUESTIONS), "id long, question string")
+    return rows.select("id", retrieval.is_diet(F.col("question")).alias("is_diet"), retrieval.expanded(F.col("question")).alias("expanded"))
+
+
+def diet_rows(spark: SparkSession) -> DataFrame:
+    rows = [(q, mode, rank, text, title, section, "s.pdf", f"{q}-{rank}", 1, 0.02) for q, mode, rank, text, title, section in DIET_HITS]
+    return spark.createDataFrame(rows, "query_id string, answer_mode string, rank int, text string, title string, section string, source_id string, chunk_id string, page int, score double").withColumn("question", F.lit("What should I eat?"))
+
+
+def diet_filter(spark: SparkSession, d: str) -> DataFrame:
+    return diet_rows(spark).where(retrieval.relevant(F.col("question"))).select("query_id", "rank")
+
+
+def diet_answer(spark: SparkSession, d: str) -> DataFrame:
+    hits = diet_rows(spark)
+    asked = hits.select("query_id", "question", "answer_mode").distinct()
+    return answers.extractive_answers(asked, hits).select("query_id", "answer_mode", "answer")
+
+
+def sql_any(text: str, vocabulary: tuple[str, ...]) -> str:
+    return f"list_has_any({WORDS.format(text)}, [{', '.join(repr(v) for v in vocabulary)}])"
+
+
+def sql_diet_answer() -> str:
+    parts = []
+    firsts = []
+    for i, (_, vocabulary, texts) in enumerate(rules.DIET_FAMILIES):
+        firsts.append(f"min(rank) FILTER ({sql_any('e', vocabulary)}) AS f{i}")
+        by_mode = " ".join(f"WHEN mode = '{m}' THEN '{t.split('{}')[0]}' || f{i} || '{t.split('{}')[1]}'" for m, t in texts.items())
+        parts.append(f"CASE WHEN f{i} IS NULL THEN NULL {by_mode} END")
+    parts.append(f"CASE WHEN f0 IS NULL AND f1 IS NULL AND f2 IS NULL THEN '{rules.DIET_UNCLEAR}' END")
+    parts.append(f"CASE WHEN f2 IS NULL THEN '{rules.DIET_NO_PLAN}' END")
+    return f"""
+WITH hits AS (SELECT q, mode, rank, text || ' ' || title || ' ' || coalesce(section, 'None') || ' s.pdf' AS e FROM {sql_values(list(DIET_HITS))} v(q, mode, rank, text, title, section)),
+one AS (SELECT q, mode, {', '.join(firsts)} FROM hits GROUP BY q, mode)
+SELECT q AS query_id, mode AS answer_mode, concat_ws(chr(10) || chr(10), {', '.join(parts)}, '{rules.SAFETY_NOTICE}') AS answer FROM one"""
+
+
+EVAL = (
+    ("hit", ("guide",), ("swallow", "salt"), False, ("Guide.pdf", "other.pdf"), ("Screen Swallowing.", "nothing"), "Answer [1]."), ("miss", ("diet",), ("salt",), False, ("guide.pdf",), ("nothing",), "Answer."),
+    ("empty", ("diet",), (), False, (), (), "I could not find it."), ("negative", (), (), True, (), (), "No."), ("talks", (), ("x",), True, ("a.pdf",), ("y",), "I cannot find that."),
+)
+
+
+def eval_rows(spark: SparkSession) -> DataFrame:
+    rows = [(i, list(h), list(t), r, list(s), list(e), a) for i, h, t, r, s, e, a in EVAL]
+    return answers.evaluation(spark.createDataFrame(rows, "id string, source_hints array<string>, answer_terms array<string>, should_refuse boolean, sources array<string>, excerpts array<string>, answer string"))
+
+
+def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return answers.evaluation_summary(eval_rows(spark)).select("in_scope", F.round("hit_rate", 6).alias("hit_rate"), F.round("mean_relevance", 6).alias("mean_relevance"), F.round("refusal_correctness", 6).alias("refusal_correctness"), "failed")
+
+
+SQL_EVAL = """
+WITH r(id, hit, relevance, should_refuse, refused) AS (VALUES ('hit', true, 0.5, false, false), ('miss', false, 0.0, false, false), ('empty', false, 1.0, false, true), ('negative', false, 1.0, true, true), ('talks', false, 0.0, true, true))
+SELECT count(*) FILTER (NOT should_refuse) AS in_scope, round(avg(hit::INTEGER) FILTER (NOT should_refuse), 6) AS hit_rate, round(avg(relevance::DOUBLE) FILTER (NOT should_refuse), 6) AS mean_relevance,
+  round(avg(refused::INTEGER) FILTER (should_refuse), 6) AS refusal_correctness, count(*) FILTER (NOT should_refuse AND NOT (hit AND relevance >= 0.4)) AS failed FROM r"""
+TIMES = (("legacy", 14.4), ("legacy", 13.9), ("legacy", 13.8), ("cold", 5.7), ("cold", 5.6), ("cold", 5.8), ("noop", 0.33), ("noop", 0.34))
+
+
+def bench_summary(spark: SparkSession, d: str) -> DataFrame:
+    return summary.summarise(spark.createDataFrame(list(TIMES), "scenario string, seconds double"), "legacy")
+
 
-from plinth.runtime import read_table
+SQL_BENCH = f"""
+WITH t AS (SELECT * FROM {sql_values(list(TIMES))} v(scenario, seconds)), s AS (SELECT scenario, avg(seconds::DOUBLE) AS m, median(seconds::DOUBLE) AS d, min(seconds)::DOUBLE AS lo, max(seconds)::DOUBLE AS hi FROM t GROUP BY scenario)
+SELECT scenario, round(m, 6) AS mean, round(d, 6) AS median, lo AS min, hi AS max, round((SELECT m FROM s WHERE scenario = 'legacy') / m, 6) AS speed_up FROM s"""
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return lexical_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = [
+        tokenize_terms, term_freq, doc_freq, corpus_stats, bm25_topk, bm25_batch, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_norm, hash_embed_blake2b, hash_vector_topk, rrf_fusion, rrf_filtered_asymmetric,
+        min_relevance, lexical_rerank, source_summary, exact_duplicates, unique_files, manifest_changed, manifest_deleted, manifest_upsert, ingest_report, cache_hits_misses, repeated_lines, clean_lines, noise_lines, hyphen_merge,
+        headings, line_headings, segments, document_segments, references_cut, sentences, chunks_packed, chunk_ids, column_order, table_rows, page_assembly, citations, excerpts, diet_expand, diet_filter, diet_answer, eval_metrics, bench_summary,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    ranks = "SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM"
+    hits = f"SELECT * FROM {sql_values(list(DIET_HITS))} v(q, mode, rank, text, title, section)"
+    hashed = sql_hashed("stored", "doc_id", "documents")
+    return {
+        "tokenize_terms": f"WITH {SQL_TERMS} SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS terms_md5 FROM tokens",
+        "term_freq": f"WITH {SQL_TERMS} SELECT * FROM postings",
+        "doc_freq": f"WITH {SQL_TERMS} SELECT term, count(*) AS df FROM postings GROUP BY term",
+        "corpus_stats": f"WITH {SQL_TERMS} SELECT count(*) AS n, sum(len(t))::BIGINT AS total_tokens, round(sum(len(t)) / count(*), 6) AS avgdl FROM tokens",
+        "bm25_topk": f"WITH {SQL_BM25} {ranks} bm25_ranks WHERE rank <= 20 AND query_id = (SELECT min(item_id) FROM benchmark)",
+        "bm25_batch": f"WITH {SQL_BM25} {ranks} bm25_ranks WHERE rank <= 20",
+        "vector_topk": sql_vectors("true"),
+        "vector_topk_filtered": sql_vectors("c.label = 3"),
+        "hash_embed_sparse": f"WITH {hashed} SELECT doc_id, bucket, round(weight, 9) AS weight FROM stored",
+        "hash_embed_norm": f"WITH {hashed} SELECT d.doc_id, count(weight) AS buckets, round(coalesce(sum(weight * weight), 0), 9) AS squares FROM documents d LEFT JOIN stored s USING (doc_id) GROUP BY d.doc_id",
+        "hash_vector_topk": f"WITH {sql_hashed_ranks()} {ranks} near_ranks WHERE rank <= 20",
+        "rrf_fusion": f"WITH {sql_fused()} SELECT query_id, doc_id, vector_rank::INTEGER AS vector_rank, bm25_rank::INTEGER AS bm25_rank, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
+        "rrf_filtered_asymmetric": f"WITH {sql_fused(EN)} {ranks} fused",
+        "min_relevance": f"WITH {sql_fused()} {ranks} fused WHERE score >= 0.02",
+        "lexical_rerank": f"WITH {SQL_RERANK} {ranks} again WHERE rank <= 5",
+        "source_summary": "SELECT 'doc-' || doc_id AS source_id, 'Title 0' AS title, '/corpus/' || doc_id AS source_path, len(l) AS chunks, array_to_string(range(1, ((len(l) - 1) // 40) + 2), ',') AS pages FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
+        "exact_duplicates": f"WITH {SQL_FILES} SELECT path, sha256, duplicate_of FROM marked",
+        "unique_files": f"WITH {SQL_FILES} SELECT path, sha256, size FROM marked WHERE duplicate_of IS NULL",
+        "manifest_changed": f"WITH {SQL_MANIFEST} SELECT path, size FROM changed",
+        "manifest_deleted": f"WITH {SQL_MANIFEST} SELECT path FROM deleted",
+        "manifest_upsert": f"""WITH {SQL_MANIFEST} SELECT coalesce(k.path, o.path) AS path, coalesce(o.size, k.size) AS size, CASE WHEN g.path IS NOT NULL THEN 'deleted' ELSE coalesce(o.status, k.status) END AS status, o.duplicate_of,
+            (CASE WHEN o.status = 'indexed' THEN 3 WHEN k.path IS NULL THEN 0 ELSE k.pages END)::INTEGER AS pages, (CASE WHEN o.status = 'indexed' THEN 4 WHEN k.path IS NULL THEN 0 ELSE k.chunks END)::INTEGER AS chunks,
+            CASE WHEN o.status = 'failed' THEN 2000 END AS error_chars, (CASE WHEN o.status = 'indexed' OR k.path IS NOT NULL THEN 1400 ELSE 0 END)::INTEGER AS chunk_size_chars, CASE WHEN o.path IS NOT NULL OR g.path IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS updated_at
+            FROM known k FULL JOIN outcomes o ON k.path = o.path LEFT JOIN deleted g ON g.path = k.path""",
+        "ingest_report": f"""WITH {SQL_MANIFEST} SELECT (SELECT count(*) FROM marked) AS discovered, (SELECT count(duplicate_of) FROM marked) AS duplicates, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM changed WHERE size > 20000) AS failed,
+            (SELECT count(*) FROM deleted) AS deleted, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL) AS pages, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL) AS chunks, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL AND path NOT IN (SELECT path FROM changed)) AS from_cache""",
+        "cache_hits_misses": f"WITH {SQL_FILES} SELECT path, sha256 IN (SELECT sha256 FROM files WHERE lang = 'en') AS hit FROM files",
+        "repeated_lines": r"""WITH l AS (SELECT source AS doc, doc_id AS page, lower(regexp_replace(trim(unnest(string_split(coalesce(text, ''), chr(10)))), '\s+', ' ', 'g')) AS norm FROM documents)
+            SELECT l.doc, norm, count(DISTINCT page) AS n FROM l WHERE norm <> '' AND length(norm) < 120 GROUP BY l.doc, norm HAVING n >= greatest(3, floor(0.15 * (SELECT count(*) FROM documents d WHERE d.source IS NOT DISTINCT FROM l.doc)))""",
+        "clean_lines": f"WITH {SQL_DOC_LINES} SELECT source_id AS doc_id, line_no::INTEGER AS line_no, line FROM merged",
+        "noise_lines": f"SELECT id::BIGINT AS id, line, {SQL_NOISE} AS noise FROM {sql_values(list(enumerate(NOISE)))} v(id, line)",
+        "hyphen_merge": f"WITH lines AS (SELECT * FROM {sql_values([(p, i, x) for i, (p, x) in enumerate(HYPHENS)])} v(source_id, line_no, line)), {SQL_ISLANDS} SELECT source_id, line_no, line FROM merged",
+        "headings": f"SELECT id::BIGINT AS id, {sql_heading('line')} AS heading FROM {sql_values(list(enumerate(HEADINGS)))} v(id, line)",
+        "line_headings": f"WITH {SQL_DOC_LINES}, h AS (SELECT {sql_heading('line')} AS heading FROM merged) SELECT heading, count(*) AS n FROM h WHERE heading IS NOT NULL GROUP BY heading",
+        "segments": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id, seg_id::INTEGER AS seg_id, section, page_start, page_end, text FROM segs",
+        "document_segments": f"WITH {SQL_DOC_LINES}, placed AS (SELECT *, 1 AS page FROM merged), {sql_segments('placed')} SELECT source_id AS doc_id, seg_id::INTEGER AS seg_id, section, length(text)::INTEGER AS chars, md5(text) AS text_md5 FROM segs",
+        "references_cut": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id, count(*) AS sections, sum(length(text))::BIGINT AS chars, max(page_end) AS last_page FROM segs GROUP BY source_id",
+        "sentences": SQL_SENTENCES,
+        "column_order": f"WITH {SQL_BLOCKS} SELECT doc, page, block_no, columns, place::INTEGER AS place FROM placed",
+        "table_rows": f"WITH {SQL_BLOCKS} SELECT doc, page, block_no, is_table, row FROM placed",
+        "page_assembly": f"WITH {SQL_PAGES}",
+        "citations": SQL_CITATIONS,
+        "diet_expand": f"SELECT id::BIGINT AS id, {sql_any('question', rules.DIET_QUERY_TERMS)} AS is_diet, CASE WHEN {sql_any('question', rules.DIET_QUERY_TERMS)} THEN question || ' {rules.DIET_EXPANSION}' ELSE question END AS expanded FROM {sql_values(list(DIET_QUESTIONS))} v(id, question)",
+        "diet_filter": f"SELECT q AS query_id, rank FROM ({hits}) WHERE {sql_any(repr('') + ' || text || ' + repr(' ') + ' || title || ' + repr(' ') + ' || coalesce(section, ' + repr('None') + ') || ' + repr(' s.pdf'), rules.DIET_CONTEXT_TERMS)}",
+        "diet_answer": sql_diet_answer(),
+        "eval_metrics": SQL_EVAL,
+        "bench_summary": SQL_BENCH,
+    }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,10 +93,19 @@ def citation_excerpt(text: Column) -> Column:
     return cut_to(collapse(text), rules.CITATION_CHARS)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def best_excerpt(text: Column, question: Column, limit: int = rules.EXCERPT_CHARS) -> Column:
     """The three sentences that share most words with the question, shorter ones first among equals, in their order in the text."""
     parts = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])[\s\x1c-\x1f]+"), strip), lambda s: s != "")
     asked = F.array_distinct(words(question))
+    return let(F.struct(parts.alias("parts"), asked.alias("asked"), text.alias("text")), lambda x: _excerpt_of(x["parts"], x["asked"], x["text"], limit))
+
+
+def _excerpt_of(parts: Column, asked: Column, text: Column, limit: int) -> Column:
     scored = F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(words(s)), asked))).alias("a"), F.length(s).alias("b"), i.alias("c"), s.alias("s")))
     best = F.slice(F.array_sort(scored), 1, rules.EXCERPT_SENTENCES)
     start = F.struct(F.array().cast("array<string>").alias("chosen"), F.lit(0).alias("n"))
@@ -106,5 +116,5 @@ def best_excerpt(text: Column, question: Column, limit: int = rules.EXCERPT_CHAR
         return F.when(fits, F.struct(F.array_append(state["chosen"], one["s"]).alias("chosen"), n.cast("int").alias("n"))).otherwise(state)
 
     chosen = F.aggregate(best, start, take)["chosen"]
-    text_of = F.array_join(F.filter(parts, lambda s: F.array_contains(chosen, s)), " ")
-    return F.when(F.size(parts) == 0, strip(F.substring(text, 1, limit))).otherwise(cut_to(text_of, limit))
+    text_of = let(chosen, lambda c: F.array_join(F.filter(parts, lambda s: F.array_contains(c, s)), " "))
+    return F.when(F.size(parts) == 0, strip(F.substring(text, 1, limit))).otherwise(let(text_of, lambda t: cut_to(t, limit)))
