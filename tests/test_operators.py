@@ -27,7 +27,7 @@ def test_tokens(spark, text, tokens):
 def test_excerpts(spark):
     text = "Short one. Stroke care matters most here! Another line about nothing? Stroke again."
     assert one(spark, T.best_excerpt(F.col("t"), F.col("q")), t=text, q="stroke care") == "Short one. Stroke care matters most here! Stroke again."
-    assert one(spark, T.best_excerpt(F.col("t"), F.col("q"), 30), t=text, q="stroke care") == "Stroke care matters most..."
+    assert one(spark, T.best_excerpt(F.col("t"), F.col("q"), 25), t=text, q="stroke care") == "Stroke care matters..."
     assert one(spark, T.citation_excerpt(F.col("t")), t="a" * 400) == "a" * 319 + "..."
     assert one(spark, T.citation_excerpt(F.col("t")), t="word " * 100) == ("word " * 63).strip() + "..."
     assert one(spark, T.best_excerpt(F.col("t"), F.col("q")), t="", q="x") == ""
