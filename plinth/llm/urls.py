@@ -1,9 +1,8 @@
 """URL filters: rules by host and path, and for other urls a tree of path templates for each host.
 
 The tree is grown level by level over (host, path) groups, never over single urls. A segment that holds a digit is
-variable and becomes a wildcard; of the others a branch stays literal only if it is frequent enough and its share of bad
-labels differs from its siblings' by a two-proportion test; statistically similar and rare branches merge into the
-wildcard branch. Segments beyond ``DEPTH`` fall to the last wildcard. A template is rejected if its share of bad labels,
+variable and becomes a wildcard, as does a rare one. Frequent branches are ordered by their share of bad labels, and those
+that a two-proportion test doesn't tell apart merge into one numbered wildcard. Segments beyond ``DEPTH`` fall to the last wildcard. A template is rejected if its share of bad labels,
 smoothed towards the host's, which is smoothed towards the share of all, reaches ``reject``.
 
 All of it is DataFrame functions; every step aggregates partially before it shuffles, and joins by host are plain joins
@@ -16,7 +15,7 @@ of the input named like results are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.runtime import materialise
@@ -63,15 +62,19 @@ def template_tree(urls: DataFrame, min_support: int = 20, z: float = 1.96, smoot
         segment = F.try_element_at("shape", F.lit(level))
         branch = groups.withColumn("segment", segment)
         branches = branch.where("segment is not null").groupBy("host", "template", "segment").agg(n, m, b)
-        parents = branches.groupBy("host", "template").agg(F.sum("m").alias("all_m"), F.sum("b").alias("all_b"))
-        tested = branches.join(parents, ["host", "template"])
-        rest_m, rest_b = F.col("all_m") - F.col("m"), F.col("all_b") - F.col("b")
-        pooled = F.try_divide("all_b", "all_m")
-        error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "m") + F.try_divide(F.lit(1.0), rest_m)))
-        apart = F.abs(F.try_divide("b", "m") - F.try_divide(rest_b, rest_m)) > z * error
-        literal = tested.where((F.col("n") >= min_support) & F.coalesce(apart, F.lit(False))).select("host", "template", "segment", F.lit(True).alias("stays"))
+        frequent = branches.where((F.col("n") >= min_support) & (F.col("m") > 0)).withColumn("share", F.col("b") / F.col("m"))
+        # Neighbours by their share of bad labels stay together unless a two-proportion test tells them apart.
+        ordered = Window.partitionBy("host", "template").orderBy("share", "segment")
+        last_m, last_b = F.lag("m").over(ordered), F.lag("b").over(ordered)
+        pooled = (F.col("b") + last_b) / (F.col("m") + last_m)
+        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / last_m))
+        frequent = frequent.withColumn("apart", F.coalesce(F.abs(F.col("share") - last_b / last_m) > z * error, F.lit(False)))
+        frequent = frequent.withColumn("cluster", F.sum(F.col("apart").cast("int")).over(ordered))
+        alone = Window.partitionBy("host", "template", "cluster")
+        kept_name = F.when(F.count(F.lit(1)).over(alone) == 1, F.col("segment")).otherwise(F.concat(F.lit("*"), F.col("cluster").cast("string")))
+        literal = frequent.select("host", "template", "segment", kept_name.alias("stays"))
         branch = branch.join(literal, ["host", "template", "segment"], "left")
-        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("stays"), F.col("segment")).otherwise("*")))
+        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("stays", F.lit("*"))))
         groups = branch.select("host", "shape", "n", "m", "b", grown.alias("template"))
     deeper = F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
     groups = materialise(groups.withColumn("template", deeper), "url-groups")
