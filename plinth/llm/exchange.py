@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plinth.runtime import shuffle_partitions
 
 #: Pairs that a packer holds before it passes them on.
-HELD = 1_500_000
+HELD = 800_000
 
 
 def n_buckets(spark: SparkSession) -> int:
@@ -66,11 +66,15 @@ class Packer:
 
 def unpack(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarray]:
     """All blobs of a task, column by column; the bucket is column 0 of each batch."""
-    found: list[list[np.ndarray]] = [[] for _ in kinds]
+    found: list[list[bytes]] = [[] for _ in kinds]
     for batch in batches:
-        for i, kind in enumerate(kinds):
-            found[i] += [np.frombuffer(x.as_py(), kind) for x in batch.column(i + 1)]
-    return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds, strict=True)]
+        for i in range(len(kinds)):
+            found[i] += batch.column(i + 1).to_pylist()  # copies, so that the batch's own memory goes
+    out = []
+    for blobs, kind in zip(found, kinds, strict=True):
+        out.append(np.frombuffer(b"".join(blobs), kind))
+        blobs.clear()
+    return out
 
 
 def deal(blobs: DataFrame, n: int) -> DataFrame:

@@ -5,15 +5,16 @@ at least T = ceil(0.75 n) of its n shingles with the other. Shingles are ordered
 two linked documents share at least q of the first n - T + q of them (q grows with n): only these go into inverted lists.
 
 1. Documents of equal sets fall into one class, by partial aggregation, before anything else.
-2. Inverted lists of all classes. A list of one class says nothing. A document that shares fewer than q of its shingles
-   with others cannot link and leaves. Others are compared to the first document of the lists that they are in most often.
-3. Rounds over those that are left: links found so far make components; a list within one component says nothing; whoever
-   shares fewer than q shingles with other components leaves for good; the others are compared with the document of another
-   component that they meet most often. Groups of near copies collapse here with as many comparisons as documents.
-4. DivideSkip for the rest, once a round finds no new link: short lists are heap-merged, a document's long lists (over
-   SHORT_LIST) are left out, and whoever reaches the required count less the number of long lists is probed for the rest by
-   binary search in the candidate's sorted set. Documents with as many long lists as the required count are searched for in
-   the long lists too, among themselves.
+2. Inverted lists of all classes, q a tenth of n. A list of one class says nothing. A document that shares fewer than q of
+   its shingles with others cannot link and leaves.
+3. Rounds over those that are left, with longer prefixes: links found so far make components; a list within one component
+   says nothing; whoever shares fewer than q shingles with other components leaves for good; the others are compared with the
+   document of another component that they meet most often as the first of a list. Groups of near copies collapse here with as
+   many comparisons as documents.
+4. DivideSkip for the rest, once a round finds hardly any link, over whole sets: a document leaves if other components share
+   fewer than T of its shingles. It skips its T - 1 longest inverted lists and merges the others by a heap; whoever could reach
+   the overlap that the two sizes require, were it in all skipped lists, is probed for by binary search in the two sorted sets.
+   Of two components the smaller one's documents search.
 
 Every comparison is exact, over whole sets; no list or document is dropped for its size. Shingles are 64-bit hashes; within
 inverted lists 32 bits and the bucket stand for them, which can only add candidates.
@@ -33,16 +34,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm import exchange
 from plinth.llm.components import connected_components
 from plinth.llm.exchange import Packer, deal, groups, unpack
 from plinth.llm.words import WordHashes, fingerprint, mix, runs
-from plinth.runtime import discard, materialise, worker_cache
+from plinth.runtime import bound_batches, discard, materialise, worker_cache
 
 WIDTH = 5
-SHORT_LIST = 64
-LONG = -(1 << 62)
+#: q in percent of n: in the lists of all documents, and in those of the few that are left then.
+NARROW, WIDE = 10, 35
+#: A round that links less than one in FEW of the documents left is the last before DivideSkip.
+FEW = 50
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -56,14 +60,14 @@ def required(n: int) -> int:
     return -(-3 * n // 4)
 
 
-def spare(n: int) -> int:
+def spare(n: int, percent: int) -> int:
     """q: the more, the longer the prefix and the fewer the documents that reach it by chance."""
-    return max(1, n // 10)
+    return max(1, n * percent // 100)
 
 
-def prefix(tokens: np.ndarray) -> np.ndarray:
+def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
     n = len(tokens)
-    return tokens[: n - required(n) + spare(n)]
+    return tokens[: n - required(n) + spare(n, percent)]
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -77,9 +81,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-def needed(n: str = "n") -> F.Column:
+def needed(percent: int) -> F.Column:
     """spare() of the smallest size that can link: the least number of shared prefix shingles."""
-    return F.expr(f"greatest(1, cast(floor(ceil(0.75D * {n}) / 10) as long))")
+    return F.expr(f"greatest(1, ((3 * n + 3) div 4) * {percent} div 100)")
 
 
 def _hashes() -> WordHashes:
@@ -102,7 +106,7 @@ def scan(rows: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(tokens))
                 prints.append(fingerprint(tokens) if len(tokens) else (None, None))
                 if known and len(tokens):
-                    first = prefix(tokens)
+                    first = prefix(tokens, NARROW)
                     for blobs in packer.add(first, first.astype(np.uint32), np.full(len(first), prints[-1][1], np.int64)):
                         yield _blobs(blobs)
             yield _documents(ids, sizes, prints)
@@ -183,50 +187,112 @@ def lists_of(sets: DataFrame, n: int) -> DataFrame:
         packer = Packer(n)
         for batch in batches:
             for one, home, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                first = prefix(np.frombuffer(data, np.uint64))
+                first = prefix(np.frombuffer(data, np.uint64), WIDE)
                 yield from packer.add(first, first.astype(np.uint32), np.full(len(first), one, np.int64), np.full(len(first), home, np.int64))
         yield from packer.flush()
 
     return sets.select("id", "component", "tokens").mapInArrow(emit, exchange.schema(3))
 
 
-def divide_skip(lists: DataFrame, n: int, longest: int | None) -> DataFrame:
-    """Blobs of (shingle, id, component) -> (id, other, times, skipped): for each record the smaller ids of other components
-    in its short lists with the number of lists, and (other null) how many of its lists are long. longest None: all are short."""
+def shared_lists(sets: DataFrame, n: int) -> DataFrame:
+    """(id, n, component, tokens) -> (id, shared, chosen): how many of all its shingles another component has, and which lists the
+    search has to read: all but the required count less one, the longest of them. Only records that share the required count."""
 
-    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, record, home = unpack(batches, np.uint32, np.int64, np.int64)
-        order = np.lexsort((record, token))
-        token, record, home = token[order], record[order], home[order]
-        packer = Packer(n, held=200_000)
-        for a, b in zip(*groups(token), strict=True):
-            ids, homes = record[a:b], home[a:b]
-            if homes.min() == homes.max():
-                continue
-            if longest is not None and b - a > longest:
-                yield from packer.add(_by_record(ids), ids, token[a:b], np.full(b - a, LONG))
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n)
+        for batch in batches:
+            for one, size, home, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens = np.frombuffer(data, np.uint64)
+                yield from packer.add(tokens, tokens, np.full(size, one, np.int64), np.full(size, home, np.int64), np.full(size, size, np.uint32))
+        yield from packer.flush()
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, record, home, size = unpack(batches, np.uint64, np.int64, np.int64, np.uint32)
+        order = np.lexsort((record, home, token))
+        token, record, home, size = token[order], record[order], home[order], size[order]
+        starts, ends = groups(token, record)
+        token, record, home, size = token[starts], record[starts], home[starts], size[starts]
+        starts, ends = groups(token)
+        long = ends - starts
+        shared = np.repeat(home[starts] != home[ends - 1], long)
+        packer = Packer(n)
+        yield from packer.add(_by_record(record[shared]), record[shared], token[shared], np.repeat(long, long)[shared].astype(np.uint32), size[shared])
+        yield from packer.flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, token, long, size = unpack(batches, np.int64, np.uint64, np.uint32, np.uint32)
+        order = np.lexsort((token, long, record))
+        record, token, size = record[order], token[order], size[order]
+        out: list[tuple] = []
+        for a, b in zip(*groups(record), strict=True):
+            least = required(int(size[a]))
+            if b - a >= least:
+                out.append((int(record[a]), int(b - a), np.sort(token[a : b - least + 1]).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["id", "shared", "chosen"])
+
+    lists = sets.select("id", "n", "component", "tokens").mapInArrow(emit, exchange.schema(4))
+    weighed = deal(lists, n).mapInArrow(weigh, exchange.schema(4))
+    return deal(weighed, n).mapInArrow(choose, "id long, shared long, chosen binary")
+
+
+#: What travels with a shingle: whose it is, and which partners can still link.
+ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("home", "i8"), ("members", "i8"), ("n", "u4"), ("most", "u4"), ("reads", "?")])
+
+
+def divide_skip(sets: DataFrame, n: int) -> DataFrame:
+    """(id, n, component, members, tokens, shared, chosen) -> candidates (id, other). A record reads its chosen short lists only; those
+    that it skips are no more than the required count less one, so whoever links is in one that it reads. Of two components the
+    smaller one's records read. Partners must have a size for which the required overlap is within what both share. The lists are
+    merged by a heap; whoever could not reach the overlap with all skipped lists is no candidate."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(n, held=400_000)
+        for batch in batches:
+            for one, size, home, members, data, shared, chosen in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                tokens = np.frombuffer(data, np.uint64)
+                rows = np.empty(size, ENTRY)
+                rows["token"], rows["id"], rows["home"], rows["members"], rows["n"] = tokens, one, home, members, size
+                rows["most"] = 7 * shared // 3 - size
+                rows["reads"] = np.isin(tokens, np.frombuffer(chosen, np.uint64))
+                yield from packer.add(tokens, rows)
+        yield from packer.flush()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (rows,) = unpack(batches, ENTRY)
+        rows = rows[np.lexsort((rows["id"], rows["token"]))]
+        packer = Packer(n, held=300_000)
+        for a, b in zip(*groups(rows["token"]), strict=True):
+            whole = rows[a:b]
+            if (whole["home"] == whole["home"][0]).all():
                 continue
-            for i in range(1, b - a):
-                found = ids[:i][homes[:i] != homes[i]]
-                one = np.full(len(found), ids[i])
-                yield from packer.add(_by_record(one), one, np.full(len(found), token[a]), found)
+            readers = whole[whole["reads"]]
+            for at in range(0, len(readers), 256):
+                q = readers[at : at + 256, None]
+                rank = (q["members"] < whole["members"]) | ((q["members"] == whole["members"]) & (q["home"] < whole["home"]))
+                fit = rank & (whole["n"] <= q["most"]) & (q["n"] <= whole["most"]) & (4 * whole["n"].astype(np.int64) >= 3 * q["n"].astype(np.int64)) & (4 * q["n"].astype(np.int64) >= 3 * whole["n"].astype(np.int64))
+                i, j = np.nonzero(fit)
+                ids = q["id"][i, 0]
+                yield from packer.add(_by_record(ids), ids, q["token"][i, 0], q["n"][i, 0], whole["id"][j], whole["n"][j])
         yield from packer.flush()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record, token, other = unpack(batches, np.int64, np.uint32, np.int64)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, token, size, other, other_size = unpack(batches, np.int64, np.uint64, np.uint32, np.int64, np.uint32)
         order = np.lexsort((other, token, record))
-        record, token, other = record[order], token[order], other[order]
+        record, token, size, other, other_size = record[order], token[order], size[order], other[order], other_size[order]
         out: list[tuple] = []
         for a, b in zip(*groups(record), strict=True):
-            skipped = int((other[a:b] == LONG).sum())
-            lists = [other[a + x : a + y].tolist() for x, y in zip(*groups(token[a:b]), strict=True) if other[a + x] != LONG]
-            out += [(int(record[a]), None, 0, skipped)] if skipped else []
-            out += [(int(record[a]), one, len(list(same)), skipped) for one, same in groupby(heapq.merge(*lists))]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "other", "times", "skipped"])
+            own = int(size[a])
+            lists = [list(zip(other[a + x : a + y].tolist(), other_size[a + x : a + y].tolist(), strict=True)) for x, y in zip(*groups(token[a:b]), strict=True)]
+            for (one, its), same in groupby(heapq.merge(*lists)):
+                if len(list(same)) + required(own) - 1 >= -(-3 * (own + its) // 7):
+                    out.append((int(record[a]), one))
+        columns = list(zip(*out, strict=True)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "other"])
 
-    found = deal(lists, n).mapInArrow(invert, exchange.schema(3))
-    return deal(found, n).mapInArrow(search, "id long, other long, times long, skipped long")
+    lists = sets.select("id", "n", "component", "members", "tokens", "shared", "chosen").mapInArrow(emit, exchange.schema(1))
+    met = deal(lists, n).mapInArrow(read, exchange.schema(5))
+    return deal(met, n).mapInArrow(merge, "id long, other long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,72 +310,65 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("id", "other", "tokens", "others").mapInArrow(compare, "a long, b long")
 
 
-def sets_of(rows: DataFrame) -> DataFrame:
-    """(id, text, print, other) -> (id, n, tokens, other) of the texts whose set has that fingerprint."""
+@F.arrow_udf(T.BinaryType())
+def _tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Of (text, print): the set, null if it isn't the one with that fingerprint (another text of the same id)."""
+    hashes = _hashes()
+    for texts, prints in batches:
+        sets = [shingle_set(t, hashes) for t in texts.cast(pa.binary()).to_pylist()]
+        yield pa.array([t.tobytes() if len(t) and fingerprint(t)[1] == p else None for t, p in zip(sets, prints.to_pylist(), strict=True)], pa.binary())
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _hashes()
-        for batch in batches:
-            tokens = [shingle_set(t, hashes) for t in _texts(batch, 1)]
-            same = [bool(len(t)) and fingerprint(t)[1] == p for t, p in zip(tokens, batch.column(2).to_pylist(), strict=True)]
-            out = [batch.column(0), pa.array([len(t) for t in tokens], pa.int64()), pa.array([t.tobytes() for t in tokens], pa.binary()), batch.column(3)]
-            yield pa.RecordBatch.from_arrays(out, ["id", "n", "tokens", "other"]).filter(pa.array(same, pa.bool_()))
 
-    return rows.select("id", "text", "print", "other").mapInArrow(read, "id long, n long, tokens binary, other long")
+def with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
+    homes = connected_components(links).withColumnRenamed("node", "id")
+    return sets.select("id", "n", "tokens").join(homes, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, component) for each row of docs."""
-    spark = docs.sparkSession
-    n = exchange.n_buckets(spark)
+    bound_batches(docs.sparkSession)
+    n = exchange.n_buckets(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     seen = materialise(scan(rows, n), "shingles")
-    documents = seen.where("bucket is null").select("id", "n", "high", "print")
+    documents = materialise(seen.where("bucket is null").select("id", "n", "high", "print"), "documents")
     classes = documents.where("id is not null and n > 0").groupBy("print", "high").agg(F.min("id").alias("first"), F.max("n").alias("n"))
     classes = materialise(classes, "classes")
-
     met = stars(seen.where("bucket is not null").select("bucket", "c0", "c1"), n, components=False)
-    met = met.join(classes.withColumnRenamed("print", "record"), "record").where(F.col("shared") >= needed())
-    leaders = classes.select(F.col("print").alias("other"), F.col("first").alias("leader"))
-    met = materialise(met.join(leaders, "other").select(F.col("first").alias("id"), F.col("record").alias("print"), F.col("leader").alias("other")), "met")
-    sets = materialise(sets_of(rows.join(met, "id")).dropDuplicates(["id", "tokens"]), "sets")
-    links = materialise(verified(sets, sets), "links")
-    tables = [met]
-    found = links
+    met = met.join(classes.withColumnRenamed("print", "record"), "record").where(F.col("shared") >= needed(NARROW))
+    met = materialise(met.select(F.col("first").alias("id"), F.col("record").alias("print")), "met")
+    discard(seen)
+    # The join leaves the rows of an id together, so that repeated rows go without another shuffle.
+    texts = rows.where("text is not null").join(met, "id").dropDuplicates(["id", "print"])
+    sets = texts.select("id", _tokens("text", "print").alias("tokens")).where("tokens is not null")
+    sets = materialise(sets.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens", F.col("id").alias("component")), "sets")
+    discard(met)
+    links = None
     while True:
-        homes = connected_components(links)
-        bare = sets.drop("other", "component")
-        named = bare.join(homes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        named = materialise(named, "sets")
-        met = stars(lists_of(named, n), n, components=True).withColumnRenamed("record", "id")
-        left = materialise(named.join(met, "id").where(F.col("shared") >= needed()).drop("shared"), "sets")
-        tables += [sets, named]
-        sets = left
-        if sets.isEmpty():
-            break
-        found = materialise(verified(sets, sets), "links")
-        if found.isEmpty():
-            rest = searched(sets, n)
-            links = materialise(links.union(rest), "links")
+        met = stars(lists_of(sets, n), n, components=True).withColumnRenamed("record", "id")
+        left = materialise(sets.join(met, "id").where(F.col("shared") >= needed(WIDE)).drop("shared"), "sets")
+        discard(sets)
+        found = materialise(verified(left, left), "links")
+        links = materialise(links.union(found).distinct(), "links") if links else found
+        n_left, n_found = left.count(), found.count()
+        sets = materialise(with_components(left, links), "sets")
+        discard(left)
+        if n_left == 0 or n_found * FEW < n_left:
             break
-        links = materialise(links.union(found).distinct(), "links")
+    if n_left:
+        links = materialise(links.union(searched(sets, n)), "links")
+    discard(sets)
     homes = connected_components(links)
     own = documents.join(classes.select("print", "high", "first"), ["print", "high"], "left")
     own = own.join(homes.withColumnRenamed("node", "first"), "first", "left")
-    out = own.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component"))
-    discard(*tables, sets)
-    return out
+    return own.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component"))
 
 
 def searched(sets: DataFrame, n: int) -> DataFrame:
     """All links between different components among the sets that are left."""
     bare = sets.select("id", "n", "component", "tokens")
-    short = materialise(divide_skip(lists_of(bare, n), n, SHORT_LIST), "candidates")
-    pairs = short.where("other is not null").join(bare.select("id", "n", "tokens"), "id").where(F.col("times") >= needed() - F.col("skipped"))
-    links = verified(pairs.select("id", "n", "tokens", "other"), bare)
-    heavy = short.where("other is null").join(bare, "id").where(F.col("skipped") >= needed()).select("id", "n", "component", "tokens")
-    heavy = materialise(heavy, "sets")
-    if not heavy.isEmpty():
-        among = divide_skip(lists_of(heavy, n), n, None).where("other is not null").join(heavy.select("id", "n", "tokens"), "id").where(F.col("times") >= needed())
-        links = links.union(verified(among.select("id", "n", "tokens", "other"), heavy))
+    members = bare.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    left = materialise(bare.join(shared_lists(bare, n), "id").join(members, "component"), "sets")
+    pairs = materialise(divide_skip(left, n), "candidates")
+    links = materialise(verified(pairs.join(left.select("id", "n", "tokens"), "id").select("id", "n", "tokens", "other"), left), "links")
+    discard(left, pairs)
     return links
