@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.runtime import worker_cache
+from plinth.runtime import bound_batches, worker_cache
 
 #: Fixed value: the pretoken pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,6 +136,7 @@ class BpeCodec:
     and broadcast; ``path`` is a parameter."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        bound_batches(spark)
         with open(path, "rb") as f:
             data = f.read()
         shared, name = spark.sparkContext.broadcast(data), sha256(data).hexdigest()

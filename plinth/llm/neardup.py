@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.components import connected_components
-from plinth.runtime import discard, materialise
+from plinth.runtime import bound_batches, discard, materialise
 
 TREES, LEAF, SPILL, SAMPLE, BLOCK, LEAST_SAMPLE = 4, 512, 0.03, 20_000, 2048, 8
 
@@ -172,6 +172,7 @@ def spanning(near: np.ndarray, same: bool) -> list[tuple[int, int]]:
 
 def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_id", vector: str = "embedding", label: str = "label", trees: int = TREES) -> DataFrame:
     """(id, n_links, component, kept) for each row."""
+    bound_batches(rows.sparkSession)
     rows = rows.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     fine = F.col("label").isNotNull() & F.col("id").isNotNull() & valid("vector")
     named = rows.where(fine).withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))  # -0.0 becomes 0.0

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.runtime import materialise
+from plinth.runtime import bound_batches, materialise
 
 FIT_ROWS = 20_000
 #: Character classes counted in a text.
@@ -91,6 +91,7 @@ def strength_of(groups: DataFrame, overall: float) -> float:
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", text: str = "text", id_column: str = "doc_id", keep: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(id, evidence, prior, score, kept) for each row of docs. labels: (id, quality 0/1), the ones to learn from."""
+    bound_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1)").select(F.col("id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("y")).groupBy("label_id").agg(F.min("y").alias("y"))
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.concat(F.lit("="), F.col(host).cast("string")).alias("host"), F.concat(F.lit("="), F.col(path).cast("string")).alias("path"), shape_of(F.col(text).cast("string")).alias("shape"))
     rows = materialise(rows.fillna("", ["host", "path"]), "shapes")

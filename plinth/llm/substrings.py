@@ -30,7 +30,7 @@ from plinth.llm import exchange
 from plinth.llm.exchange import Packer, deal, groups, unpack
 from plinth.llm.jaccard import _blobs, _by_record, _documents, _hashes, _texts, _unique
 from plinth.llm.words import fingerprint, runs
-from plinth.runtime import discard, materialise
+from plinth.runtime import bound_batches, discard, materialise
 
 WINDOW = 13
 
@@ -192,6 +192,7 @@ def texts_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, longest: int | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, length, found): for the first document of each class of equal texts, at each level from ``window`` doubling up to
     ``longest`` (by default until no window survives), the starts of its windows that another text repeats, as 32-bit numbers."""
+    bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs.sparkSession)
     firsts, _ = first_level(rows, n, window)
     length, level, levels = window, firsts, []
@@ -215,6 +216,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     """docs with ``kept`` (the words that stay, joined by single spaces), ``n_words`` and ``n_removed``. Levels above ``window``
     would add nothing: every longer repeat is covered by its windows of that length."""
     docs = docs.drop("kept", "n_words", "n_removed")
+    bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs.sparkSession)
     firsts, copies = first_level(rows, n, window)
     removed = repeated(windows(rows.join(firsts, ["id", "key"]), n, window, first=True), n, smaller=True)

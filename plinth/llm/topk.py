@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.runtime import bound_batches
+
 QUERY_ROWS, SHARD_ROWS, SHARDS = 1024, 4096, 16
 TILE = "tile long, dim int, ids binary, vectors binary"
 
@@ -123,6 +125,7 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
     if k < 1:
         raise ValueError("k is 1 at least")
     pair = [F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector")]
+    bound_batches(rows.sparkSession)
     queries = queries.select(*pair)
     blocks = tiles(queries.repartition(max(1, -(-queries.count() // QUERY_ROWS))), QUERY_ROWS)
     shards = tiles(rows.select(*pair), SHARD_ROWS)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.runtime import bound_batches
+
 #: RFC 4648 alphabet, end of line, profile of revisit records.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -98,6 +100,7 @@ def parse(data: bytes) -> Iterator[tuple]:
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of all archives of a folder. payloads: whether their texts are wanted."""
+    bound_batches(spark)
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
