@@ -143,7 +143,7 @@ def hashed_ranks(spark: SparkSession, d: str, k: int, keep: Column | None = None
     weights = materialise(embedding.hash_embed(rows, "chunk_id", "text", "md5", DIMENSIONS), "weights")
     asked = embedding.hash_embed(question_rows(spark, d), "query_id", "question", "md5", DIMENSIONS)
     names = (rows if keep is None else rows.where(keep)).select("chunk_id", "chunk_ord")
-    return retrieval.sparse_topk(asked, weights, names, k)
+    return retrieval.sparse_topk(asked, weights, names, k, filtered=keep is not None)
 
 
 def hash_vector_topk(spark: SparkSession, d: str) -> DataFrame:

@@ -44,7 +44,9 @@ def bucket_of(term: Column, profile: str, dimensions: int) -> tuple[Column, Colu
 
 
 def term_counts(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, term, tf). Explodes by explode_outer: explode() would have the tokens worked out once more in a filter."""
+    """(id, term, tf). Texts are dealt by id, so that all that is counted by id needs no other shuffle. Explodes by explode_outer:
+    explode() would have the tokens worked out once more in a filter."""
+    rows = rows.select(F.col(id_column), F.col(text)).repartition(id_column)
     each = rows.select(F.col(id_column), F.explode_outer(terms(F.col(text))).alias("term")).where("term is not null")
     return each.groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
 

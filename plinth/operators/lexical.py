@@ -10,8 +10,10 @@ from plinth.functions import text as T
 
 
 def occurrences(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """(id, term): a row for each token."""
-    each = rows.select(F.col(id_column), F.explode_outer(T.tokens(F.col(text))).alias("term"))
+    """(id, term): a row for each token. Texts are dealt by id first: counts by id and term then need no shuffle of tokens, which are
+    many times the texts' rows."""
+    dealt = rows.select(F.col(id_column), F.col(text)).repartition(id_column)
+    each = dealt.select(F.col(id_column), F.explode_outer(T.tokens(F.col(text))).alias("term"))
     return each.where("term is not null")
 
 

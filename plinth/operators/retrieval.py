@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import rules
 from plinth.functions import text as T
+from plinth.runtime import materialise
 
 
 def ranked(rows: DataFrame, by: list[Column], name: str = "rank", limit: int | None = None) -> DataFrame:
@@ -41,15 +42,24 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_column: str =
     return ranked(scored, [F.desc("score"), F.col(id_column)], limit=k)
 
 
-def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: int, id_column: str = "chunk_id", order: str = "chunk_ord") -> DataFrame:
-    """As dense_topk over sparse rows. queries: (query_id, bucket, weight); weights: (id, bucket, weight); chunks: (id, order), the
-    rows that may be found. Rows without a common bucket score 0; they are looked at only for questions with fewer than k better ones."""
-    parts = weights.join(queries.withColumnRenamed("weight", "asked"), "bucket")
-    scored = parts.groupBy("query_id", id_column).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 9).alias("score")).join(chunks, id_column)
-    above = scored.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"))
+def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: int, id_column: str = "chunk_id", order: str = "chunk_ord", filtered: bool = True) -> DataFrame:
+    """As dense_topk over sparse rows. queries: (query_id, bucket, weight); weights: (id, bucket, weight); chunks: (id, order), the rows
+    that may be found; filtered: whether they may be fewer than those of weights. Rows without a common bucket score 0; they are
+    looked at only for questions with fewer than k better ones. The k best with their ties are cut before order is joined."""
+    allowed = weights.join(chunks.select(id_column), id_column, "left_semi") if filtered else weights
+    parts = allowed.join(queries.withColumnRenamed("weight", "asked"), "bucket")
+    scored = parts.groupBy("query_id", id_column).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 9).alias("score"))
+    tied = scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
+    best = materialise(ranked(tied.join(chunks, id_column), [F.desc("score"), F.col(order)], limit=k), "best")
+    above = best.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"))
     needy = queries.select("query_id").distinct().join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id")
-    zeros = needy.crossJoin(chunks).join(scored.select("query_id", id_column), ["query_id", id_column], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(scored.unionByName(zeros), [F.desc("score"), F.col(order)], limit=k)
+    if needy.isEmpty():
+        return best
+    needy = materialise(needy, "needy")
+    own = scored.join(needy, "query_id")
+    zeros = needy.crossJoin(chunks).join(own.select("query_id", id_column), ["query_id", id_column], "left_anti").withColumn("score", F.lit(0.0))
+    again = ranked(own.join(chunks, id_column).unionByName(zeros), [F.desc("score"), F.col(order)], limit=k)
+    return best.join(needy, "query_id", "left_anti").unionByName(again, allowMissingColumns=True)
 
 
 def rrf(left: DataFrame, right: DataFrame, limit: int, id_column: str = "chunk_id") -> DataFrame:

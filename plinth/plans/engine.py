@@ -144,7 +144,7 @@ class Engine:
         asked = self.backends.embed(questions.select(F.col("query_id").alias("chunk_id"), F.col(question).alias("text")), self.spark, self.settings).withColumnRenamed("chunk_id", "query_id")
         names = held["chunks"].where(fits).select("chunk_id", "chunk_ord")
         both = hybrid and "postings" in held
-        nearest = retrieval.sparse_topk(asked, held["vectors"], names, limit if both else top_k)
+        nearest = retrieval.sparse_topk(asked, held["vectors"], names, limit if both else top_k, filtered=bool(filters))
         if both:
             scores = lexical.bm25_scores(questions.select("query_id", question), held["postings"], held["doc_stats"], query=question)
             scores = scores.join(held["chunks"].select("chunk_id", "chunk_ord"), "chunk_id").withColumn("score", F.round("score", 9))
