@@ -32,9 +32,11 @@ def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as spark.checkpoint.dir names it; one of our own only where it is unset."""
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; one of our own only in a local session without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         at = f"file://{tempfile.mkdtemp(prefix='plinth-shared-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
