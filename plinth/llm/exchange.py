@@ -3,7 +3,7 @@
 Millions of (key, value) pairs travel as a few binary rows for each bucket of keys, so that the row-at-a-time cost of a
 shuffle is paid for each blob instead of each pair, and numpy sorts and groups them. Spark still deals the rows out,
 spills and retries them. The number of buckets follows spark.sql.shuffle.partitions, the setting for the input's size;
-a task holds one bucket. A packer removes repeated pairs before they travel where the caller says so.
+a task holds one bucket. Packers pre-aggregate before pairs travel where the caller says how.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.runtime import shuffle_partitions
@@ -34,10 +35,12 @@ def schema(columns: int) -> str:
 
 
 class Packer:
-    """Gathers aligned arrays and deals them out by bucket. tidy: shrinks the gathered arrays first, for instance to unique rows."""
+    """Gathers aligned arrays and deals them out by bucket. settle: pre-aggregates what was gathered before it travels. It takes the
+    buckets and columns and returns those that travel, and (keys, columns) that are settled already: these go straight to the
+    bucket of the next exchange, so that a key that very many rows have sends a few entries for each packer."""
 
-    def __init__(self, n: int, tidy: Callable[..., tuple[np.ndarray, ...]] | None = None, held: int = HELD) -> None:
-        self.n, self.tidy, self.most = n, tidy, held
+    def __init__(self, n: int, settle: Callable[..., tuple] | None = None, held: int = HELD) -> None:
+        self.n, self.settle, self.most = n, settle, held
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.held = 0
 
@@ -53,15 +56,33 @@ class Packer:
             return []
         buckets, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.held = [], 0
-        if self.tidy:
-            buckets, *columns = self.tidy(buckets, *columns)
-        order = np.argsort(buckets, kind="stable")
-        buckets = buckets[order]
-        starts = np.flatnonzero(np.diff(buckets, prepend=-1).astype(bool)) if len(buckets) else np.empty(0, int)
-        ends = np.append(starts[1:], len(buckets))
-        names = ["bucket"] + [f"c{i}" for i in range(len(columns))]
-        blobs = [[c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] for c in (x[order] for x in columns)]
-        return [pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], names)]
+        out = []
+        if self.settle:
+            (buckets, *columns), (keys, *settled) = self.settle(buckets, *columns)
+            if len(keys):
+                out.append(_batch(bucket_of(keys, self.n), settled, len(columns)))
+        return [_batch(buckets, columns, len(columns)), *out]
+
+
+def _batch(buckets: np.ndarray, columns: list[np.ndarray], width: int) -> pa.RecordBatch:
+    """A row for each bucket. Settled blobs have fewer columns than others: the last ones are null."""
+    order = np.argsort(buckets, kind="stable")
+    buckets = buckets[order]
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1).astype(bool)) if len(buckets) else np.empty(0, int)
+    ends = np.append(starts[1:], len(buckets))
+    blobs = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for c in (x[order] for x in columns)]
+    blobs += [pa.nulls(len(starts), pa.binary())] * (width - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), *blobs], ["bucket"] + [f"c{i}" for i in range(width)])
+
+
+def set_aside(batches: Iterator[pa.RecordBatch], width: int, open_ones: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes settled blobs (of ``width`` columns) on as they are, and puts the others into open_ones."""
+    for batch in batches:
+        is_open = batch.column(batch.num_columns - 1).is_valid()
+        open_ones.append(batch.filter(is_open))
+        done = batch.filter(pc.invert(is_open))
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays(done.columns[: width + 1], ["bucket"] + [f"c{i}" for i in range(width)])
 
 
 def unpack(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarray]:

@@ -94,11 +94,15 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+SCAN = "id long, n long, high long, print long, bucket int, c0 binary, c1 binary, c2 binary"
+SCANNED = [x.split()[0] for x in SCAN.split(", ")]
+
+
 def scan(rows: DataFrame, n: int) -> DataFrame:
     """(id, text) -> in one pass, a row for each document and blobs of (prefix shingle, set's fingerprint)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = _hashes(), Packer(n, tidy=_unique)
+        hashes, packer = _hashes(), Packer(n, settle=_count_here)
         for batch in batches:
             ids, sizes, prints = batch.column(0), [], []
             for known, text in zip(ids.is_valid().to_pylist(), _texts(batch, 1), strict=True):
@@ -113,40 +117,87 @@ def scan(rows: DataFrame, n: int) -> DataFrame:
         for blobs in packer.flush():
             yield _blobs(blobs)
 
-    return rows.mapInArrow(read, "id long, n long, high long, print long, bucket int, c0 binary, c1 binary")
+    return rows.mapInArrow(read, SCAN)
 
 
 def _documents(ids: pa.Array, sizes: list[int], prints: list[tuple]) -> pa.RecordBatch:
     high, low = (pa.array(x, pa.int64()) for x in (zip(*prints, strict=True) if prints else ((), ())))
-    nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.binary(), pa.binary())]
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, *nothing], ["id", "n", "high", "print", "bucket", "c0", "c1"])
+    nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, *nothing], SCANNED)
 
 
 def _blobs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    nothing = [pa.nulls(batch.num_rows, pa.int64())] * 4
-    return pa.RecordBatch.from_arrays([*nothing, *batch.columns], ["id", "n", "high", "print", "bucket", "c0", "c1"])
+    return pa.RecordBatch.from_arrays([*[pa.nulls(batch.num_rows, pa.int64())] * 4, *batch.columns], SCANNED)
+
+
+def first_of_each(buckets: np.ndarray, key: np.ndarray, record: np.ndarray) -> tuple[tuple, tuple]:
+    """Within one task: of each key its first record travels, marked if the task has another one too. Settled: all (record, key) of
+    marked keys, since they are known to be shared. Copies travel once."""
+    order = np.lexsort((record, key, buckets))
+    buckets, key, record = buckets[order], key[order], record[order]
+    starts, _ = groups(buckets, key, record)
+    buckets, key, record = buckets[starts], key[starts], record[starts]
+    starts, ends = groups(buckets, key)
+    marked = ends - starts > 1
+    shared = np.repeat(marked, ends - starts)
+    return (buckets[starts], key[starts], record[starts], marked), (record[shared], key[shared])
+
+
+def _count_here(buckets: np.ndarray, key: np.ndarray, record: np.ndarray) -> tuple[tuple, tuple]:
+    travel, (record, _) = first_of_each(buckets, key, record)
+    record, times = np.unique(record, return_counts=True)
+    return travel, (_by_record(record), record, times.astype(np.uint32))
+
+
+def open_entries(open_ones: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, record, marked) entries the (key, record) that aren't settled yet and turn out to be shared."""
+    key, record, marked = unpack(iter(open_ones), np.uint32, np.int64, np.bool_)
+    order = np.lexsort((record, key))
+    key, record, marked = key[order], record[order], marked[order]
+    starts, ends = groups(key)
+    if not len(starts):
+        return key, record
+    same = np.minimum.reduceat(record, starts) == np.maximum.reduceat(record, starts)
+    shared = np.repeat(~same | np.logical_or.reduceat(marked, starts), ends - starts) & ~marked
+    starts, _ = groups(key, record)  # a record that met its own copy in another task counts once
+    once = np.zeros(len(key), bool)
+    once[starts] = True
+    return key[shared & once], record[shared & once]
+
+
+def shared_counts(lists: DataFrame, n: int) -> DataFrame:
+    """Blobs of scan() -> (record, shared): at least as many as the listed shingles that it shares with another record."""
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ones: list[pa.RecordBatch] = []
+        yield from exchange.set_aside(batches, 2, open_ones)
+        _, record = open_entries(open_ones)
+        record, times = np.unique(record, return_counts=True)
+        packer = Packer(n)
+        yield from packer.add(_by_record(record), record, times.astype(np.uint32))
+        yield from packer.flush()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, times = unpack(batches, np.int64, np.uint32)
+        order = np.argsort(record, kind="stable")
+        record, times = record[order], times[order].astype(np.int64)
+        starts, _ = groups(record)
+        shared = np.add.reduceat(times, starts) if len(starts) else times
+        yield pa.RecordBatch.from_arrays([pa.array(record[starts]), pa.array(shared)], ["record", "shared"])
 
-def _unique(buckets: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Copies within a task travel once."""
-    order = np.lexsort((*columns[::-1], buckets))
-    buckets, columns = buckets[order], tuple(c[order] for c in columns)
-    starts, _ = groups(buckets, *columns)
-    return (buckets[starts], *(c[starts] for c in columns))
+    return deal(deal(lists, n).mapInArrow(meet, exchange.schema(2)), n).mapInArrow(total, "record long, shared long")
 
 
 def _by_record(keys: np.ndarray) -> np.ndarray:
     return mix(keys.view(np.uint64))
 
 
-def stars(lists: DataFrame, n: int, components: bool) -> DataFrame:
-    """Blobs of (shingle, record[, component]) -> (record, shared, other): of its listed shingles, how many it shares with
-    another record (of another component), and the record that it meets most often as the first one of their lists."""
-    kinds = (np.uint32, np.int64, np.int64) if components else (np.uint32, np.int64)
+def stars(lists: DataFrame, n: int) -> DataFrame:
+    """Blobs of (shingle, record, component) -> (record, shared, other): of its listed shingles, how many it shares with a record of
+    another component, and the one that it meets most often as the first one of their lists."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, record, *rest = unpack(batches, *kinds)
-        home = rest[0] if components else record
+        token, record, home = unpack(batches, np.uint32, np.int64, np.int64)
         order = np.lexsort((record, home, token))
         token, record, home = token[order], record[order], home[order]
         starts, ends = groups(token, record)
@@ -333,7 +384,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     documents = materialise(seen.where("bucket is null").select("id", "n", "high", "print"), "documents")
     classes = documents.where("id is not null and n > 0").groupBy("print", "high").agg(F.min("id").alias("first"), F.max("n").alias("n"))
     classes = materialise(classes, "classes")
-    met = stars(seen.where("bucket is not null").select("bucket", "c0", "c1"), n, components=False)
+    met = shared_counts(seen.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n)
     met = met.join(classes.withColumnRenamed("print", "record"), "record").where(F.col("shared") >= needed(NARROW))
     met = materialise(met.select(F.col("first").alias("id"), F.col("record").alias("print")), "met")
     discard(seen)
@@ -344,7 +395,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     discard(met)
     links = None
     while True:
-        met = stars(lists_of(sets, n), n, components=True).withColumnRenamed("record", "id")
+        met = stars(lists_of(sets, n), n).withColumnRenamed("record", "id")
         left = materialise(sets.join(met, "id").where(F.col("shared") >= needed(WIDE)).drop("shared"), "sets")
         discard(sets)
         found = materialise(verified(left, left), "links")

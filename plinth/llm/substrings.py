@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import exchange
 from plinth.llm.exchange import Packer, deal, groups, unpack
-from plinth.llm.jaccard import _blobs, _by_record, _documents, _hashes, _texts, _unique
+from plinth.llm.jaccard import SCAN, _blobs, _by_record, _documents, _hashes, _texts, first_of_each, open_entries
 from plinth.llm.words import fingerprint, runs
 from plinth.runtime import bound_batches, discard, materialise
 
@@ -47,7 +47,7 @@ def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
     """(id, text, key) -> in one pass, a row for each document and blobs of (anchor, fingerprint of the words)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = _hashes(), Packer(n, tidy=_unique)
+        hashes, packer = _hashes(), Packer(n, settle=_settle_anchors)
         for batch in batches:
             ids, sizes, prints = batch.column(0), [], []
             for known, text in zip(ids.is_valid().to_pylist(), _texts(batch, 1), strict=True):
@@ -62,27 +62,38 @@ def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
         for blobs in packer.flush():
             yield _blobs(blobs).append_column("key", pa.nulls(blobs.num_rows, pa.int64()))
 
-    return rows.select("id", "text", "key").mapInArrow(read, "id long, n long, high long, print long, bucket int, c0 binary, c1 binary, key long")
+    return rows.select("id", "text", "key").mapInArrow(read, SCAN + ", key long")
 
 
 def shared_anchors(blobs: DataFrame, n: int) -> DataFrame:
     """(print, found): for each text the sorted 32-bit anchors that another text has too."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, record = unpack(batches, np.uint32, np.int64)
-        order = np.lexsort((record, anchor))
-        anchor, record = anchor[order], record[order]
-        starts, _ = groups(anchor, record)
-        anchor, record = anchor[starts], record[starts]
-        starts, ends = groups(anchor)
-        shared = np.repeat(ends - starts > 1, ends - starts)
+        open_ones: list[pa.RecordBatch] = []
+        yield from exchange.set_aside(batches, 2, open_ones)
+        anchor, record = open_entries(open_ones)
         packer = Packer(n)
-        yield from packer.add(_by_record(record[shared]), record[shared], anchor[shared])
+        yield from packer.add(_by_record(record), record, anchor)
         yield from packer.flush()
 
     return gathered(deal(blobs, n).mapInArrow(meet, exchange.schema(2)), n)
 
 
+def _settle_anchors(buckets: np.ndarray, anchor: np.ndarray, record: np.ndarray) -> tuple[tuple, tuple]:
+    travel, (record, anchor) = first_of_each(buckets, anchor, record)
+    return travel, (_by_record(record), record, anchor)
+
+
+def _settle_windows(buckets: np.ndarray, key: np.ndarray, place: np.ndarray, one: np.ndarray, record: np.ndarray) -> tuple[tuple, tuple]:
+    """Within one task: of each window only the smallest document travels. The others have lost it already."""
+    order = np.lexsort((one, key))
+    buckets, key, place, one, record = (x[order] for x in (buckets, key, place, one, record))
+    starts, ends = groups(key)
+    lost = one > np.repeat(one[starts], ends - starts)
+    stays = ~lost
+    return tuple(x[stays] for x in (buckets, key, place, one, record)), (_by_record(record[lost]), record[lost], place[lost])
+
+
 def gathered(blobs: DataFrame, n: int) -> DataFrame:
     """Blobs of (record, number) -> (print, found): each record's numbers, sorted, as one array of 32-bit numbers."""
 
@@ -97,12 +108,12 @@ def gathered(blobs: DataFrame, n: int) -> DataFrame:
     return deal(blobs, n).mapInArrow(gather, "print long, found binary")
 
 
-def windows(rows: DataFrame, n: int, length: int, first: bool) -> DataFrame:
-    """(id, text, print, found) -> blobs of the candidate windows of that length: hash, place, and runs of (id, print, count).
-    first: found holds anchors; else it holds the places where windows of the length below are repeated."""
+def windows(rows: DataFrame, n: int, length: int, first: bool, smaller: bool) -> DataFrame:
+    """(id, text, print, found) -> blobs of the candidate windows of that length: hash, place, id, print. first: found holds anchors;
+    else it holds the places where windows of the length below are repeated. smaller: as for repeated()."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, packer = _hashes(), Packer(n)
+        hashes, packer = _hashes(), Packer(n, settle=_settle_windows if smaller else None)
         for batch in batches:
             for one, text, record, found in zip(batch.column(0).to_pylist(), _texts(batch, 1), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 h, data = hashes.of((text or b"").split()), np.frombuffer(found, np.uint32)
@@ -124,7 +135,9 @@ def repeated(blobs: DataFrame, n: int, smaller: bool) -> DataFrame:
     """(print, found): the places where a text's windows occur in another text; smaller: in a document with a smaller id."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, place, one, record = unpack(batches, np.uint64, np.uint32, np.int64, np.int64)
+        open_ones: list[pa.RecordBatch] = []
+        yield from exchange.set_aside(batches, 2, open_ones)
+        key, place, one, record = unpack(iter(open_ones), np.uint64, np.uint32, np.int64, np.int64)
         order = np.lexsort((one, key))
         key, place, one, record = key[order], place[order], one[order], record[order]
         starts, ends = groups(key)
@@ -176,7 +189,7 @@ def first_level(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFr
     seen = materialise(scan(rows, n, window), "anchors")
     documents = seen.where("bucket is null and id is not null").select("id", "key", "print", "high")
     classes = documents.groupBy("print", "high").agg(F.min(F.struct("id", "key")).alias("first"), F.max("id").alias("last"))
-    found = shared_anchors(seen.where("bucket is not null").select("bucket", "c0", "c1"), n)
+    found = shared_anchors(seen.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n)
     firsts = materialise(found.join(classes, "print").select("first.id", "first.key", "print", "found"), "firsts")
     repeats = classes.where("last > first.id").select("print", "high", F.col("first.id").alias("least"))
     copies = materialise(documents.join(repeats, ["print", "high"]).where("id > least").select("id", "key").distinct(), "copies")
@@ -198,7 +211,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, longest: int | None =
     length, level, levels = window, firsts, []
     while True:
         candidates = rows.join(level, ["id", "key"])
-        found = repeated(windows(candidates, n, length, first=length == window), n, smaller=False)
+        found = repeated(windows(candidates, n, length, first=length == window, smaller=False), n, smaller=False)
         level = materialise(firsts.drop("found").join(found, "print"), "level")
         if level.isEmpty():
             break
@@ -219,7 +232,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs.sparkSession)
     firsts, copies = first_level(rows, n, window)
-    removed = repeated(windows(rows.join(firsts, ["id", "key"]), n, window, first=True), n, smaller=True)
+    removed = repeated(windows(rows.join(firsts, ["id", "key"]), n, window, first=True, smaller=True), n, smaller=True)
     marks = removed.join(firsts.drop("found"), "print").select("id", "key", "found", F.lit(False).alias("whole"))
     marks = materialise(marks.unionByName(copies.select("id", "key", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("whole"))), "marks")
     discard(firsts, copies)
