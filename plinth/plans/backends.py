@@ -61,13 +61,15 @@ class Backends:
 
     def embed(self, rows: DataFrame, spark: SparkSession, s: Settings) -> DataFrame:
         """(chunk_id, text) -> (chunk_id, bucket, weight). Texts that repeat are embedded once, cached ones not at all."""
-        keyed = rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+        keyed = rows if "text_sha256" in rows.columns else rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
         texts = keyed.select("text_sha256", "text").dropDuplicates(["text_sha256"])
         cache = None
         if s.cache_path and (row := tables.current(spark, s.cache_path)):
             cache = spark.read.parquet(f"{s.cache_path}/v{row['version']}/rows").where(F.col("model") == self.embedding_name).drop("model")
         had = cache.select("text_sha256").distinct() if cache is not None else None
         missing = texts if had is None else texts.join(had, "text_sha256", "left_anti")
+        if cache is not None and missing.isEmpty():
+            return keyed.select("chunk_id", "text_sha256").join(cache, "text_sha256").select("chunk_id", "bucket", "weight")
         if self.embedding == "service":
             made = self._served(missing, s)
         else:

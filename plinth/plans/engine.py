@@ -80,7 +80,8 @@ class Engine:
                 raise ValueError(f"{broken['path']}: {broken['error']}")
         texts = pages.where("error is null and text <> ''")
         base = self.page_table(texts)
-        chunks = materialise(chunking.chunks(cleaning.segments(base), s), "chunks")
+        chunks = chunking.chunks(cleaning.segments(base), s)
+        chunks = materialise(chunks.withColumns({"source_id": sources.base_name(F.col("source_path")), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)}), "chunks")
         timings["chunking"], mark = time.time() - mark, time.time()
         n_chunks = chunks.count()
         if not n_chunks:
@@ -88,7 +89,8 @@ class Engine:
         self.write_index(chunks)
         timings["index"] = time.time() - mark
         if known is not None:
-            tables.write_version(spark, s.extraction_cache_path, {"rows": pages.where("error is null")}, PARSER_VERSION)
+            if cached is None or not misses.isEmpty() or not deleted.isEmpty():
+                tables.write_version(spark, s.extraction_cache_path, {"rows": pages.where("error is null")}, PARSER_VERSION)
             self._remember(found, known, deleted, pages, failed, chunks)
         timings["total"] = time.time() - began
         n_cached = hits.count() if hits is not None else 0
@@ -124,8 +126,7 @@ class Engine:
 
     def write_index(self, chunks: DataFrame) -> int:
         """Chunks, vectors, postings and lengths as one version. Vectors of known texts come from the cache."""
-        chunks = materialise(chunks.withColumns({"source_id": sources.base_name(F.col("source_path")), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)}), "chunks")
-        vectors = self.backends.embed(chunks.select("chunk_id", "text"), self.spark, self.settings)
+        vectors = self.backends.embed(chunks.select("chunk_id", "text", "text_sha256"), self.spark, self.settings)
         made = {"chunks": chunks, "vectors": vectors, "postings": lexical.postings(chunks), "doc_stats": lexical.doc_stats(chunks)}
         return tables.write_version(self.spark, self.settings.index_path, made, self.backends.embedding_name)
 
