@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from plinth.functions import rules
 from plinth.functions import text as T
 from plinth.runtime import materialise
 
+#: Weights of a batch of questions that go along with the code: some 20 bytes each. Beyond it they are joined.
+BROADCAST_WEIGHTS = 500_000
+TILE_ROWS = 1024
+
 
 def ranked(rows: DataFrame, by: list[Column], name: str = "rank", limit: int | None = None) -> DataFrame:
     """1-based ranks by query. A limit on row_number becomes a partial top-k before the shuffle."""
@@ -42,6 +50,35 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_column: str =
     return ranked(scored, [F.desc("score"), F.col(id_column)], limit=k)
 
 
+def tiled_topk(asked: pa.Table, queries: DataFrame, weights: DataFrame, k: int, id_column: str) -> DataFrame:
+    """(query_id, id, score) with the k best positive scores of each tile of vectors and their ties: products of whole tiles with the
+    questions' matrix, so that only top lists are shuffled. A join of single weights makes a row for each product instead."""
+    ids = pc.unique(asked["query_id"])
+    row = pc.index_in(asked["query_id"], value_set=ids).to_numpy()
+    bucket, weight = asked["bucket"].to_numpy(), asked["weight"].to_numpy()
+    size = int(bucket.max()) + 1 if len(bucket) else 1
+    matrix = np.zeros((size, len(ids)))
+    matrix[bucket, row] = weight
+    vectors = weights.groupBy(id_column).agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TILE_ROWS):
+                tile = batch.slice(at, TILE_ROWS)
+                n = tile.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                b, w = (tile.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+                own = np.repeat(np.arange(tile.num_rows), n)
+                x = np.zeros((tile.num_rows, size))
+                x[own[b < size], b[b < size]] = w[b < size]
+                scores = np.round(x @ matrix, 9).T
+                least = np.partition(scores, -k, axis=1)[:, -k] if tile.num_rows > k else np.full(len(scores), -np.inf)
+                q, i = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), tile.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["query_id", id_column, "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in (queries.schema["query_id"], weights.schema[id_column])}
+    return vectors.mapInArrow(score, f"query_id {kinds['query_id']}, {id_column} {kinds[id_column]}, score double")
+
+
 def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: int, id_column: str = "chunk_id", order: str = "chunk_ord", filtered: bool = True) -> DataFrame:
     """As dense_topk over sparse rows. queries: (query_id, bucket, weight); weights: (id, bucket, weight); chunks: (id, order), the rows
     that may be found; filtered: whether they may be fewer than those of weights. Rows without a common bucket score 0; they are
@@ -49,7 +86,11 @@ def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: in
     allowed = weights.join(chunks.select(id_column), id_column, "left_semi") if filtered else weights
     parts = allowed.join(queries.withColumnRenamed("weight", "asked"), "bucket")
     scored = parts.groupBy("query_id", id_column).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 9).alias("score"))
-    tied = scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
+    few = queries.limit(BROADCAST_WEIGHTS + 1).toArrow()
+    if few.num_rows <= BROADCAST_WEIGHTS:
+        tied = tiled_topk(few, queries, allowed, k, id_column)
+    else:
+        tied = scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") <= k).drop("place")
     best = materialise(ranked(tied.join(chunks, id_column), [F.desc("score"), F.col(order)], limit=k), "best")
     above = best.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"))
     needy = queries.select("query_id").distinct().join(above, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id")

@@ -121,7 +121,9 @@ def test_fusion_of_one_sided_hits(spark):
     assert got == pytest.approx({"a": 1 / 61 + 1 / 170, "b": 1 / 62 + 1 / 61, "c": 1 / 170 + 1 / 62})
 
 
-def test_vectors_without_a_common_bucket_still_rank(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_vectors_without_a_common_bucket_still_rank(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", most)
     weights = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 1.0), ("c", 1, -1.0)], "chunk_id string, bucket int, weight double")
     asked = spark.createDataFrame([(1, 1, 1.0)], "query_id int, bucket int, weight double")
     chunks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 0)], "chunk_id string, chunk_ord int")
@@ -129,6 +131,19 @@ def test_vectors_without_a_common_bucket_still_rank(spark):
     assert got == [("a", 1.0), ("d", 0.0), ("b", 0.0), ("c", -1.0)]
 
 
+def test_both_ways_of_scoring_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    weights = spark.createDataFrame([(f"c{i}", b, rng.choice([-0.5, 0.25, 0.5])) for i in range(60) for b in rng.sample(range(12), 5)], "chunk_id string, bucket int, weight double")
+    asked = spark.createDataFrame([(q, b, rng.choice([0.5, -0.25])) for q in range(5) for b in rng.sample(range(14), 4)], "query_id int, bucket int, weight double")
+    chunks = spark.createDataFrame([(f"c{i}", i) for i in range(60)], "chunk_id string, chunk_ord int")
+    monkeypatch.setattr(retrieval, "TILE_ROWS", 7)
+    got = []
+    for most in (0, 500_000):
+        monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", most)
+        got.append(sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in retrieval.sparse_topk(asked, weights, chunks, 8).collect()))
+    assert got[0] == got[1] and len(got[0]) == 40
+
+
 def test_filters_are_typed(spark):
     df = spark.createDataFrame([("a", 1), ("b", None)], "k string, page int")
     assert df.where(retrieval.matches({"page": 1})).count() == 1
