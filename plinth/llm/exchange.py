@@ -22,12 +22,12 @@ HELD = 800_000
 
 
 def n_buckets(spark: SparkSession) -> int:
-    return min(60_000, 2 * shuffle_partitions(spark))
+    return shuffle_partitions(spark)
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """By the upper 32 bits; the lower 32 are left to tell the keys of a bucket apart."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16)
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16 if n <= 1 << 16 else np.uint32)
 
 
 def schema(columns: int) -> str:
@@ -68,8 +68,7 @@ def _batch(buckets: np.ndarray, columns: list[np.ndarray], width: int) -> pa.Rec
     """A row for each bucket. Settled blobs have fewer columns than others: the last ones are null."""
     order = np.argsort(buckets, kind="stable")
     buckets = buckets[order]
-    starts = np.flatnonzero(np.diff(buckets, prepend=-1).astype(bool)) if len(buckets) else np.empty(0, int)
-    ends = np.append(starts[1:], len(buckets))
+    starts, ends = groups(buckets)
     blobs = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for c in (x[order] for x in columns)]
     blobs += [pa.nulls(len(starts), pa.binary())] * (width - len(columns))
     return pa.RecordBatch.from_arrays([pa.array(buckets[starts].astype(np.int32)), *blobs], ["bucket"] + [f"c{i}" for i in range(width)])
