@@ -9,7 +9,7 @@ counted to be at most ``BROADCAST_ROWS``; beyond that the join is dealt by sourc
 
 Defined results: a null source is a source of its own; a null doc_id takes its number from the text instead; rows with
 equal ids get equal counts; null and empty texts are mixed like any others; an empty table gives an empty result; columns
-named ``copy``, ``mix_rate`` or ``mix_key`` of the input are replaced.
+of the input named ``copy``, or with names that begin with ``mix_``, are replaced.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def poisson_table(rates: DataFrame) -> DataFrame:
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, budget: float | None = None, seed: int = 17, id_column: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Each document as often as its Poisson count says, with ``copy`` (from 0), ``mix_rate`` and ``mix_key``, in random order:
     partitions by a hash of mix_key, rows by mix_key in each."""
-    docs = docs.drop("copy", "mix_rate", "mix_key")
+    docs = docs.drop("copy", *[c for c in docs.columns if c.lower().startswith("mix_")])
     tables = poisson_table(source_rates(docs, weights, temperature, budget, source))
     # A null source joins as the empty string, others behind a mark.
     tables = tables.select(F.coalesce(F.concat(F.lit("="), "mix_source"), F.lit("")).alias("mix_join"), "mix_rate", "cdf")

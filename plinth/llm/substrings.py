@@ -13,7 +13,8 @@ at the first level 32 bits and the bucket stand for them, which can only add can
 A word is removed if a window of ``window`` words that covers it also starts in a document with a smaller id; windows are
 judged on the input. Defined results: a null text has no words; documents shorter than a window lose nothing; rows
 without an id take no part and keep their words; rows that repeat an id are one document, so they don't remove one
-another's words; an empty table gives an empty result. Columns named like results are replaced.
+another's words; an empty table gives an empty result. Columns named like results, and the
+five ``repeats_`` columns that joins use, are replaced.
 """
 
 from __future__ import annotations

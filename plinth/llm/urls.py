@@ -10,7 +10,7 @@ that adaptive execution can split when a host is hot.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and belongs to the template of the empty
 host; without any label nothing is rejected; equal rows get equal verdicts; an empty table gives an empty result; columns
-of the input named like results are replaced.
+of the input named like results, and ``url_shape``, are replaced.
 """
 
 from __future__ import annotations
