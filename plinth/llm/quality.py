@@ -75,7 +75,7 @@ def logit(p: Column) -> Column:
     return F.log(p / (F.lit(1.0) - p))
 
 
-def posteriors(groups: DataFrame, good: Column, n: Column, prior: Column, strength: float) -> Column:
+def posterior(good: Column, n: Column, prior: Column, strength: float) -> Column:
     return (good + F.lit(strength) * prior) / (n + F.lit(strength))
 
 
@@ -121,9 +121,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     overall = min(max((whole["good"] or 0.0) / (whole["n"] or 1.0), 0.001), 0.999)
-    at_host = hosts.select("host", posteriors(hosts, F.col("good"), F.col("n"), F.lit(overall), strength_of(hosts, overall)).alias("host_rate"))
+    at_host = hosts.select("host", posterior(F.col("good"), F.col("n"), F.lit(overall), strength_of(hosts, overall)).alias("host_rate"))
     at_path = paths.join(at_host, "host")
-    at_path = at_path.select("host", "path", posteriors(at_path, F.col("good"), F.col("n"), F.col("host_rate"), strength_of(paths, overall)).alias("prior"))
+    at_path = at_path.select("host", "path", posterior(F.col("good"), F.col("n"), F.col("host_rate"), strength_of(paths, overall)).alias("prior"))
     scored = rows.join(at_path, ["host", "path"])
     score = F.lit(1.0) / (1 + F.exp(-F.col("evidence") - logit(F.col("prior"))))
     return scored.select("id", "evidence", "prior", score.alias("score")).withColumn("kept", F.col("score") >= keep)
