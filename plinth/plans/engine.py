@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.operators import answers, chunking, cleaning, embedding, lexical, manifest, retrieval
+from plinth.operators import chunking, cleaning, lexical, manifest, retrieval
 from plinth.plans.backends import Backends
 from plinth.runtime import materialise
 from plinth.settings import PARSER_VERSION, Settings, answer_mode, candidate_limit, question_limit

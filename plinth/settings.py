@@ -6,8 +6,6 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from plinth.functions.rules import SAFETY_NOTICE  # noqa: F401  part of the public settings
-
 ANSWER_MODES = ("patient", "clinician")
 PARSER_VERSION = "pymupdf-sorted-text-v1"
 CHUNKING_STRATEGY = "section_sentence_window_v1"
