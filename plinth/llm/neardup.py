@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from plinth.llm.components import connected_components
 from plinth.runtime import bound_batches, discard, materialise
 
+BROADCAST_LEAVES = 200_000
 TREES, LEAF, SPILL, SAMPLE, BLOCK, LEAST_SAMPLE = 4, 512, 0.03, 20_000, 2048, 8
 
 
@@ -87,8 +88,19 @@ def valid(vector: str) -> F.Column:
     return x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0)
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as 32-bit numbers where these are exact (vectors come as such), else as 64-bit ones; the length tells which."""
+    small = x.astype(np.float32)
+    same = (small == x).all(axis=1)
+    return [(a if s else b).tobytes() for a, b, s in zip(small, x, same, strict=True)]
+
+
+def unpacked(blobs: list[bytes], dim: int) -> np.ndarray:
+    return np.array([np.frombuffer(b, np.float32 if len(b) == 4 * dim else np.float64) for b in blobs], np.float64).reshape(-1, dim)
+
+
 def place(rows: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """(id, label, vector) -> one row for each leaf that a vector lies in, with all of its leaves."""
+    """(id, label, vector, copies) -> one row for each leaf that a vector lies in, with all of its leaves."""
     shared = rows.sparkSession.sparkContext.broadcast({d: (f.nodes, f.roots, f.spill) for d, f in forests.items()})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,17 +115,17 @@ def place(rows: DataFrame, forests: dict[int, Forest]) -> DataFrame:
             starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                x = unit(values[starts[rows][:, None] + np.arange(d)])
-                leaves = known[int(d)].leaves_of(x)
+                x = values[starts[rows][:, None] + np.arange(d)]
+                leaves = known[int(d)].leaves_of(unit(x))
                 again = np.repeat(np.arange(len(rows)), [len(f) for f in leaves])
-                blob = [v.tobytes() for v in x]
+                blob = packed(x)
                 mine = [np.array(f, np.int32).tobytes() for f in leaves]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([leaf for f in leaves for leaf in f], pa.int32()), ids.take(pa.array(rows[again])), labels.take(pa.array(rows[again])), pa.array([int(d)] * len(again), pa.int32()), pa.array([blob[i] for i in again], pa.binary()), pa.array([mine[i] for i in again], pa.binary())],
-                    ["leaf", "id", "label", "dim", "x", "leaves"],
+                    [pa.array([leaf for f in leaves for leaf in f], pa.int32()), ids.take(pa.array(rows[again])), labels.take(pa.array(rows[again])), batch.column(3).take(pa.array(rows[again])), pa.array([int(d)] * len(again), pa.int32()), pa.array([blob[i] for i in again], pa.binary()), pa.array([mine[i] for i in again], pa.binary())],
+                    ["leaf", "id", "label", "copies", "dim", "x", "leaves"],
                 )
 
-    return rows.select("id", "label", "vector").mapInArrow(route, "leaf int, id long, label long, dim int, x binary, leaves binary")
+    return rows.select("id", "label", "vector", "copies").mapInArrow(route, "leaf int, id long, label long, copies long, dim int, x binary, leaves binary")
 
 
 def earlier(a: list[np.ndarray], b: list[np.ndarray], leaf: int) -> np.ndarray:
@@ -190,8 +202,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
         sample = firsts.where(F.size("vector") == d).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).select("vector").toArrow()
         x = unit(np.asarray(sample["vector"].combine_chunks().flatten()).reshape(-1, d))
         forests[d] = Forest(x, n, trees)
-    placed = materialise(place(firsts, forests).join(firsts.select("id", F.col("label"), "copies"), ["id", "label"]), "leaves")
+    placed = materialise(place(firsts, forests), "leaves")
     held = placed.groupBy("leaf", "label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).where("n > 1").drop("n")
+    held = materialise(held, "held")
+    # A row of it is some 30 bytes; beyond the bound the join shuffles both sides.
+    held = F.broadcast(held) if held.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else held
     mine = placed.join(held, ["leaf", "label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Each member meets every block of its leaf: as the smaller or the larger one of the pair.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -200,7 +215,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
     def meet(table: pa.Table) -> pa.Table:
         leaf, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
         block, ids = table["block"].to_numpy(), table["id"].to_numpy()
-        x = np.frombuffer(b"".join(table["x"].to_pylist())).reshape(len(ids), -1)
+        x = unit(unpacked(table["x"].to_pylist(), table["dim"][0].as_py()))
         leaves = [np.frombuffer(v, np.int32) for v in table["leaves"].to_pylist()]
         copies = table["copies"].to_numpy().astype(np.float64)
         sides = []
