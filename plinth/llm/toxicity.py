@@ -7,8 +7,9 @@ that won the pooling. Scores see nothing but the text. Thresholds for decisions
 the weights were not fitted on; a language with few labels takes the threshold of all.
 
 The fit uses a bounded sample: at most ``FIT_ROWS`` toxic and twice as many other labelled rows, those with the smallest hash
-of their id, so it is the same in every run; of them texts of at most ``FIT_CHARS`` characters. Scoring reads whole texts. The broadcast model has a
-fixed size (4 MB). For each distinct word a worker keeps what all filters make of it, so a text costs a few gathers a word.
+of their id, so it is the same in every run; of them texts of at most ``FIT_CHARS`` characters. Where a class is cut, the
+offset moves by the log-odds of the two classes' sampling rates, counted over all training labels, so that scores hold at the
+labels' own base rate, not at the sample's. Scoring reads whole texts. The broadcast model has a fixed size (4 MB). For each distinct word a worker keeps what all filters make of it, so a text costs a few gathers a word.
 
 Defined results: a null text is the empty one, whose score is the model's for no words; rows are scored one by one, so
 repeated rows get equal scores; without labelled rows of both classes every score is the share of toxic labels (0 if none);
@@ -199,7 +200,7 @@ class ToxicityClassifier:
         self.thresholds, self.overall = thresholds, overall
         # Arrays only: a broadcast isn't pickled by value, and workers may not have this package.
         shared = spark.sparkContext.broadcast((model.embeddings, model.filters, model.bias, model.weights, model.offset) if model else None)
-        name = sha256(model.embeddings.tobytes() + model.weights.tobytes()).hexdigest() if model else f"share-{share}"
+        name = sha256(model.embeddings.tobytes() + model.weights.tobytes() + np.float64(model.offset).tobytes()).hexdigest() if model else f"share-{share}"
         fitted = model is not None
 
         @F.arrow_udf("double")
@@ -237,13 +238,19 @@ def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-odds)))
 
 
+def rate_shift(labels: dict[int, int], caps: dict[int, int]) -> float:
+    """The log-odds of the sampling rates of classes 0 and 1, of which caps[y] labels at most are fitted: 0 where no cap binds."""
+    return float(np.log(min(1, caps[0] / labels[0])) - np.log(min(1, caps[1] / labels[1])))
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> ToxicityClassifier:
     """labels: (id, y), y 0 or 1; of several for an id the largest holds. lang only chooses which rows set which threshold. The
     sample is chosen among the labels, so that no text is shuffled: its 3 * fit_rows ids at most are broadcast."""
     spark = docs.sparkSession
     known = labels.where("y in (0, 1) and id is not null").groupBy(F.col("id").cast("long").alias("fit_id")).agg(F.max("y").cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("fit_id", F.lit("fit")))
-    chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in ((1, fit_rows), (0, 2 * fit_rows))]
+    caps = {1: fit_rows, 0: 2 * fit_rows}
+    chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in caps.items()]
     rows = docs.where(F.length(text) <= FIT_CHARS).select(F.col(id_column).cast("long").alias("fit_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").dropDuplicates(["fit_id"]).toArrow().sort_by("h")
     y = sample["y"].to_numpy().astype(np.float32)
@@ -254,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: st
     words = np.array([pieces(w) for w in places] or np.empty((0, PIECES)), np.int64).reshape(-1, PIECES)
     aside = np.argsort(np.argsort(sample["h"].to_numpy())) % CALIBRATE == 0
     model = fit([texts[i] for i in np.flatnonzero(~aside)], words, y[~aside])
+    model.offset += rate_shift({r["y"]: r["count"] for r in known.groupBy("y").count().collect()}, caps)
     rest = np.flatnonzero(aside)
     scores = np.array([model.score(model.responses(words[texts[i]])) for i in rest])
     languages = np.array([x or "" for x in sample["lang"].to_pylist()], object)[rest]

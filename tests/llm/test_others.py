@@ -180,6 +180,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.s for r in df.limit(3).select(none.score(F.col("text")).alias("s")).collect()} == {0.0}
 
 
+def test_toxicity_keeps_the_base_rate_when_caps_bind(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):
+        words = [rng.choice("alpha beta gamma delta epsilon zeta".split()) for _ in range(6)]
+        doubtful = rng.random() < 0.3  # one in four of these is toxic, and none of the others
+        rows.append((i, " ".join([*words, "murky"] if doubtful else words), "en", int(doubtful and rng.random() < 0.25)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
+    model = toxicity.train(df, df.selectExpr("doc_id AS id", "y"), fit_rows=150)
+    got = [r.s for r in df.select(model.score(F.col("text")).alias("s")).collect()]
+    assert 0.5 < sum(got) / sum(r[3] for r in rows) < 1.5  # though a third of the fitted rows is toxic
+
+
 def test_quality_on_held_out_rows(spark):
     rows = corpus()
     df = spark.createDataFrame([r[:4] for r in rows] + [(9999, None, None, None)], "doc_id long, text string, lang string, source string")
