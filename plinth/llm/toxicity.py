@@ -3,8 +3,9 @@
 A word's embedding is the sum of the embeddings of its hash and of the hashes of its first letters, so that inflected words
 that training never saw are near those that it saw. Filters of several widths slide over the whole text; each filter's
 largest response is kept (max pooling), and a logistic unit weighs them. Training follows the gradients through the places
-that won the pooling. Scores see nothing but the text. Thresholds for decisions are calibrated by language on rows that
-the weights were not fitted on; a language with few labels takes the threshold of all.
+that won the pooling. Scores see nothing but the text. Thresholds for decisions are calibrated by language on all
+labelled rows that the weights were not fitted on, long texts too, from histograms of their scores; a language with few labels
+takes the threshold of all.
 
 The fit uses a bounded sample: at most ``FIT_ROWS`` toxic and twice as many other labelled rows, those with the smallest hash
 of their id, so it is the same in every run; of them texts of at most ``FIT_CHARS`` characters. Where a class is cut, the
@@ -28,14 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.runtime import bound_batches, worker_cache
+from plinth.runtime import bound_batches, discard, materialise, worker_cache
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
 PIECES = 1 + len(STEMS)
 FIT_ROWS, FIT_CHARS, EPOCHS, BATCH = 2500, 12_000, 6, 32
-#: Every CALIBRATE-th row of the sample sets the thresholds instead of the weights.
+#: Every CALIBRATE-th row of the sample sets thresholds with the rows outside of it instead of the weights.
 CALIBRATE, LEAST_LABELS, SHRINK = 5, 40, 20
+#: Bits of the filter by which labelled rows are found before they are scored; and how fine the histograms of scores are.
+FILTER_BITS, BINS_A_LOGIT = 1 << 25, 32
 #: Words whose responses a worker keeps; beyond it the table starts anew. It only bounds memory.
 KEPT_WORDS = 150_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»…“”„’‘–—"
@@ -222,22 +225,71 @@ class ToxicityClassifier:
         return out
 
 
-def best_threshold(scores: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the widest gap among thresholds of the best F1."""
-    order = np.argsort(-scores, kind="stable")
-    s, y = scores[order], toxic[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    below = np.append(s[1:], 0.0)
-    f1[s == below] = -1  # no threshold parts equal scores
+def best_threshold(bins: np.ndarray, weigh: np.ndarray) -> float:
+    """The middle of the widest gap among thresholds of the best F1. bins: a histogram of BINS; weigh: what each of its rows counts."""
+    _, place = np.unique(-bins["bin"], return_inverse=True)
+    k = place.max() + 1
+    s, top, n, hits = np.ones(k), np.zeros(k), np.zeros(k), np.zeros(k)
+    np.minimum.at(s, place, bins["low"])
+    np.maximum.at(top, place, bins["high"])
+    np.add.at(n, place, weigh * bins["n"])
+    np.add.at(hits, place, weigh * bins["n"] * bins["y"])
+    f1 = 2 * np.cumsum(hits) / (np.cumsum(n) + hits.sum())
+    below = np.append(top[1:], 0.0)
     i = np.flatnonzero(f1 >= f1.max() - 1e-12)
     i = i[np.argmax(s[i] - below[i])]
     middle = (s[i] + below[i]) / 2
     # Few toxic rows say little: the threshold is shrunk towards a half.
-    odds = np.log(max(middle, 1e-6) / max(1 - middle, 1e-6)) * y.sum() / (y.sum() + SHRINK)
+    toxic = (bins["n"] * bins["y"]).sum()
+    odds = np.log(max(middle, 1e-6) / max(1 - middle, 1e-6)) * toxic / (toxic + SHRINK)
     return float(1 / (1 + np.exp(-odds)))
 
 
+#: One row of a histogram of scores. A bin is a span of log-odds; thresholds lie between bins.
+BINS = np.dtype([("y", "i8"), ("long", "?"), ("fitted", "?"), ("bin", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose id is among ids, and a few others: only bits of ids' hashes, of a bounded number, are broadcast."""
+    bit = F.pmod(F.xxhash64(column, F.lit("bits")), F.lit(FILTER_BITS))
+    word, own = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("own")
+    words = ids.select(word, own).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, own))").alias("bits"))
+    return rows.withColumns({"word": word, "own": own}).join(F.broadcast(words), "word").where(F.expr("getbit(bits, own) = 1")).drop("word", "own", "bits")
+
+
+def calibrate(model: ToxicityClassifier, rows: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[dict[str, float], float]:
+    """(thresholds by language, threshold of all) over all labelled rows (fit_id, text, lang) but those in fitted. The fit takes its
+    rows by class, and no long texts: what it left over is weighed so that each class, long and short, counts as in all rows."""
+    scored = maybe_among(rows.where("fit_id is not null"), known, "fit_id").withColumn("long", F.coalesce(F.length("text") > FIT_CHARS, F.lit(False)))
+    scored = scored.select("fit_id", "lang", "long", model.score(F.col("text")).alias("score")).join(known.select("fit_id", F.col("y").cast("long").alias("y")), "fit_id")
+    scored = scored.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "fit_id", "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))
+    bin_of = F.floor(BINS_A_LOGIT * F.ln(F.col("score") / (1 - F.col("score"))))
+    held = scored.groupBy("lang", "y", "long", "fitted", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    held = materialise(held, "scores")
+
+    def table(found: list) -> np.ndarray:
+        return np.array([tuple(r[c] for c in BINS.names) for r in found], BINS)
+
+    def weights(bins: np.ndarray) -> np.ndarray:
+        return np.array([by[y, long] for y, long in zip(bins["y"].tolist(), bins["long"].tolist(), strict=True)], float)
+
+    bins = table(held.groupBy("y", "long", "fitted", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect())
+    by = {}
+    for y in (0, 1):
+        for long in (False, True):
+            own = (bins["y"] == y) & (bins["long"] == long)
+            by[y, long] = bins["n"][own].sum() / max(bins["n"][own & ~bins["fitted"]].sum(), 1)
+    bins = bins[~bins["fitted"]]
+    overall = best_threshold(bins, weights(bins)) if len(set(bins["y"].tolist())) == 2 else 0.5
+    left = held.where("not fitted and lang <> ''")
+    enough = left.groupBy("lang").agg(F.sum("n").alias("all"), F.min("y").alias("least"), F.max("y").alias("most")).where(f"all >= {LEAST_LABELS} and least < most")
+    of: dict[str, list] = {}
+    for r in left.join(enough.select("lang"), "lang").collect():
+        of.setdefault(r["lang"], []).append(r)
+    discard(held)
+    return {lang: best_threshold(own, weights(own)) for lang, own in ((k, table(v)) for k, v in sorted(of.items()))}, overall
+
+
 def rate_shift(labels: dict[int, int], caps: dict[int, int]) -> float:
     """The log-odds of the sampling rates of classes 0 and 1, of which caps[y] labels at most are fitted: 0 where no cap binds."""
     return float(np.log(min(1, caps[0] / labels[0])) - np.log(min(1, caps[1] / labels[1])))
@@ -251,7 +303,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: st
     known = known.withColumn("h", F.xxhash64("fit_id", F.lit("fit")))
     caps = {1: fit_rows, 0: 2 * fit_rows}
     chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in caps.items()]
-    rows = docs.where(F.length(text) <= FIT_CHARS).select(F.col(id_column).cast("long").alias("fit_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    all_rows = docs.select(F.col(id_column).cast("long").alias("fit_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = all_rows.where(F.length("text") <= FIT_CHARS).select("fit_id", "text")
     sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").dropDuplicates(["fit_id"]).toArrow().sort_by("h")
     y = sample["y"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
@@ -262,13 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: st
     aside = np.argsort(np.argsort(sample["h"].to_numpy())) % CALIBRATE == 0
     model = fit([texts[i] for i in np.flatnonzero(~aside)], words, y[~aside])
     model.offset += rate_shift({r["y"]: r["count"] for r in known.groupBy("y").count().collect()}, caps)
-    rest = np.flatnonzero(aside)
-    scores = np.array([model.score(model.responses(words[texts[i]])) for i in rest])
-    languages = np.array([x or "" for x in sample["lang"].to_pylist()], object)[rest]
-    overall = best_threshold(scores, y[rest]) if 0 < y[rest].sum() < len(rest) else 0.5
-    thresholds = {}
-    for one in sorted(set(languages)):
-        own = languages == one
-        if one and own.sum() >= LEAST_LABELS and 0 < y[rest][own].sum() < own.sum():
-            thresholds[one] = best_threshold(scores[own], y[rest][own])
-    return ToxicityClassifier(spark, model, float(y.mean()), thresholds, overall)
+    out = ToxicityClassifier(spark, model, float(y.mean()), {}, 0.5)
+    fitted = spark.createDataFrame([(i,) for i in sample["fit_id"].filter(pa.array(~aside)).to_pylist()], "fit_id long")
+    out.thresholds, out.overall = calibrate(out, all_rows, known, fitted)
+    return out

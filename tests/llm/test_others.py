@@ -193,6 +193,17 @@ def test_toxicity_keeps_the_base_rate_when_caps_bind(spark):
     assert 0.5 < sum(got) / sum(r[3] for r in rows) < 1.5  # though a third of the fitted rows is toxic
 
 
+def test_thresholds_cover_languages_and_long_texts_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 400)
+    rows = [(i, t, "xx" if i % 20 == 0 else "long" if i % 20 == 1 else lang, y) for i, t, lang, _, y, _ in corpus(3000)]
+    rows = [(i, t + " " + "alphaa betab " * 40 if lang == "long" else t, lang, y) for i, t, lang, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
+    model = toxicity.train(df, df.selectExpr("doc_id AS id", "y"), fit_rows=150)
+    assert {"xx", "long"} <= set(model.thresholds)  # 150 labels each; of the sample's 450 rows 90 calibrate, none of them long
+    got = df.select("y", (model.score(F.col("text")) >= model.threshold(F.col("lang"))).alias("toxic")).collect()
+    assert sum(r.toxic == bool(r.y) for r in got) >= 0.95 * len(got)
+
+
 def test_quality_on_held_out_rows(spark):
     rows = corpus()
     df = spark.createDataFrame([r[:4] for r in rows] + [(9999, None, None, None)], "doc_id long, text string, lang string, source string")
