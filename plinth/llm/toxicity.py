@@ -263,7 +263,8 @@ def calibrate(model: ToxicityClassifier, rows: DataFrame, known: DataFrame, fitt
     scored = maybe_among(rows.where("fit_id is not null"), known, "fit_id").withColumn("long", F.coalesce(F.length("text") > FIT_CHARS, F.lit(False)))
     scored = scored.select("fit_id", "lang", "long", model.score(F.col("text")).alias("score")).join(known.select("fit_id", F.col("y").cast("long").alias("y")), "fit_id")
     scored = scored.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "fit_id", "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))
-    bin_of = F.floor(BINS_A_LOGIT * F.ln(F.col("score") / (1 - F.col("score"))))
+    least = F.lit(1e-12)  # scores can be 0 or 1
+    bin_of = F.floor(BINS_A_LOGIT * F.ln(F.greatest(F.col("score"), least) / F.greatest(1 - F.col("score"), least)))
     held = scored.groupBy("lang", "y", "long", "fitted", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
     held = materialise(held, "scores")
 

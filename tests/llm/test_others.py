@@ -204,6 +204,14 @@ def test_thresholds_cover_languages_and_long_texts_outside_the_sample(spark, mon
     assert sum(r.toxic == bool(r.y) for r in got) >= 0.95 * len(got)
 
 
+def test_certain_scores_have_a_bin(spark):
+    rows = [(i, "x", "en", int(i % 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "fit_id long, text string, lang string, y int")
+    model = type("Certain", (), {"score": lambda self, text: F.when(F.col("fit_id") % 2 == 1, 1.0).otherwise(0.0)})()
+    thresholds, overall = toxicity.calibrate(model, df.select("fit_id", "text", "lang"), df.select("fit_id", "y"), df.where("fit_id < 10").select("fit_id"))
+    assert set(thresholds) == {"en"} and 0 < overall < 1
+
+
 def test_quality_on_held_out_rows(spark):
     rows = corpus()
     df = spark.createDataFrame([r[:4] for r in rows] + [(9999, None, None, None)], "doc_id long, text string, lang string, source string")
