@@ -1,9 +1,11 @@
 """URL filters: rules by host and path, and for other urls a tree of path templates for each host.
 
-The tree is grown level by level over (host, path) groups, never over single urls. A segment that holds a digit is
-variable and becomes a wildcard, as does a rare one. Frequent branches are ordered by their share of bad labels, and those
-that a two-proportion test doesn't tell apart merge into one numbered wildcard. Segments beyond ``DEPTH`` fall to the last wildcard. A template is rejected if its share of bad labels,
-smoothed towards the host's, which is smoothed towards the share of all, reaches ``reject``.
+The tree is grown level by level over (host, path) groups, until no branch is left. Segments are counted as they are, with
+digits or without; one that is rare under its parent is variable and becomes a wildcard. Frequent branches are ordered by
+their share of bad labels, and those that a two-proportion test doesn't tell apart merge into one numbered wildcard, so many
+alike ones do too. Below a branch of fewer than ``min_support`` urls every segment is rare, so it is grown no further. A template
+is rejected if its share of bad labels, smoothed towards the host's, which is smoothed towards the share of all, reaches
+``reject``.
 
 All of it is DataFrame functions; every step aggregates partially before it shuffles, and joins by host are plain joins
 that adaptive execution can split when a host is hot.
@@ -15,11 +17,14 @@ of the input named like results, and ``url_shape``, are replaced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.runtime import materialise
 
+#: Levels that are grown before the first look whether a branch is left.
 DEPTH = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("host", "path", "rule", "template", "purity", "verdict")
@@ -48,20 +53,29 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def segments(path: Column) -> Column:
-    """Segments with those that hold a digit made '*'."""
-    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s))
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
 def template_tree(urls: DataFrame, min_support: int = 20, z: float = 1.96, smoothing: float = 20.0) -> DataFrame:
     """(host, shape, template, purity) for each group of urls. urls: host, shape (path by segments()), bad (1, 0 or null)."""
     n, m, b = F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b")
     groups = urls.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("m"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    groups = groups.withColumn("template", F.lit(""))
-    for level in range(1, DEPTH + 1):
-        groups = materialise(groups, "url-groups")  # else each level would run all levels above it three times
-        segment = F.try_element_at("shape", F.lit(level))
-        branch = groups.withColumn("segment", segment)
-        branches = branch.where("segment is not null").groupBy("host", "template", "segment").agg(n, m, b)
+    live, ended, level = groups.withColumn("template", F.lit("")), [], 0
+    while True:
+        live = materialise(live, "url-groups")  # else each level would run all levels above it three times
+        deeper = F.size("shape") > level
+        if level >= DEPTH:
+            open_ones = live.where(deeper).groupBy("host", "template").agg(n).where(F.col("n") >= min_support)
+            live = materialise(live.join(open_ones.select("host", "template", F.lit(True).alias("open")), ["host", "template"], "left"), "url-groups")
+            deeper = F.col("open").isNotNull() & deeper
+        rest = F.repeat(F.lit("/*"), F.greatest(F.size("shape") - level, F.lit(0)))
+        ended.append(live.where(~deeper).select("host", "shape", "n", "m", "b", F.concat("template", rest).alias("template")))
+        live = live.where(deeper)
+        if live.isEmpty():
+            break
+        level += 1
+        branch = live.withColumn("segment", F.try_element_at("shape", F.lit(level)))
+        branches = branch.groupBy("host", "template", "segment").agg(n, m, b)
         frequent = branches.where((F.col("n") >= min_support) & (F.col("m") > 0)).withColumn("share", F.col("b") / F.col("m"))
         # Neighbours by their share of bad labels stay together unless a two-proportion test tells them apart.
         ordered = Window.partitionBy("host", "template").orderBy("share", "segment")
@@ -74,10 +88,8 @@ def template_tree(urls: DataFrame, min_support: int = 20, z: float = 1.96, smoot
         kept_name = F.when(F.count(F.lit(1)).over(alone) == 1, F.col("segment")).otherwise(F.concat(F.lit("*"), F.col("cluster").cast("string")))
         literal = frequent.select("host", "template", "segment", kept_name.alias("stays"))
         branch = branch.join(literal, ["host", "template", "segment"], "left")
-        grown = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("stays", F.lit("*"))))
-        groups = branch.select("host", "shape", "n", "m", "b", grown.alias("template"))
-    deeper = F.when(F.size("shape") > DEPTH, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    groups = materialise(groups.withColumn("template", deeper), "url-groups")
+        live = branch.select("host", "shape", "n", "m", "b", F.concat("template", F.lit("/"), F.coalesce("stays", F.lit("*"))).alias("template"))
+    groups = materialise(reduce(DataFrame.union, ended), "url-groups")
     total = groups.agg(m, b).first()
     overall = (total["b"] or 0) / max(total["m"] or 0, 1)
     hosts = groups.groupBy("host").agg(((F.sum("b") + smoothing * overall) / (F.sum("m") + smoothing)).alias("host_share"))

@@ -96,6 +96,15 @@ def test_templates_learn_bad_branches(spark):
     assert urls.filter_urls(spark.createDataFrame([], "url string, bad int"), URL_RULES).collect() == []
 
 
+def test_templates_part_segments_with_digits_and_deep_ones(spark):
+    rows = [(f"http://h.net/{'promo88' if i % 2 else 'news24'}/{i}.html", i % 2) for i in range(400)]
+    rows += [(f"http://deep.net/a/b/c/d/e/{'spam' if i % 2 else 'news'}/x", i % 2) for i in range(400)]
+    rows += [(f"http://deeper.net/{i}/b/c/d/e/f/g/h/{'spam' if i % 2 else 'news'}/{i}/{i}", i % 2) for i in range(400)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "url string, bad int"), []).select("bad", "template", "verdict").collect()
+    assert len(out) == len(rows) and all(r.verdict == ("block" if r.bad else "allow") for r in out)
+    assert {r.template for r in out if r.bad} == {"/promo88/*", "/a/b/c/d/e/spam/x", "/*/b/c/d/e/f/g/h/spam/*/*"}
+
+
 # -- warc ---------------------------------------------------------------------------------------------------------------------
 
 
