@@ -94,12 +94,12 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-SCAN = "id long, n long, high long, print long, bucket int, c0 binary, c1 binary, c2 binary"
+SCAN = "id long, n long, high long, print long, hash long, bucket int, c0 binary, c1 binary, c2 binary"
 SCANNED = [x.split()[0] for x in SCAN.split(", ")]
 
 
 def scan(rows: DataFrame, n: int) -> DataFrame:
-    """(id, text) -> in one pass, a row for each document and blobs of (prefix shingle, set's fingerprint)."""
+    """(id, text, hash) -> in one pass, a row for each document and blobs of (prefix shingle, set's fingerprint)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_count_here)
@@ -113,21 +113,21 @@ def scan(rows: DataFrame, n: int) -> DataFrame:
                     first = prefix(tokens, NARROW)
                     for blobs in packer.add(first, first.astype(np.uint32), np.full(len(first), prints[-1][1], np.int64)):
                         yield _blobs(blobs)
-            yield _documents(ids, sizes, prints)
+            yield _documents(ids, sizes, prints, batch.column(2))
         for blobs in packer.flush():
             yield _blobs(blobs)
 
     return rows.mapInArrow(read, SCAN)
 
 
-def _documents(ids: pa.Array, sizes: list[int], prints: list[tuple]) -> pa.RecordBatch:
+def _documents(ids: pa.Array, sizes: list[int], prints: list[tuple], hashes: pa.Array) -> pa.RecordBatch:
     high, low = (pa.array(x, pa.int64()) for x in (zip(*prints, strict=True) if prints else ((), ())))
     nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, *nothing], SCANNED)
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, hashes, *nothing], SCANNED)
 
 
 def _blobs(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*[pa.nulls(batch.num_rows, pa.int64())] * 4, *batch.columns], SCANNED)
+    return pa.RecordBatch.from_arrays([*[pa.nulls(batch.num_rows, pa.int64())] * 5, *batch.columns], SCANNED)
 
 
 def first_of_each(buckets: np.ndarray, key: np.ndarray, record: np.ndarray) -> tuple[tuple, tuple]:
@@ -377,21 +377,51 @@ def with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, component) for each row of docs."""
+    own, links = linked_classes(docs, id_column, text)
+    # An id of several classes joins them.
+    several = own.where("id is not null").groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
+    bridges = own.join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    return _named(own, links.union(bridges)).select("id", "n", "component")
+
+
+def components_by_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, hash, print, component) for each row of docs: the hash of its text, the fingerprint of its set, and the component of its
+    own set, whatever other texts the id has."""
+    own, links = linked_classes(docs, id_column, text)
+    return _named(own, links).select("id", "hash", "print", "component")
+
+
+def _named(own: DataFrame, links: DataFrame) -> DataFrame:
+    homes = connected_components(links).withColumnRenamed("node", "first")
+    return own.join(homes, "first", "left").withColumn("component", F.when(F.col("id").isNotNull(), F.coalesce("component", "first")))
+
+
+def text_hash(text: F.Column) -> F.Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def linked_classes(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, n, print, hash, first) for each row of docs, first being the smallest id of its class or else its own; and the links
+    (a, b) between such ids. Within the rounds a class is named by its set's fingerprint, as an id may have several sets."""
     bound_batches(docs.sparkSession)
     n = exchange.n_buckets(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_hash(F.col(text)).alias("hash"))
     seen = materialise(scan(rows, n), "shingles")
-    documents = materialise(seen.where("bucket is null").select("id", "n", "high", "print"), "documents")
+    documents = materialise(seen.where("bucket is null").select("id", "n", "high", "print", "hash"), "documents")
     classes = documents.where("id is not null and n > 0").groupBy("print", "high").agg(F.min("id").alias("first"), F.max("n").alias("n"))
     classes = materialise(classes, "classes")
     met = shared_counts(seen.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n)
     met = met.join(classes.withColumnRenamed("print", "record"), "record").where(F.col("shared") >= needed(NARROW))
     met = materialise(met.select(F.col("first").alias("id"), F.col("record").alias("print")), "met")
     discard(seen)
-    # The join leaves the rows of an id together, so that repeated rows go without another shuffle.
-    texts = rows.where("text is not null").join(met, "id").dropDuplicates(["id", "print"])
-    sets = texts.select("id", _tokens("text", "print").alias("tokens")).where("tokens is not null")
-    sets = materialise(sets.select("id", (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens", F.col("id").alias("component")), "sets")
+    # The join leaves the rows of an id together, so that repeated rows go without another shuffle; its other texts go by their sets.
+    texts = rows.where("text is not null").join(met, "id").dropDuplicates(["id", "print", "hash"])
+    sets = texts.select("print", _tokens("text", "print").alias("tokens")).where("tokens is not null")
+    sets = materialise(sets.select(F.col("print").alias("id"), (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens", F.col("print").alias("component")), "sets")
+    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # texts of one id that differ but have one set
+        once = materialise(sets.dropDuplicates(["id"]), "sets")
+        discard(sets)
+        sets = once
     discard(met)
     links = None
     while True:
@@ -408,10 +438,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     if n_left:
         links = materialise(links.union(searched(sets, n)), "links")
     discard(sets)
-    homes = connected_components(links)
-    own = documents.join(classes.select("print", "high", "first"), ["print", "high"], "left")
-    own = own.join(homes.withColumnRenamed("node", "first"), "first", "left")
-    return own.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "first", "id")).alias("component"))
+    firsts = classes.select("print", "first")
+    for end in ("a", "b"):
+        links = links.withColumnRenamed(end, "print").join(firsts, "print").drop("print").withColumnRenamed("first", end)
+    own = documents.join(classes.select("print", "high", "first"), ["print", "high"], "left").withColumn("first", F.coalesce("first", "id"))
+    return own.select("id", "n", "print", "hash", "first"), links.select("a", "b")
 
 
 def searched(sets: DataFrame, n: int) -> DataFrame:

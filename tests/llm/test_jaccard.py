@@ -56,6 +56,14 @@ def test_edges(spark):
     assert found(spark, [*docs, *docs]) == brute(docs)
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_different_texts_of_one_id(spark, swap):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = [(2, a), (2, b), (2, b.upper()), (5, a + " tail"), (7, b + " tail"), (8, b), (8, "alone"), (9, "alone")]
+    got = found(spark, docs[::-1] if swap else docs)
+    assert {(i, home) for i, _, home in got} == {(i, 2) for i in (2, 5, 7, 8, 9)}
+
+
 def test_rows_without_id_and_empty_table(spark):
     docs = [(None, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
     assert found(spark, docs) == {(None, 2, None), (1, 2, 1), (2, 2, 1)}
