@@ -120,10 +120,10 @@ def scan(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(read, SCAN)
 
 
-def _documents(ids: pa.Array, sizes: list[int], prints: list[tuple], hashes: pa.Array) -> pa.RecordBatch:
+def _documents(ids: pa.Array, sizes: list[int], prints: list[tuple], hashes: pa.Array | None = None) -> pa.RecordBatch:
     high, low = (pa.array(x, pa.int64()) for x in (zip(*prints, strict=True) if prints else ((), ())))
     nothing = [pa.nulls(len(ids), k) for k in (pa.int32(), pa.binary(), pa.binary(), pa.binary())]
-    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, hashes, *nothing], SCANNED)
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), high, low, pa.nulls(len(ids), pa.int64()) if hashes is None else hashes, *nothing], SCANNED)
 
 
 def _blobs(batch: pa.RecordBatch) -> pa.RecordBatch:
