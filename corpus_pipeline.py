@@ -26,10 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that with the smallest id stays; rows without an id stay."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    stay = found.where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(stay, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of linked texts those with the smallest id stay, and one for each set of that id; rows without an id stay. Another
+    text of the same id is judged by its own links."""
+    found = jaccard.components_by_text(docs.select("doc_id", "text")).where("id = component")
+    stay = found.groupBy("id", "print").agg(F.min("hash").alias("text_hash")).select(F.col("id").alias("doc_id"), "text_hash")
+    hashed = docs.where("doc_id is not null").withColumn("text_hash", jaccard.text_hash(F.col("text")))
+    kept = hashed.join(stay, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
     return kept.union(docs.where("doc_id is null"))
 
 

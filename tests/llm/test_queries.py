@@ -112,6 +112,13 @@ def test_pipeline_stage_by_stage(spark):
     assert len(coded) == mixed.count() and all(r.round_trip and r.ids == library.encode(final[r.doc_id], add_special_tokens=False).ids for r in coded)
 
 
+def test_near_duplicates_of_clashing_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (5, b), (6, b), (7, None)], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == [(1, a), (5, b), (7, "")]
+
+
 def test_pipeline_of_an_empty_table_and_nulls(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
