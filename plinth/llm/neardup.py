@@ -192,9 +192,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
     key = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(7), F.reverse("vector")).alias("h2")]
     keyed = named.select("id", "label", *key)
     classes = keyed.groupBy("label", "h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = materialise(classes, "classes")
-    firsts = named.join(classes.select(F.col("first").alias("id"), F.col("label").alias("own"), "copies"), "id").where("label = own").dropDuplicates(["id", "label"])
-    firsts = materialise(firsts.select("id", "label", "vector", "copies"), "vectors")
+    # An id may have several vectors, so a class goes by a hash of what tells it; its smallest id comes back at the end.
+    classes = materialise(classes.withColumn("class", F.xxhash64("label", "h1", "h2")), "classes")
+    own = classes.select(F.col("first").alias("id"), F.col("label").alias("l"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), "copies", "class")
+    firsts = named.withColumns({"h1": key[0], "h2": key[1]}).join(own, "id").where("label = l and h1 = o1 and h2 = o2").dropDuplicates(["id", "label", "h1", "h2"])
+    firsts = materialise(firsts.select(F.col("class").alias("id"), "label", "vector", "copies"), "vectors")
 
     sizes = {r["d"]: r["n"] for r in firsts.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
     forests = {}
@@ -244,8 +246,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
     found = materialise(found, "found")
     links = found.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     homes = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    reps = classes.join(links.withColumnRenamed("id", "first"), "first", "left").join(homes.withColumnRenamed("node", "first"), "first", "left")
-    reps = reps.select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
+    reps = classes.join(links.withColumnRenamed("id", "class"), "class", "left").join(homes.withColumnRenamed("node", "class"), "class", "left")
+    reps = reps.withColumn("group", F.coalesce("component", "class")).drop("component")
+    least = reps.groupBy("group").agg(F.min("first").alias("component"))
+    reps = reps.join(least, "group").select("label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component")
     own = rows.select("id", "label", F.when(fine, F.transform("vector", lambda v: v + F.lit(0.0))).alias("vector"))
     own = own.select("id", F.when(F.col("vector").isNotNull(), F.col("label")).alias("label"), *key)
     out = own.join(reps, ["label", "h1", "h2"], "left").select("id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))

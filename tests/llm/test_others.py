@@ -158,6 +158,12 @@ def test_near_duplicates_reach_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 0.0, 1.0], 0)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.id, r.n_links, r.component) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
 # -- classifiers --------------------------------------------------------------------------------------------------------------
 
 
