@@ -2,8 +2,8 @@
 
 Millions of (key, value) pairs travel as a few binary rows for each bucket of keys, so that the row-at-a-time cost of a
 shuffle is paid for each blob instead of each pair, and numpy sorts and groups them. Spark still deals the rows out,
-spills and retries them. The number of buckets follows spark.sql.shuffle.partitions, the setting for the input's size;
-a task holds one bucket. Packers pre-aggregate before pairs travel where the caller says how.
+spills and retries them. The number of buckets is spark.sql.shuffle.partitions, or more where the input's files are too
+large for it; a task holds one bucket. Packers pre-aggregate before pairs travel where the caller says how.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from plinth.runtime import shuffle_partitions
 
@@ -21,8 +21,15 @@ from plinth.runtime import shuffle_partitions
 HELD = 800_000
 
 
-def n_buckets(spark: SparkSession) -> int:
-    return shuffle_partitions(spark)
+#: Bytes of input files for each bucket at most: a bucket's pairs take a few times as many bytes in its task.
+BUCKET_BYTES = 128 << 20
+
+
+def n_buckets(rows: DataFrame) -> int:
+    """spark.sql.shuffle.partitions, or more if the files that rows are read from are too large for so few buckets."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in map(leaves.apply, range(leaves.size())) if leaf.getClass().getSimpleName() == "LogicalRelation"]
+    return max(shuffle_partitions(rows.sparkSession), -(-sum(sizes) // BUCKET_BYTES))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -1,23 +1,29 @@
-"""N-gram Jaccard join by T-occurrence search, giving each document the component of its links.
+"""N-gram Jaccard join by T-occurrence search (DivideSkip), giving each document the component of its links.
 
 A document is the set of its distinct five-word shingles; two link when 100 * intersection >= 75 * union. Then each shares
-at least T = ceil(0.75 n) of its n shingles with the other. Shingles are ordered by their hash, and by the usual argument
-two linked documents share at least q of the first n - T + q of them (q grows with n): only these go into inverted lists.
+at least T = ceil(0.75 n) of its n shingles with the other, so a document is searched for like this: of the inverted lists of
+its shingles the longest, fewer than T, are skipped; the others are merged by a heap, which counts the documents in them; those
+that could still reach the overlap that both sizes require are probed for in the skipped lists by binary search, and the ones
+that reach it are links. Every link comes from ``Lists.search``; no list or document is dropped for its size. What stands around
+it says which inverted lists a document has to be searched in:
 
 1. Documents of equal sets fall into one class, by partial aggregation, before anything else.
-2. Inverted lists of all classes, q a tenth of n. A list of one class says nothing. A document that shares fewer than q of
+2. Shingles are ordered by their hash, and by the usual argument two linked documents share at least q of the first n - T + q of
+   them (q grows with n): only these are counted. A list of one class says nothing. A document that shares fewer than q of
    its shingles with others cannot link and leaves.
 3. Rounds over those that are left, with longer prefixes: links found so far make components; a list within one component
-   says nothing; whoever shares fewer than q shingles with other components leaves for good; the others are compared with the
-   document of another component that they meet most often as the first of a list. Groups of near copies collapse here with as
-   many comparisons as documents.
-4. DivideSkip for the rest, once a round finds hardly any link, over whole sets: a document leaves if other components share
-   fewer than T of its shingles. It skips its T - 1 longest inverted lists and merges the others by a heap; whoever could reach
-   the overlap that the two sizes require, were it in all skipped lists, is probed for by binary search in the two sorted sets.
-   Of two components the smaller one's documents search.
-
-Every comparison is exact, over whole sets; no list or document is dropped for its size. Shingles are 64-bit hashes; within
-inverted lists 32 bits and the bucket stand for them, which can only add candidates.
+   says nothing; whoever shares fewer than q shingles with other components leaves for good; the others are searched for in the
+   inverted lists of their leaders, a document's leaders being the few of other components that it meets most as the first ones
+   of its lists, in an order that each round draws anew. Groups of near copies collapse here with as many searches as documents.
+4. Once a round finds hardly any link, whole sets: a document leaves if other components share fewer than T of its shingles. Of
+   the distributed lists it reads all but the T - 1 longest and merges them by a heap; whoever could reach the overlap that the
+   two sizes require, were it in all lists that weren't read, is a partner, and the document is searched for in the inverted
+   lists of its partners. Of two components the smaller one's documents search. One link joins two components, so first
+   passes take only the partners of each component that share most, and the last one all partners of what isn't joined yet.
+
+Inverted lists are held by shard: a shard has the lists of the leaders or partners dealt to it, and the documents searched for
+in them are dealt to it too, a leader of very many to several shards. Shingles are 64-bit hashes; where documents are only
+counted 32 bits and the bucket stand for them, which can only add candidates.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with nothing: their component is
 their own id. Rows without an id get n_shingles and no component. Repeated rows get equal results; different texts of one
@@ -27,7 +33,10 @@ id count as one document. An empty table gives an empty result. Only the id and
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -39,14 +48,23 @@ from pyspark.sql import types as T
 from plinth.llm import exchange
 from plinth.llm.components import connected_components
 from plinth.llm.exchange import Packer, deal, groups, unpack
+from plinth.llm.sift import among, small
 from plinth.llm.words import WordHashes, fingerprint, mix, runs
 from plinth.runtime import bound_batches, discard, materialise, worker_cache
 
 WIDTH = 5
 #: q in percent of n: in the lists of all documents, and in those of the few that are left then.
 NARROW, WIDE = 10, 35
-#: A round that links less than one in FEW of the documents left is the last before DivideSkip.
-FEW = 50
+#: A round that finds fewer links than one for FEW of the documents left is the last before whole sets are compared.
+FEW = 20
+#: Partners that a document is searched for in each other component, by pass; the last pass leaves none out.
+PASSES = (4, None)
+#: Leaders that a document is searched for in a round.
+LEADERS = 3
+#: What a step of the heap costs beside a probe, as the choice of the lists to skip weighs them.
+MERGE_COST = 0.0085
+#: Bytes of sets whose inverted lists a shard holds, about.
+SHARD_BYTES = 32 << 20
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -70,15 +88,45 @@ def prefix(tokens: np.ndarray, percent: int) -> np.ndarray:
     return tokens[: n - required(n) + spare(n, percent)]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Binary probes of the shorter set in the longer."""
-    a, b = (a, b) if len(a) <= len(b) else (b, a)
-    if 4 * len(a) < 3 * len(b) or not len(a):
-        return False
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    both = int((b[at] == a).sum())
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+class Lists:
+    """The inverted lists of some documents: for each shingle the numbers of the documents that have it, rising."""
+
+    def __init__(self, homes: list[int], sets: list[np.ndarray]) -> None:
+        self.homes, self.sizes = homes, [len(s) for s in sets]
+        tokens = np.concatenate([*sets, np.empty(0, np.uint64)])
+        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, self.owners = tokens[order], owners[order]
+        self.starts, ends = groups(tokens)
+        self.tokens, self.lengths = tokens[self.starts], ends - self.starts
+        # (list, owner) as one rising number, so that one call probes several lists.
+        self.places = np.repeat(np.arange(len(self.starts)) * len(sets), self.lengths) + self.owners
+
+    def search(self, home: int, own: np.ndarray) -> list[int]:
+        """The numbers of the documents of other homes that link with the set ``own``."""
+        n, least = len(own), required(len(own))
+        at = np.searchsorted(self.tokens, own)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == own] if len(self.tokens) else at[:0]
+        if len(at) < least:
+            return []
+        at = at[np.argsort(self.lengths[at], kind="stable")]
+        skipped = min(least - 1, int(least / (MERGE_COST * math.log2(1 + self.lengths[at[-1]]) + 1)))
+        short, long = at[: len(at) - skipped], at[len(at) - skipped :]
+        merged = heapq.merge(*(self.owners[a : a + k].tolist() for a, k in zip(self.starts[short].tolist(), self.lengths[short].tolist(), strict=True)))
+        found = []
+        for one, hits in groupby(merged):
+            size = self.sizes[one]
+            wanted = -(-3 * (n + size) // 7)
+            if self.homes[one] == home or 4 * min(n, size) < 3 * max(n, size):
+                continue
+            times = sum(1 for _ in hits)
+            if times + skipped < wanted:
+                continue
+            probes = long * len(self.sizes) + one
+            near = np.minimum(np.searchsorted(self.places, probes), len(self.places) - 1)
+            if times + int((self.places[near] == probes).sum()) >= wanted:
+                found.append(one)
+        return found
 
 
 def needed(percent: int) -> F.Column:
@@ -192,13 +240,14 @@ def _by_record(keys: np.ndarray) -> np.ndarray:
     return mix(keys.view(np.uint64))
 
 
-def stars(lists: DataFrame, n: int) -> DataFrame:
-    """Blobs of (shingle, record, component) -> (record, shared, other): of its listed shingles, how many it shares with a record of
-    another component, and the one that it meets most often as the first one of their lists."""
+def stars(lists: DataFrame, n: int, turn: int) -> DataFrame:
+    """Blobs of (shingle, record, component) -> (record, shared, others): of its listed shingles, how many it shares with a record of
+    another component, and its leaders: of those that come first in their lists the ones that it meets most, short lists weighing
+    more. Components come in another random order each turn, so that a leader that didn't link isn't met again and again."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, record, home = unpack(batches, np.uint32, np.int64, np.int64)
-        order = np.lexsort((record, home, token))
+        order = np.lexsort((record, mix(home.view(np.uint64) ^ np.uint64(turn)), token))
         token, record, home = token[order], record[order], home[order]
         starts, ends = groups(token, record)
         token, record, home = token[starts], record[starts], home[starts]
@@ -212,23 +261,26 @@ def stars(lists: DataFrame, n: int) -> DataFrame:
         shared = np.repeat(second, length) < len(home)
         other = np.where(foreign, record[first], record[np.minimum(np.repeat(second, length), max(len(home) - 1, 0))]) if len(home) else record
         packer = Packer(n)
-        yield from packer.add(_by_record(record[shared]), record[shared], other[shared])
+        yield from packer.add(_by_record(record[shared]), record[shared], other[shared], np.repeat(length, length)[shared].astype(np.uint32))
         yield from packer.flush()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record, other = unpack(batches, np.int64, np.int64)
+        record, other, length = unpack(batches, np.int64, np.int64, np.uint32)
         order = np.lexsort((other, record))
-        record, other = record[order], other[order]
+        record, other, length = record[order], other[order], length[order]
         starts, ends = groups(record, other)
+        weight = np.add.reduceat(1 / length, starts) if len(starts) else length
         times, record, other = ends - starts, record[starts], other[starts]
-        order = np.lexsort((other, -times, record))
+        order = np.lexsort((other, -weight, record))
         times, record, other = times[order], record[order], other[order]
         starts, ends = groups(record)
         shared = np.add.reduceat(times, starts) if len(starts) else times
-        yield pa.RecordBatch.from_arrays([pa.array(record[starts]), pa.array(shared), pa.array(other[starts])], ["record", "shared", "other"])
+        leads = np.arange(len(record)) - np.repeat(starts, ends - starts) < LEADERS
+        others = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.minimum(ends - starts, LEADERS))]).astype(np.int32), pa.array(other[leads]))
+        yield pa.RecordBatch.from_arrays([pa.array(record[starts]), pa.array(shared), others], ["record", "shared", "others"])
 
-    met = deal(lists, n).mapInArrow(meet, exchange.schema(2))
-    return deal(met, n).mapInArrow(choose, "record long, shared long, other long")
+    met = deal(lists, n).mapInArrow(meet, exchange.schema(3))
+    return deal(met, n).mapInArrow(choose, "record long, shared long, others array<long>")
 
 
 def lists_of(sets: DataFrame, n: int) -> DataFrame:
@@ -289,13 +341,16 @@ def shared_lists(sets: DataFrame, n: int) -> DataFrame:
 
 #: What travels with a shingle: whose it is, and which partners can still link.
 ENTRY = np.dtype([("token", "u8"), ("id", "i8"), ("home", "i8"), ("members", "i8"), ("n", "u4"), ("most", "u4"), ("reads", "?")])
+#: A reader that met another record in one of its lists.
+MET = np.dtype([("id", "i8"), ("token", "u8"), ("n", "u4"), ("other", "i8"), ("other_n", "u4"), ("home", "i8")])
 
 
-def divide_skip(sets: DataFrame, n: int) -> DataFrame:
-    """(id, n, component, members, tokens, shared, chosen) -> candidates (id, other). A record reads its chosen short lists only; those
+def divide_skip(sets: DataFrame, n: int, best: int | None) -> DataFrame:
+    """(id, n, component, members, tokens, shared, chosen) -> partners (id, other, more). A record reads its chosen short lists only; those
     that it skips are no more than the required count less one, so whoever links is in one that it reads. Of two components the
     smaller one's records read. Partners must have a size for which the required overlap is within what both share. The lists are
-    merged by a heap; whoever could not reach the overlap with all skipped lists is no candidate."""
+    merged by a heap; whoever could not reach the overlap with all skipped lists is no partner. best: of each component that many
+    partners, the ones that share most; more says that others were left out."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(n, held=400_000)
@@ -324,41 +379,83 @@ def divide_skip(sets: DataFrame, n: int) -> DataFrame:
                 fit = rank & (whole["n"] <= q["most"]) & (q["n"] <= whole["most"]) & (4 * whole["n"].astype(np.int64) >= 3 * q["n"].astype(np.int64)) & (4 * q["n"].astype(np.int64) >= 3 * whole["n"].astype(np.int64))
                 i, j = np.nonzero(fit)
                 ids = q["id"][i, 0]
-                yield from packer.add(_by_record(ids), ids, q["token"][i, 0], q["n"][i, 0], whole["id"][j], whole["n"][j])
+                met = np.empty(len(i), MET)
+                met["id"], met["token"], met["n"], met["other"], met["other_n"], met["home"] = ids, q["token"][i, 0], q["n"][i, 0], whole["id"][j], whole["n"][j], whole["home"][j]
+                yield from packer.add(_by_record(ids), met)
         yield from packer.flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record, token, size, other, other_size = unpack(batches, np.int64, np.uint64, np.uint32, np.int64, np.uint32)
-        order = np.lexsort((other, token, record))
-        record, token, size, other, other_size = record[order], token[order], size[order], other[order], other_size[order]
+        (met,) = unpack(batches, MET)
+        met = met[np.lexsort((met["other"], met["home"], met["token"], met["id"]))]
         out: list[tuple] = []
-        for a, b in zip(*groups(record), strict=True):
-            own = int(size[a])
-            lists = [list(zip(other[a + x : a + y].tolist(), other_size[a + x : a + y].tolist(), strict=True)) for x, y in zip(*groups(token[a:b]), strict=True)]
-            for (one, its), same in groupby(heapq.merge(*lists)):
-                if len(list(same)) + required(own) - 1 >= -(-3 * (own + its) // 7):
-                    out.append((int(record[a]), one))
-        columns = list(zip(*out, strict=True)) or [()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "other"])
+        for a, b in zip(*groups(met["id"]), strict=True):
+            own, token = int(met["n"][a]), met["token"][a:b]
+            lists = [list(zip(*(met[c][a + x : a + y].tolist() for c in ("home", "other", "other_n")), strict=True)) for x, y in zip(*groups(token), strict=True)]
+            found: dict[int, list] = {}
+            for (home, one, its), same in groupby(heapq.merge(*lists)):
+                times = sum(1 for _ in same)
+                if times + required(own) - 1 >= -(-3 * (own + its) // 7):
+                    found.setdefault(home, []).append((-times, one))
+            for partners in found.values():
+                chosen = partners if best is None else heapq.nsmallest(best, partners)
+                out += [(int(met["id"][a]), one, len(chosen) < len(partners)) for _, one in chosen]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["id", "other", "more"])
 
     lists = sets.select("id", "n", "component", "members", "tokens", "shared", "chosen").mapInArrow(emit, exchange.schema(1))
-    met = deal(lists, n).mapInArrow(read, exchange.schema(5))
-    return deal(met, n).mapInArrow(merge, "id long, other long")
+    met = deal(lists, n).mapInArrow(read, exchange.schema(1))
+    return deal(met, n).mapInArrow(merge, "id long, other long, more boolean")
+
+
+LINKS = "a long, b long, home long, other long"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: (id, other, tokens) with the id's own set. The linked ones as (a, b)."""
-    theirs = sets.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("tokens").alias("others"))
-    fit = (4 * F.least("n", "other_n") >= 3 * F.greatest("n", "other_n"))
-    met = pairs.join(theirs, "other").where(fit)
+def searched_in(sets: DataFrame, state: DataFrame, routes: DataFrame, n_routes: int, size: Size) -> DataFrame:
+    """The links between documents of different components as (a, b, home, other), with the components of both, for routes
+    (id, other), n_routes at most: each id is searched for in the inverted lists of a shard that holds its other ones."""
+    # Whoever is asked for by more than a shard's share lies in several shards.
+    asked = routes.groupBy("other").agg(F.ceil(F.count(F.lit(1)) * size.shards / max(size.rows, 1)).cast("int").alias("copies"))
+    shard = lambda copy: F.pmod(F.xxhash64("other", copy), F.lit(size.shards)).cast("int").alias("shard")
+    searching = routes.join(size.small(asked), "other").select("id", F.lit(True).alias("searches"), shard(F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")))
+    holding = asked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(F.col("other").alias("id"), F.lit(False).alias("searches"), shard(F.col("copy")))
+    dealt = searching.union(holding).distinct()
+    rows = held(sets, state, size).join(small(dealt, 2 * n_routes), "id").select("shard", "searches", "id", "component", "tokens")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, homes, own, lists = [], [], [], None
         for batch in batches:
-            mine, others = batch.column(2), batch.column(3)
-            keep = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(mine, others, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int, int, int]] = []
+            for searches, one, home, data in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                tokens = np.frombuffer(data, np.uint64)
+                if not searches:
+                    ids.append(one)
+                    homes.append(home)
+                    own.append(tokens)
+                    continue
+                if lists is None:
+                    lists = Lists(homes, own)
+                    own = []
+                found += [(one, ids[i], home, homes[i]) for i in lists.search(home, tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], ["a", "b", "home", "other"])
+
+    # A shard's lists come before those who are searched for in them.
+    return materialise(rows.repartitionById(size.shards, "shard").sortWithinPartitions("searches").mapInArrow(search, LINKS), "links")
 
-    return met.select("id", "other", "tokens", "others").mapInArrow(compare, "a long, b long")
+
+@dataclass
+class Size:
+    """What is left, counted: rows bounds the tables of ids that joins may broadcast."""
+
+    rows: int
+    shards: int
+
+    def small(self, df: DataFrame) -> DataFrame:
+        return small(df, self.rows)
+
+
+def held(sets: DataFrame, state: DataFrame, size: Size) -> DataFrame:
+    """(id, n, component, tokens) of the documents that state still has."""
+    return sets.select("id", "tokens").join(size.small(state), "id").select("id", "n", "component", "tokens")
 
 
 @F.arrow_udf(T.BinaryType())
@@ -370,25 +467,20 @@ def _tokens(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.array([t.tobytes() if len(t) and fingerprint(t)[1] == p else None for t, p in zip(sets, prints.to_pylist(), strict=True)], pa.binary())
 
 
-def with_components(sets: DataFrame, links: DataFrame) -> DataFrame:
-    homes = connected_components(links).withColumnRenamed("node", "id")
-    return sets.select("id", "n", "tokens").join(homes, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, component) for each row of docs."""
     own, links = linked_classes(docs, id_column, text)
     # An id of several classes joins them.
     several = own.where("id is not null").groupBy("id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high")
     bridges = own.join(several.select("id"), "id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    return _named(own, links.union(bridges)).select("id", "n", "component")
+    return _named(own, materialise(links.union(bridges), "links")).select("id", "n", "component")
 
 
 def components_by_text(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, hash, print, component) for each row of docs: the hash of its text, the fingerprint of its set, and the component of its
     own set, whatever other texts the id has."""
     own, links = linked_classes(docs, id_column, text)
-    return _named(own, links).select("id", "hash", "print", "component")
+    return _named(own, materialise(links, "links")).select("id", "hash", "print", "component")
 
 
 def _named(own: DataFrame, links: DataFrame) -> DataFrame:
@@ -404,7 +496,7 @@ def linked_classes(docs: DataFrame, id_column: str, text: str) -> tuple[DataFram
     """(id, n, print, hash, first) for each row of docs, first being the smallest id of its class or else its own; and the links
     (a, b) between such ids. Within the rounds a class is named by its set's fingerprint, as an id may have several sets."""
     bound_batches(docs.sparkSession)
-    n = exchange.n_buckets(docs.sparkSession)
+    n = exchange.n_buckets(docs)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"), text_hash(F.col(text)).alias("hash"))
     seen = materialise(scan(rows, n), "shingles")
     documents = materialise(seen.where("bucket is null").select("id", "n", "high", "print", "hash"), "documents")
@@ -414,30 +506,43 @@ def linked_classes(docs: DataFrame, id_column: str, text: str) -> tuple[DataFram
     met = met.join(classes.withColumnRenamed("print", "record"), "record").where(F.col("shared") >= needed(NARROW))
     met = materialise(met.select(F.col("first").alias("id"), F.col("record").alias("print")), "met")
     discard(seen)
-    # The join leaves the rows of an id together, so that repeated rows go without another shuffle; its other texts go by their sets.
-    texts = rows.where("text is not null").join(met, "id").dropDuplicates(["id", "print", "hash"])
+    # Other texts of an id go by their sets.
+    texts = among(rows.where("text is not null").select("id", "text"), met, met.count(), "id")
     sets = texts.select("print", _tokens("text", "print").alias("tokens")).where("tokens is not null")
-    sets = materialise(sets.select(F.col("print").alias("id"), (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens", F.col("print").alias("component")), "sets")
-    if not sets.groupBy("id").count().where("count > 1").isEmpty():  # texts of one id that differ but have one set
+    sets = materialise(sets.select(F.col("print").alias("id"), (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens"), "sets")
+    total = sets.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    if total["ids"] < total["rows"]:  # repeated rows, and texts of one id that differ but have one set
         once = materialise(sets.dropDuplicates(["id"]), "sets")
         discard(sets)
         sets = once
     discard(met)
-    links = None
-    while True:
-        met = stars(lists_of(sets, n), n).withColumnRenamed("record", "id")
-        left = materialise(sets.join(met, "id").where(F.col("shared") >= needed(WIDE)).drop("shared"), "sets")
-        discard(sets)
-        found = materialise(verified(left, left), "links")
-        links = materialise(links.union(found).distinct(), "links") if links else found
-        n_left, n_found = left.count(), found.count()
-        sets = materialise(with_components(left, links), "sets")
+    size = Size(total["ids"], max(n, -(-8 * total["n"] // SHARD_BYTES)))
+    state = sets.select("id", "n", F.col("id").alias("component"))
+    all_links, turn = [], 0
+    while size.rows:
+        turn += 1
+        met = stars(lists_of(held(sets, state, size), n), n, turn).withColumnRenamed("record", "id")
+        met = met.join(size.small(state), "id").where(F.col("shared") >= needed(WIDE))
+        left = materialise(met.select("id", "n", "component", "others"), "left")
+        size.rows = left.count()
+        # Whoever has left links with no other component.
+        routes = left.select("id", F.explode("others").alias("other")).join(size.small(left.select(F.col("id").alias("other"))), "other")
+        links = searched_in(sets, left.select("id", "n", "component"), routes, LEADERS * size.rows, size)
+        all_links.append(links)
+        discard(state)
+        state = joined(left, links, size)
         discard(left)
-        if n_left == 0 or n_found * FEW < n_left:
+        if links.count() * FEW < size.rows:
+            break
+    for best in PASSES if size.rows else ():
+        links, more = searched(sets, state, n, best, size)
+        all_links.append(links)
+        if not more:
             break
-    if n_left:
-        links = materialise(links.union(searched(sets, n)), "links")
-    discard(sets)
+        before, state = state, joined(state, links, size)
+        discard(before)
+    discard(sets, state)
+    links = reduce(DataFrame.union, [x.select("a", "b") for x in all_links]) if all_links else documents.sparkSession.createDataFrame([], "a long, b long")
     firsts = classes.select("print", "first")
     for end in ("a", "b"):
         links = links.withColumnRenamed(end, "print").join(firsts, "print").drop("print").withColumnRenamed("first", end)
@@ -445,12 +550,21 @@ def linked_classes(docs: DataFrame, id_column: str, text: str) -> tuple[DataFram
     return own.select("id", "n", "print", "hash", "first"), links.select("a", "b")
 
 
-def searched(sets: DataFrame, n: int) -> DataFrame:
-    """All links between different components among the sets that are left."""
-    bare = sets.select("id", "n", "component", "tokens")
-    members = bare.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    left = materialise(bare.join(shared_lists(bare, n), "id").join(members, "component"), "sets")
-    pairs = materialise(divide_skip(left, n), "candidates")
-    links = materialise(verified(pairs.join(left.select("id", "n", "tokens"), "id").select("id", "n", "tokens", "other"), left), "links")
-    discard(left, pairs)
-    return links
+def joined(left: DataFrame, links: DataFrame, size: Size) -> DataFrame:
+    """(id, n, component), the components that links join being one."""
+    homes = connected_components(links.select(F.col("home").alias("a"), F.col("other").alias("b")))
+    homes = size.small(homes.select(F.col("node").alias("component"), F.col("component").alias("home")))
+    return materialise(left.join(homes, "component", "left").select("id", "n", F.coalesce("home", "component").alias("component")), "state")
+
+
+def searched(sets: DataFrame, state: DataFrame, n: int, best: int | None, size: Size) -> tuple[DataFrame, bool]:
+    """Links between different components among the sets that are left, and whether partners were left out."""
+    bare = held(sets, state, size)
+    members = state.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    chosen = materialise(shared_lists(bare, n).join(size.small(state), "id").join(size.small(members), "component"), "chosen")
+    able = sets.select("id", "tokens").join(chosen, "id")
+    partners = materialise(divide_skip(able, n, best), "partners")
+    links = searched_in(sets, chosen.select("id", "n", "component"), partners.select("id", "other"), partners.count(), size)
+    more = not partners.where("more").isEmpty()
+    discard(chosen, partners)
+    return links, more

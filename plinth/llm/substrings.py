@@ -207,7 +207,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, longest: int | None =
     """(id, length, found): for the first document of each class of equal texts, at each level from ``window`` doubling up to
     ``longest`` (by default until no window survives), the starts of its windows that another text repeats, as 32-bit numbers."""
     bound_batches(docs.sparkSession)
-    rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs.sparkSession)
+    rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs)
     firsts, _ = first_level(rows, n, window)
     length, level, levels = window, firsts, []
     while True:
@@ -231,7 +231,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     would add nothing: every longer repeat is covered by its windows of that length."""
     docs = docs.drop("kept", "n_words", "n_removed")
     bound_batches(docs.sparkSession)
-    rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs.sparkSession)
+    rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs)
     firsts, copies = first_level(rows, n, window)
     removed = repeated(windows(rows.join(firsts, ["id", "key"]), n, window, first=True, smaller=True), n, smaller=True)
     marks = removed.join(firsts.drop("found"), "print").select("id", "key", "found", F.lit(False).alias("whole"))

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.llm.sift import maybe_among
 from plinth.runtime import bound_batches, discard, materialise, worker_cache
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
@@ -37,8 +38,8 @@ PIECES = 1 + len(STEMS)
 FIT_ROWS, FIT_CHARS, EPOCHS, BATCH = 2500, 12_000, 6, 32
 #: Every CALIBRATE-th row of the sample sets thresholds with the rows outside of it instead of the weights.
 CALIBRATE, LEAST_LABELS, SHRINK = 5, 40, 20
-#: Bits of the filter by which labelled rows are found before they are scored; and how fine the histograms of scores are.
-FILTER_BITS, BINS_A_LOGIT = 1 << 25, 32
+#: How fine the histograms of scores are.
+BINS_A_LOGIT = 32
 #: Words whose responses a worker keeps; beyond it the table starts anew. It only bounds memory.
 KEPT_WORDS = 150_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»…“”„’‘–—"
@@ -249,14 +250,6 @@ def best_threshold(bins: np.ndarray, weigh: np.ndarray) -> float:
 BINS = np.dtype([("y", "i8"), ("long", "?"), ("fitted", "?"), ("bin", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose id is among ids, and a few others: only bits of ids' hashes, of a bounded number, are broadcast."""
-    bit = F.pmod(F.xxhash64(column, F.lit("bits")), F.lit(FILTER_BITS))
-    word, own = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("own")
-    words = ids.select(word, own).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, own))").alias("bits"))
-    return rows.withColumns({"word": word, "own": own}).join(F.broadcast(words), "word").where(F.expr("getbit(bits, own) = 1")).drop("word", "own", "bits")
-
-
 def calibrate(model: ToxicityClassifier, rows: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[dict[str, float], float]:
     """(thresholds by language, threshold of all) over all labelled rows (fit_id, text, lang) but those in fitted. The fit takes its
     rows by class, and no long texts: what it left over is weighed so that each class, long and short, counts as in all rows."""

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from plinth.llm import jaccard
+from plinth.llm import components, jaccard
 from plinth.llm.components import connected_components
 
 
@@ -35,9 +36,10 @@ def found(spark, docs):
     return {tuple(r) for r in jaccard.jaccard_components(df).collect()}
 
 
-@pytest.mark.parametrize("seed, few", [(0, 50), (1, 1), (2, 0)])
-def test_random_near_copies(spark, monkeypatch, seed, few):
-    monkeypatch.setattr(jaccard, "FEW", few)  # 0: one round, and all the rest by DivideSkip
+@pytest.mark.parametrize("seed, few, passes", [(0, 50, (4, 32, None)), (1, 1, (1, None)), (2, 0, (1, 2, None)), (3, 0, (None,))])
+def test_random_near_copies(spark, monkeypatch, seed, few, passes):
+    monkeypatch.setattr(jaccard, "FEW", few)  # 0: one round, and all the rest over whole sets
+    monkeypatch.setattr(jaccard, "PASSES", passes)
     rng = random.Random(seed)
     bases = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 2) for _ in range(rng.randint(1, 60))] for _ in range(4)]
     docs = []
@@ -49,6 +51,31 @@ def test_random_near_copies(spark, monkeypatch, seed, few):
     assert found(spark, docs) == brute(docs)
 
 
+@pytest.mark.parametrize("cost", [0.0, 0.0085, 0.5, 1e9])  # from probing all that may be skipped to merging all
+def test_search_in_inverted_lists(monkeypatch, cost):
+    monkeypatch.setattr(jaccard, "MERGE_COST", cost)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 40), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(150)]
+    homes = rng.integers(0, 100, 150).tolist()
+    lists = jaccard.Lists(homes, sets)
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    links = 0
+    for home, own in zip(homes, sets, strict=True):
+        want = [i for i in range(150) if homes[i] != home and near(own, sets[i])]
+        assert lists.search(home, own) == want
+        links += len(want)
+    assert links > 50 and jaccard.Lists([], []).search(1, base) == []
+
+
+def test_all_links_come_from_the_search(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, text + f" tail{i}") for i in range(5)]
+    assert {home for _, _, home in found(spark, docs)} == {0}
+    monkeypatch.setattr(jaccard.Lists, "search", lambda self, home, own: [])
+    assert {home for _, _, home in found(spark, docs)} == {0, 1, 2, 3, 4}
+
+
 def test_edges(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     docs = [(5, "One two"), (3, "ONE\ttwo\x0b"), (9, None), (8, ""), (7, " \n"), (4, "one  two three four five"), (2, long), (1, long + " tail"), (6, "ÉCLAIR a b c d e"), (11, "éclair a b c d e")]
@@ -70,7 +97,9 @@ def test_rows_without_id_and_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string, id long, n long")).collect() == []
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     links = [(5, 4), (4, 3), (3, 3), (9, 8), (8, 9), (3, 1), (20, 19), (19, 18), (18, 17), (17, 20)]
     out = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {tuple(r) for r in out} == {(1, 1), (3, 1), (4, 1), (5, 1), (8, 8), (9, 8), (17, 17), (18, 17), (19, 17), (20, 17)}
