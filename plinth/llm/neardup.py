@@ -2,14 +2,17 @@
 
 Each tree splits the space again and again by a random direction at the median of a sample; vectors within ``SPILL`` of the
 boundary go to both sides. A split that parts less than it copies (a dense cluster near the boundary) is not made. Vectors
-are compared within leaves, in double precision, and only if their labels are equal. A pair is counted in the first leaf
-that it shares (every vector travels with its list of leaves), so counts need no table of pairs; of its links a leaf passes
-on a spanning forest only, which makes the components. So what leaves a leaf is as long as its members.
-
-The trees are fitted on a bounded sample (``SAMPLE`` vectors, those with the smallest hash of their id); all vectors are
-indexed. Equal vectors of a label are one class first, counted by partial aggregation. A leaf's members of one label that
-are more than ``BLOCK`` are split into blocks by hash, and each pair of blocks is compared in a task of its own, so memory is
-bounded whatever the leaf holds.
+are compared within leaves, in double precision, and only if their labels are equal, so a leaf is small enough when each label's
+share of it is. A pair is counted in the first leaf that it shares (every vector travels with its list of leaves), so counts need
+no table of pairs; of its links a leaf passes on a spanning forest only, which makes the components. So what leaves a leaf is as
+long as its members.
+
+The first levels are fitted on a bounded sample of each length of vectors (``SAMPLE`` vectors and ``SAMPLE_BYTES`` at most, by
+hash, and directions of ``FOREST_BYTES`` in all at most); all vectors are indexed. A leaf's members of one label that are more
+than ``OVERFULL`` are split again, by distributed medians over all of them, level by level until none is left, whatever the size
+of the table. Equal vectors of a label are one class first, counted by partial aggregation. Members of one label that are still
+more than ``BLOCK`` (a dense cluster) are split into blocks by hash, and each pair of blocks is compared in a task of its own, so
+memory is bounded whatever the leaf holds.
 
 Defined results: vectors that are null or zero or hold null or non-finite components, rows with a null label, and vectors of
 different lengths link with nothing; rows without an id have no component; rows that repeat an id are counted as other
@@ -19,17 +22,25 @@ vectors. An empty table gives an empty result. Only the three named columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plinth.llm.components import connected_components
+from plinth.llm.sift import small
 from plinth.runtime import bound_batches, discard, materialise
 
-BROADCAST_LEAVES = 200_000
 TREES, LEAF, SPILL, SAMPLE, BLOCK, LEAST_SAMPLE = 4, 512, 0.03, 20_000, 2048, 8
+OVERFULL = 4 * LEAF
+SAMPLE_BYTES, FOREST_BYTES = 32 << 20, 16 << 20
+#: Lengths of vectors whose forests one pass over the table fits and applies.
+LENGTHS = 16
+#: A split is made if it leaves no more than this share on each side.
+PARTS = 0.8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,7 +55,8 @@ class Forest:
     def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 3) -> None:
         self.spill, self.leaves, self.roots, self.nodes = spill, 0, [], []
         rng = np.random.default_rng(seed)
-        wanted = max(LEAST_SAMPLE, leaf * len(sample) / max(rows, 1))
+        most = max(1, FOREST_BYTES // (8 * max(sample.shape[1], 1) * trees))
+        wanted = max(LEAST_SAMPLE, leaf * len(sample) / max(rows, 1), 2 * len(sample) / most)
         for _ in range(trees):
             self.roots.append(self._grow(sample, wanted, rng))
 
@@ -57,7 +69,7 @@ class Forest:
             side = x @ direction
             middle = float(np.median(side))
             left, right = x[side <= middle + self.spill], x[side >= middle - self.spill]
-            if max(len(left), len(right)) <= 0.8 * len(x):
+            if max(len(left), len(right)) <= PARTS * len(x):
                 self.nodes[at] = (direction, middle, self._grow(left, wanted, rng), self._grow(right, wanted, rng))
                 return at
         self.nodes[at] = self.leaves
@@ -100,7 +112,8 @@ def unpacked(blobs: list[bytes], dim: int) -> np.ndarray:
 
 
 def place(rows: DataFrame, forests: dict[int, Forest]) -> DataFrame:
-    """(id, label, vector, copies) -> one row for each leaf that a vector lies in, with all of its leaves."""
+    """(id, label, vector, copies) -> one row for each leaf that a vector lies in, with all of its leaves. A length without a forest
+    has one leaf."""
     shared = rows.sparkSession.sparkContext.broadcast({d: (f.nodes, f.roots, f.spill) for d, f in forests.items()})
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,16 +129,71 @@ def place(rows: DataFrame, forests: dict[int, Forest]) -> DataFrame:
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
                 x = values[starts[rows][:, None] + np.arange(d)]
-                leaves = known[int(d)].leaves_of(unit(x))
+                leaves = known[int(d)].leaves_of(unit(x)) if int(d) in known else [[0]] * len(rows)
                 again = np.repeat(np.arange(len(rows)), [len(f) for f in leaves])
                 blob = packed(x)
-                mine = [np.array(f, np.int32).tobytes() for f in leaves]
+                mine = [np.array(f, np.int64).tobytes() for f in leaves]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([leaf for f in leaves for leaf in f], pa.int32()), ids.take(pa.array(rows[again])), labels.take(pa.array(rows[again])), batch.column(3).take(pa.array(rows[again])), pa.array([int(d)] * len(again), pa.int32()), pa.array([blob[i] for i in again], pa.binary()), pa.array([mine[i] for i in again], pa.binary())],
+                    [pa.array([leaf for f in leaves for leaf in f], pa.int64()), ids.take(pa.array(rows[again])), labels.take(pa.array(rows[again])), batch.column(3).take(pa.array(rows[again])), pa.array([int(d)] * len(again), pa.int32()), pa.array([blob[i] for i in again], pa.binary()), pa.array([mine[i] for i in again], pa.binary())],
                     ["leaf", "id", "label", "copies", "dim", "x", "leaves"],
                 )
 
-    return rows.select("id", "label", "vector", "copies").mapInArrow(route, "leaf int, id long, label long, copies long, dim int, x binary, leaves binary")
+    return rows.select("id", "label", "vector", "copies").mapInArrow(route, "leaf long, id long, label long, copies long, dim int, x binary, leaves binary")
+
+
+CELL = ["leaf", "label", "dim"]
+
+
+@F.arrow_udf(T.DoubleType())
+def side_of(cells: pa.Array, dims: pa.Array, x: pa.Array) -> pa.Array:
+    """Where a vector lies along its cell's random direction."""
+    out = np.empty(len(x))
+    numbers, sizes = cells.to_numpy(zero_copy_only=False), dims.to_numpy(zero_copy_only=False)
+    for cell in np.unique(numbers):
+        rows = np.flatnonzero(numbers == cell)
+        dim = int(sizes[rows[0]])
+        direction = np.random.default_rng(int(cell) & (1 << 63) - 1).normal(size=dim)
+        out[rows] = unit(unpacked([x[i].as_py() for i in rows.tolist()], dim)) @ (direction / np.linalg.norm(direction))
+    return pa.array(out)
+
+
+def split_again(placed: DataFrame, spill: float) -> DataFrame:
+    """placed, with the members of one label and leaf that are more than OVERFULL parted by random directions at their own medians,
+    until no such cell can be parted any more. Medians and counts are aggregated partially, so no cell meets in one task."""
+    done, live, again = [], placed, False
+    while True:
+        cells = live.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OVERFULL)
+        cells = materialise(cells.withColumn("cell", F.xxhash64(*CELL, F.lit("cell"))), "cells")
+        n_cells = cells.count()
+        if not n_cells:
+            done.append(live)
+            break
+        again = True
+        done.append(live.join(small(cells.select(*CELL), n_cells), CELL, "left_anti"))
+        sided = live.join(small(cells.select(*CELL, "cell"), n_cells), CELL).withColumn("side", side_of("cell", "dim", "x"))
+        sided = materialise(sided, "sides")
+        cuts = materialise(sided.groupBy("cell").agg(F.percentile_approx("side", 0.5, 10_000).alias("middle"), F.count(F.lit(1)).alias("n")), "cuts")
+        sided = sided.join(small(cuts, n_cells), "cell")
+        left, right = F.col("side") <= F.col("middle") + spill, F.col("side") >= F.col("middle") - spill
+        parted = sided.groupBy("cell").agg(F.greatest(F.count(F.when(left, 1)), F.count(F.when(right, 1))).alias("most"), F.max("n").alias("n"))
+        parted = materialise(parted.select("cell", (F.col("most") <= PARTS * F.col("n")).alias("parts")), "parted")
+        sided = sided.join(small(parted, n_cells), "cell")
+        done.append(sided.where("not parts").select(placed.columns))
+        sides = F.filter(F.array(F.when(left, F.lit(0)), F.when(right, F.lit(1))), lambda v: v.isNotNull())
+        live = sided.where("parts").withColumn("part", F.explode(sides)).withColumn("leaf", F.xxhash64("cell", "part"))
+        live = materialise(live.select(placed.columns), "leaves")
+    if not again:
+        return placed
+    out = materialise(reduce(DataFrame.unionByName, done), "leaves")
+    # The lists of leaves anew, in the order of their numbers.
+    lists = out.groupBy("id").agg(F.array_sort(F.collect_set("leaf")).alias("all"))
+    out = out.drop("leaves").join(lists, "id").withColumn("leaves", as_blob("all")).drop("all")
+    return materialise(out.select(placed.columns), "leaves")
+
+
+@F.arrow_udf(T.BinaryType())
+def as_blob(lists: pa.Array) -> pa.Array:
+    return pa.array([np.array(v.as_py(), np.int64).tobytes() for v in lists], pa.binary())
 
 
 def earlier(a: list[np.ndarray], b: list[np.ndarray], leaf: int) -> np.ndarray:
@@ -198,18 +266,29 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
     firsts = named.withColumns({"h1": key[0], "h2": key[1]}).join(own, "id").where("label = l and h1 = o1 and h2 = o2").dropDuplicates(["id", "label", "h1", "h2"])
     firsts = materialise(firsts.select(F.col("class").alias("id"), "label", "vector", "copies"), "vectors")
 
-    sizes = {r["d"]: r["n"] for r in firsts.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
-    forests = {}
-    for d, n in sizes.items():
-        sample = firsts.where(F.size("vector") == d).orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(SAMPLE).select("vector").toArrow()
-        x = unit(np.asarray(sample["vector"].combine_chunks().flatten()).reshape(-1, d))
-        forests[d] = Forest(x, n, trees)
-    placed = materialise(place(firsts, forests), "leaves")
-    held = placed.groupBy("leaf", "label", "dim").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).where("n > 1").drop("n")
+    # Only equal labels are compared, so what counts for a leaf's size is the largest label.
+    sizes = firsts.groupBy(F.size("vector").alias("d"), "label").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.max("n").alias("n"), F.sum("n").alias("all"))
+    sizes = materialise(sizes, "lengths")
+    split = {r["d"]: (r["n"], r["all"]) for r in sizes.where(F.col("n") > LEAF).toLocalIterator()}
+    parts = [place(firsts.join(small(sizes.where(F.col("n") <= LEAF).select("d"), sizes.count()), F.size("vector") == F.col("d")), {})] if sizes.count() > len(split) else []
+    for at in range(0, len(split), LENGTHS):
+        forests, some = {}, dict(list(split.items())[at : at + LENGTHS])
+        of_these = firsts.where(F.size("vector").isin(list(some)))
+        # Of each length about as many as wanted, by a bound for the hash: nothing is sorted.
+        wanted = {d: min(SAMPLE, max(1, SAMPLE_BYTES // (8 * d * len(some)))) for d in some}
+        bound = F.coalesce(*[F.when(F.size("vector") == d, F.lit(int(min(1.0, wanted[d] / every) * (1 << 62)))) for d, (_, every) in some.items()])
+        sample = of_these.where(F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 2) < bound).select("id", "vector").toArrow().sort_by("id")["vector"]
+        lengths = np.array([len(v) for v in sample])
+        for d, (n, _) in some.items():
+            own = sample.take(np.flatnonzero(lengths == d))
+            forests[d] = Forest(unit(np.asarray(own.combine_chunks().flatten()).reshape(-1, d)), n, trees)
+        parts.append(place(of_these, forests))
+    if not parts:
+        parts.append(place(firsts, {}))
+    placed = split_again(materialise(reduce(DataFrame.union, parts), "leaves"), SPILL)
+    held = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).where("n > 1").drop("n")
     held = materialise(held, "held")
-    # A row of it is some 30 bytes; beyond the bound the join shuffles both sides.
-    held = F.broadcast(held) if held.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else held
-    mine = placed.join(held, ["leaf", "label", "dim"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mine = placed.join(small(held, held.count()), CELL).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # Each member meets every block of its leaf: as the smaller or the larger one of the pair.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     met = mine.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -218,7 +297,7 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, id_column: str = "vec_
         leaf, low, high = (table.column(c)[0].as_py() for c in ("leaf", "low", "high"))
         block, ids = table["block"].to_numpy(), table["id"].to_numpy()
         x = unit(unpacked(table["x"].to_pylist(), table["dim"][0].as_py()))
-        leaves = [np.frombuffer(v, np.int32) for v in table["leaves"].to_pylist()]
+        leaves = [np.frombuffer(v, np.int64) for v in table["leaves"].to_pylist()]
         copies = table["copies"].to_numpy().astype(np.float64)
         sides = []
         for k in ([low] if low == high else [low, high]):

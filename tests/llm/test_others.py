@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def links_of(rows, least=0.93):
     for i, (_, v, label) in enumerate(rows):
         fine = v is not None and label is not None and None not in v and np.isfinite(v).all() and any(v)
         found[i] = np.array(v, float) / np.linalg.norm(v) if fine else None
-    return {(i, j) for i in found for j in found if i < j and found[i] is not None and found[j] is not None and rows[i][2] == rows[j][2] and found[i] @ found[j] >= least}
+    return {(i, j) for i in found for j in found if i < j and found[i] is not None and found[j] is not None and rows[i][2] == rows[j][2] and len(found[i]) == len(found[j]) and found[i] @ found[j] >= least}
 
 
 def test_near_duplicates_reach_brute_force(spark, monkeypatch):
@@ -158,6 +159,63 @@ def test_near_duplicates_reach_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def planted(n, dim, seed, labels=1):
+    """Random unit vectors; every fifth has a neighbour at a cosine of 0.93 to 0.97."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.arange(0, n - 1, 5)
+    noise = rng.normal(size=(len(near), dim))
+    noise -= (noise * x[near]).sum(axis=1, keepdims=True) * x[near]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.97, (len(near), 1))
+    x[near + 1] = cosine * x[near] + np.sqrt(1 - cosine**2) * noise
+    label = (np.arange(n) // 5) % labels
+    return pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), dim).cast(pa.list_(pa.float64())), "label": label}), x, label
+
+
+def recall(spark, table, x, label):
+    want = set()
+    for at in range(0, len(x), 4096):
+        i, j = np.nonzero((x[at : at + 4096] @ x.T >= 0.93) & (label[at : at + 4096, None] == label))
+        want |= {(a, b) for a, b in zip((i + at).tolist(), j.tolist(), strict=True) if a != b}
+    got = {r.id: (r.n_links, r.component) for r in neardup.near_duplicates(spark.createDataFrame(table)).collect()}
+    assert sum(n for n, _ in got.values()) <= len(want)
+    return sum(got[a][1] == got[b][1] for a, b in want) / len(want)
+
+
+def test_recall_of_the_production_forest(spark):
+    assert recall(spark, *planted(24_000, 64, 3)) >= 0.97
+
+
+def test_leaves_that_the_sample_can_not_part_are_split_again(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SAMPLE", 60)
+    monkeypatch.setattr(neardup, "LEAF", 100)
+    monkeypatch.setattr(neardup, "OVERFULL", 150)
+    counted = []
+    split = neardup.split_again
+
+    def spy(placed, spill):
+        out = split(placed, spill)
+        counted.append([t.groupBy(*neardup.CELL).count().agg({"count": "max"}).first()[0] for t in (placed, out)])
+        return out
+
+    monkeypatch.setattr(neardup, "split_again", spy)
+    assert recall(spark, *planted(4000, 32, 4, 2)) >= 0.97
+    assert counted[0][0] > 300 and counted[0][1] <= 150
+
+
+def test_many_lengths_and_clashing_names(spark):
+    rows = [(2 * n + k, [1.0] * n, 0, "x") for n in range(1, 1003) for k in (0, 1)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, leaf string")).collect()
+    assert len(got) == 2004 and all((r.n_links, r.component) == (1, r.id // 2 * 2) for r in got)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.normal(size=4 + i % 3)], 0) for i in range(2400)]  # three lengths of more than a leaf
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    pairs = links_of(rows)
+    assert sum(r.n_links for r in got) >= 0.98 * 2 * len(pairs) > 0
+
+
 def test_different_vectors_of_one_id(spark):
     rows = [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.01], 0), (4, [0.0, 0.0, 1.0], 0)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
