@@ -16,12 +16,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def maybe_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """The rows whose id is among ids, and a few others: only bits of ids' hashes, of a bounded number, are broadcast."""
+def parted(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose id is among ids, and a few others; rows whose id surely isn't). Only bits of ids' hashes, of a bounded number, are
+    broadcast."""
     bit = F.pmod(F.xxhash64(column, F.lit("bits")), F.lit(FILTER_BITS))
-    word, own = F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("own")
-    words = ids.select(word, own).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, own))").alias("bits"))
-    return rows.withColumns({"word": word, "own": own}).join(F.broadcast(words), "word").where(F.expr("getbit(bits, own) = 1")).drop("word", "own", "bits")
+    word, own = F.shiftright(bit, 6).alias("sift_word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("sift_own")
+    words = ids.select(word, own).groupBy("sift_word").agg(F.expr("bit_or(shiftleft(1L, sift_own))").alias("sift_bits"))
+    told = rows.withColumns({"sift_word": word, "sift_own": own}).join(F.broadcast(words), "sift_word", "left")
+    maybe = F.coalesce(F.expr("getbit(sift_bits, sift_own) = 1"), F.lit(False))
+    return told.where(maybe).select(rows.columns), told.where(~maybe).select(rows.columns)
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    return parted(rows, ids, column)[0]
 
 
 def among(rows: DataFrame, ids: DataFrame, n_ids: int, column: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from plinth.llm import exchange
 from plinth.llm.exchange import Packer, deal, groups, unpack
 from plinth.llm.jaccard import SCAN, _blobs, _by_record, _documents, _hashes, _texts, first_of_each, open_entries
+from plinth.llm.sift import maybe_among, parted, small
 from plinth.llm.words import fingerprint, runs
 from plinth.runtime import bound_batches, discard, materialise
 
@@ -192,9 +193,10 @@ def first_level(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFr
     classes = documents.groupBy("print", "high").agg(F.min(F.struct("id", "key")).alias("first"), F.max("id").alias("last"))
     found = shared_anchors(seen.where("bucket is not null").select("bucket", "c0", "c1", "c2"), n)
     firsts = materialise(found.join(classes, "print").select("first.id", "first.key", "print", "found"), "firsts")
-    repeats = classes.where("last > first.id").select("print", "high", F.col("first.id").alias("least"))
-    copies = materialise(documents.join(repeats, ["print", "high"]).where("id > least").select("id", "key").distinct(), "copies")
-    discard(seen)
+    repeats = materialise(classes.where("last > first.id").select("print", "high", F.col("first.id").alias("least")), "repeats")
+    copies = documents.join(small(repeats, repeats.count()), ["print", "high"]).where("id > least").select("id", "key").distinct()
+    copies = materialise(copies, "copies")
+    discard(seen, repeats)
     return firsts, copies
 
 
@@ -211,7 +213,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, longest: int | None =
     firsts, _ = first_level(rows, n, window)
     length, level, levels = window, firsts, []
     while True:
-        candidates = rows.join(level, ["id", "key"])
+        candidates = maybe_among(rows, level, "id").join(level, ["id", "key"])
         found = repeated(windows(candidates, n, length, first=length == window, smaller=False), n, smaller=False)
         level = materialise(firsts.drop("found").join(found, "print"), "level")
         if level.isEmpty():
@@ -233,13 +235,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs)
     firsts, copies = first_level(rows, n, window)
-    removed = repeated(windows(rows.join(firsts, ["id", "key"]), n, window, first=True, smaller=True), n, smaller=True)
+    candidates = maybe_among(rows, firsts, "id").join(firsts, ["id", "key"])
+    removed = repeated(windows(candidates, n, window, first=True, smaller=True), n, smaller=True)
     marks = removed.join(firsts.drop("found"), "print").select("id", "key", "found", F.lit(False).alias("whole"))
     marks = materialise(marks.unionByName(copies.select("id", "key", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("whole"))), "marks")
     discard(firsts, copies)
     marks = marks.select(F.col("id").alias("repeats_id"), F.col("key").alias("repeats_key"), F.col("found").alias("repeats_found"), F.col("whole").alias("repeats_whole"))
     keyed = docs.withColumns({"repeats_id": F.col(id_column).cast("long"), "repeats_key": F.xxhash64(F.col(text).cast("string"))})
-    joined = keyed.join(marks, ["repeats_id", "repeats_key"], "left")
+    # Texts that surely keep all their words don't travel.
+    marked, whole = parted(keyed, marks, "repeats_id")
+    joined = marked.join(marks, ["repeats_id", "repeats_key"], "left")
+    joined = joined.unionByName(whole.withColumns({"repeats_found": F.lit(None).cast("binary"), "repeats_whole": F.lit(None).cast("boolean")}))
     out = keep_words(window)(F.col(text).cast("string"), F.col("repeats_found"), F.coalesce("repeats_whole", F.lit(False)))
     joined = joined.withColumn("repeats_out", out)
     return joined.withColumns({k: F.col(f"repeats_out.{k}") for k in ("kept", "n_words", "n_removed")}).drop("repeats_id", "repeats_key", "repeats_found", "repeats_whole", "repeats_out")
