@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,14 @@ def worker_cache(key: Any, build: Callable[[], Any]) -> Any:
     return store["value"]
 
 
+def release() -> None:
+    """Give the memory of worker_cache, and what allocators keep of freed memory, back to the system."""
+    sys.modules.setdefault(_CACHE, types.ModuleType(_CACHE)).__dict__.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, as spark.checkpoint.dir names it; one of our own only in a local session without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
