@@ -15,10 +15,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plinth.runtime import shuffle_partitions
+from plinth.runtime import release, shuffle_partitions
 
 #: Pairs that a packer holds before it passes them on.
-HELD = 800_000
+HELD = 500_000
 
 
 #: Bytes of input files for each bucket at most: a bucket's pairs take a few times as many bytes in its task.
@@ -93,6 +93,7 @@ def set_aside(batches: Iterator[pa.RecordBatch], width: int, open_ones: list[pa.
 
 def unpack(batches: Iterator[pa.RecordBatch], *kinds: type) -> list[np.ndarray]:
     """All blobs of a task, column by column; the bucket is column 0 of each batch."""
+    release()
     found: list[list[bytes]] = [[] for _ in kinds]
     for batch in batches:
         for i in range(len(kinds)):

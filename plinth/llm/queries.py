@@ -97,16 +97,15 @@ def op8_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "score", "kept", "evidence", "prior")
 
 
-def toxicity_classifier(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityClassifier:
-    return toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")))
+def toxicity_of(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    return toxicity.classify(docs, labels.where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")), keep)
 
 
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    model = toxicity_classifier(docs, read_table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("score", model.score(F.col("text")))
-    out = scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), model.threshold(F.col("lang")).alias("threshold"))
-    return out.withColumn("toxic", F.col("score") >= F.col("threshold"))
+    found = toxicity_of(docs, read_table(spark, sf_dir, "labels"), ["doc_id"])
+    score = F.col("toxicity.score")
+    return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "toxicity.threshold", "toxicity.toxic")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

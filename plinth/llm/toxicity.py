@@ -4,12 +4,12 @@ A word's embedding is the sum of the embeddings of its hash and of the hashes of
 that training never saw are near those that it saw. Filters of several widths slide over the whole text; each filter's
 largest response is kept (max pooling), and a logistic unit weighs them. Training follows the gradients through the places
 that won the pooling. Scores see nothing but the text. Thresholds for decisions are calibrated by language on all
-labelled rows that the weights were not fitted on, long texts too, from histograms of their scores; a language with few labels
+labelled rows that the weights were not fitted on, from histograms of their scores; a language with few labels
 takes the threshold of all.
 
 The fit uses a bounded sample: at most ``FIT_ROWS`` toxic and twice as many other labelled rows, those with the smallest hash
-of their id, so it is the same in every run; of them texts of at most ``FIT_CHARS`` characters. Where a class is cut, the
-offset moves by the log-odds of the two classes' sampling rates, counted over all training labels, so that scores hold at the
+of their id, so it is the same in every run, and of these the first ones that make up ``fit_bytes``; each is read whole. Where
+a class is cut, the offset moves by the log-odds of the two classes' sampling rates, counted over all training labels, so that scores hold at the
 labels' own base rate, not at the sample's. Scoring reads whole texts. The broadcast model has a fixed size (4 MB). For each distinct word a worker keeps what all filters make of it, so a text costs a few gathers a word.
 
 Defined results: a null text is the empty one, whose score is the model's for no words; rows are scored one by one, so
@@ -26,22 +26,22 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.llm.sift import maybe_among
-from plinth.runtime import bound_batches, discard, materialise, worker_cache
+from plinth.runtime import bound_batches, discard, materialise, release, worker_cache
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 16, 8, (1, 2, 3)
 STEMS = (4, 5, 6)
 PIECES = 1 + len(STEMS)
-FIT_ROWS, FIT_CHARS, EPOCHS, BATCH = 2500, 12_000, 6, 32
+FIT_ROWS, FIT_BYTES, EPOCHS, BATCH = 2500, 32 << 20, 6, 32
 #: Every CALIBRATE-th row of the sample sets thresholds with the rows outside of it instead of the weights.
 CALIBRATE, LEAST_LABELS, SHRINK = 5, 40, 20
 #: How fine the histograms of scores are.
 BINS_A_LOGIT = 32
 #: Words whose responses a worker keeps; beyond it the table starts anew. It only bounds memory.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿«»…“”„’‘–—"
 
 
@@ -116,40 +116,47 @@ def fit(texts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, seed: int
     rate = 0.02
     for _ in range(EPOCHS):
         for batch in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // BATCH)):
-            grad_f, grad_b, grad_w, grad_o = [np.zeros_like(f) for f in model.filters], np.zeros_like(model.bias), np.zeros_like(model.weights), 0.0
-            rows, slopes = [], []
-            for i in batch:
-                own = texts[i]
-                buckets = words[own]
-                e = model.embeddings[buckets].sum(axis=1)
-                best = np.full(len(model.bias), -np.inf, np.float32)
-                place = np.zeros(len(model.bias), np.int64)
-                for k, (width, f) in enumerate(zip(WIDTHS, model.filters, strict=True)):
-                    n = len(own) - width + 1
+            # What each filter's places make of the batch's distinct words, then of its texts.
+            ends = np.cumsum([len(texts[i]) for i in batch])
+            own, at = np.unique(np.concatenate([texts[i] for i in batch]), return_inverse=True)
+            e = model.embeddings[words[own]].sum(axis=1)
+            made = model.responses(words[own]) if len(own) else np.empty((0, sum(WIDTHS) * FILTERS), np.float32)
+            best = np.full((len(batch), len(model.bias)), -np.inf, np.float32)
+            place = np.zeros((len(batch), len(model.bias)), np.int64)
+            for row, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                rest = made[at[start:end]]
+                column = 0
+                for k, width in enumerate(WIDTHS):
+                    n = end - start - width + 1
                     if n > 0:
-                        total = sum(e[j : n + j] @ f[j] for j in range(width))
-                        at = total.argmax(axis=0)
+                        total = rest[:n, column : column + FILTERS]
+                        for j in range(1, width):
+                            total = total + rest[j : n + j, column + j * FILTERS : column + (j + 1) * FILTERS]
+                        top = total.argmax(axis=0)
                         span = slice(k * FILTERS, (k + 1) * FILTERS)
-                        place[span], best[span] = at, total[at, np.arange(FILTERS)]
-                raw = best + model.bias
-                hidden = np.maximum(raw, 0)
-                p = 1 / (1 + np.exp(-np.clip(hidden @ model.weights + model.offset, -30, 30)))
-                g = (p - toxic[i]) / len(batch)
-                grad_w += g * hidden
-                grad_o += g
-                back = g * model.weights * (raw > 0)
-                grad_b += back
-                for k, width in enumerate(WIDTHS):
-                    for c in np.flatnonzero(back[k * FILTERS : (k + 1) * FILTERS]):
-                        slope, at = back[k * FILTERS + c], place[k * FILTERS + c]
-                        for j in range(width):
-                            grad_f[k][j, :, c] += slope * e[at + j]
-                            rows.append(buckets[at + j])
-                            slopes.append(slope * model.filters[k][j, :, c])
+                        place[row, span], best[row, span] = start + top, total[top, np.arange(FILTERS)]
+                    column += width * FILTERS
+            raw = best + model.bias
+            hidden = np.maximum(raw, 0)
+            p = 1 / (1 + np.exp(-np.clip(hidden @ model.weights + model.offset, -30, 30)))
+            g = ((p - toxic[batch]) / len(batch)).astype(np.float32)
+            back = g[:, None] * model.weights * (raw > 0)
+            grad_w, grad_o, grad_b = g @ hidden, g.sum(), back.sum(axis=0)
+            grad_f, rows, slopes = [np.zeros_like(f) for f in model.filters], [], []
+            for k, width in enumerate(WIDTHS):
+                span = slice(k * FILTERS, (k + 1) * FILTERS)
+                i, c = np.nonzero(back[:, span])
+                slope, won = back[:, span][i, c], place[:, span][i, c]
+                for j in range(width):
+                    word = at[won + j]
+                    np.add.at(grad_f[k][j].T, c, slope[:, None] * e[word])
+                    rows.append(words[own[word]].ravel())
+                    slopes.append(slope[:, None] * model.filters[k][j].T[c])
+            rows = rows if sum(map(len, rows)) else []
             if rows:
                 touched, inverse = np.unique(np.concatenate(rows), return_inverse=True)
                 total = np.zeros((len(touched), DIM), np.float32)
-                np.add.at(total, inverse, np.repeat(np.array(slopes, np.float32), PIECES, axis=0))
+                np.add.at(total, inverse, np.repeat(np.concatenate(slopes), PIECES, axis=0))
                 square["e"][touched] += (total**2).mean(axis=1)
                 model.embeddings[touched] -= rate * total / np.sqrt(square["e"][touched])[:, None] + 1e-4 * model.embeddings[touched]
             for f, g, s in zip(model.filters, grad_f, square["f"], strict=True):
@@ -247,41 +254,36 @@ def best_threshold(bins: np.ndarray, weigh: np.ndarray) -> float:
 
 
 #: One row of a histogram of scores. A bin is a span of log-odds; thresholds lie between bins.
-BINS = np.dtype([("y", "i8"), ("long", "?"), ("fitted", "?"), ("bin", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
+BINS = np.dtype([("y", "i8"), ("fitted", "?"), ("bin", "i8"), ("n", "i8"), ("low", "f8"), ("high", "f8")])
 
 
-def calibrate(model: ToxicityClassifier, rows: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[dict[str, float], float]:
-    """(thresholds by language, threshold of all) over all labelled rows (fit_id, text, lang) but those in fitted. The fit takes its
-    rows by class, and no long texts: what it left over is weighed so that each class, long and short, counts as in all rows."""
-    scored = maybe_among(rows.where("fit_id is not null"), known, "fit_id").withColumn("long", F.coalesce(F.length("text") > FIT_CHARS, F.lit(False)))
-    scored = scored.select("fit_id", "lang", "long", model.score(F.col("text")).alias("score")).join(known.select("fit_id", F.col("y").cast("long").alias("y")), "fit_id")
+def calibrate(scored: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[dict[str, float], float]:
+    """(thresholds by language, threshold of all) over all labelled rows (fit_id, lang, score) but those in fitted. The fit takes its
+    rows by class: what it left over is weighed so that each class counts as in all rows."""
+    scored = scored.where("fit_id is not null").select("fit_id", "lang", "score").join(known.select("fit_id", F.col("y").cast("long").alias("y")), "fit_id")
     scored = scored.join(F.broadcast(fitted.withColumn("fitted", F.lit(True))), "fit_id", "left").withColumn("fitted", F.coalesce("fitted", F.lit(False)))
     least = F.lit(1e-12)  # scores can be 0 or 1
     bin_of = F.floor(BINS_A_LOGIT * F.ln(F.greatest(F.col("score"), least) / F.greatest(1 - F.col("score"), least)))
-    held = scored.groupBy("lang", "y", "long", "fitted", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    held = scored.groupBy("lang", "y", "fitted", bin_of.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
     held = materialise(held, "scores")
 
     def table(found: list) -> np.ndarray:
         return np.array([tuple(r[c] for c in BINS.names) for r in found], BINS)
 
-    def weights(bins: np.ndarray) -> np.ndarray:
-        return np.array([by[y, long] for y, long in zip(bins["y"].tolist(), bins["long"].tolist(), strict=True)], float)
-
-    bins = table(held.groupBy("y", "long", "fitted", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect())
-    by = {}
+    bins = table(held.groupBy("y", "fitted", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect())
+    by = np.ones(2)
     for y in (0, 1):
-        for long in (False, True):
-            own = (bins["y"] == y) & (bins["long"] == long)
-            by[y, long] = bins["n"][own].sum() / max(bins["n"][own & ~bins["fitted"]].sum(), 1)
+        own = bins["y"] == y
+        by[y] = bins["n"][own].sum() / max(bins["n"][own & ~bins["fitted"]].sum(), 1)
     bins = bins[~bins["fitted"]]
-    overall = best_threshold(bins, weights(bins)) if len(set(bins["y"].tolist())) == 2 else 0.5
+    overall = best_threshold(bins, by[bins["y"]]) if len(set(bins["y"].tolist())) == 2 else 0.5
     left = held.where("not fitted and lang <> ''")
     enough = left.groupBy("lang").agg(F.sum("n").alias("all"), F.min("y").alias("least"), F.max("y").alias("most")).where(f"all >= {LEAST_LABELS} and least < most")
     of: dict[str, list] = {}
     for r in left.join(enough.select("lang"), "lang").collect():
         of.setdefault(r["lang"], []).append(r)
     discard(held)
-    return {lang: best_threshold(own, weights(own)) for lang, own in ((k, table(v)) for k, v in sorted(of.items()))}, overall
+    return {lang: best_threshold(own, by[own["y"]]) for lang, own in ((k, table(v)) for k, v in sorted(of.items()))}, overall
 
 
 def rate_shift(labels: dict[int, int], caps: dict[int, int]) -> float:
@@ -289,27 +291,56 @@ def rate_shift(labels: dict[int, int], caps: dict[int, int]) -> float:
     return float(np.log(min(1, caps[0] / labels[0])) - np.log(min(1, caps[1] / labels[1])))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> ToxicityClassifier:
-    """labels: (id, y), y 0 or 1; of several for an id the largest holds. lang only chooses which rows set which threshold. The
-    sample is chosen among the labels, so that no text is shuffled: its 3 * fit_rows ids at most are broadcast."""
+def fitted_on(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int, text: str, id_column: str) -> tuple[ToxicityClassifier, DataFrame, DataFrame | None]:
+    """(the classifier without thresholds, the labels by id, the ids that its weights were fitted on: None if there is nothing to learn). The
+    sample is chosen among the labels, so that no other text is shuffled: its 3 * fit_rows ids at most are broadcast. Of several
+    texts of an id that with the smallest hash is fitted."""
     spark = docs.sparkSession
     known = labels.where("y in (0, 1) and id is not null").groupBy(F.col("id").cast("long").alias("fit_id")).agg(F.max("y").cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("fit_id", F.lit("fit")))
     caps = {1: fit_rows, 0: 2 * fit_rows}
     chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in caps.items()]
-    all_rows = docs.select(F.col(id_column).cast("long").alias("fit_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = all_rows.where(F.length("text") <= FIT_CHARS).select("fit_id", "text")
-    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").dropDuplicates(["fit_id"]).toArrow().sort_by("h")
+    rows = docs.select(F.col(id_column).cast("long").alias("fit_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").groupBy("fit_id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    upto = Window.orderBy("h", "fit_id")  # over 3 * fit_rows rows at most
+    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= fit_bytes).drop("bytes").toArrow().sort_by("h")
     y = sample["y"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
-        return ToxicityClassifier(spark, None, float(y.mean()) if len(y) else 0.0, {}, 0.5)
+        return ToxicityClassifier(spark, None, float(y.mean()) if len(y) else 0.0, {}, 0.5), known, None
+    ids, hashes = sample["fit_id"].to_pylist(), sample["h"].to_numpy()
     places: dict[bytes, int] = {}
-    texts = [np.array([places.setdefault(w, len(places)) for w in t.as_py().encode().split()], np.int64) for t in sample["text"]]
-    words = np.array([pieces(w) for w in places] or np.empty((0, PIECES)), np.int64).reshape(-1, PIECES)
-    aside = np.argsort(np.argsort(sample["h"].to_numpy())) % CALIBRATE == 0
+    texts = [np.array([places.setdefault(w, len(places)) for w in t.as_py().encode().split()], np.int32) for t in sample["text"]]
+    words = np.array([pieces(w) for w in places] or np.empty((0, PIECES)), np.int32).reshape(-1, PIECES)
+    del sample, places
+    release()
+    aside = np.argsort(np.argsort(hashes)) % CALIBRATE == 0
     model = fit([texts[i] for i in np.flatnonzero(~aside)], words, y[~aside])
     model.offset += rate_shift({r["y"]: r["count"] for r in known.groupBy("y").count().collect()}, caps)
     out = ToxicityClassifier(spark, model, float(y.mean()), {}, 0.5)
-    fitted = spark.createDataFrame([(i,) for i in sample["fit_id"].filter(pa.array(~aside)).to_pylist()], "fit_id long")
-    out.thresholds, out.overall = calibrate(out, all_rows, known, fitted)
-    return out
+    fitted = spark.createDataFrame([(i,) for i, other in zip(ids, aside.tolist(), strict=True) if not other], "fit_id long")
+    del texts, words
+    release()
+    return out, known, fitted
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> ToxicityClassifier:
+    """labels: (id, y), y 0 or 1; of several for an id the largest holds. lang only chooses which rows set which threshold."""
+    model, known, fitted = fitted_on(docs, labels, fit_rows, fit_bytes, text, id_column)
+    if fitted:
+        rows = docs.select(F.col(id_column).cast("long").alias("fit_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+        rows = maybe_among(rows, known, "fit_id").select("fit_id", "lang", model.score(F.col("text")).alias("score"))
+        model.thresholds, model.overall = calibrate(rows, known, fitted)
+    return model
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str], fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
+    """The columns ``keep`` of docs with ``toxicity``, a struct of score, threshold (the row's language's) and toxic. Trained as by
+    train(), but each text is scored only once: thresholds come from the labelled ones among the scores."""
+    model, known, fitted = fitted_on(docs, labels, fit_rows, fit_bytes, text, id_column)
+    own = {"fit_id": F.col(id_column).cast("long"), "fit_lang": F.col(lang).cast("string"), "fit_score": model.score(F.col(text))}
+    scored = materialise(docs.select(F.struct(*keep).alias("row"), *[c.alias(k) for k, c in own.items()]), "toxicity")
+    if fitted:
+        model.thresholds, model.overall = calibrate(scored.select("fit_id", F.col("fit_lang").alias("lang"), F.col("fit_score").alias("score")), known, fitted)
+    at = model.threshold(F.col("fit_lang"))
+    said = F.struct(F.col("fit_score").alias("score"), at.alias("threshold"), (F.col("fit_score") >= at).alias("toxic"))
+    return scored.select("row.*", said.alias("toxicity"))

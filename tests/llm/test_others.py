@@ -4,7 +4,9 @@ import base64
 import hashlib
 import math
 import random
+import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -267,24 +269,76 @@ def test_toxicity_keeps_the_base_rate_when_caps_bind(spark):
 
 
 def test_thresholds_cover_languages_and_long_texts_outside_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "FIT_CHARS", 400)
     rows = [(i, t, "xx" if i % 20 == 0 else "long" if i % 20 == 1 else lang, y) for i, t, lang, _, y, _ in corpus(3000)]
     rows = [(i, t + " " + "alphaa betab " * 40 if lang == "long" else t, lang, y) for i, t, lang, y in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
     model = toxicity.train(df, df.selectExpr("doc_id AS id", "y"), fit_rows=150)
-    assert {"xx", "long"} <= set(model.thresholds)  # 150 labels each; of the sample's 450 rows 90 calibrate, none of them long
+    assert {"xx", "long"} <= set(model.thresholds)  # 150 labels each; of the sample's 450 rows 90 calibrate
     got = df.select("y", (model.score(F.col("text")) >= model.threshold(F.col("lang"))).alias("toxic")).collect()
     assert sum(r.toxic == bool(r.y) for r in got) >= 0.95 * len(got)
 
 
 def test_certain_scores_have_a_bin(spark):
-    rows = [(i, "x", "en", int(i % 2)) for i in range(90)]
-    df = spark.createDataFrame(rows, "fit_id long, text string, lang string, y int")
-    model = type("Certain", (), {"score": lambda self, text: F.when(F.col("fit_id") % 2 == 1, 1.0).otherwise(0.0)})()
-    thresholds, overall = toxicity.calibrate(model, df.select("fit_id", "text", "lang"), df.select("fit_id", "y"), df.where("fit_id < 10").select("fit_id"))
+    rows = [(i, float(i % 2), "en", int(i % 2)) for i in range(90)]
+    df = spark.createDataFrame(rows, "fit_id long, score double, lang string, y int")
+    thresholds, overall = toxicity.calibrate(df, df.select("fit_id", "y"), df.where("fit_id < 10").select("fit_id"))
     assert set(thresholds) == {"en"} and 0 < overall < 1
 
 
+def test_classify_like_train(spark):
+    rows = [*corpus(400), (1000, None, None, None, 0, 0), (3, "another text of an id", "en", "s", 0, 0)]
+    df = spark.createDataFrame([(*r[:4], "x") for r in rows], "doc_id long, text string, lang string, source string, score string")
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows if r[0] % 3], "id long, y int")
+    model = toxicity.train(df, labels)
+    want = sorted((r.doc_id, r.s, r.t) for r in df.select("doc_id", model.score(F.col("text")).alias("s"), model.threshold(F.col("lang")).alias("t")).collect())
+    out = toxicity.classify(df, labels, df.columns)
+    got = out.collect()
+    assert out.columns == [*df.columns, "toxicity"] and {r.score for r in got} == {"x"}
+    assert sorted((r.doc_id, r.toxicity.score, r.toxicity.threshold) for r in got) == want
+    assert all(r.toxicity.toxic == (r.toxicity.score >= r.toxicity.threshold) for r in got)
+    assert toxicity.classify(df.limit(0), labels, ["doc_id"]).collect() == []
+
+
+def test_scores_against_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    model = toxicity.fresh(rng)
+    model.bias += rng.normal(size=len(model.bias)).astype(np.float32)
+    known = toxicity._Responses(model)
+    for n in (0, 1, 2, 3, 40):
+        words = [b"w%d" % rng.integers(9) for _ in range(n)]
+        e = [sum(model.embeddings[p] for p in toxicity.pieces(w)) for w in words]
+        pooled = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for c in range(toxicity.FILTERS):
+                sums = [sum(float(e[i + j] @ model.filters[k][j, :, c]) for j in range(width)) for i in range(n - width + 1)]
+                pooled.append(max([0.0, *(v + model.bias[k * toxicity.FILTERS + c] for v in sums)]))
+        want = 1 / (1 + math.exp(-(float(np.dot(pooled, model.weights)) + model.offset)))
+        assert abs(model.score(known.of(words)) - want) < 1e-4
+
+
+def test_training_adds_to_the_warm_start(monkeypatch):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, coalesce(text, ''), toxic FROM '{sf}/documents.parquet' JOIN '{sf}/labels.parquet' USING (doc_id) WHERE toxic IS NOT NULL ORDER BY 1").fetchall()
+    places = {}
+    texts = [np.array([places.setdefault(w, len(places)) for w in t.encode().split()], np.int64) for i, t, _ in rows if not held(i)]
+    words, y = np.array([toxicity.pieces(w) for w in places]), np.array([t for i, _, t in rows if not held(i)], np.float32)
+
+    def loss():
+        model = toxicity.fit(texts, words, y)
+        known = toxicity._Responses(model)
+        p = np.clip([model.score(known.of(t.encode().split())) for i, t, _ in rows if held(i)], 1e-6, 1 - 1e-6)
+        z = np.array([t for i, _, t in rows if held(i)])
+        return -np.mean(z * np.log(p) + (1 - z) * np.log(1 - p))
+
+    trained = loss()
+    with monkeypatch.context() as m:
+        m.setattr(toxicity, "EPOCHS", 0)
+        assert trained < 0.8 * loss()
+    monkeypatch.setattr(toxicity, "warm_start", lambda *a: None)
+    assert loss() < 0.1  # the filters learn from random weights too
+
+
 def test_quality_on_held_out_rows(spark):
     rows = corpus()
     df = spark.createDataFrame([r[:4] for r in rows] + [(9999, None, None, None)], "doc_id long, text string, lang string, source string")
