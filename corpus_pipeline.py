@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import jaccard, mixing, substrings
 from plinth.llm.bpe import BpeCodec
-from plinth.llm.queries import toxicity_classifier
+from plinth.llm.queries import toxicity_of
 from plinth.runtime import materialise, read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,9 +20,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go."""
-    model = toxicity_classifier(docs, read_table(spark, sf_dir, "labels"))
-    scored = docs.withColumn("stage_score", model.score(F.col("text")))
-    return scored.where(F.col("stage_score") < model.threshold(F.col("lang"))).select(docs.columns)
+    found = toxicity_of(docs, read_table(spark, sf_dir, "labels"), docs.columns)
+    return found.where("not toxicity.toxic").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
