@@ -460,8 +460,12 @@ BLOCKS = (
 )
 
 
-def block_rows(spark: SparkSession) -> DataFrame:
-    rows = [(doc, page, 600.0, no, 0, [x, y, x + 50, y + 10], [([(t, [sx, y, sx + 20, y + 10]) for sx, t in spans],)]) for doc, page, no, x, y, spans in BLOCKS]
+#: Pages as well that are a picture, and that lie behind the references.
+PAGE_BLOCKS = (*BLOCKS, ("scan", 1, 0, 10.0, 10.0, ((10.0, "Text"),)), ("scan", 2, 0, 0.0, 0.0, ()), ("scan", 3, 0, 10.0, 10.0, ((10.0, "References"),)), ("scan", 4, 0, 10.0, 10.0, ((10.0, "Later"),)), ("scan", 5, 0, 10.0, 10.0, ((10.0, "Last"),)))
+
+
+def block_rows(spark: SparkSession, blocks: tuple = BLOCKS) -> DataFrame:
+    rows = [(doc, page, 600.0, no, 0 if spans else 1, [x, y, x + 50, y + 10], [([(t, [sx, y, sx + 20, y + 10]) for sx, t in spans],)] if spans else []) for doc, page, no, x, y, spans in blocks]
     return spark.createDataFrame(rows, layout.BLOCKS)
 
 
@@ -475,23 +479,30 @@ def table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return layout.assemble_pages(block_rows(spark)).select("doc", "page", "text", "columns", "has_table")
+    return layout.assemble_pages(block_rows(spark, PAGE_BLOCKS)).select("doc", "page", "text", "columns", "has_table")
 
 
-SQL_BLOCKS = f"""
-spans AS (SELECT * FROM {sql_values([(doc, page, no, x, y, i, sx, t) for doc, page, no, x, y, spans in BLOCKS for i, (sx, t) in enumerate(spans)])} v(doc, page, block_no, x0, y0, i, sx, t)),
+def sql_blocks(blocks: tuple) -> str:
+    return f"""
+spans AS (SELECT * FROM {sql_values([(doc, page, no, x, y, i, sx, t) for doc, page, no, x, y, spans in blocks for i, (sx, t) in enumerate(spans)])} v(doc, page, block_no, x0, y0, i, sx, t)),
 blocks AS (SELECT doc, page, block_no, any_value(x0)::DOUBLE AS x0, any_value(y0)::DOUBLE AS y0, coalesce(string_agg(t, '' ORDER BY i) FILTER (trim(t) <> ''), '') AS raw,
   coalesce(count(*) FILTER (trim(t) <> '') >= 3 AND count(DISTINCT round_even(sx::DOUBLE / 10, 0)) FILTER (trim(t) <> '') >= 3 AND count(*) FILTER (trim(t) <> '' AND length(trim(t)) < 40) >= 0.7 * count(*) FILTER (trim(t) <> ''), false) AS is_table,
   coalesce(string_agg(trim(t), ' | ' ORDER BY i) FILTER (trim(t) <> ''), '') AS row FROM spans GROUP BY ALL),
 cols AS (SELECT *, CASE WHEN avg(CASE WHEN x0 > 270 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page) > 0.3 THEN 2 ELSE 1 END AS columns FROM blocks),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN columns = 2 AND x0 > 270 THEN 1 ELSE 0 END, y0, block_no) AS place FROM cols)"""
-SQL_PAGES = f"""{SQL_BLOCKS},
+
+
+SQL_BLOCKS = sql_blocks(BLOCKS)
+SQL_PAGES = f"""{sql_blocks(PAGE_BLOCKS)},
+pages AS (SELECT * FROM {sql_values(sorted({(doc, page) for doc, page, *_ in PAGE_BLOCKS}))} v(doc, page)),
 normed AS (SELECT *, lower(regexp_replace(raw, '\\s+', ' ', 'g')) AS norm FROM placed),
 again AS (SELECT doc, norm FROM normed WHERE norm <> '' AND length(norm) < 120 GROUP BY doc, norm HAVING count(DISTINCT page) >= greatest(3, floor(0.15 * (SELECT count(DISTINCT page) FROM placed p WHERE p.doc = normed.doc)))),
 kept AS (SELECT *, max((regexp_replace(norm, '^:+|:+$', '', 'g') IN ('references', 'bibliography', 'reference'))::INTEGER) OVER (PARTITION BY doc ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS stopped
   FROM normed WHERE raw <> '' AND (doc, norm) NOT IN (SELECT doc, norm FROM again)),
 body AS (SELECT doc, page, string_agg(CASE WHEN is_table THEN row ELSE raw END, chr(10) ORDER BY place) AS text, bool_or(is_table) AS has_table FROM kept WHERE stopped = 0 AND NOT {SQL_NOISE.replace("line", "raw")} GROUP BY ALL)
-SELECT doc, page, coalesce(text, '') AS text, columns, coalesce(has_table, false) AS has_table FROM (SELECT DISTINCT doc, page, columns FROM placed) LEFT JOIN body USING (doc, page)"""
+SELECT doc, page, coalesce(text, '') AS text, coalesce(columns, 1) AS columns, coalesce(has_table, false) AS has_table
+FROM pages LEFT JOIN (SELECT DISTINCT doc, page, columns FROM placed) USING (doc, page) LEFT JOIN body USING (doc, page) LEFT JOIN (SELECT doc, min(page) AS last FROM kept WHERE stopped = 1 GROUP BY doc) USING (doc)
+WHERE last IS NULL OR page <= last"""
 
 
 # -- answers ------------------------------------------------------------------------------------------------------------------

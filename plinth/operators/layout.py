@@ -58,7 +58,8 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 
 def assemble_pages(blocks: DataFrame) -> DataFrame:
-    """(doc, page, text, columns, has_table): all from a references heading on is dropped, on later pages too."""
+    """(doc, page, text, columns, has_table) for each page that has any block. All from a references heading on is dropped: the page
+    where it stands keeps what is above it, and later pages go."""
     rows = reading_order(blocks).withColumn("raw", block_text(F.col("lines"))).withColumn("norm", normalised(F.col("raw")))
     repeated = repeated_texts(rows, blocks).select("doc", "norm")
     seen = rows.where("raw <> ''").join(repeated, ["doc", "norm"], "left_anti")
@@ -68,5 +69,8 @@ def assemble_pages(blocks: DataFrame) -> DataFrame:
     kept = kept.withColumn("is_table", is_table_row(F.col("lines"))).withColumn("line", F.when(F.col("is_table"), table_row(F.col("lines"))).otherwise(F.col("raw")))
     lines = F.array_sort(F.collect_list(F.struct("place", "line")))
     texts = kept.groupBy("doc", "page").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.max("is_table").alias("has_table"))
-    pages = rows.groupBy("doc", "page").agg(F.max("columns").alias("columns"))
-    return pages.join(texts, ["doc", "page"], "left").select("doc", "page", F.coalesce("text", F.lit("")).alias("text"), "columns", F.coalesce("has_table", F.lit(False)).alias("has_table"))
+    columns = rows.groupBy("doc", "page").agg(F.max("columns").alias("columns"))
+    stops = seen.where(ref).groupBy("doc").agg(F.min("page").alias("last"))
+    pages = blocks.select("doc", "page").distinct().join(stops, "doc", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
+    pages = pages.join(columns, ["doc", "page"], "left").join(texts, ["doc", "page"], "left")
+    return pages.select("doc", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("columns", F.lit(1)).alias("columns"), F.coalesce("has_table", F.lit(False)).alias("has_table"))

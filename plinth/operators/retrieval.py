@@ -26,14 +26,15 @@ def ranked(rows: DataFrame, by: list[Column], name: str = "rank", limit: int | N
     return out if limit is None else out.where(F.col(name) <= limit)
 
 
-def matches(filters: dict[str, Any] | None, as_text: bool = False) -> Column:
+def matches(filters: dict[str, Any] | None, as_text: bool = False, columns: list[str] | None = None) -> Column:
     """Conjunction of equalities, null matching null only. as_text: values are strings, as a REST caller sends them, and columns of
-    another type match nothing."""
+    another type match nothing. columns: those that there are; any other key is null in every row."""
     out = F.lit(True)
     for key, expected in (filters or {}).items():
         if as_text and not isinstance(expected, str):
             raise ValueError("filters are strings")
-        out = out & F.col(key).eqNullSafe(F.lit(expected))
+        found = F.col(key) if columns is None or key in columns else F.lit(None)
+        out = out & found.eqNullSafe(F.lit(expected))
     return out
 
 
@@ -50,6 +51,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_column: str =
     return ranked(scored, [F.desc("score"), F.col(id_column)], limit=k)
 
 
+def packed(weights: DataFrame, id_column: str) -> DataFrame:
+    """(id, bucket, weight) as one row for each vector: (id, buckets, weights)."""
+    return weights.groupBy(id_column).agg(F.collect_list("bucket").alias("buckets"), F.collect_list("weight").alias("weights"))
+
+
+def unpacked(vectors: DataFrame, id_column: str) -> DataFrame:
+    each = vectors.select(id_column, F.explode(F.arrays_zip("buckets", "weights")).alias("x"))
+    return each.select(id_column, F.col("x.buckets").alias("bucket"), F.col("x.weights").alias("weight"))
+
+
 def tiled_topk(asked: pa.Table, queries: DataFrame, weights: DataFrame, k: int, id_column: str) -> DataFrame:
     """(query_id, id, score) with the k best positive scores of each tile of vectors and their ties: products of whole tiles with the
     questions' matrix, so that only top lists are shuffled. A join of single weights makes a row for each product instead."""
@@ -59,7 +70,7 @@ def tiled_topk(asked: pa.Table, queries: DataFrame, weights: DataFrame, k: int,
     size = int(bucket.max()) + 1 if len(bucket) else 1
     matrix = np.zeros((size, len(ids)))
     matrix[bucket, row] = weight
-    vectors = weights.groupBy(id_column).agg(F.collect_list("bucket").alias("b"), F.collect_list("weight").alias("w"))
+    vectors = (weights if "buckets" in weights.columns else packed(weights, id_column)).select(id_column, "buckets", "weights")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +91,12 @@ def tiled_topk(asked: pa.Table, queries: DataFrame, weights: DataFrame, k: int,
 
 
 def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: int, id_column: str = "chunk_id", order: str = "chunk_ord", filtered: bool = True) -> DataFrame:
-    """As dense_topk over sparse rows. queries: (query_id, bucket, weight); weights: (id, bucket, weight); chunks: (id, order), the rows
+    """As dense_topk over sparse rows. queries: (query_id, bucket, weight); weights: (id, bucket, weight) or packed(); chunks: (id, order), the rows
     that may be found; filtered: whether they may be fewer than those of weights. Rows without a common bucket score 0; they are
     looked at only for questions with fewer than k better ones. The k best with their ties are cut before order is joined."""
     allowed = weights.join(chunks.select(id_column), id_column, "left_semi") if filtered else weights
-    parts = allowed.join(queries.withColumnRenamed("weight", "asked"), "bucket")
+    parts = unpacked(allowed, id_column) if "buckets" in allowed.columns else allowed
+    parts = parts.join(queries.withColumnRenamed("weight", "asked"), "bucket")
     scored = parts.groupBy("query_id", id_column).agg(F.round(F.sum(F.col("weight") * F.col("asked")), 9).alias("score"))
     few = queries.limit(BROADCAST_WEIGHTS + 1).toArrow()
     if few.num_rows <= BROADCAST_WEIGHTS:
@@ -97,8 +109,11 @@ def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: in
     if needy.isEmpty():
         return best
     needy = materialise(needy, "needy")
-    own = scored.join(needy, "query_id")
-    zeros = needy.crossJoin(chunks).join(own.select("query_id", id_column), ["query_id", id_column], "left_anti").withColumn("score", F.lit(0.0))
+    own = materialise(scored.join(needy, "query_id"), "own")
+    # The first zeros are among as many chunks as the question has scores, and k more.
+    most = own.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    zeros = needy.crossJoin(F.broadcast(chunks.orderBy(order).limit(k + most))) if k + most <= BROADCAST_WEIGHTS else needy.crossJoin(chunks)
+    zeros = zeros.join(own.select("query_id", id_column), ["query_id", id_column], "left_anti").withColumn("score", F.lit(0.0))
     again = ranked(own.join(chunks, id_column).unionByName(zeros), [F.desc("score"), F.col(order)], limit=k)
     return best.join(needy, "query_id", "left_anti").unionByName(again, allowMissingColumns=True)
 

@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.operators import answers, embedding
+from plinth.operators.retrieval import packed
+from plinth.runtime import discard, materialise
 from plinth.settings import Settings
 from plinth.sources import tables
 
 Transport = Callable[[str, dict | None, float], dict]
+#: A row of the embedding cache.
+VECTORS = {"text_sha256": "string", "buckets": "array<int>", "weights": "array<double>", "model": "string"}
 
 
 def http(url: str, payload: dict | None, timeout: float) -> dict:
@@ -59,27 +63,34 @@ class Backends:
         name = f"ollama:{s.ollama_embedding_model}" if kind == "service" else embedding.model_name("blake2b" if kind == "hash" else kind, s.embedding_dimensions)
         return cls(kind, "service" if s.generation_backend == "ollama" else "extractive", name, fell_back, transport)
 
+    def weights(self, texts: DataFrame, id_column: str, s: Settings) -> DataFrame:
+        """(id, text) -> (id, bucket, weight), past the cache: questions don't belong there."""
+        if self.embedding == "service":
+            return self._served(texts.select(F.col(id_column).alias("text_sha256"), "text"), s).withColumnRenamed("text_sha256", id_column)
+        return embedding.hash_embed(texts, id_column, "text", "blake2b" if self.embedding == "hash" else "md5", s.embedding_dimensions)
+
     def embed(self, rows: DataFrame, spark: SparkSession, s: Settings) -> DataFrame:
-        """(chunk_id, text) -> (chunk_id, bucket, weight). Texts that repeat are embedded once, cached ones not at all."""
+        """(chunk_id, text) -> (chunk_id, buckets, weights). Texts that repeat are embedded once, cached ones not at all; the others are
+        appended to the cache, a row for each vector, so that a row is there whole or not at all."""
         keyed = rows if "text_sha256" in rows.columns else rows.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
         texts = keyed.select("text_sha256", "text").dropDuplicates(["text_sha256"])
-        cache = None
-        if s.cache_path and (row := tables.current(spark, s.cache_path)):
-            cache = spark.read.parquet(f"{s.cache_path}/v{row['version']}/rows").where(F.col("model") == self.embedding_name).drop("model")
-        had = cache.select("text_sha256").distinct() if cache is not None else None
-        missing = texts if had is None else texts.join(had, "text_sha256", "left_anti")
-        if cache is not None and missing.isEmpty():
-            return keyed.select("chunk_id", "text_sha256").join(cache, "text_sha256").select("chunk_id", "bucket", "weight")
-        if self.embedding == "service":
-            made = self._served(missing, s)
-        else:
-            made = embedding.hash_embed(missing, "text_sha256", "text", "blake2b" if self.embedding == "hash" else "md5", s.embedding_dimensions)
-        known = made if cache is None else made.unionByName(cache.select("text_sha256", "bucket", "weight"))
-        if s.cache_path:
-            tables.write_version(spark, s.cache_path, {"rows": known.withColumn("model", F.lit(self.embedding_name))}, self.embedding_name)
-            row = tables.current(spark, s.cache_path)
-            known = spark.read.parquet(f"{s.cache_path}/v{row['version']}/rows").drop("model")
-        return keyed.select("chunk_id", "text_sha256").join(known, "text_sha256").select("chunk_id", "bucket", "weight")
+        at = f"{s.cache_path}/vectors"
+        if not s.cache_path:
+            return keyed.select("chunk_id", "text_sha256").join(packed(self.weights(texts, "text_sha256", s), "text_sha256"), "text_sha256").drop("text_sha256")
+        missing = texts
+        if tables.exists(spark, at):
+            missing = texts.join(self._cached(spark, at).select("text_sha256"), "text_sha256", "left_anti")
+        missing = materialise(missing, "missing")
+        if not missing.isEmpty():
+            made = packed(self.weights(missing, "text_sha256", s), "text_sha256")
+            made.withColumn("model", F.lit(self.embedding_name)).select(*VECTORS).write.mode("append").parquet(at)
+        discard(missing)
+        return keyed.select("chunk_id", "text_sha256").join(self._cached(spark, at), "text_sha256").drop("text_sha256")
+
+    def _cached(self, spark: SparkSession, at: str) -> DataFrame:
+        """Two writers at a time may both have appended a text: the vectors are the same."""
+        kinds = ", ".join(f"{k} {v}" for k, v in VECTORS.items())
+        return spark.read.schema(kinds).parquet(at).where(F.col("model") == self.embedding_name).drop("model").dropDuplicates(["text_sha256"])
 
     def _served(self, texts: DataFrame, s: Settings) -> DataFrame:
         url, model, timeout, size, transport = s.ollama_url, s.ollama_embedding_model, s.request_timeout_seconds, s.embedding_batch_size, self.transport

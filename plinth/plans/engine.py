@@ -37,6 +37,8 @@ class Engine:
         listed = sources.list_files(spark, path, max_files)
         incremental = bool(s.manifest_path and s.extraction_cache_path)
         found = materialise(sources.discover(listed), "files")
+        if found.isEmpty():
+            raise ValueError(f"No files to ingest under {path}")
         timings["discovery"] = time.time() - began
         if not incremental:
             return self._rebuild(listed, found, found.where("false"), began, timings)
@@ -81,6 +83,10 @@ class Engine:
         texts = pages.where("error is null and text <> ''")
         base = self.page_table(texts)
         chunks = chunking.chunks(cleaning.segments(base), s)
+        # What filters may ask of a chunk's file.
+        files = found.select(F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.col("sha256").alias("source_hash"), F.col("size").alias("source_size"), F.col("mtime_ns").alias("source_mtime_ns"))
+        made_by = {"parser_version": F.lit(PARSER_VERSION), "chunk_size_chars": F.lit(s.chunk_size_chars), "chunk_overlap_chars": F.lit(s.chunk_overlap_chars)}
+        chunks = chunks.join(files, "source_path", "left").withColumns(made_by)
         chunks = materialise(chunks.withColumns({"source_id": sources.base_name(F.col("source_path")), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)}), "chunks")
         timings["chunking"], mark = time.time() - mark, time.time()
         n_chunks = chunks.count()
@@ -139,10 +145,10 @@ class Engine:
         """questions: query_id, question. (query_id, a chunk's columns, score, rank)."""
         row, held = tables.read_version(self.spark, self.settings.index_path, "chunks", "vectors", "postings", "doc_stats")
         if row["embedding_model"] != self.backends.embedding_name:
-            raise ValueError(f"The index was built with {row['embedding_model']}, but the current embedding model is {self.backends.embedding_name}. Re-run ingestion or use the same embedding backend.")
+            raise ValueError(f"Questions would be embedded by {self.backends.embedding_name}, the index holds vectors of {row['embedding_model']}: ingest again, or ask with that model")
         limit = candidate_limit(top_k)
-        fits = retrieval.matches(filters)
-        asked = self.backends.embed(questions.select(F.col("query_id").alias("chunk_id"), F.col(question).alias("text")), self.spark, self.settings).withColumnRenamed("chunk_id", "query_id")
+        fits = retrieval.matches(filters, columns=held["chunks"].columns)
+        asked = self.backends.weights(questions.select("query_id", F.col(question).alias("text")), "query_id", self.settings)
         names = held["chunks"].where(fits).select("chunk_id", "chunk_ord")
         both = hybrid and "postings" in held
         nearest = retrieval.sparse_topk(asked, held["vectors"], names, limit if both else top_k, filtered=bool(filters))
@@ -170,7 +176,8 @@ class Engine:
 
     def ask(self, question: str, top_k: int | None = None, filters: dict[str, Any] | None = None, mode: str | None = None) -> dict:
         mode = answer_mode(mode or self.settings.answer_mode)
-        if not question.strip():
+        question = question.strip()
+        if not question:
             raise ValueError("question is empty")
         one = self.spark.createDataFrame([("q", question, mode)], "query_id string, question string, answer_mode string")
         row = self.ask_batch(one, top_k, filters).first().asDict(recursive=True)

@@ -59,12 +59,16 @@ class Settings:
             found = next((env[n] for n in names if env.get(n)), None)  # an empty value is an unset one
             if found is not None:
                 values[field] = found.strip().lower() in ("1", "true", "yes", "on") if kind is bool else kind(found)
+                if field in NAMED:
+                    values[field] = found.lower()
         legacy = env.get("VECTOR_DB_PATH")
         if legacy and "index_path" not in values:
-            values["index_path"] = f"{legacy.rstrip('/')}/index"
+            values["index_path"] = legacy if "." in legacy.rstrip("/").rpartition("/")[2].lstrip(".") else f"{legacy.rstrip('/')}/index"
         return cls(**values)
 
 
+#: Settings whose values are names, in any case.
+NAMED = ("embedding_backend", "generation_backend", "answer_mode", "reranker_backend")
 #: Names of variables, the current one first and older ones after it.
 ENVIRONMENT: dict[str, tuple] = {
     "source_path": (str, "RAG_CORPUS_DIR", "PDF_FOLDER"),

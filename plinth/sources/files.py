@@ -85,9 +85,23 @@ def with_pymupdf(data: bytes) -> Iterator[dict]:
     with fitz.open(stream=data, filetype="pdf") as doc:
         title = (doc.metadata or {}).get("title") or None
         for number, page in enumerate(doc, 1):
-            for i, b in enumerate(page.get_text("dict").get("blocks", [])):
-                lines = [{"spans": [{"text": s["text"], "bbox": list(s["bbox"])} for s in line.get("spans", [])]} for line in b.get("lines", [])]
-                yield {"page": number, "width": page.rect.width, "block_no": i, "type": b.get("type"), "bbox": list(b["bbox"]), "lines": lines, "title": title}
+            try:
+                found = [block_of(b) for b in page.get_text("dict").get("blocks", [])]
+            except Exception:  # one page that can't be taken apart is read as plain text, line by line
+                found = [plain_block(i, line) for i, line in enumerate(page.get_text("text", sort=True).splitlines())]
+            # A page without blocks is a page, too.
+            for i, b in enumerate(found or [{"type": 1, "bbox": [0.0] * 4, "lines": []}]):
+                yield {"page": number, "width": page.rect.width, "block_no": i, "title": title, **b}
+
+
+def block_of(b: dict) -> dict:
+    lines = [{"spans": [{"text": s["text"], "bbox": list(s["bbox"])} for s in line.get("spans", [])]} for line in b.get("lines", [])]
+    return {"type": b.get("type"), "bbox": list(b["bbox"]), "lines": lines}
+
+
+def plain_block(i: int, line: str) -> dict:
+    at = [0.0, float(i), 0.0, float(i)]
+    return {"type": 0, "bbox": at, "lines": [{"spans": [{"text": line, "bbox": at}]}]}
 
 
 def pdf_pages(files: DataFrame, parse: Callable[[bytes], Iterator[dict]] | None = None) -> DataFrame:

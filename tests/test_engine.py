@@ -77,7 +77,7 @@ def test_filters_threshold_and_errors(make):
     strict = Engine(engine.spark, engine.settings.but(min_relevance_score=999.0))
     assert strict.ask("stroke")["citations"] == []
     other = Engine(engine.spark, engine.settings.but(embedding_dimensions=64))
-    with pytest.raises(ValueError, match="index was built with"):
+    with pytest.raises(ValueError, match="index holds vectors of"):
         other.ask("stroke")
     with pytest.raises(FileNotFoundError):
         engine.ingest("/no/such/folder")
@@ -101,3 +101,48 @@ def test_settings():
     assert [candidate_limit(k) for k in (1, 5, 20, 80)] == [4, 20, 50, 50]
     with pytest.raises(ValueError):
         Settings(chunk_size_chars=100, chunk_overlap_chars=100)
+
+
+def test_questions_leave_the_cache_alone_and_texts_are_appended_once(make, spark, tmp_path):
+    engine = make({"a.txt": STROKE, "c.txt": DIET})
+    engine.ingest()
+    cache = lambda: spark.read.parquet(f"{tmp_path}/embeddings/vectors").count()
+    assert cache() == 2
+    assert engine.ask("  When should stroke rehabilitation begin?  ") == engine.ask("When should stroke rehabilitation begin?") and cache() == 2
+    (tmp_path / "corpus" / "d.txt").write_text("Sleep helps recovery after illness.")
+    engine.ingest()
+    assert cache() == 3
+
+
+def test_filters_by_the_source_file_and_by_unknown_keys(make):
+    engine = make({"a.txt": STROKE, "c.txt": DIET}, incremental=False)
+    engine.ingest()
+    ask = lambda **filters: len(engine.ask("stroke rehabilitation", filters=filters)["citations"])
+    assert ask(source_size=len(STROKE), chunk_size_chars=300) == 1
+    assert ask(chunk_size_chars=301) == 0 and ask(colour="red") == 0 and ask(colour=None) == ask() == 2
+
+
+def test_a_folder_without_files_is_an_error(make):
+    with pytest.raises(ValueError, match="No files"):
+        make({"x.doc": "x"}, incremental=False).ingest()
+
+
+def test_pages_of_a_parsed_file(spark, tmp_path):
+    from plinth.sources import files
+
+    def parse(data):
+        block = lambda page, text: {"page": page, "width": 600.0, "block_no": 0, "title": None, **(files.plain_block(0, text) if text else {"type": 1, "bbox": [0.0] * 4, "lines": []})}
+        if data == b"broken":
+            raise OSError("no file")
+        yield from (block(i + 1, t) for i, t in enumerate(["First page here", None, "References", "Later", "Last"]))
+
+    for name, data in (("a.pdf", b"fine"), ("b.pdf", b"broken")):
+        (tmp_path / name).write_bytes(data)
+    rows = files.pdf_pages(files.list_files(spark, str(tmp_path)), parse).collect()
+    assert sorted((r.path[-5:], r.page_number or 0, r.text, r.error) for r in rows) == [("a.pdf", 1, "First page here", None), ("a.pdf", 2, "", None), ("a.pdf", 3, "", None), ("b.pdf", 0, None, "OSError: no file")]
+
+
+def test_names_from_the_environment():
+    s = Settings.from_env({"RAG_GENERATION_BACKEND": "Extractive", "RAG_ANSWER_MODE": "CLINICIAN", "VECTOR_DB_PATH": "old/store.json"})
+    assert (s.generation_backend, s.answer_mode, s.index_path) == ("extractive", "clinician", "old/store.json")
+    assert Settings.from_env({"VECTOR_DB_PATH": "old/"}).index_path == "old/index"
