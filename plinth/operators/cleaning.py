@@ -15,11 +15,14 @@ PAGE = ["source_id", "page_ord"]
 
 
 def raw_lines(pages: DataFrame) -> DataFrame:
-    """One row for each line that is neither blank nor noise, white space tidied."""
+    """One row for each line that is neither blank nor noise, white space tidied. Pages are dealt by source before they become lines:
+    whatever is done by page or source with the lines then needs no shuffle of them."""
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
-    lines = pages.select("*", F.posexplode(F.split(text, "\n")).alias("line_no", "raw")).drop("text")
-    lines = lines.withColumn("line", T.strip(F.regexp_replace("raw", "[ \t]+", " "))).drop("raw")
-    return lines.where((F.col("line") != "") & ~T.is_noise(F.col("line")))
+    # Each line is tidied once, and judged in the array, not in a filter that would tidy it again for each rule.
+    tidied = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), T.strip(F.regexp_replace(x, "[ \t]+", " ")).alias("line")))
+    kept = F.filter(tidied, lambda x: (x["line"] != "") & ~T.is_noise(x["line"]))
+    lines = pages.repartition("source_id").select("*", F.explode_outer(kept).alias("kept")).drop("text").where("kept is not null")
+    return lines.select("*", "kept.*").drop("kept")
 
 
 def merge_hyphens(lines: DataFrame) -> DataFrame:
