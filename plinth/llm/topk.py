@@ -7,7 +7,7 @@ rows, in blocks. A task holds one block of queries and ``SHARDS`` tiles at most;
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; only
 vectors of the same length are compared; a query's own id is no candidate, so repeated rows of one id don't find each
-other; ties go to the smaller id; fewer candidates than ``k`` give fewer rows; an empty table gives none. Only the id and
+other; an id asks one question, with the smallest of its vectors if it has several, while as candidates all its rows count; ties go to the smaller id; fewer candidates than ``k`` give fewer rows; an empty table gives none. Only the id and
 vector columns are read, so other columns can have any name.
 """
 
@@ -126,7 +126,7 @@ def exact_topk(rows: DataFrame, queries: DataFrame, k: int = 5, id_column: str =
         raise ValueError("k is 1 at least")
     pair = [F.col(id_column).cast("long").alias("id"), F.col(vector).alias("vector")]
     bound_batches(rows.sparkSession)
-    queries = queries.select(*pair)
+    queries = queries.select(*pair).where("id is not null").groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = tiles(queries.repartition(max(1, -(-queries.count() // QUERY_ROWS))), QUERY_ROWS)
     shards = tiles(rows.select(*pair), SHARD_ROWS)
     n_shards = max(1, -(-rows.count() // SHARD_ROWS))

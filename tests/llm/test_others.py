@@ -99,6 +99,13 @@ def test_templates_learn_bad_branches(spark):
     assert urls.filter_urls(spark.createDataFrame([], "url string, bad int"), URL_RULES).collect() == []
 
 
+def test_topk_asks_once_for_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.25, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_topk(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 65536), (0, 2, 2, 32768), (0, 3, 2, 16384)]
+
+
 def test_templates_part_segments_with_digits_and_deep_ones(spark):
     rows = [(f"http://h.net/{'promo88' if i % 2 else 'news24'}/{i}.html", i % 2) for i in range(400)]
     rows += [(f"http://deep.net/a/b/c/d/e/{'spam' if i % 2 else 'news'}/x", i % 2) for i in range(400)]
