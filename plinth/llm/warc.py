@@ -1,10 +1,13 @@
 """WARC: revisit resolution and deduplicated archives.
 
-Headers (page, digest, length) are shuffled by payload digest; of the records with one payload of at least ``min_bytes``
-that with the largest page id is the original, and the others are joined to it and become revisit records, whose blocks
-hold fresh headers and no payload. Archives are written and read through Spark's own file sources, so that they can lie in
-any store that Spark reaches: the text sink with CRLF CRLF between records (which is how WARC ends a record), and the
-binaryFile source, parsed by Content-Length. ``rows_per_file`` bounds an archive's size.
+Only headers (page, digest) are shuffled, by payload digest: of the records with one payload of at least ``min_bytes`` that
+with the largest page id is the original. The digests that occur more than once are told to the rows: by broadcast if they
+are counted few; else those with many copies by broadcast and the others by a join, for which a filter of fixed size rules
+out most rows that occur once. The records that aren't the original become revisit records, whose blocks hold fresh headers
+and no payload. Archives are written and read through Spark's own file sources, so that they can lie in any store that Spark
+reaches: the text sink with CRLF CRLF between records (which is how WARC ends a record), and the binaryFile source, whose
+files are unpacked and parsed record by record. ``rows_per_file`` and ``file_bytes`` bound an archive's size: large responses
+lie in archives of their own, with fewer records each.
 
 Defined results: a null payload is the empty one; a null url leaves out WARC-Target-URI; control characters and spaces of
 a url are percent-encoded in headers; rows without a page id rank below all others, and if none of equal records has one
@@ -19,17 +22,25 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.runtime import bound_batches
+from plinth.llm.sift import parted
+from plinth.runtime import bound_batches, materialise
 
 #: RFC 4648 alphabet, end of line, profile of revisit records.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Digests that are broadcast at most: some 100 bytes each.
+BROADCAST_DIGESTS = 200_000
+#: A digest with more than this share of all copies is hot; there are at most 10,000 of them.
+HOT_SHARE = 1e-4
+#: Bytes of payloads that a reader's task gathers before it hands them on.
+READ_BYTES = 4 << 20
 RECORDS = "record_type string, page_id long, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload string"
 
 
@@ -44,9 +55,24 @@ def resolve(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_id", ur
     """(page_id, url, payload, digest, bytes, refers_to): refers_to is null for responses."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    originals = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1 and original is not null").drop("n")
-    rows = rows.join(originals, "digest", "left")
-    return rows.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))).drop("original")
+    groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
+    originals = materialise(groups.where("n > 1 and original is not null"), "originals")
+    found = told(rows, originals)
+    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))).drop("original")
+
+
+def told(rows: DataFrame, originals: DataFrame) -> DataFrame:
+    """rows with their digest's original, null where there is none. Payloads travel only where a join by digest can't be avoided."""
+    size = originals.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("copies")).first()
+    known = originals.select("digest", "original")
+    if size["digests"] <= BROADCAST_DIGESTS:
+        return rows.join(F.broadcast(known), "digest", "left")
+    least = HOT_SHARE * size["copies"]
+    out = rows.join(F.broadcast(originals.where(F.col("n") > least).select("digest", "original")), "digest", "left")
+    cool = originals.where(F.col("n") <= least).select("digest", F.col("original").alias("cool_original"))
+    maybe, alone = parted(out.where("original is null"), cool, "digest")
+    joined = maybe.drop("original").join(cool, "digest", "left").withColumnRenamed("cool_original", "original")
+    return out.where("original is not null").unionByName(alone).unionByName(joined)
 
 
 def record(date: str) -> Column:
@@ -71,31 +97,49 @@ def record(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 2000) -> None:
-    writer = resolved.select(record(date).alias("value")).write
-    writer.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).text(path)
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", rows_per_file: int = 2000, file_bytes: int = 64 << 20) -> None:
+    """A folder below path for each size of responses: so many a file that their payloads have at most file_bytes, or a single one."""
+    below = None
+    for n in sorted({rows_per_file, min(64, rows_per_file), 1}, reverse=True):
+        limit = file_bytes // n
+        part = F.lit(True) if n == 1 else F.col("bytes") <= limit
+        part = part | F.col("refers_to").isNotNull() if below is None else (F.col("bytes") > below) & part & F.col("refers_to").isNull()
+        writer = resolved.where(part).select(record(date).alias("value")).write
+        writer.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", n).text(f"{path}/of-{n}")
+        below = limit
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """Records of one archive; payload digest and length are taken from the payload itself where the record holds it."""
-    at, lead = 0, b"urn:x-page:"
-    while at < len(data):
-        head = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(b": ", 1) for line in data[at:head].split(b"\r\n")[1:])
-        start = head + 4
-        end = start + int(fields[b"Content-Length"])
-        body = data.index(b"\r\n\r\n", start, end) + 4
-        page = lambda x: int(n) if x and (n := x.strip(b"<>").removeprefix(lead).split(b":")[0]) else None
+def fields_of(stream: BinaryIO) -> dict[bytes, bytes]:
+    """Header fields up to the empty line."""
+    found = {}
+    while line := stream.readline().rstrip(b"\r\n"):
+        name, _, value = line.partition(b": ")
+        found[name] = value
+    return found
+
+
+def page_of(name: bytes | None) -> int | None:
+    at = name.strip(b"<>").removeprefix(b"urn:x-page:").split(b":")[0] if name else b""
+    return int(at) if at else None
+
+
+def parse(stream: BinaryIO) -> Iterator[tuple]:
+    """Records of one unpacked archive, one at a time; payload digest and length are taken from the payload itself where the record
+    holds it."""
+    while stream.readline():  # the version
+        fields = fields_of(stream)
+        stream.readline()  # the block's status line
+        http = fields_of(stream)
         kind = fields[b"WARC-Type"].decode()
+        size = int(http[b"Content-Length"])
         if kind == "response":
-            payload = data[body:end]
-            digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), end - body
+            payload = stream.read(size)
+            digest, size = base64.b32encode(hashlib.sha1(payload).digest()).decode(), len(payload)
         else:
             payload, digest = None, fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
-            size = int(dict(x.split(b": ", 1) for x in data[start:body].split(b"\r\n")[1:-2])[b"Content-Length"])
         uri = fields.get(b"WARC-Target-URI")
-        yield kind, page(fields[b"WARC-Record-ID"]), page(fields.get(b"WARC-Refers-To")), uri and uri.decode(), digest, size, payload
-        at = end + 4
+        yield kind, page_of(fields[b"WARC-Record-ID"]), page_of(fields.get(b"WARC-Refers-To")), uri and uri.decode(), digest, size, payload
+        stream.read(4)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -104,14 +148,23 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     names = [x.split()[0] for x in RECORDS.split(", ")]
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        columns[-1] = [p.decode() if payloads and p is not None else None for p in columns[-1]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                rows = list(parse(gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data))
-                columns = list(zip(*rows, strict=True)) or [()] * len(names)
-                columns[-1] = [p.decode() if payloads and p is not None else None for p in columns[-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+                data = pa.BufferReader(content.as_buffer())
+                rows, size = [], 0
+                for row in parse(gzip.GzipFile(fileobj=data) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(data)):
+                    rows.append(row if payloads else (*row[:-1], None))
+                    size += 100 + (row[5] if payloads and row[6] is not None else 0)
+                    if size >= READ_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+                yield table(rows)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(read, RECORDS)

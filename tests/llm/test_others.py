@@ -1,6 +1,7 @@
 """Mixing, top-k, URL filters, WARC, embedding near-dedup, quality and toxicity."""
 
 import base64
+import gzip
 import hashlib
 import math
 import random
@@ -138,6 +139,30 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, empty).collect() == []
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, f"u{i}", f"{i % 7} " * n) for i, n in enumerate([10] * 40 + [3000] * 20 + [400_000] * 6)] + [(100 + i, "u", "6 " * 400_000) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("original", F.lit("mine")).repartition(1)
+    warc.write_archives(warc.resolve(df), str(tmp_path / "a"), rows_per_file=100, file_bytes=640_000)
+    got = {r.page_id: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    text, last = {i: t for i, _, t in rows}, {t: i for i, _, t in rows}
+    assert len(got) == len(rows) and all((r.payload, r.refers_to) == ((text[i], None) if last[text[i]] == i else (None, last[text[i]])) for i, r in got.items())
+    single = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "a" / "of-1").glob("part-*")]
+    assert all(x.count(b"WARC-Type: response") <= 1 and b"WARC-Type: revisit" not in x for x in single)
+    for f in (tmp_path / "a").glob("of-*/part-*"):
+        data = gzip.decompress(f.read_bytes())
+        assert len(data) <= 640_000 + 700 * data.count(b"WARC/1.1") or data.count(b"WARC-Type") == 1
+
+
+def test_many_repeated_payloads_are_joined(spark, monkeypatch):
+    rows = [(i, "u", f"text {i // 3 if i < 600 else 10_000}") for i in range(900)] + [(i, "u", f"lone {i}") for i in range(900, 1200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((r.page_id, r.refers_to or -1) for r in warc.resolve(df).collect())
+    assert len(want) == len(rows) and sum(refers >= 0 for _, refers in want) == 400 + 299
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 5)
+    monkeypatch.setattr(warc, "HOT_SHARE", 0.1)
+    assert sorted((r.page_id, r.refers_to or -1) for r in warc.resolve(df).collect()) == want
+
+
 # -- embeddings ---------------------------------------------------------------------------------------------------------------
 
 
