@@ -389,3 +389,42 @@ def test_sparse_sites_shrink_to_the_whole(spark):
     labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(400)] + [(1000, 0)], "id long, quality int")
     got = {r.id: r.prior for r in quality.score_quality(df, labels).collect()}
     assert 0.85 < got[1] < 0.95 and 0.3 < got[1000] < got[1]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_priors_leave_each_document_out(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(quality, "BROADCAST_GROUPS", 1)
+        monkeypatch.setattr(quality, "HOT_SHARE", 0.3)
+    rows = [r[:4] for r in corpus()][:300]
+    rows += rows[:5] + [(None, None, None, None), (9000, "", "en", None), (9001, "word " * 100_000, None, "z")]
+    columns = "doc_id long, text string, lang string, source string"
+    df = spark.createDataFrame(rows, columns).withColumns({c: F.lit("clash") for c in ("id", "evidence", "prior", "score", "kept", "y", "host", "path", "fold", "n", "own")})
+    known = {r[0]: r[5] for r in corpus()[:300] if r[0] % 2}
+    labels = spark.createDataFrame([*known.items(), (None, 1)], "id long, quality int")
+    got = quality.score_quality(df, labels).collect()
+    evidence = {r.id: r.evidence for r in got}
+    y = [known[r[0]] for r in rows if r[0] in known]
+    base = math.log(sum(y) / (len(y) - sum(y)))
+    own = [float(known[i]) if i in known else 1 / (1 + math.exp(-evidence[i] - base)) for i, *_ in rows]
+    overall = sum(own) / len(own)
+
+    def groups(key):
+        out = {}
+        for r, x in zip(rows, own, strict=True):
+            n, good = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, good + x
+        rates = [(n, good / n) for n, good in out.values()]
+        spread = max((sum(n * (x - overall) ** 2 for n, x in rates) - overall * (1 - overall) * len(rates)) / len(rows), 1e-6)
+        return out, min(max(overall * (1 - overall) / spread - 1, 1.0), 10_000.0)
+
+    (hosts, at_host), (paths, at_path) = groups(lambda r: r[3]), groups(lambda r: (r[3], r[2]))
+    want = []
+    for r, x in zip(rows, own, strict=True):
+        n, good = hosts[r[3]]
+        rate = (good - x + at_host * overall) / (n - 1 + at_host)
+        n, good = paths[r[3], r[2]]
+        prior = (good - x + at_path * rate) / (n - 1 + at_path)
+        want.append((r[0] or -1, prior, 1 / (1 + math.exp(-evidence[r[0]]) * (1 - prior) / prior)))
+    found = sorted((-1 if r.id is None else r.id, r.prior, r.score) for r in got)
+    assert np.allclose(found, sorted((-1 if r[0] is None else r[0], w[1], w[2]) for r, w in zip(rows, want, strict=True)))
