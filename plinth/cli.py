@@ -1,4 +1,4 @@
-"""python -m plinth.cli ingest|ask|sources"""
+"""python -m plinth.cli ingest|ask|sources|serve"""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from plinth.plans.engine import Engine
 from plinth.runtime import ship_package
+from plinth.service import serve
 from plinth.settings import Settings
 
 
@@ -27,6 +28,10 @@ def main(args: list[str] | None = None) -> int:
     ask.add_argument("--answer-mode")
     ask.add_argument("--filter", action="append", default=[], metavar="KEY=VALUE")
     commands.add_parser("sources")
+    serving = commands.add_parser("serve")
+    serving.add_argument("--host", default="127.0.0.1")
+    serving.add_argument("--port", type=int, default=8000)
+    serving.add_argument("--ingest", action="store_true", help="build a missing index in the background")
     for one in commands.choices.values():
         one.add_argument("--index-path")
     given = parser.parse_args(args)
@@ -36,6 +41,9 @@ def main(args: list[str] | None = None) -> int:
         out = engine.ingest(given.path, given.force, not given.no_resume, given.failed_only, given.max_files)
     elif given.command == "ask":
         out = engine.ask(given.question, given.top_k, dict(f.split("=", 1) for f in given.filter), given.answer_mode)
+    elif given.command == "serve":
+        serve(engine, given.host, given.port, given.ingest)
+        return 0
     else:
         out = [r.asDict() for r in engine.sources().collect()]
     print(json.dumps(out, indent=2, default=str))
