@@ -1,4 +1,4 @@
-"""Embedding and generating backends: built-in ones, and a service behind an injectable transport."""
+"""Embedding, reranking and generating backends: built-in ones, a service behind an injectable transport, and functions of the caller's."""
 
 from __future__ import annotations
 
@@ -6,18 +6,27 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.operators import answers, embedding
 from plinth.operators.retrieval import packed
+from plinth.operators.retrieval import rerank as lexical_rerank
 from plinth.runtime import discard, materialise
 from plinth.settings import Settings
 from plinth.sources import tables
 
 Transport = Callable[[str, dict | None, float], dict]
+#: A batch of texts -> a vector each. It runs in Python workers, so it must be picklable.
+Embedder = Callable[[list[str]], list[list[float]]]
+#: Results (query_id, question, a chunk's columns, score, rank) -> the same rows with new ranks.
+Reranker = Callable[[DataFrame], DataFrame]
+#: (questions, results, settings) -> a row for each question with answer, citations, generation_model and fallback.
+Generator = Callable[[DataFrame, DataFrame, Settings], DataFrame]
 #: A row of the embedding cache.
 VECTORS = {"text_sha256": "string", "buckets": "array<int>", "weights": "array<double>", "model": "string"}
 
@@ -41,11 +50,21 @@ def embed_texts(texts: list[str], url: str, model: str, timeout: float, transpor
 
 @dataclass
 class Backends:
+    """embedder, reranker and generator take the place of the named kinds; an embedder needs an embedding_name, which indexes and
+    caches are known by."""
+
     embedding: str = "hash"  # hash, md5 or service
     generation: str = "extractive"  # extractive or service
     embedding_name: str = ""
     fell_back: bool = False
     transport: Transport = field(default=http)
+    embedder: Embedder | None = None
+    reranker: Reranker | None = None
+    generator: Generator | None = None
+
+    def __post_init__(self) -> None:
+        if self.embedder and not self.embedding_name:
+            raise ValueError("An embedder needs an embedding_name")
 
     @classmethod
     def of(cls, s: Settings, transport: Transport = http) -> Backends:
@@ -65,7 +84,7 @@ class Backends:
 
     def weights(self, texts: DataFrame, id_column: str, s: Settings) -> DataFrame:
         """(id, text) -> (id, bucket, weight), past the cache: questions don't belong there."""
-        if self.embedding == "service":
+        if self.embedder or self.embedding == "service":
             return self._served(texts.select(F.col(id_column).alias("text_sha256"), "text"), s).withColumnRenamed("text_sha256", id_column)
         return embedding.hash_embed(texts, id_column, "text", "blake2b" if self.embedding == "hash" else "md5", s.embedding_dimensions)
 
@@ -93,21 +112,30 @@ class Backends:
         return spark.read.schema(kinds).parquet(at).where(F.col("model") == self.embedding_name).drop("model").dropDuplicates(["text_sha256"])
 
     def _served(self, texts: DataFrame, s: Settings) -> DataFrame:
-        url, model, timeout, size, transport = s.ollama_url, s.ollama_embedding_model, s.request_timeout_seconds, s.embedding_batch_size, self.transport
+        size = s.embedding_batch_size
+        embed = self.embedder or partial(embed_texts, url=s.ollama_url, model=s.ollama_embedding_model, timeout=s.request_timeout_seconds, transport=self.transport)
 
         def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, size):
                     part = batch.slice(at, size)
-                    vectors = embed_texts(part.column(1).to_pylist(), url, model, timeout, transport)
-                    rows = [(k, i, float(x)) for k, v in zip(part.column(0).to_pylist(), vectors, strict=True) for i, x in enumerate(v)]
-                    columns = list(zip(*rows, strict=True)) or [()] * 3
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.float64())], ["text_sha256", "bucket", "weight"])
+                    vectors = embed(part.column(1).to_pylist())
+                    sizes = np.array([len(v) for v in vectors], np.int64)
+                    own = np.repeat(np.arange(part.num_rows), sizes)
+                    place = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else own
+                    weights = np.array([x for v in vectors for x in v], np.float64)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), pa.array(place.astype(np.int32)), pa.array(weights)], ["text_sha256", "bucket", "weight"])
+
+        key = texts.schema["text_sha256"].dataType.simpleString()
+        return texts.select("text_sha256", "text").mapInArrow(call, f"text_sha256 {key}, bucket int, weight double")
 
-        return texts.select("text_sha256", "text").mapInArrow(call, "text_sha256 string, bucket int, weight double")
+    def rerank(self, results: DataFrame, s: Settings) -> DataFrame:
+        return self.reranker(results) if self.reranker else lexical_rerank(results, s.reranker_backend)
 
     def generate(self, questions: DataFrame, results: DataFrame, s: Settings) -> DataFrame:
         """Answers with citations; a service that fails falls back to the extractive answer and says so."""
+        if self.generator:
+            return self.generator(questions, results, s)
         extracted = answers.extractive_answers(questions, results)
         if self.generation != "service":
             return extracted.withColumns({"generation_model": F.lit("extractive"), "fallback": F.lit(False)})

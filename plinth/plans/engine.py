@@ -171,7 +171,7 @@ class Engine:
         found = self.search(questions, candidate_limit(limit), filters, question="expanded").join(questions.select("query_id", "question", "answer_mode"), "query_id")
         kept = found.where(retrieval.relevant(F.col("question")) & (F.col("score") >= s.min_relevance_score))
         kept = retrieval.ranked(kept.withColumnRenamed("rank", "was"), [F.col("was")]).drop("was")
-        cut = retrieval.rerank(kept, s.reranker_backend).where(F.col("rank") <= limit)
+        cut = self.backends.rerank(kept, s).where(F.col("rank") <= limit)
         return self.backends.generate(questions.drop("expanded"), cut, s)
 
     def ask(self, question: str, top_k: int | None = None, filters: dict[str, Any] | None = None, mode: str | None = None) -> dict:

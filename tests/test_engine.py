@@ -1,6 +1,8 @@
 """Scenarios over small folders of texts."""
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from plinth.plans.backends import Backends
 from plinth.plans.engine import Engine
@@ -146,3 +148,27 @@ def test_names_from_the_environment():
     s = Settings.from_env({"RAG_GENERATION_BACKEND": "Extractive", "RAG_ANSWER_MODE": "CLINICIAN", "VECTOR_DB_PATH": "old/store.json"})
     assert (s.generation_backend, s.answer_mode, s.index_path) == ("extractive", "clinician", "old/store.json")
     assert Settings.from_env({"VECTOR_DB_PATH": "old/"}).index_path == "old/index"
+
+
+def lengths(texts):
+    return [[float(t.lower().count(w)) for w in ("stroke", "diet", "tulip")] for t in texts]
+
+
+def test_functions_in_place_of_backends(make, spark):
+    engine = make({"stroke.txt": STROKE, "garden.md": "Tulips flower in spring. One tulip is red.", "diet.txt": DIET})
+
+    def last_first(results):
+        by = Window.partitionBy("query_id").orderBy(F.desc("rank"))
+        return results.withColumn("rank", F.row_number().over(by))
+
+    def names(questions, results, settings):
+        found = results.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source_id"))).alias("x"))
+        return questions.join(found, "query_id", "left").select("query_id", F.array_join("x.source_id", " ").alias("answer"), F.lit("names").alias("generation_model"))
+
+    engine.backends = Backends(embedding_name="lengths", embedder=lengths, reranker=last_first, generator=names)
+    assert engine.ingest()["embedding_model"] == "lengths"
+    nearest = engine.search(spark.createDataFrame([(1, "stroke")], "query_id long, question string"), 3, hybrid=False)
+    assert [(r.source_id, r.score) for r in nearest.orderBy("rank").collect()] == [("stroke.txt", 2.0), ("diet.txt", 1.0), ("garden.md", 0.0)]
+    assert engine.ask("stroke")["answer"] == "garden.md diet.txt stroke.txt"  # fused scores are above 0 for all; the last one comes first
+    with pytest.raises(ValueError):
+        Backends(embedder=lengths)
