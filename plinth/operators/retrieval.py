@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import rules
 from plinth.functions import text as T
-from plinth.runtime import materialise
+from plinth.runtime import materialise, shuffle_partitions
 
 #: Weights of a batch of questions that go along with the code: some 20 bytes each. Beyond it they are joined.
 BROADCAST_WEIGHTS = 500_000
@@ -43,10 +43,19 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_column: str = "chunk_id", vector: str = "vector", keep: Column | None = None) -> DataFrame:
-    """Every question against every vector: (query_id, id, score, rank). queries: query_id, vector. The filter comes first."""
+    """Every question against every vector: (query_id, id, score, rank). queries: query_id, vector. The filter comes first.
+    Questions go to the vectors where they are: by broadcast if their weights are counted few, else once to each share of the vectors."""
     rows = vectors if keep is None else vectors.where(keep)
     asked = queries.select("query_id", F.col("vector").alias("asked"))
-    scored = rows.select(id_column, F.col(vector).alias("stored")).join(asked, F.size("asked") == F.size("stored"))
+    stored = rows.select(id_column, F.col(vector).alias("stored"), F.size(vector).alias("n"))
+    asked, on = asked.withColumn("n", F.size("asked")), ["n"]
+    if (asked.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WEIGHTS:
+        asked = F.broadcast(asked)
+    else:
+        shares, on = shuffle_partitions(vectors.sparkSession), ["n", "share"]
+        stored = stored.withColumn("share", F.pmod(F.xxhash64(id_column), F.lit(shares)))
+        asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    scored = stored.join(asked, on)
     scored = scored.select("query_id", id_column, F.round(dot(F.col("asked"), F.col("stored")), 9).alias("score"))
     return ranked(scored, [F.desc("score"), F.col(id_column)], limit=k)
 

@@ -172,3 +172,14 @@ def test_prompts(spark):
     hits = spark.createDataFrame([("q", "Why?", "clinician", 1, "Because.", "Title", None, "s.pdf", "c", 3, 0.5)], "query_id string, question string, answer_mode string, rank int, text string, title string, section string, source_id string, chunk_id string, page int, score double")
     row = answers.user_prompts(hits.select("query_id", "question", "answer_mode"), hits).first()
     assert row.user_prompt.endswith("Question: Why?\n\nRetrieved passages:\n\n[1] Title, page 3\nBecause.") and "Answer mode: clinician." in row.system_prompt
+
+
+def test_dense_ranks_by_broadcast_and_by_shares(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)] + [(99, [1.0])], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0]), (3, [1.0, 1.0, 1.0])], "query_id long, vector array<double>")
+    by = {1: lambda i: i % 7, 2: lambda i: 0.5 * (i % 7) + 2 * (i % 5)}
+    want = [(q, i, float(f(i)), place) for q, f in by.items() for place, i in enumerate(sorted(range(60), key=lambda i: (-f(i), i))[:4], 1)]
+    for most in (retrieval.BROADCAST_WEIGHTS, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", most)
+        got = retrieval.dense_topk(queries, vectors, 4).select("query_id", "chunk_id", "score", "rank").collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
