@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
+from plinth.llm import cobuckets, jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
 from plinth.llm.bpe import BpeCodec
 from plinth.runtime import new_path, read_table
 
@@ -114,6 +114,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Fixed values of the op13 query.
+SALE_BUCKETS, SALE_SALT = 600, "s"
+
+
+def op13_cobucketed_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales start in files that hold one or two buckets, their lines in files by item."""
+    root, key = new_path(spark, "cobuckets"), "sale_id"
+    sales, lines = (read_table(spark, sf_dir, t) for t in ("sales", "sale_lines"))
+    own = F.coalesce(cobuckets.crc_bucket(F.col(key), SALE_BUCKETS, SALE_SALT), F.lit(SALE_BUCKETS + 1))
+    by_item = F.coalesce(cobuckets.crc_bucket(F.col("item_id"), SALE_BUCKETS), F.lit(0))
+    pair = []
+    for name, rows, number in (("sales", sales, F.when(own % 4 == 1, own - 1).otherwise(own)), ("sale_lines", lines, by_item)):
+        cobuckets.write_numbered(rows, rows.columns, f"{root}/{name}", number, SALE_BUCKETS + 2, key)
+        pair.append(cobuckets.NumberedFiles(spark, f"{root}/{name}", rows.schema, key))
+    return cobuckets.rewrite_pair(*pair, SALE_BUCKETS, SALE_SALT)
+
+
 OP3_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS MATERIALIZED (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
@@ -151,7 +168,7 @@ FROM w LEFT JOIN gone USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup]
+    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup, op13_cobucketed_pair]
     return {f.__name__: f for f in found}
 
 
