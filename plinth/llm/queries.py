@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import cobuckets, jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
+from plinth.llm import chat, cobuckets, jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
 from plinth.llm.bpe import BpeCodec
 from plinth.runtime import new_path, read_table
 
@@ -114,6 +116,63 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The op11 query's own conversation.
+OWN_TURNS = [(-1, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))]
+TURN_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns and loss are read back from the formatted pieces; a running digest for each conversation is held."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(OWN_TURNS, rows.schema)
+    return chat.format_conversations(rows.unionByName(own)).mapInArrow(_turn_digests, TURN_DIGESTS)
+
+
+def _turn_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now: list = []
+    done: list[tuple] = []
+
+    def close() -> None:
+        if now:
+            done.append((now[0], now[1], now[2].hexdigest(), now[3], now[4].hexdigest(), now[5]))
+            now.clear()
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, pa.string() if i in (2, 4) else pa.int64()) for i, c in enumerate(zip(*done, strict=True))]
+        done.clear()
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in TURN_DIGESTS.split(", ")])
+
+    for pieces in batches:
+        for conversation, piece, text, loss in zip(*(c.to_pylist() for c in pieces.columns), strict=True):
+            if piece == 0:
+                close()
+                now += [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            for role, words in chat.read_back(text):
+                now[1] += 1
+                now[2].update(f"{role}\n{words}\n".encode())
+            for span in loss:
+                words = chat.unescape(text[span["start"] : span["end"]])
+                now[3] += len(words)
+                now[4].update(words.encode())
+            now[5] += len(text)
+        if done:
+            yield batch()
+    close()
+    if done:
+        yield batch()
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, role)),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*(?:/?s>|/?INST\]|/?ROLE\]))', '\1\\\2', 'g')) AS chars,
+             length(regexp_replace(role, '([<\[])(\\*(?:/?s>|/?INST\]|/?ROLE\]))', '\1\\\2', 'g')) AS role_chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 17 + role_chars END))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 #: Fixed values of the op13 query.
 SALE_BUCKETS, SALE_SALT = 600, "s"
 
@@ -168,7 +227,7 @@ FROM w LEFT JOIN gone USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup, op13_cobucketed_pair]
+    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup, op11_chat_format, op13_cobucketed_pair]
     return {f.__name__: f for f in found}
 
 
@@ -180,4 +239,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": OP6_SQL,
         "op7_embedding_forest": OP7_SQL,
         "op10_substring_dedup": OP10_SQL,
+        "op11_chat_format": OP11_SQL,
     }
