@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import chat, cobuckets, jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
+from plinth.llm import align, chat, cobuckets, jaccard, mixing, neardup, quality, substrings, topk, toxicity, urls, warc
 from plinth.llm.bpe import BpeCodec
 from plinth.runtime import new_path, read_table
 
@@ -173,6 +173,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = []
+    for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"):
+        with open(public_tokenizers.path(name), "rb") as f:
+            sides.append(f.read())
+    return align.align_tokenizers(read_table(spark, sf_dir, "documents"), *sides)
+
+
 #: Fixed values of the op13 query.
 SALE_BUCKETS, SALE_SALT = 600, "s"
 
@@ -227,7 +235,7 @@ FROM w LEFT JOIN gone USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup, op11_chat_format, op13_cobucketed_pair]
+    found = [op1_poisson_mixing, op2_bpe, op3_jaccard_join, op4_exact_topk, op5_url_templates, op6_warc, op7_embedding_forest, op8_quality_bayes, op9_toxicity_cnn, op10_substring_dedup, op11_chat_format, op12_token_alignment, op13_cobucketed_pair]
     return {f.__name__: f for f in found}
 
 
