@@ -276,9 +276,9 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_report(spark: SparkSession, d: str) -> DataFrame:
-    files, known, changed = changes(spark, d)
-    own = files.where("duplicate_of is null")
-    return manifest.report(files, changed, changed.where("size > 20000"), manifest.deleted_paths(files, known), own, own, own.join(changed.select("path"), "path", "left_anti"))
+    """What the engine counts before it decides what to do."""
+    files, known = manifest.mark_duplicates(file_rows(spark, d)), old_manifest(spark, d)
+    return manifest.report(manifest.compared(files, known, PARSER_VERSION, 1400, 220, "model"))
 
 
 def cache_hits_misses(spark: SparkSession, d: str) -> DataFrame:
@@ -643,8 +643,9 @@ def oracle_sql() -> dict[str, str]:
             (CASE WHEN o.status = 'indexed' THEN 3 WHEN k.path IS NULL THEN 0 ELSE k.pages END)::INTEGER AS pages, (CASE WHEN o.status = 'indexed' THEN 4 WHEN k.path IS NULL THEN 0 ELSE k.chunks END)::INTEGER AS chunks,
             CASE WHEN o.status = 'failed' THEN 2000 END AS error_chars, (CASE WHEN o.status = 'indexed' OR k.path IS NOT NULL THEN 1400 ELSE 0 END)::INTEGER AS chunk_size_chars, CASE WHEN o.path IS NOT NULL OR g.path IS NOT NULL THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS updated_at
             FROM known k FULL JOIN outcomes o ON k.path = o.path LEFT JOIN deleted g ON g.path = k.path""",
-        "ingest_report": f"""WITH {SQL_MANIFEST} SELECT (SELECT count(*) FROM marked) AS discovered, (SELECT count(duplicate_of) FROM marked) AS duplicates, (SELECT count(*) FROM changed) AS changed, (SELECT count(*) FROM changed WHERE size > 20000) AS failed,
-            (SELECT count(*) FROM deleted) AS deleted, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL) AS pages, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL) AS chunks, (SELECT count(*) FROM marked WHERE duplicate_of IS NULL AND path NOT IN (SELECT path FROM changed)) AS from_cache""",
+        "ingest_report": f"""WITH {SQL_MANIFEST} SELECT (SELECT count(*) FROM marked) AS discovered, (SELECT count(duplicate_of) FROM marked) AS duplicates, (SELECT count(*) FROM changed) AS changed,
+            (SELECT count(*) FROM deleted) AS deleted, (SELECT count(*) FROM marked JOIN known USING (path) WHERE duplicate_of IS NOT NULL AND status = 'indexed') AS voided,
+            (SELECT count(*) FROM marked JOIN known USING (path) WHERE duplicate_of IS NULL AND status = 'indexed' AND path NOT IN (SELECT path FROM changed)) AS kept, 0::BIGINT AS pdfs""",
         "cache_hits_misses": f"WITH {SQL_FILES} SELECT path, sha256 IN (SELECT sha256 FROM files WHERE lang = 'en') AS hit FROM files",
         "repeated_lines": r"""WITH l AS (SELECT source AS doc, doc_id AS page, lower(regexp_replace(trim(unnest(string_split(coalesce(text, ''), chr(10)))), '\s+', ' ', 'g')) AS norm FROM documents)
             SELECT l.doc, norm, count(DISTINCT page) AS n FROM l WHERE norm <> '' AND length(norm) < 120 GROUP BY l.doc, norm HAVING n >= greatest(3, floor(0.15 * (SELECT count(*) FROM documents d WHERE d.source IS NOT DISTINCT FROM l.doc)))""",

@@ -1,8 +1,8 @@
-"""Okapi BM25 over tables of postings."""
+"""Okapi BM25 over tables of postings, and over blocks of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import rules
@@ -48,3 +48,94 @@ def bm25_scores(queries: DataFrame, found: DataFrame, docs: DataFrame, id_column
     scored = scored.select("term", id_column, (idf * F.col("tf") * (rules.BM25_K1 + 1) / norm).alias("part"))
     out = asked.join(scored, "term").groupBy("query_id", id_column).agg(F.sum(F.col("qtf") * F.col("part")).alias("score"))
     return out.where("score > 0")
+
+
+# -- blocks -------------------------------------------------------------------------------------------------------------------
+
+#: Postings of a block, and about so many chunks whose postings of one term meet in one task while blocks are made.
+BLOCK, SHARD_ROWS = 128, 1_000_000
+#: Terms that a scan is told to look for, one by one; for more of them it reads all blocks and joins.
+TOLD_TERMS = 64
+#: Blocks of a batch of questions from which on skipping pays: below it all are read.
+SKIP_FROM = 4096
+#: Scores differ in their last bits with the order of sums.
+SLACK = 1e-6
+
+
+def postings_with_length(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, term, tf, dl) of chunks with text and n_tokens."""
+    dealt = chunks.select("chunk_id", "n_tokens", "text").repartition("chunk_id")
+    each = dealt.select("chunk_id", "n_tokens", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("dl"))
+
+
+def impact(tf: Column, dl: Column, average: Column | float) -> Column:
+    """A posting's share of a score, without its term's idf. It grows with tf and falls with dl."""
+    average = F.greatest(average if isinstance(average, Column) else F.lit(average), F.lit(1.0))
+    return tf * (rules.BM25_K1 + 1) / (tf + rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * dl / average))
+
+
+def blocks(found: DataFrame, n_rows: int) -> DataFrame:
+    """(term, block, n, most_tf, least_dl, chunk_ids, tfs, dls), sorted by term within each file. Blocks hold postings of like impact, and
+    their largest tf with their smallest dl bounds that impact from above whatever the corpus's average length comes to be. A term
+    of very many chunks is dealt over shards, so that no task sorts them all."""
+    shards = max(1, -(-n_rows // SHARD_ROWS))
+    rows = found.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int"))
+    by = Window.partitionBy("term", "shard").orderBy(F.desc(F.col("tf") / (F.col("dl") + 1)), "chunk_id")
+    rows = rows.withColumn("block", F.floor((F.row_number().over(by) - 1) / BLOCK) * shards + F.col("shard"))
+    held = rows.groupBy("term", "shard", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("p")
+    )
+    out = held.select("term", "block", "n", "most_tf", "least_dl", F.col("p.chunk_id").alias("chunk_ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+    return out.sortWithinPartitions("term", "block")
+
+
+def block_scores(queries: DataFrame, stored: DataFrame, n: int, average: float, k: int, dead: DataFrame | None = None, dead_terms: DataFrame | None = None, query: str = "question") -> DataFrame:
+    """(query_id, chunk_id, score): as bm25_scores(), of the k best chunks of each question with their ties, and of others, whose scores may
+    lack parts but stay below. stored: blocks with their segment; n, average: the numbers of the corpus; dead: (segment, chunk_id);
+    dead_terms: (term, df) of these.
+
+    The k-th best sum over each term's best blocks is a bound from below. A block is read only if its own bound from above, with the
+    best that the question's other terms can add, reaches it: chunks of a block that is left out can't be among the k best."""
+    asked = occurrences(queries, "query_id", query).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = [r.term for r in asked.select("term").distinct().limit(TOLD_TERMS + 1).collect()]
+    if not terms:
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double")
+    hit = stored
+    if len(terms) <= TOLD_TERMS:
+        wanted = F.lit(False)
+        for t in terms:
+            wanted = wanted | (F.col("term") == t)
+        hit = stored.where(wanted)
+    else:
+        hit = stored.join(asked.select("term").distinct(), "term", "left_semi")
+    heads = hit.groupBy("term").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("blocks"), F.max(impact(F.col("most_tf"), F.col("least_dl"), average)).alias("best"))
+    if dead_terms is not None:
+        less = dead_terms.groupBy("term").agg(F.sum("df").alias("less"))
+        heads = heads.join(less, "term", "left").withColumn("df", F.col("df") - F.coalesce("less", F.lit(0)))
+    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weighed = asked.join(heads, "term").withColumn("weight", F.col("qtf") * idf)
+    weighed = weighed.select("query_id", "term", "weight", "blocks", (F.col("weight") * F.col("best")).alias("most"))
+    local = weighed.limit(BATCH_TERMS + 1).toArrow()
+    if local.num_rows <= BATCH_TERMS:  # a few numbers for each word of each question
+        weighed = F.broadcast(queries.sparkSession.createDataFrame(local)) if local.num_rows else weighed
+    total = sum(local.column("blocks").to_pylist())
+    joined = hit.join(weighed.drop("blocks"), "term").withColumn("above", F.col("weight") * impact(F.col("most_tf"), F.col("least_dl"), average))
+
+    def parts(rows: DataFrame) -> DataFrame:
+        each = rows.select("query_id", "segment", "weight", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p"))
+        each = each.select("query_id", "segment", F.col("p.chunk_ids").alias("chunk_id"), (F.col("weight") * impact(F.col("p.tfs"), F.col("p.dls"), average)).alias("part"))
+        each = each if dead is None else each.join(dead.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_anti")
+        return each.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+
+    if local.num_rows > BATCH_TERMS or total >= SKIP_FROM:
+        first = joined.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("above"), "segment", "block"))).where(F.col("place") <= SEED_BLOCKS)
+        low = parts(first).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
+        reach = weighed.groupBy("query_id").agg(F.sum("most").alias("reach")).join(low, "query_id", "left")
+        joined = joined.join(reach, "query_id").where(F.col("above") + F.col("reach") - F.col("most") >= F.coalesce("least", F.lit(0.0)) - SLACK)
+    return parts(joined).where("score > 0")
+
+
+#: Words of a batch of questions whose numbers are broadcast, some 50 bytes each; more of them are joined. Blocks of each word that
+#: give the first bound.
+BATCH_TERMS, SEED_BLOCKS = 100_000, 2

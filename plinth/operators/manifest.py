@@ -78,11 +78,32 @@ def outcome(files: DataFrame, status: str, parser_version: str, chunk_size: int
     )
 
 
-def report(files: DataFrame, changed: DataFrame, failed: DataFrame, deleted: DataFrame, pages: DataFrame, chunks: DataFrame, from_cache: DataFrame) -> DataFrame:
-    """One row of counts."""
-    n = F.count(F.lit(1))
-    out = files.agg(n.alias("discovered"), F.count("duplicate_of").alias("duplicates"))
-    counts = {"changed": changed, "failed": failed, "deleted": deleted, "pages": pages, "chunks": chunks, "from_cache": from_cache}
-    for name, table in counts.items():
-        out = out.crossJoin(F.broadcast(table.agg(n.alias(name))))  # one row each
-    return out
+def compared(files: DataFrame, manifest: DataFrame | None, parser_version: str, chunk_size: int, chunk_overlap: int, model: str, force: bool = False, failed_only: bool = False) -> DataFrame:
+    """Every file and every path of the manifest once, with what has to be done about it: is_own (no copy of another), is_changed (to work
+    on), is_deleted, is_voided (indexed before, and now a copy of another), is_new_copy (a copy that the manifest doesn't know as
+    such) and is_kept (indexed, as it was). Without a manifest every file is new."""
+    known = manifest if manifest is not None else files.sparkSession.createDataFrame([], MANIFEST)
+    was = known.select("path", F.struct(*[c.split()[0] for c in MANIFEST.split(", ") if not c.startswith("path ")]).alias("was"))
+    rows = files.withColumn("is_file", F.lit(True)).join(was, "path", "full").withColumn("is_file", F.coalesce("is_file", F.lit(False)))
+    own = F.col("is_file") & F.col("duplicate_of").isNull()
+    copy = F.col("is_file") & F.col("duplicate_of").isNotNull()
+    status = F.col("was.status")
+    now = {"sha256": F.col("sha256"), "size": F.col("size"), "mtime_ns": F.col("mtime_ns"), "parser_version": F.lit(parser_version), "chunk_size_chars": F.lit(chunk_size), "chunk_overlap_chars": F.lit(chunk_overlap), "embedding_model": F.lit(model)}
+    differs = F.lit(False)
+    for name, value in now.items():
+        differs = differs | ~F.col(f"was.{name}").eqNullSafe(value)
+    failed = F.coalesce(status == "failed", F.lit(False))
+    wanted = F.lit(True) if force else failed if failed_only else F.col("was").isNull() | failed | F.coalesce(status == "deleted", F.lit(False)) | differs
+    known_copy = (status == "duplicate") & F.col("was.duplicate_of").eqNullSafe(F.col("duplicate_of")) & F.col("was.sha256").eqNullSafe(F.col("sha256")) & F.col("was.size").eqNullSafe(F.col("size")) & F.col("was.mtime_ns").eqNullSafe(F.col("mtime_ns"))
+    indexed = F.coalesce(status == "indexed", F.lit(False))
+    flags = {
+        "is_own": own, "is_changed": own & wanted, "is_deleted": ~F.col("is_file") & F.coalesce(status != "deleted", F.lit(False)), "is_voided": copy & indexed,
+        "is_new_copy": copy & ~F.coalesce(known_copy, F.lit(False)), "is_kept": own & ~wanted & indexed,
+    }
+    return rows.select("path", "sha256", "size", "mtime_ns", "duplicate_of", "is_file", *[v.alias(k) for k, v in flags.items()])
+
+
+def report(state: DataFrame) -> DataFrame:
+    """One row of counts of compared()."""
+    counts = {"discovered": "is_file", "duplicates": "duplicate_of is not null", "changed": "is_changed", "deleted": "is_deleted", "voided": "is_voided", "kept": "is_kept", "pdfs": "is_file and lower(path) like '%.pdf'"}
+    return state.agg(*[F.count_if(F.expr(test)).alias(name) for name, test in counts.items()])

@@ -5,19 +5,27 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.functions import text as T
 from plinth.operators import chunking, cleaning, lexical, manifest, retrieval
 from plinth.plans.backends import Backends
 from plinth.runtime import materialise
 from plinth.settings import PARSER_VERSION, Settings, answer_mode, candidate_limit, question_limit
 from plinth.sources import files as sources
 from plinth.sources import tables
+from plinth.sources.segments import Index
 
-PAGES = "path string, page_number int, title string, text string, error string"
+#: What names a file's content in the extraction cache, and what is kept of its pages.
+KEYS, CACHED = ["sha256", "size", "mtime_ns", "parser_version"], ["page_number", "title", "text"]
+CACHE = "page_number int, title string, text string, sha256 string, size long, mtime_ns long, parser_version string"
+#: Times that a change is worked out anew where other writers were faster.
+TRIES = 5
 
 
 class Engine:
@@ -25,101 +33,118 @@ class Engine:
         self.spark, self.settings = spark, settings or Settings()
         self.backends = backends or Backends.of(self.settings)
         self.parse_pdf = parse_pdf
+        s = self.settings
+        self.index = Index(spark, s.index_path)
+        self.manifest = tables.DeltaTable(spark, s.manifest_path, manifest.MANIFEST, ["path"]) if s.manifest_path else None
+        self.cache = tables.DeltaTable(spark, s.extraction_cache_path, CACHE, KEYS) if s.extraction_cache_path else None
 
     # -- ingest ---------------------------------------------------------------------------------------------------------------
 
     def ingest(self, path: str | None = None, force: bool = False, resume: bool = True, failed_only: bool = False, max_files: int | None = None) -> dict:
-        """Builds the index of a folder's files. With a manifest and an extraction cache unchanged files aren't read again, and nothing
-        is written if nothing changed; without them everything is done anew and one bad file ends it. Returns the counts."""
+        """Builds or changes the index of a folder's files. With a manifest and an extraction cache unchanged files aren't read again: what
+        changed is written as a segment of the index, and nothing if nothing did. Without them everything is done anew and one bad
+        file ends it. Returns the counts. If another writer changes the index meanwhile, the change is worked out again."""
+        for last in range(TRIES):
+            try:
+                return self._ingest(path or self.settings.source_path, force or not resume, failed_only, max_files)
+            except tables.Conflict:
+                if last == TRIES - 1:
+                    raise
+        raise AssertionError
+
+    def _ingest(self, path: str, force: bool, failed_only: bool, max_files: int | None) -> dict:
         spark, s = self.spark, self.settings
-        path = path or s.source_path
         began, timings = time.time(), {}
         listed = sources.list_files(spark, path, max_files)
-        incremental = bool(s.manifest_path and s.extraction_cache_path)
-        found = materialise(sources.discover(listed), "files")
-        if found.isEmpty():
-            raise ValueError(f"No files to ingest under {path}")
+        base = self.index.log.current()
+        known = self.manifest.read() if self.manifest and self.cache else None
+        state = manifest.compared(sources.discover(listed), known, PARSER_VERSION, s.chunk_size_chars, s.chunk_overlap_chars, self.backends.embedding_name, force, failed_only)
+        counts = manifest.report(state).first().asDict()
         timings["discovery"] = time.time() - began
-        if not incremental:
-            return self._rebuild(listed, found, found.where("false"), began, timings)
-        known = self._table(s.manifest_path, manifest.MANIFEST)
-        changed = materialise(manifest.changed_files(found, known, PARSER_VERSION, s.chunk_size_chars, s.chunk_overlap_chars, self.backends.embedding_name, force or not resume, failed_only), "changed")
-        deleted = materialise(manifest.deleted_paths(found, known), "deleted")
-        n_changed, n_deleted = changed.count(), deleted.count()
-        if not n_changed and not n_deleted and self.index_exists():
-            return self._counts(found, changed, deleted, found.where("false"), 0, skipped=True, timings=timings | {"total": time.time() - began})
-        return self._rebuild(listed, found, deleted, began, timings, changed, known)
-
-    def _table(self, root: str, schema: str) -> DataFrame:
-        row = tables.current(self.spark, root)
-        return self.spark.read.schema(schema).parquet(f"{root}/v{row['version']}/rows") if row else self.spark.createDataFrame([], schema)
-
-    def _rebuild(self, listed: DataFrame, found: DataFrame, deleted: DataFrame, began: float, timings: dict, changed: DataFrame | None = None, known: DataFrame | None = None) -> dict:
-        spark, s = self.spark, self.settings
-        unique = found.where("duplicate_of is null") if known is not None else found
+        if not counts["discovered"]:
+            raise ValueError(f"No files to ingest under {path}")
+        if known is not None and base and not counts["changed"] and not counts["deleted"] and not counts["voided"]:
+            return self._report(counts, self.index.snapshot().n, True, timings | {"total": time.time() - began})
+        state = materialise(state, "files")
+        # A few files of an index that fits: a segment. Else, and where other files are in question than those that changed, all anew.
+        some = known is not None and base is not None and base["model"] == self.backends.embedding_name and not failed_only and max_files is None and not force and counts["kept"] > 0
+        work = state.where("is_changed" if some else "is_own")
         mark = time.time()
-        cached = None
-        if known is not None and tables.current(spark, s.extraction_cache_path):
-            cached = self._table(s.extraction_cache_path, PAGES + ", sha256 string, size long, mtime_ns long, parser_version string")
-        keys = ["sha256", "size", "mtime_ns", "parser_version"]
-        wanted = unique.withColumn("parser_version", F.lit(PARSER_VERSION))
-        hits = misses = None
-        if cached is not None:
-            had = cached.select(*keys).distinct()
-            hits, misses = wanted.join(had, keys, "left_semi"), wanted.join(had, keys, "left_anti")
-            old = hits.join(cached.drop("path"), keys)  # under the path of now
-        else:
-            misses, old = wanted, None
-        fresh = sources.extract(listed.join(misses.select("path"), "path", "left_semi"), self.parse_pdf).join(misses, "path")
-        columns = ["path", "page_number", "title", "text", "error", *keys]
-        pages = fresh.select(columns) if old is None else fresh.select(columns).unionByName(old.select(columns))
-        pages = materialise(pages, "pages")
+        pages, n_cached = self._pages(listed, work, counts["pdfs"] > 0)
         timings["extraction"], mark = time.time() - mark, time.time()
         failed = pages.where("error is not null").select("path", "error").distinct()
-        if known is None:
+        texts = pages.agg(F.count_if((F.col("text") != "") & F.col("error").isNull()).alias("pages"), F.count_if(F.col("text") == "").alias("scanned_pages"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("path"))).alias("failed")).first().asDict()
+        if known is None and texts["failed"]:
             broken = failed.first()
-            if broken:
-                raise ValueError(f"{broken['path']}: {broken['error']}")
-        texts = pages.where("error is null and text <> ''")
-        base = self.page_table(texts)
-        chunks = chunking.chunks(cleaning.segments(base), s)
-        # What filters may ask of a chunk's file.
-        files = found.select(F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.col("sha256").alias("source_hash"), F.col("size").alias("source_size"), F.col("mtime_ns").alias("source_mtime_ns"))
-        made_by = {"parser_version": F.lit(PARSER_VERSION), "chunk_size_chars": F.lit(s.chunk_size_chars), "chunk_overlap_chars": F.lit(s.chunk_overlap_chars)}
-        chunks = chunks.join(files, "source_path", "left").withColumns(made_by)
-        chunks = materialise(chunks.withColumns({"source_id": sources.base_name(F.col("source_path")), "text_sha256": F.sha2(F.col("text").cast("binary"), 256)}), "chunks")
-        timings["chunking"], mark = time.time() - mark, time.time()
+            raise ValueError(f"{broken['path']}: {broken['error']}")
+        chunks = self._chunks(pages, state)
         n_chunks = chunks.count()
-        if not n_chunks:
+        timings["chunking"], mark = time.time() - mark, time.time()
+        if some:
+            voided = state.where("is_changed or is_deleted or is_voided").select(F.regexp_replace("path", "^file:/+", "/").alias("source_path"))
+            record = self.index.append(base, self.segment(chunks, n_chunks) if n_chunks else None, voided, self.backends.embedding_name)
+        elif n_chunks:
+            record = self.index.replace(self.segment(chunks, n_chunks), self.backends.embedding_name)
+        else:
             raise ValueError("No text could be extracted from the source files")
-        self.write_index(chunks)
-        timings["index"] = time.time() - mark
+        timings["index"], mark = time.time() - mark, time.time()
         if known is not None:
-            if cached is None or not misses.isEmpty() or not deleted.isEmpty():
-                tables.write_version(spark, s.extraction_cache_path, {"rows": pages.where("error is null")}, PARSER_VERSION)
-            self._remember(found, known, deleted, pages, failed, chunks)
-        timings["total"] = time.time() - began
-        n_cached = hits.count() if hits is not None else 0
-        return self._counts(found, unique if changed is None else changed, deleted, failed, n_chunks, False, timings, pages, n_cached)
-
-    def _remember(self, found: DataFrame, known: DataFrame, deleted: DataFrame, pages: DataFrame, failed: DataFrame, chunks: DataFrame) -> None:
+            self._remember(state, known, work, pages, failed, chunks)
+        timings["manifest"], timings["total"] = time.time() - mark, time.time() - began
+        return self._report(counts | texts | {"from_cache": n_cached + (counts["kept"] if some else 0)}, sum(x["n"] for x in record["segments"]), False, timings)
+
+    def _pages(self, listed: DataFrame, work: DataFrame, pdfs: bool) -> tuple[DataFrame, int]:
+        """Pages of files, from the cache where it has them, and how many files it had."""
+        wanted = work.select("path", "sha256", "size", "mtime_ns").withColumn("parser_version", F.lit(PARSER_VERSION))
+        cached = self.cache.read() if self.cache and self.cache.exists() else None
+        hits, misses = tables.cache_split(wanted, cached.groupBy(*KEYS).agg(F.collect_list(F.struct(*CACHED)).alias("held")) if cached is not None else None, KEYS)
+        if cached is None:
+            return materialise(self._extracted(listed, wanted, pdfs), "pages"), 0
+        old = hits.select("path", F.explode("held").alias("p"), *KEYS).select("path", *[F.col(f"p.{c}").alias(c) for c in CACHED], F.lit(None).cast("string").alias("error"), *KEYS)
+        old = materialise(old, "hits")
+        n = old.agg(F.count_distinct("path")).first()[0]
+        misses = materialise(misses, "misses")
+        return (old if misses.isEmpty() else old.unionByName(materialise(self._extracted(listed, misses, pdfs), "fresh"))), n
+
+    def _extracted(self, listed: DataFrame, files: DataFrame, pdfs: bool) -> DataFrame:
+        rows = listed.join(files.select("path"), "path", "left_semi")
+        found = sources.extract(rows, self.parse_pdf) if pdfs else sources.text_pages(rows)
+        return found.join(files, "path").select("path", *CACHED, "error", *KEYS)
+
+    def _chunks(self, pages: DataFrame, state: DataFrame) -> DataFrame:
+        s = self.settings
+        chunks = chunking.chunks(cleaning.segments(self.page_table(pages.where("error is null and text <> ''"))), s)
+        # What filters may ask of a chunk's file.
+        files = state.where("is_own").select(F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.col("sha256").alias("source_hash"), F.col("size").alias("source_size"), F.col("mtime_ns").alias("source_mtime_ns"))
+        made_by = {"parser_version": F.lit(PARSER_VERSION), "chunk_size_chars": F.lit(s.chunk_size_chars), "chunk_overlap_chars": F.lit(s.chunk_overlap_chars)}
+        own = {"source_id": sources.base_name(F.col("source_path")), "text_sha256": F.sha2(F.col("text").cast("binary"), 256), "n_tokens": F.size(T.tokens(F.col("text"))).cast("long")}
+        return materialise(chunks.join(files, "source_path", "left").withColumns(made_by).withColumns(own), "chunks")
+
+    def _remember(self, state: DataFrame, known: DataFrame, work: DataFrame, pages: DataFrame, failed: DataFrame, chunks: DataFrame) -> None:
+        """Appends what was extracted to the cache, and the rows that changed to the manifest."""
         s = self.settings
         n = pages.where("error is null").groupBy("path").agg(F.count_if(F.col("text") != "").alias("pages"), F.count_if(F.col("text") == "").alias("scanned_pages"))
-        m = chunks.groupBy(F.col("source_path").alias("path")).agg(F.count(F.lit(1)).alias("chunks"))
-        own = found.where("duplicate_of is null").join(failed.select("path"), "path", "left_anti").join(n, "path", "left").join(m, "path", "left").fillna(0, ["pages", "scanned_pages", "chunks"])
-        bad = found.join(failed, "path")
+        m = chunks.groupBy(F.col("source_path").alias("own_path")).agg(F.count(F.lit(1)).alias("chunks"))
+        own = work.join(failed.select("path"), "path", "left_anti").join(n, "path", "left").join(m, F.regexp_replace("path", "^file:/+", "/") == F.col("own_path"), "left").fillna(0, ["pages", "scanned_pages", "chunks"])
         rows = manifest.outcome(own, "indexed", PARSER_VERSION, s.chunk_size_chars, s.chunk_overlap_chars, self.backends.embedding_name)
-        rows = rows.unionByName(manifest.outcome(bad, "failed", PARSER_VERSION)).unionByName(manifest.outcome(found.where("duplicate_of is not null"), "duplicate", PARSER_VERSION))
-        tables.write_version(self.spark, s.manifest_path, {"rows": manifest.upsert(known, rows, deleted, time.time(), PARSER_VERSION)}, PARSER_VERSION)
-
-    def _counts(self, found: DataFrame, changed: DataFrame, deleted: DataFrame, failed: DataFrame, chunks: int, skipped: bool, timings: dict, pages: DataFrame | None = None, cached: int = 0) -> dict:
-        one = found.agg(F.count(F.lit(1)).alias("discovered"), F.count("duplicate_of").alias("duplicates")).first().asDict()
-        if skipped:
-            _, held = tables.read_version(self.spark, self.settings.index_path, "chunks")
-            chunks = held["chunks"].count()
-        texts = pages.agg(F.count_if((F.col("text") != "") & F.col("error").isNull()).alias("pages"), F.count_if(F.col("text") == "").alias("scanned_pages")).first().asDict() if pages is not None else {"pages": 0, "scanned_pages": 0}
-        documents = one["discovered"] - one["duplicates"]
-        return one | texts | {"documents": documents, "changed": changed.count(), "deleted": deleted.count(), "failed": failed.count(), "from_cache": cached, "chunks": chunks, "skipped": skipped, "embedding_model": self.backends.embedding_name, "timings": timings}
+        rows = rows.unionByName(manifest.outcome(work.join(failed, "path"), "failed", PARSER_VERSION)).unionByName(manifest.outcome(state.where("is_new_copy"), "duplicate", PARSER_VERSION))
+        deleted = state.where("is_deleted")
+        before = known.join(rows.select("path").union(deleted.select("path")), "path", "left_semi")
+        with ThreadPoolExecutor(2) as pool:
+            put = inheritable_thread_target(self.spark)(lambda table, df: table.append(df))
+            both = [pool.submit(put, self.manifest, manifest.upsert(before, rows, deleted, time.time(), PARSER_VERSION)), pool.submit(put, self.cache, self._uncached(pages))]
+            for done in both:
+                done.result()
+
+    def _uncached(self, pages: DataFrame) -> DataFrame:
+        found = pages.where("error is null")
+        if self.cache.exists():
+            found = found.join(self.cache.read().select(*KEYS).distinct(), KEYS, "left_anti")
+        return found.select(*CACHED, *KEYS)
+
+    def _report(self, counts: dict, chunks: int, skipped: bool, timings: dict) -> dict:
+        shown = {k: counts[k] for k in ("discovered", "duplicates", "changed", "deleted")}
+        return shown | {k: counts.get(k, 0) for k in ("pages", "scanned_pages", "failed", "from_cache")} | {"documents": counts["discovered"] - counts["duplicates"], "chunks": chunks, "skipped": skipped, "embedding_model": self.backends.embedding_name, "timings": timings}
 
     @staticmethod
     def page_table(texts: DataFrame) -> DataFrame:
@@ -130,36 +155,35 @@ class Engine:
             "title", "page_number", "text", F.lit(None).cast("array<string>").alias("hierarchy"),
         )
 
-    def write_index(self, chunks: DataFrame) -> int:
-        """Chunks, vectors, postings and lengths as one version. Vectors of known texts come from the cache."""
+    def segment(self, chunks: DataFrame, n_chunks: int) -> dict[str, DataFrame]:
+        """The tables of a segment: chunks (with n_tokens), vectors and blocks of postings. Vectors of known texts come from the cache."""
         vectors = self.backends.embed(chunks.select("chunk_id", "text", "text_sha256"), self.spark, self.settings)
-        made = {"chunks": chunks, "vectors": vectors, "postings": lexical.postings(chunks), "doc_stats": lexical.doc_stats(chunks)}
-        return tables.write_version(self.spark, self.settings.index_path, made, self.backends.embedding_name)
+        return {"chunks": chunks, "vectors": vectors, "blocks": lexical.blocks(lexical.postings_with_length(chunks), n_chunks)}
 
     # -- questions ------------------------------------------------------------------------------------------------------------
 
     def index_exists(self) -> bool:
-        return tables.current(self.spark, self.settings.index_path) is not None
+        return self.index.exists()
 
     def search(self, questions: DataFrame, top_k: int, filters: dict[str, Any] | None = None, hybrid: bool = True, question: str = "question") -> DataFrame:
         """questions: query_id, question. (query_id, a chunk's columns, score, rank)."""
-        row, held = tables.read_version(self.spark, self.settings.index_path, "chunks", "vectors", "postings", "doc_stats")
-        if row["embedding_model"] != self.backends.embedding_name:
-            raise ValueError(f"Questions would be embedded by {self.backends.embedding_name}, the index holds vectors of {row['embedding_model']}: ingest again, or ask with that model")
+        held = self.index.snapshot()
+        if held.record["model"] != self.backends.embedding_name:
+            raise ValueError(f"Questions would be embedded by {self.backends.embedding_name}, the index holds vectors of {held.record['model']}: ingest again, or ask with that model")
         limit = candidate_limit(top_k)
-        fits = retrieval.matches(filters, columns=held["chunks"].columns)
+        chunks = held.table("chunks")
+        fits = retrieval.matches(filters, columns=chunks.columns)
         asked = self.backends.weights(questions.select("query_id", F.col(question).alias("text")), "query_id", self.settings)
-        names = held["chunks"].where(fits).select("chunk_id", "chunk_ord")
-        both = hybrid and "postings" in held
-        nearest = retrieval.sparse_topk(asked, held["vectors"], names, limit if both else top_k, filtered=bool(filters))
-        if both:
-            scores = lexical.bm25_scores(questions.select("query_id", question), held["postings"], held["doc_stats"], query=question)
-            scores = scores.join(held["chunks"].select("chunk_id", "chunk_ord"), "chunk_id").withColumn("score", F.round("score", 9))
+        names = chunks.where(fits).select("chunk_id", "chunk_ord")
+        nearest = retrieval.sparse_topk(asked, held.table("vectors"), names, limit if hybrid else top_k, filtered=bool(filters))
+        if hybrid:
+            scores = lexical.block_scores(questions.select("query_id", question), held.stored("blocks"), held.n, held.average, limit, held.dead, held.dead_terms, question)
+            scores = scores.join(chunks.select("chunk_id", "chunk_ord"), "chunk_id").withColumn("score", F.round("score", 9))
             matched = retrieval.ranked(scores, [F.desc("score"), F.col("chunk_ord")], limit=limit)
             # The filter comes after the lexical ranks: what it drops still took a rank.
             fused = retrieval.rrf(nearest, matched, limit).join(names, "chunk_id").withColumn("score", F.round("score", 12))
             nearest = retrieval.ranked(fused, [F.desc("score"), F.col("chunk_ord")], limit=top_k)
-        return nearest.select("query_id", "chunk_id", "score", "rank").join(held["chunks"], "chunk_id")
+        return nearest.select("query_id", "chunk_id", "score", "rank").join(chunks, "chunk_id")
 
     def ask_batch(self, questions: DataFrame, top_k: int | None = None, filters: dict[str, Any] | None = None) -> DataFrame:
         """questions: query_id, question and perhaps answer_mode. One row each, with answer and citations."""
@@ -181,9 +205,7 @@ class Engine:
             raise ValueError("question is empty")
         one = self.spark.createDataFrame([("q", question, mode)], "query_id string, question string, answer_mode string")
         row = self.ask_batch(one, top_k, filters).first().asDict(recursive=True)
-        current = tables.current(self.spark, self.settings.index_path)
-        return row | {"embedding_model": self.backends.embedding_name, "retrieval_mode": "hybrid" if current["has_postings"] else "vector"}
+        return row | {"embedding_model": self.backends.embedding_name, "retrieval_mode": "hybrid"}
 
     def sources(self) -> DataFrame:
-        _, held = tables.read_version(self.spark, self.settings.index_path, "chunks")
-        return retrieval.source_summaries(held["chunks"])
+        return retrieval.source_summaries(self.index.snapshot().table("chunks"))
