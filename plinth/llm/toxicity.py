@@ -286,24 +286,39 @@ def calibrate(scored: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[d
     return {lang: best_threshold(own, by[own["y"]]) for lang, own in ((k, table(v)) for k, v in sorted(of.items()))}, overall
 
 
-def rate_shift(labels: dict[int, int], caps: dict[int, int]) -> float:
-    """The log-odds of the sampling rates of classes 0 and 1, of which caps[y] labels at most are fitted: 0 where no cap binds."""
-    return float(np.log(min(1, caps[0] / labels[0])) - np.log(min(1, caps[1] / labels[1])))
+def level(model: Model, texts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, labels: dict[int, int]) -> float:
+    """The offset with which the sample's scores, each row standing for as many labels of its class as it was taken from, add up to the
+    toxic ones. labels: how many there are of each class."""
+    pooled = np.array([model.pooled(model.responses(words[own])) @ model.weights for own in texts], np.float64)
+    stands = np.array([labels[y] / max((toxic == y).sum(), 1) for y in (0, 1)])[toxic.astype(int)]
+    low, high = -40.0, 40.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = (stands / (1 + np.exp(-np.clip(pooled + middle, -30, 30)))).sum() > (stands * toxic).sum()
+        low, high = (low, middle) if over else (middle, high)
+    return (low + high) / 2
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int, text: str, id_column: str) -> tuple[ToxicityClassifier, DataFrame, DataFrame | None]:
     """(the classifier without thresholds, the labels by id, the ids that its weights were fitted on: None if there is nothing to learn). The
     sample is chosen among the labels, so that no other text is shuffled: its 3 * fit_rows ids at most are broadcast. Of several
-    texts of an id that with the smallest hash is fitted."""
+    texts of an id that with the smallest hash is fitted. Which texts fit into fit_bytes is told by their lengths, a third of the
+    bytes for toxic ones and the rest for others; only those that do are fetched. The offset is set by level(), so scores hold
+    at the labels' own base rate whichever bound it was that cut the sample."""
     spark = docs.sparkSession
     known = labels.where("y in (0, 1) and id is not null").groupBy(F.col("id").cast("long").alias("fit_id")).agg(F.max("y").cast("int").alias("y"))
     known = known.withColumn("h", F.xxhash64("fit_id", F.lit("fit")))
-    caps = {1: fit_rows, 0: 2 * fit_rows}
-    chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in caps.items()]
     rows = docs.select(F.col(id_column).cast("long").alias("fit_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").groupBy("fit_id", "y", "h").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    upto = Window.orderBy("h", "fit_id")  # over 3 * fit_rows rows at most
-    sample = sample.withColumn("bytes", F.sum(F.octet_length("text")).over(upto)).where(F.col("bytes") <= fit_bytes).drop("bytes").toArrow().sort_by("h")
+    known = materialise(known.join(rows.select("fit_id"), "fit_id", "left_semi"), "labels")  # those without a document say nothing
+    chosen = [known.where(F.col("y") == y).orderBy("h", "fit_id").limit(most) for y, most in ((1, fit_rows), (0, 2 * fit_rows))]
+    told = rows.join(F.broadcast(chosen[0].union(chosen[1])), "fit_id").select("fit_id", "y", "h", F.struct(F.xxhash64("text").alias("which"), F.octet_length("text").alias("bytes")).alias("own"))
+    sizes = told.groupBy("fit_id", "y", "h").agg(F.min("own").alias("own"))
+    upto = Window.partitionBy("y").orderBy("h", "fit_id")  # over 2 * fit_rows rows at most, without their texts
+    fits = F.sum("own.bytes").over(upto) <= F.when(F.col("y") == 1, fit_bytes // 3).otherwise(fit_bytes - fit_bytes // 3)
+    picked = materialise(sizes.withColumn("fits", fits).where("fits").select("fit_id", "y", "h", F.col("own.which").alias("which")), "picked")
+    fetched = rows.withColumn("which", F.xxhash64("text")).join(F.broadcast(picked), ["fit_id", "which"])
+    sample = fetched.groupBy("fit_id", "y", "h").agg(F.first("text").alias("text")).toArrow().sort_by("h")
+    discard(picked)
     y = sample["y"].to_numpy().astype(np.float32)
     if not len(y) or y.min() == y.max():
         return ToxicityClassifier(spark, None, float(y.mean()) if len(y) else 0.0, {}, 0.5), known, None
@@ -314,8 +329,9 @@ def fitted_on(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int,
     del sample, places
     release()
     aside = np.argsort(np.argsort(hashes)) % CALIBRATE == 0
+    aside &= len(set(y[~aside].tolist())) == 2  # of very few labels all are fitted
     model = fit([texts[i] for i in np.flatnonzero(~aside)], words, y[~aside])
-    model.offset += rate_shift({r["y"]: r["count"] for r in known.groupBy("y").count().collect()}, caps)
+    model.offset = level(model, texts, words, y, {r["y"]: r["count"] for r in known.groupBy("y").count().collect()})
     out = ToxicityClassifier(spark, model, float(y.mean()), {}, 0.5)
     fitted = spark.createDataFrame([(i,) for i, other in zip(ids, aside.tolist(), strict=True) if not other], "fit_id long")
     del texts, words

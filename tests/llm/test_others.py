@@ -295,9 +295,12 @@ def test_toxicity_keeps_the_base_rate_when_caps_bind(spark):
         doubtful = rng.random() < 0.3  # one in four of these is toxic, and none of the others
         rows.append((i, " ".join([*words, "murky"] if doubtful else words), "en", int(doubtful and rng.random() < 0.25)))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, y int")
-    model = toxicity.train(df, df.selectExpr("doc_id AS id", "y"), fit_rows=150)
-    got = [r.s for r in df.select(model.score(F.col("text")).alias("s")).collect()]
-    assert 0.5 < sum(got) / sum(r[3] for r in rows) < 1.5  # though a third of the fitted rows is toxic
+    labels = df.selectExpr("doc_id AS id", "y").union(spark.createDataFrame([(10_000 + i, 1) for i in range(900)], "id long, y int"))  # without documents
+    size = sum(len(r[1]) for r in rows)
+    for caps in ({"fit_rows": 150}, {"fit_rows": 150, "fit_bytes": 225 * size // 4000}, {"fit_bytes": size // 3}, {}):
+        model = toxicity.train(df, labels, **caps)
+        got = [r.s for r in df.select(model.score(F.col("text")).alias("s")).collect()]
+        assert 0.8 < sum(got) / sum(r[3] for r in rows) < 1.25, caps  # though a third of the fitted rows may be toxic
 
 
 def test_thresholds_cover_languages_and_long_texts_outside_the_sample(spark, monkeypatch):
