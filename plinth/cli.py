@@ -13,6 +13,10 @@ from plinth.service import serve
 from plinth.settings import Settings
 
 
+#: Settings that options take the place of.
+OPTIONS = {"index_path": "index_path", "pdf_workers": "pdf_workers", "embedding_batch_size": "embed_batch_size", "ocr_scanned": "ocr_scanned"}
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="plinth")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -22,6 +26,9 @@ def main(args: list[str] | None = None) -> int:
     ingest.add_argument("--no-resume", action="store_true")
     ingest.add_argument("--failed-only", action="store_true")
     ingest.add_argument("--max-files", type=int)
+    ingest.add_argument("--pdf-workers", type=int)
+    ingest.add_argument("--embed-batch-size", type=int)
+    ingest.add_argument("--ocr-scanned", action="store_true", default=None, help="accepted and unused")
     ask = commands.add_parser("ask")
     ask.add_argument("question")
     ask.add_argument("--top-k", type=int)
@@ -36,7 +43,7 @@ def main(args: list[str] | None = None) -> int:
         one.add_argument("--index-path")
     given = parser.parse_args(args)
     ship_package()
-    engine = Engine(SparkSession.builder.appName("plinth").getOrCreate(), Settings.from_env().but(index_path=given.index_path))
+    engine = Engine(SparkSession.builder.appName("plinth").getOrCreate(), Settings.from_env().but(**{k: getattr(given, v, None) for k, v in OPTIONS.items()}))
     if given.command == "ingest":
         out = engine.ingest(given.path, given.force, not given.no_resume, given.failed_only, given.max_files)
     elif given.command == "ask":

@@ -8,8 +8,6 @@ else. Requests only plan Spark jobs; their work runs on the cluster.
 from __future__ import annotations
 
 import json
-import threading
-import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -19,6 +17,7 @@ from pyspark import inheritable_thread_target
 
 from plinth.plans.backends import Transport, http
 from plinth.plans.engine import Engine
+from plinth.plans.ledger import Busy, Ledger
 from plinth.settings import ANSWER_MODES
 
 #: A larger body is refused unread.
@@ -69,8 +68,7 @@ def checked(body: bytes, fields: dict[str, Callable[[Any], bool]], needed: tuple
 class Service:
     def __init__(self, engine: Engine, probe: Transport = http) -> None:
         self.engine, self.probe = engine, probe
-        self.lock, self.worker = threading.Lock(), ThreadPoolExecutor(1)
-        self.state: dict[str, Any] = {"running": False, "started_at": None, "finished_at": None, "last_report": None, "last_error": None}
+        self.worker, self.ledger = ThreadPoolExecutor(1), Ledger(engine.spark, engine.settings.index_path)
         self.routes = {("GET", "/"): self.root, ("GET", "/health"): self.health, ("POST", "/ingest"): self.ingest, ("GET", "/ingest/status"): self.status, ("POST", "/ask"): self.ask, ("GET", "/sources"): self.sources}
 
     def handle(self, method: str, path: str, body: bytes = b"") -> tuple[int, Any]:
@@ -103,30 +101,25 @@ class Service:
         return {"status": "ok", "index_exists": self.engine.index_exists(), "index_path": s.index_path, "corpus_dir": s.source_path, "embedding_backend": s.embedding_backend, "generation_backend": s.generation_backend, "ollama_available": reachable}
 
     def ingest(self, body: bytes) -> dict:
-        """One ingestion in the background at a time; its outcome is under /ingest/status."""
+        """One ingestion of an index at a time, in the background or not, by this process or another; its outcome is under /ingest/status."""
         asked = checked(body, INGEST)
         given = {"path": asked.get("source_path"), "force": asked.get("force", False), "resume": asked.get("resume", True), "failed_only": asked.get("failed_only", False)}
+        try:
+            run = self.ledger.begin()
+        except Busy as busy:
+            raise Refused(409, str(busy)) from None
         if not asked.get("background", False):
-            return self.engine.ingest(**given)
-        with self.lock:
-            if self.state["running"]:
-                raise Refused(409, "An ingestion is running")
-            self.state.update(running=True, started_at=time.time(), finished_at=None, last_report=None, last_error=None)
-        self.worker.submit(inheritable_thread_target(self.engine.spark)(self._ingest), given)
+            return self._ingest(run, given)
+        self.worker.submit(inheritable_thread_target(self.engine.spark)(self._ingest), run, given)
         return {"accepted": True, "status": "/ingest/status"}
 
-    def _ingest(self, given: dict) -> None:
-        report = error = None
-        try:
-            report = self.engine.ingest(**given)
-        except Exception as broken:  # told by the status
-            error = str(broken)
-        with self.lock:
-            self.state.update(running=False, finished_at=time.time(), last_report=report, last_error=error)
+    def _ingest(self, run: str, given: dict) -> dict:
+        with self.ledger.held(run) as out:
+            out["report"] = self.engine.ingest(**given)
+        return out["report"]
 
     def status(self, body: bytes) -> dict:
-        with self.lock:
-            return dict(self.state)
+        return self.ledger.status()
 
     def ask(self, body: bytes) -> dict:
         asked = checked(body, ASK, ("question",))
