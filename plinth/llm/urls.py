@@ -1,9 +1,9 @@
 """URL filters: rules by host and path, and for other urls a tree of path templates for each host.
 
 The tree is grown level by level over (host, path) groups, until no branch is left. Segments are counted as they are, with
-digits or without; one that is rare under its parent is variable and becomes a wildcard. Frequent branches are ordered by
-their share of bad labels, and those that a two-proportion test doesn't tell apart merge into one numbered wildcard, so many
-alike ones do too. Below a branch of fewer than ``min_support`` urls every segment is rare, so it is grown no further. A template
+digits or without; one that is rare under its parent is variable and becomes a wildcard. Frequent branches are binned by their
+share of bad labels, and those that a two-proportion test doesn't tell apart from the cluster before them merge into one
+numbered wildcard. Below a branch of fewer than ``min_support`` urls every segment is rare, so it is grown no further. A template
 is rejected if its share of bad labels, smoothed towards the host's, which is smoothed towards the share of all, reaches
 ``reject``.
 
@@ -26,6 +26,8 @@ from plinth.runtime import materialise
 
 #: Levels that are grown before the first look whether a branch is left.
 DEPTH = 5
+#: Bins of shares of bad labels: branches whose shares differ by less than a thousandth are alike.
+BINS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RESULTS = ("host", "path", "rule", "template", "purity", "verdict")
 
@@ -56,6 +58,28 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
+def clusters(frequent: DataFrame, z: float) -> DataFrame:
+    """(host, template, bin, cluster, alone) for branches of a parent, binned by their share of bad labels. Bins are taken in order; each
+    joins the cluster before it unless a two-proportion test tells it apart from all of that cluster's labels together, so that a
+    cluster can't creep from clean branches to bad ones. alone: whether the cluster is one branch. A parent has BINS + 1 bins at most."""
+    bins = frequent.groupBy("host", "template", "bin").agg(F.sum("m").alias("m"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("k"))
+    listed = bins.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("bin", "m", "b", "k"))).alias("bins"))
+
+    def step(so_far: Column, x: Column) -> Column:
+        m, b = so_far["m"] + x["m"], so_far["b"] + x["b"]
+        pooled = b / m
+        error = F.sqrt(pooled * (1 - pooled) * (1 / x["m"] + F.try_divide(F.lit(1), so_far["m"])))
+        apart = F.coalesce(F.abs(x["b"] / x["m"] - F.try_divide(so_far["b"], so_far["m"])) > z * error, F.lit(False))
+        cluster = so_far["cluster"] + apart.cast("int")
+        placed = F.concat(so_far["placed"], F.array(F.struct(x["bin"].alias("bin"), cluster.alias("cluster"), x["k"].alias("k"))))
+        return F.struct(F.when(apart, x["m"]).otherwise(m).alias("m"), F.when(apart, x["b"]).otherwise(b).alias("b"), cluster.alias("cluster"), placed.alias("placed"))
+
+    nothing = F.struct(F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("cluster"), F.array().cast("array<struct<bin: int, cluster: int, k: bigint>>").alias("placed"))
+    placed = listed.select("host", "template", F.explode(F.aggregate("bins", nothing, step, lambda x: x["placed"])).alias("p")).select("host", "template", "p.*")
+    own = Window.partitionBy("host", "template", "cluster")  # over a parent's bins
+    return placed.select("host", "template", "bin", "cluster", (F.sum("k").over(own) == 1).alias("alone"))
+
+
 def template_tree(urls: DataFrame, min_support: int = 20, z: float = 1.96, smoothing: float = 20.0) -> DataFrame:
     """(host, shape, template, purity) for each group of urls. urls: host, shape (path by segments()), bad (1, 0 or null)."""
     n, m, b = F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("b").alias("b")
@@ -76,17 +100,9 @@ def template_tree(urls: DataFrame, min_support: int = 20, z: float = 1.96, smoot
         level += 1
         branch = live.withColumn("segment", F.try_element_at("shape", F.lit(level)))
         branches = branch.groupBy("host", "template", "segment").agg(n, m, b)
-        frequent = branches.where((F.col("n") >= min_support) & (F.col("m") > 0)).withColumn("share", F.col("b") / F.col("m"))
-        # Neighbours by their share of bad labels stay together unless a two-proportion test tells them apart.
-        ordered = Window.partitionBy("host", "template").orderBy("share", "segment")
-        last_m, last_b = F.lag("m").over(ordered), F.lag("b").over(ordered)
-        pooled = (F.col("b") + last_b) / (F.col("m") + last_m)
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("m") + 1 / last_m))
-        frequent = frequent.withColumn("apart", F.coalesce(F.abs(F.col("share") - last_b / last_m) > z * error, F.lit(False)))
-        frequent = frequent.withColumn("cluster", F.sum(F.col("apart").cast("int")).over(ordered))
-        alone = Window.partitionBy("host", "template", "cluster")
-        kept_name = F.when(F.count(F.lit(1)).over(alone) == 1, F.col("segment")).otherwise(F.concat(F.lit("*"), F.col("cluster").cast("string")))
-        literal = frequent.select("host", "template", "segment", kept_name.alias("stays"))
+        frequent = branches.where((F.col("n") >= min_support) & (F.col("m") > 0)).withColumn("bin", F.round(BINS * F.col("b") / F.col("m")).cast("int"))
+        literal = frequent.join(clusters(frequent, z), ["host", "template", "bin"])
+        literal = literal.select("host", "template", "segment", F.when(F.col("alone"), F.col("segment")).otherwise(F.concat(F.lit("*"), F.col("cluster").cast("string"))).alias("stays"))
         branch = branch.join(literal, ["host", "template", "segment"], "left")
         live = branch.select("host", "shape", "n", "m", "b", F.concat("template", F.lit("/"), F.coalesce("stays", F.lit("*"))).alias("template"))
     groups = materialise(reduce(DataFrame.union, ended), "url-groups")

@@ -6,6 +6,8 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
+from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -116,6 +118,72 @@ def test_templates_part_segments_with_digits_and_deep_ones(spark):
     assert {r.template for r in out if r.bad} == {"/promo88/*", "/a/b/c/d/e/spam/x", "/*/b/c/d/e/f/g/h/spam/*/*"}
 
 
+def brute_tree(rows, min_support=20, z=1.96, smoothing=20.0):
+    """(template, purity) of each of (host, segments, bad)."""
+    names = [""] * len(rows)
+    level, live = 0, range(len(rows))
+    while live:
+        support = Counter((rows[i][0], names[i]) for i in live)
+        grown = [i for i in live if len(rows[i][1]) > level and (level < urls.DEPTH or support[rows[i][0], names[i]] >= min_support)]
+        for i in set(live) - set(grown):
+            names[i] += "/*" * (len(rows[i][1]) - level)
+        tally = {}
+        for i in grown:
+            t = tally.setdefault((rows[i][0], names[i]), {}).setdefault(rows[i][1][level], [0, 0, 0])
+            bad = rows[i][2]
+            t[0], t[1], t[2] = t[0] + 1, t[1] + (bad is not None), t[2] + (bad or 0)
+        stays = {}
+        for parent, branches in tally.items():
+            ordered = sorted((math.floor(1000 * b / m + 0.5), s, m, b) for s, (n, m, b) in branches.items() if n >= min_support and m)
+            found = []  # clusters: names, labels, bad ones, last bin
+            for share, own in groupby(ordered, key=lambda x: x[0]):
+                own = list(own)
+                m, b = sum(x[2] for x in own), sum(x[3] for x in own)
+                if found:
+                    last = found[-1]
+                    pooled = (b + last[2]) / (m + last[1])
+                    near = abs(b / m - last[2] / last[1]) <= z * math.sqrt(pooled * (1 - pooled) * (1 / m + 1 / last[1]))
+                if not found or not near:
+                    found.append([[], 0, 0])
+                found[-1][0] += [x[1] for x in own]
+                found[-1][1] += m
+                found[-1][2] += b
+            for k, (names_in, _, _) in enumerate(found):
+                stays |= {(parent, s): s if len(names_in) == 1 else f"*{k}" for s in names_in}
+        for i in grown:
+            names[i] += "/" + stays.get(((rows[i][0], names[i]), rows[i][1][level]), "*")
+        live, level = grown, level + 1
+    share = lambda own: (sum(r[2] or 0 for r in own), sum(r[2] is not None for r in own))
+    bad, known = share(rows)
+    overall = bad / max(known, 1)
+    hosts = {h: share([r for r in rows if r[0] == h]) for h in {r[0] for r in rows}}
+    leaves = {}
+    for r, name in zip(rows, names, strict=True):
+        leaves.setdefault((r[0], name), []).append(r)
+    purity = {}
+    for (h, name), own in leaves.items():
+        b, m = share(own)
+        purity[h, name] = (b + smoothing * (hosts[h][0] + smoothing * overall) / (hosts[h][1] + smoothing)) / (m + smoothing)
+    return [(name, round(purity[r[0], name], 9)) for r, name in zip(rows, names, strict=True)]
+
+
+def test_templates_against_brute_force(spark):
+    rng = random.Random(6)
+    rows = []
+    for share in range(11):  # one host, eleven branches of 0 to 100 % bad labels
+        rows += [("h.net", [f"b{share:02d}", str(i)], int(i < 4 * share)) for i in range(40)]
+    for i in range(1500):
+        kind = rng.choice(["news", "promo", "wiki", "shop", "x1", "x2", f"u{i}"])
+        depth = rng.randrange(0, 8)
+        rows.append((rng.choice(["a.org", "b.com"]), [kind, *(rng.choice(["p", "q", f"n{i}"]) for _ in range(depth))][: rng.randrange(0, 9)], rng.choice([None, 0, int(kind in ("promo", "x1"))])))
+    rows += rows[:50]  # repeated rows
+    df = spark.createDataFrame([(i, f"http://{h}/" + "/".join(s), bad) for i, (h, s, bad) in enumerate(rows)], "id int, url string, bad int")
+    got = {r.id: (r.template, round(r.purity, 9)) for r in urls.filter_urls(df, []).collect()}
+    assert [got[i] for i in range(len(rows))] == brute_tree(rows)
+    of = {rows[i][1][0]: got[i][0] for i in range(440)}
+    assert of["b01"] != of["b09"] and len(set(of.values())) < 11
+
+
 # -- warc ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -132,6 +200,11 @@ def test_archives_round_trip(spark):
         revisits = largest is not None and largest != i
         want.append((i or 0, "revisit" if revisits else "response", largest if revisits else None, base64.b32encode(hashlib.sha1(data).digest()).decode(), len(data), None if revisits else html or ""))
     assert got == sorted(want, key=lambda r: tuple((x is not None, x) for x in r)) or sorted(map(repr, got)) == sorted(map(repr, want))
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).collect()
+    lines = [line for f in stored for line in gzip.decompress(f.content).split(b"\r\n")]
+    names = [line for line in lines if line.startswith(b"WARC-Record-ID")]
+    assert len(names) == len(rows) == len(set(names))  # also of rows that repeat
+    assert {x.partition(b": ")[2] for x in lines if x.startswith(b"WARC-Refers-To")} <= {x.partition(b": ")[2] for x in names}
     small = warc.resolve(df, min_bytes=5).where("bytes < 5 and refers_to is not null").count()
     assert small == 0
     empty = new_path(spark, "warc-test")
