@@ -52,32 +52,44 @@ def sha1_base32(payload: Column) -> Column:
 
 
 def resolve(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, bytes, refers_to): refers_to is null for responses."""
+    """(page_id, url, payload, digest, bytes, refers_to, copy): refers_to is null for responses; copy tells rows apart that share page and
+    payload, and is null for all others and for the one that revisits refer to."""
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", sha1_base32(F.encode("payload", "UTF-8"))).withColumn("bytes", F.octet_length("payload").cast("long"))
-    groups = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    originals = materialise(groups.where("n > 1 and original is not null"), "originals")
-    found = told(rows, originals)
-    return found.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original"))).drop("original")
-
-
-def told(rows: DataFrame, originals: DataFrame) -> DataFrame:
-    """rows with their digest's original, null where there is none. Payloads travel only where a join by digest can't be avoided."""
-    size = originals.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("copies")).first()
-    known = originals.select("digest", "original")
+    pairs = rows.groupBy("digest", "bytes", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = pairs.groupBy("digest", "bytes").agg(F.max("page_id").alias("original"), F.sum("n").alias("n"), (F.max("n") > 1).alias("again"))
+    told_of = F.struct(F.when((F.col("bytes") >= min_bytes) & (F.col("n") > 1), F.col("original")).alias("original"), "again").alias("told")
+    known = materialise(groups.where("n > 1").select("digest", "n", told_of).where("told.original is not null or told.again"), "originals")
+    found = told(rows, known)
+    original = F.col("told.original")
+    found = found.withColumns({"refers_to": F.when(~F.col("page_id").eqNullSafe(original), original), "again": F.coalesce("told.again", F.lit(False)), "is_original": F.col("page_id").eqNullSafe(original)}).drop("told")
+    lone = found.where("not again").drop("again", "is_original").withColumn("copy", F.lit(None).cast("long"))
+    if known.where("told.again").isEmpty():
+        return lone
+    # Rows that share page and payload would share a record's name, too. They are numbered in a table, so that a number stays a row's.
+    twice = materialise(found.where("again").drop("again").withColumn("copy", F.monotonically_increasing_id()), "copies")
+    first = twice.where("is_original").groupBy("digest").agg(F.min("copy").alias("first"))
+    twice = twice.join(first, "digest", "left").withColumn("copy", F.when(~F.col("copy").eqNullSafe(F.col("first")), F.col("copy")))
+    return lone.unionByName(twice.drop("is_original", "first"))
+
+
+def told(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with what is told of their digest, null where nothing is. Payloads travel only where a join by digest can't be avoided."""
+    size = known.agg(F.count(F.lit(1)).alias("digests"), F.sum("n").alias("copies")).first()
     if size["digests"] <= BROADCAST_DIGESTS:
-        return rows.join(F.broadcast(known), "digest", "left")
+        return rows.join(F.broadcast(known.select("digest", "told")), "digest", "left")
     least = HOT_SHARE * size["copies"]
-    out = rows.join(F.broadcast(originals.where(F.col("n") > least).select("digest", "original")), "digest", "left")
-    cool = originals.where(F.col("n") <= least).select("digest", F.col("original").alias("cool_original"))
-    maybe, alone = parted(out.where("original is null"), cool, "digest")
-    joined = maybe.drop("original").join(cool, "digest", "left").withColumnRenamed("cool_original", "original")
-    return out.where("original is not null").unionByName(alone).unionByName(joined)
+    out = rows.join(F.broadcast(known.where(F.col("n") > least).select("digest", "told")), "digest", "left")
+    cool = known.where(F.col("n") <= least).select("digest", F.col("told").alias("cool"))
+    maybe, alone = parted(out.where("told is null"), cool, "digest")
+    joined = maybe.drop("told").join(cool, "digest", "left").withColumnRenamed("cool", "told")
+    return out.where("told is not null").unionByName(alone).unionByName(joined)
 
 
 def record(date: str) -> Column:
     """A record of resolve()'s row, without the CRLF CRLF that ends it."""
-    name = lambda page: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.col("digest"), F.lit(">"))
+    name = lambda page, copy: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.col("digest"), copy, F.lit(">"))
+    number = F.coalesce(F.concat(F.lit(":"), F.col("copy").cast("string")), F.lit(""))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -85,12 +97,12 @@ def record(date: str) -> Column:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"), number)),
         F.lit(f"WARC-Date: {date}"),
         F.concat(F.lit("WARC-Target-URI: "), url),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), name(F.col("refers_to"), F.lit("")))),
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
