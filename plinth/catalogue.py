@@ -15,7 +15,8 @@ from plinth.functions import rules
 from plinth.functions import text as T
 from plinth.operators import answers, chunking, cleaning, embedding, layout, lexical, manifest, retrieval
 from plinth.plans import summary
-from plinth.runtime import materialise, read_table
+from plinth.plans.engine import Engine
+from plinth.runtime import materialise, new_path, read_table
 from plinth.settings import PARSER_VERSION, Settings
 from plinth.sources.tables import cache_split
 
@@ -196,6 +197,20 @@ def lexical_rerank(spark: SparkSession, d: str) -> DataFrame:
     return shown(again.where(F.col("rank") <= 5))
 
 
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    """Engine.search over an index of two segments: German documents have other texts in the first one, and the second voids these."""
+    engine = Engine(spark, Settings(index_path=new_path(spark, "index"), embedding_backend="md5"))
+    text = F.coalesce("text", F.lit(""))
+    rows = chunk_rows(spark, d).withColumns({"chunk_id": F.col("chunk_id").cast("string"), "source_path": F.concat(F.lit("/corpus/"), "chunk_id"), "text": text})
+    made = lambda df: df.withColumns({"text_sha256": F.sha2(F.col("text").cast("binary"), 256), "n_tokens": F.size(T.tokens(F.col("text"))).cast("long")})
+    changed, model, n = rows.where("lang = 'de'"), engine.backends.embedding_name, rows.count()
+    first = rows.withColumn("text", F.when(F.col("lang") == "de", F.concat(F.lit("old "), F.reverse("text"))).otherwise(F.col("text")))
+    record = engine.index.replace(engine.segment(made(first), n), model)
+    engine.index.append(record, engine.segment(made(changed), n), changed, model)
+    found = engine.search(question_rows(spark, d), RESULTS)
+    return found.select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
 def sql_fused(where: str = "true") -> str:
     return f"""{SQL_BM25}, {sql_hashed_ranks(where)},
 a AS (SELECT query_id, doc_id, rank FROM near_ranks WHERE rank <= 50), b AS (SELECT query_id, doc_id, rank FROM bm25_ranks WHERE rank <= 50),
@@ -608,7 +623,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         tokenize_terms, term_freq, doc_freq, corpus_stats, bm25_topk, bm25_batch, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_norm, hash_embed_blake2b, hash_vector_topk, rrf_fusion, rrf_filtered_asymmetric,
-        min_relevance, lexical_rerank, source_summary, exact_duplicates, unique_files, manifest_changed, manifest_deleted, manifest_upsert, ingest_report, cache_hits_misses, repeated_lines, clean_lines, noise_lines, hyphen_merge,
+        min_relevance, lexical_rerank, engine_search, source_summary, exact_duplicates, unique_files, manifest_changed, manifest_deleted, manifest_upsert, ingest_report, cache_hits_misses, repeated_lines, clean_lines, noise_lines, hyphen_merge,
         headings, line_headings, segments, document_segments, references_cut, sentences, chunks_packed, chunk_ids, column_order, table_rows, page_assembly, citations, excerpts, diet_expand, diet_filter, diet_answer, eval_metrics, bench_summary,
     ]
     return {f.__name__: f for f in found}
@@ -634,6 +649,7 @@ def oracle_sql() -> dict[str, str]:
         "rrf_filtered_asymmetric": f"WITH {sql_fused(EN)} {ranks} fused",
         "min_relevance": f"WITH {sql_fused()} {ranks} fused WHERE score >= 0.02",
         "lexical_rerank": f"WITH {SQL_RERANK} {ranks} again WHERE rank <= 5",
+        "engine_search": f"WITH {sql_fused()} SELECT query_id, doc_id, round(score, 9) AS score, rank::INTEGER AS rank FROM fused",
         "source_summary": "SELECT 'doc-' || doc_id AS source_id, 'Title 0' AS title, '/corpus/' || doc_id AS source_path, len(l) AS chunks, array_to_string(range(1, ((len(l) - 1) // 40) + 2), ',') AS pages FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)",
         "exact_duplicates": f"WITH {SQL_FILES} SELECT path, sha256, duplicate_of FROM marked",
         "unique_files": f"WITH {SQL_FILES} SELECT path, sha256, size FROM marked WHERE duplicate_of IS NULL",
