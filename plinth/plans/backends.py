@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,34 @@ def http(url: str, payload: dict | None, timeout: float) -> dict:
         return json.loads(answer.read())
 
 
+#: Calls of a service that a task has open at a time, how often one is tried, and the first pause between tries in seconds.
+AT_ONCE, TRIES, PAUSE = 4, 3, 0.25
+
+
+def in_order(call: Callable, given: Iterable, at_once: int = AT_ONCE) -> Iterator:
+    """call(x) for each x, a few at a time; results in the order of what was given, and never more than at_once ahead of the reader."""
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for x in given:
+            waiting.append(pool.submit(call, x))
+            if len(waiting) >= at_once:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def patiently(call: Callable, *given: Any, tries: int = TRIES, pause: float = PAUSE) -> Any:
+    """A service may be busy for a moment: tries again after a pause that doubles. The last error is raised."""
+    for last in range(tries):
+        try:
+            return call(*given)
+        except Exception:
+            if last == tries - 1:
+                raise
+            time.sleep(pause * 2**last)
+    raise AssertionError
+
+
 def embed_texts(texts: list[str], url: str, model: str, timeout: float, transport: Transport) -> list[list[float]]:
     """A batch at once, or one by one where the service has only the older call. Of unit length."""
     try:
@@ -113,13 +145,14 @@ class Backends:
 
     def _served(self, texts: DataFrame, s: Settings) -> DataFrame:
         size = s.embedding_batch_size
+        at_once = 1 if self.embedder else AT_ONCE  # a function of the caller's need not be safe for threads
         embed = self.embedder or partial(embed_texts, url=s.ollama_url, model=s.ollama_embedding_model, timeout=s.request_timeout_seconds, transport=self.transport)
 
         def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    vectors = embed(part.column(1).to_pylist())
+            parts = (batch.slice(at, size) for batch in batches for at in range(0, batch.num_rows, size))
+            made = lambda part: (part, patiently(embed, part.column(1).to_pylist()))
+            for part, vectors in in_order(made, parts, at_once):
+                if part.num_rows:
                     sizes = np.array([len(v) for v in vectors], np.int64)
                     own = np.repeat(np.arange(part.num_rows), sizes)
                     place = np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else own
@@ -142,17 +175,18 @@ class Backends:
         prompts = answers.user_prompts(questions, results)
         url, model, timeout, heat, transport = s.ollama_url, s.ollama_generation_model, s.request_timeout_seconds, s.temperature, self.transport
 
+        def one(prompt: tuple[str, str]) -> tuple[str | None, str | None]:
+            messages = [{"role": r, "content": x} for r, x in zip(("system", "user"), prompt, strict=True)]
+            try:
+                found = patiently(transport, f"{url}/api/chat", {"model": model, "stream": False, "messages": messages, "options": {"temperature": heat}}, timeout)
+                return found["message"]["content"].strip(), None
+            except Exception as error:  # this question falls back, the others don't
+                return None, str(error)
+
         def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                said, broken = [], []
-                for system, user in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    try:
-                        messages = [{"role": "system", "content": system}, {"role": "user", "content": user}]
-                        said.append(transport(f"{url}/api/chat", {"model": model, "stream": False, "messages": messages, "options": {"temperature": heat}}, timeout)["message"]["content"].strip())
-                        broken.append(None)
-                    except Exception as error:
-                        said.append(None)
-                        broken.append(str(error))
+                found = list(in_order(one, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)))
+                said, broken = [x for x, _ in found], [x for _, x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(broken, pa.string())], ["query_id", "said", "broken"])
 
         served = prompts.select(F.col("query_id").cast("string"), "system_prompt", "user_prompt").mapInArrow(call, "query_id string, said string, broken string")
