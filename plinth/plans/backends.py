@@ -133,7 +133,9 @@ class Backends:
             missing = texts.join(self._cached(spark, at).select("text_sha256"), "text_sha256", "left_anti")
         missing = materialise(missing, "missing")
         if not missing.isEmpty():
-            made = packed(self.weights(missing, "text_sha256", s), "text_sha256")
+            # A text without a term has an empty vector, so that it isn't embedded in each run anew.
+            made = missing.select("text_sha256").join(packed(self.weights(missing, "text_sha256", s), "text_sha256"), "text_sha256", "left")
+            made = made.withColumns({"buckets": F.coalesce("buckets", F.array().cast("array<int>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))})
             made.withColumn("model", F.lit(self.embedding_name)).select(*VECTORS).write.mode("append").parquet(at)
         discard(missing)
         return keyed.select("chunk_id", "text_sha256").join(self._cached(spark, at), "text_sha256").drop("text_sha256")

@@ -116,6 +116,15 @@ def test_questions_leave_the_cache_alone_and_texts_are_appended_once(make, spark
     assert cache() == 3
 
 
+def test_texts_without_a_term_are_embedded_once(make, spark, tmp_path):
+    engine = make({"a.txt": STROKE, "b.txt": "?!? ..."})
+    engine.ingest()
+    held = lambda: sorted(len(r.buckets) > 0 for r in spark.read.parquet(f"{tmp_path}/embeddings/vectors").collect())
+    assert held() == [False, True]
+    engine.ingest(force=True)
+    assert held() == [False, True] and engine.ask("stroke rehabilitation")["citations"][0]["source"] == "a.txt"
+
+
 def test_filters_by_the_source_file_and_by_unknown_keys(make):
     engine = make({"a.txt": STROKE, "c.txt": DIET}, incremental=False)
     engine.ingest()
