@@ -286,7 +286,7 @@ def calibrate(scored: DataFrame, known: DataFrame, fitted: DataFrame) -> tuple[d
     return {lang: best_threshold(own, by[own["y"]]) for lang, own in ((k, table(v)) for k, v in sorted(of.items()))}, overall
 
 
-def level(model: Model, texts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, labels: dict[int, int]) -> float:
+def level(model: Model, texts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, labels: dict[int, int]) -> np.float64:
     """The offset with which the sample's scores, each row standing for as many labels of its class as it was taken from, add up to the
     toxic ones. labels: how many there are of each class."""
     pooled = np.array([model.pooled(model.responses(words[own])) @ model.weights for own in texts], np.float64)
@@ -296,7 +296,7 @@ def level(model: Model, texts: list[np.ndarray], words: np.ndarray, toxic: np.nd
         middle = (low + high) / 2
         over = (stands / (1 + np.exp(-np.clip(pooled + middle, -30, 30)))).sum() > (stands * toxic).sum()
         low, high = (low, middle) if over else (middle, high)
-    return (low + high) / 2
+    return np.float64(round((low + high) / 2, 4))  # sums of 32-bit numbers needn't come out alike to the last bit
 
 
 def fitted_on(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int, text: str, id_column: str) -> tuple[ToxicityClassifier, DataFrame, DataFrame | None]:

@@ -402,7 +402,10 @@ def test_classify_like_train(spark):
     out = toxicity.classify(df, labels, df.columns)
     got = out.collect()
     assert out.columns == [*df.columns, "toxicity"] and {r.score for r in got} == {"x"}
-    assert sorted((r.doc_id, r.toxicity.score, r.toxicity.threshold) for r in got) == want
+    found = sorted((r.doc_id, r.toxicity.score, r.toxicity.threshold) for r in got)
+    assert [r[0] for r in found] == [r[0] for r in want]
+    # The same weights, but 32-bit products hang in their last bits on which words a worker met together.
+    assert np.allclose([r[1:] for r in found], [r[1:] for r in want], rtol=1e-5, atol=0)
     assert all(r.toxicity.toxic == (r.toxicity.score >= r.toxicity.threshold) for r in got)
     assert toxicity.classify(df.limit(0), labels, ["doc_id"]).collect() == []
 
