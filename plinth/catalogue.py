@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth import planted
 from plinth.functions import rules
 from plinth.functions import text as T
 from plinth.operators import answers, chunking, cleaning, embedding, layout, lexical, manifest, retrieval
@@ -335,28 +336,18 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(F.col("page_ord").alias("doc_id"), F.col("line_no").alias("line_no"), "line")
 
 
-NOISE = ("42", "Page 5", "page12", "12345", "Page", "doi: 10.1161/x", "See DOI:10.1/abc here", "https://example.org/a", "visit www.example.org", "Copyright 2020 by them", "downloaded from there", "Published by X", "All rights reserved.", "Supplemental material is online", "Patients aged 42", "The dose was 10 mg", "supplement", "")
-
-
 def noise_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(NOISE)], "id long, line string")
-    return rows.select("id", "line", T.is_noise(F.col("line")).alias("noise"))
+    """Every line of every document, some of them planted noise."""
+    return planted.line_rows(documents(spark, d)).select("doc_id", F.col("i").alias("line_no"), T.is_noise(F.col("line")).alias("noise"))
 
 
 SQL_NOISE = r"(regexp_matches(line, '(?i)^(?:page\s*)?[0-9]{1,4}$') OR regexp_matches(line, '(?i)\bdoi:\s*10\.') OR regexp_matches(line, '(?i)https?://|www\.') OR regexp_matches(lower(line), '^(copyright|downloaded from|published by|all rights reserved|supplemental material)'))"
 
 
-def sql_values(rows: list[tuple]) -> str:
-    quote = lambda x: "NULL" if x is None else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + ")"
-
-
-HYPHENS = (("p1", "reha-"), ("p1", "bilita-"), ("p1", "tion helps"), ("p2", "post-"), ("p2", "Stroke care"), ("p3", "ends with-"), ("p4", "a"), ("p4", "b-"), ("p4", "ébauche"), ("p4", "c"), ("p5", "-"), ("p5", "x-"), ("p5", "9y"))
-
-
 def hyphen_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(p, 0, i, x) for i, (p, x) in enumerate(HYPHENS)], "source_id string, page_ord int, line_no int, line string")
-    return cleaning.merge_hyphens(rows).select("source_id", "line_no", "line")
+    """Documents wrapped at sixty characters, words parted by hyphens, put together again."""
+    rows = planted.line_rows(documents(spark, d)).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("page_ord"), F.col("i").alias("line_no"), "line")
+    return cleaning.merge_hyphens(rows).select(F.col("source_id").alias("doc_id"), "line_no", "line")
 
 
 SQL_ISLANDS = """
@@ -368,12 +359,9 @@ raw AS (SELECT doc_id AS source_id, unnest(string_split(coalesce(text, ''), chr(
 tidy AS (SELECT source_id, line_no, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line FROM raw),
 lines AS (SELECT * FROM tidy WHERE line <> '' AND NOT {SQL_NOISE}), {SQL_ISLANDS}"""
 
-HEADINGS = ("RESULTS", "Background and purpose", "Methods:", "1.2 Study design", "POST-STROKE CARE", "Key Points", "AB", "Summary.", "The patients were seen.", "Acute Stroke Management", "Note: see below", "Early Mobilisation and Rehabilitation After Stroke", "acute stroke care:", "One two three Four", "One Two Three four", "A very long heading of more than twelve words that nobody would use at all here", "12) Outcomes", "---:", "Treatment", "Mean (SD) Values", "ÉTUDE CLINIQUE", "x" * 111)
-
-
 def headings(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(HEADINGS)], "id long, line string")
-    return rows.select("id", T.heading(F.col("line")).alias("heading"))
+    """Every line of every document that is a heading, normalised."""
+    return planted.line_rows(documents(spark, d)).select("doc_id", F.col("i").alias("line_no"), T.heading(F.col("line")).alias("heading")).where("heading is not null")
 
 
 def line_headings(spark: SparkSession, d: str) -> DataFrame:
@@ -390,26 +378,17 @@ def sql_heading(line: str) -> str:
     upper = "(regexp_matches({0}, '[\\p{{Lu}}\\p{{Lt}}]') AND NOT regexp_matches({0}, '[\\p{{Ll}}\\p{{Lt}}]'))"
     clean = f"regexp_replace(regexp_replace({c}, '^[0-9]+(?:\\.[0-9]+)*[.)]?\\s+', ''), '^[ :-]+|[ :-]+$', '', 'g')"
     title = f"array_to_string(list_transform(regexp_extract_all({clean}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda r: upper(r[1]) || lower(r[2:])), '')"
-    named = f"CASE WHEN {upper.format(clean)} THEN {title} ELSE upper(({clean})[1]) || ({clean})[2:] END"
+    named = f"CASE WHEN {upper.format(clean)} THEN {title} ELSE upper(replace(({clean})[1], 'ß', 'SS')) || ({clean})[2:] END"
     fits = f"length({c}) BETWEEN 3 AND 110 AND len({words}) <= 12 AND (NOT ends_with({c}, '.') OR {known})"
     titled = f"(len({words}) >= 2 AND len(list_filter({words}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= 0.75 * len({words}) AND NOT regexp_matches({c}, '[.;()]'))"
     says = f"({known} OR regexp_matches({c}, '^[0-9]+(?:\\.[0-9]+)*[.)]?\\s+[A-Z][A-Za-z0-9, /&-]{{2,}}$') OR ({upper.format(c)} AND len({words}) BETWEEN 1 AND 10) OR (ends_with({line}, ':') AND len({words}) <= 10) OR {titled})"
     return f"CASE WHEN {fits} AND {says} THEN nullif({named}, '') END"
 
 
-PAPER = (
-    ("a", 1, "Title Page Of Study\nINTRODUCTION\nStroke is common.\nIt is serious ."), ("a", 2, "More on it.\nMETHODS\nWe looked at reha-\nbilitation."), ("a", 3, "RESULTS\nAll were well.\nREFERENCES\n1. Nobody. Nothing."), ("a", 4, "Never seen."),
-    ("b", 5, "no heading here, and on\nit goes."), ("b", 6, "Discussion\nend of it ,\nnearly."),
-)
-
-
-def paper(spark: SparkSession) -> DataFrame:
-    rows = [(page, source, f"/corpus/{source}.txt", source.upper(), page, text, None) for source, page, text in PAPER]
-    return spark.createDataFrame(rows, "page_ord int, source_id string, source_path string, title string, page_number int, text string, hierarchy array<string>")
-
-
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return cleaning.segments(paper(spark)).select("source_id", F.col("seg_id").cast("int").alias("seg_id"), "section", "page_start", "page_end", "text")
+    """Sections of all documents, as sources of many pages."""
+    found = cleaning.segments(planted.pages(documents(spark, d)))
+    return found.select(F.col("source_id").alias("doc_id"), F.col("seg_id").cast("int").alias("seg_id"), "section", "page_start", "page_end", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 def document_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -420,8 +399,8 @@ def document_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def references_cut(spark: SparkSession, d: str) -> DataFrame:
     """What is left of each source."""
-    found = cleaning.segments(paper(spark))
-    return found.groupBy("source_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("page_end").alias("last_page"))
+    found = cleaning.segments(planted.pages(documents(spark, d)))
+    return found.groupBy(F.col("source_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("page_end").alias("last_page"))
 
 
 def sql_segments(merged: str) -> str:
@@ -435,10 +414,9 @@ segs AS (SELECT n.source_id, n.seg_id, any_value(h.heading) AS section, min(n.pa
   FROM numbered n LEFT JOIN (SELECT source_id, seg_id, heading FROM numbered WHERE heading IS NOT NULL) h USING (source_id, seg_id) WHERE n.heading IS NULL GROUP BY n.source_id, n.seg_id HAVING text <> '')"""
 
 
-SQL_PAPER = f"""
-raw AS (SELECT s || ':' || p AS source_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) - 1 AS line_no FROM {sql_values(list(PAPER))} v(s, p, t)),
-lines AS (SELECT source_id, line_no, trim(line) AS line FROM raw WHERE trim(line) <> '' AND NOT {SQL_NOISE}), {SQL_ISLANDS},
-placed AS (SELECT split_part(source_id, ':', 1) AS source_id, split_part(source_id, ':', 2)::INTEGER AS page, line_no, line FROM merged)"""
+SQL_PAPER = f"""{planted.SQL_LINES},
+lines AS (SELECT doc_id || ':' || (i // 12 + 1) AS source_id, i % 12 AS line_no, line FROM sheet WHERE line <> '' AND NOT {SQL_NOISE}), {SQL_ISLANDS},
+placed AS (SELECT split_part(source_id, ':', 1)::BIGINT AS source_id, split_part(source_id, ':', 2)::INTEGER AS page, line_no, line FROM merged)"""
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -465,55 +443,25 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 # -- layout -------------------------------------------------------------------------------------------------------------------
 
-#: (doc, page, block, x0, y0, spans as (x0, text)); pages are 600 wide.
-BLOCKS = (
-    ("two", 1, 0, 10.0, 50.0, ((10.0, "left one"),)), ("two", 1, 1, 320.0, 10.0, ((320.0, "right one"),)), ("two", 1, 2, 10.0, 90.0, ((10.0, "left two"),)), ("two", 1, 3, 320.0, 60.0, ((320.0, "right two"),)),
-    ("one", 1, 0, 10.0, 80.0, ((10.0, "third"),)), ("one", 1, 1, 320.0, 20.0, ((320.0, "first"),)), ("one", 1, 2, 10.0, 40.0, ((10.0, "second"),)), ("one", 1, 3, 12.0, 95.0, ((12.0, "fourth"),)),
-    ("tab", 1, 0, 10.0, 10.0, ((25.0, "Drug"), (35.0, "Dose"), (200.0, "n = 12"))), ("tab", 1, 1, 10.0, 30.0, ((10.0, "a"), (12.0, "b"), (14.0, "c"))), ("tab", 1, 2, 10.0, 50.0, ((10.0, "only"), (100.0, "two"))), ("tab", 1, 3, 10.0, 70.0, ((10.0, " "),)),
-    *[("rep", p, 0, 10.0, 5.0, ((10.0, "Journal  of X"),)) for p in (1, 2, 3)], *[("rep", p, 1, 10.0, 50.0, ((10.0, f"Body {p}"),)) for p in (1, 2, 3, 4, 5)],
-    ("rep", 4, 2, 10.0, 70.0, ((10.0, "References:"),)), ("rep", 4, 3, 10.0, 90.0, ((10.0, "1. Gone"),)), ("rep", 2, 2, 10.0, 90.0, ((10.0, "Page 2"),)),
-)
-
-
-#: Pages as well that are a picture, and that lie behind the references.
-PAGE_BLOCKS = (*BLOCKS, ("scan", 1, 0, 10.0, 10.0, ((10.0, "Text"),)), ("scan", 2, 0, 0.0, 0.0, ()), ("scan", 3, 0, 10.0, 10.0, ((10.0, "References"),)), ("scan", 4, 0, 10.0, 10.0, ((10.0, "Later"),)), ("scan", 5, 0, 10.0, 10.0, ((10.0, "Last"),)))
-
-
-def block_rows(spark: SparkSession, blocks: tuple = BLOCKS) -> DataFrame:
-    rows = [(doc, page, 600.0, no, 0 if spans else 1, [x, y, x + 50, y + 10], [([(t, [sx, y, sx + 20, y + 10]) for sx, t in spans],)] if spans else []) for doc, page, no, x, y, spans in blocks]
-    return spark.createDataFrame(rows, layout.BLOCKS)
-
-
 def column_order(spark: SparkSession, d: str) -> DataFrame:
-    found = layout.reading_order(block_rows(spark))
+    found = layout.reading_order(planted.blocks(documents(spark, d)))
     return found.select("doc", "page", "block_no", "columns", F.col("place").cast("int").alias("place"))
 
 
 def table_rows(spark: SparkSession, d: str) -> DataFrame:
-    return block_rows(spark).select("doc", "page", "block_no", layout.is_table_row(F.col("lines")).alias("is_table"), layout.table_row(F.col("lines")).alias("row"))
+    return planted.blocks(documents(spark, d)).where("type = 0").select("doc", "page", "block_no", layout.is_table_row(F.col("lines")).alias("is_table"), layout.table_row(F.col("lines")).alias("row"))
 
 
 def page_assembly(spark: SparkSession, d: str) -> DataFrame:
-    return layout.assemble_pages(block_rows(spark, PAGE_BLOCKS)).select("doc", "page", "text", "columns", "has_table")
-
-
-def sql_blocks(blocks: tuple) -> str:
-    return f"""
-spans AS (SELECT * FROM {sql_values([(doc, page, no, x, y, i, sx, t) for doc, page, no, x, y, spans in blocks for i, (sx, t) in enumerate(spans)])} v(doc, page, block_no, x0, y0, i, sx, t)),
-blocks AS (SELECT doc, page, block_no, any_value(x0)::DOUBLE AS x0, any_value(y0)::DOUBLE AS y0, coalesce(string_agg(t, '' ORDER BY i) FILTER (trim(t) <> ''), '') AS raw,
-  coalesce(count(*) FILTER (trim(t) <> '') >= 3 AND count(DISTINCT round_even(sx::DOUBLE / 10, 0)) FILTER (trim(t) <> '') >= 3 AND count(*) FILTER (trim(t) <> '' AND length(trim(t)) < 40) >= 0.7 * count(*) FILTER (trim(t) <> ''), false) AS is_table,
-  coalesce(string_agg(trim(t), ' | ' ORDER BY i) FILTER (trim(t) <> ''), '') AS row FROM spans GROUP BY ALL),
-cols AS (SELECT *, CASE WHEN avg(CASE WHEN x0 > 270 THEN 1 ELSE 0 END) OVER (PARTITION BY doc, page) > 0.3 THEN 2 ELSE 1 END AS columns FROM blocks),
-placed AS (SELECT *, row_number() OVER (PARTITION BY doc, page ORDER BY CASE WHEN columns = 2 AND x0 > 270 THEN 1 ELSE 0 END, y0, block_no) AS place FROM cols)"""
+    return layout.assemble_pages(planted.blocks(documents(spark, d))).select("doc", "page", "text", "columns", "has_table")
 
 
-SQL_BLOCKS = sql_blocks(BLOCKS)
-SQL_PAGES = f"""{sql_blocks(PAGE_BLOCKS)},
-pages AS (SELECT * FROM {sql_values(sorted({(doc, page) for doc, page, *_ in PAGE_BLOCKS}))} v(doc, page)),
+SQL_PAGES = f"""{planted.SQL_BLOCKS},
+pages AS (SELECT DISTINCT doc, page FROM boxes), sizes AS (SELECT doc, count(*) AS n FROM pages GROUP BY doc),
 normed AS (SELECT *, lower(regexp_replace(raw, '\\s+', ' ', 'g')) AS norm FROM placed),
-again AS (SELECT doc, norm FROM normed WHERE norm <> '' AND length(norm) < 120 GROUP BY doc, norm HAVING count(DISTINCT page) >= greatest(3, floor(0.15 * (SELECT count(DISTINCT page) FROM placed p WHERE p.doc = normed.doc)))),
+again AS (SELECT doc, norm FROM normed JOIN sizes USING (doc) WHERE norm <> '' AND length(norm) < 120 GROUP BY doc, norm HAVING count(DISTINCT page) >= greatest(3, floor(0.15::DOUBLE * any_value(n)))),
 kept AS (SELECT *, max((regexp_replace(norm, '^:+|:+$', '', 'g') IN ('references', 'bibliography', 'reference'))::INTEGER) OVER (PARTITION BY doc ORDER BY page, place ROWS UNBOUNDED PRECEDING) AS stopped
-  FROM normed WHERE raw <> '' AND (doc, norm) NOT IN (SELECT doc, norm FROM again)),
+  FROM normed ANTI JOIN again USING (doc, norm) WHERE raw <> ''),
 body AS (SELECT doc, page, string_agg(CASE WHEN is_table THEN row ELSE raw END, chr(10) ORDER BY place) AS text, bool_or(is_table) AS has_table FROM kept WHERE stopped = 0 AND NOT {SQL_NOISE.replace("line", "raw")} GROUP BY ALL)
 SELECT doc, page, coalesce(text, '') AS text, coalesce(columns, 1) AS columns, coalesce(has_table, false) AS has_table
 FROM pages LEFT JOIN (SELECT DISTINCT doc, page, columns FROM placed) USING (doc, page) LEFT JOIN body USING (doc, page) LEFT JOIN (SELECT doc, min(page) AS last FROM kept WHERE stopped = 1 GROUP BY doc) USING (doc)
@@ -539,29 +487,19 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", T.best_excerpt(F.col("text"), F.col("question")).alias("excerpt"))
 
 
-DIET_QUESTIONS = ((1, "What foods should I eat?"), (2, "What is tPA?"), (3, "Meals after stroke"), (4, "MEALTIME advice"), (5, "Is a dietary plan needed?"))
-DIET_HITS = (
-    ("q1", "patient", 1, "Screen swallowing before meals.", "Guide", None), ("q1", "patient", 2, "Eat fruit and less salt.", "Diet", "Prevention"), ("q2", "clinician", 1, "Nasogastric feeding is reasonable.", "Tubes", None),
-    ("q3", "patient", 1, "Nutrition matters.", "General", None), ("q4", "clinician", 1, "Aspiration risk and saturated fat.", "Mixed", "Diet"), ("q5", "patient", 1, "Statins lower risk.", "Drugs", "Results"),
-)
-
-
 def diet_expand(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(DIET_QUESTIONS), "id long, question string")
-    return rows.select("id", retrieval.is_diet(F.col("question")).alias("is_diet"), retrieval.expanded(F.col("question")).alias("expanded"))
-
-
-def diet_rows(spark: SparkSession) -> DataFrame:
-    rows = [(q, mode, rank, text, title, section, "s.pdf", f"{q}-{rank}", 1, 0.02) for q, mode, rank, text, title, section in DIET_HITS]
-    return spark.createDataFrame(rows, "query_id string, answer_mode string, rank int, text string, title string, section string, source_id string, chunk_id string, page int, score double").withColumn("question", F.lit("What should I eat?"))
+    """All benchmark items as questions, with a word planted in each."""
+    rows = read_table(spark, d, "benchmark").select("item_id", F.expr(planted.QUESTION).alias("question"))
+    return rows.select("item_id", retrieval.is_diet(F.col("question")).alias("is_diet"), retrieval.expanded(F.col("question")).alias("expanded"))
 
 
 def diet_filter(spark: SparkSession, d: str) -> DataFrame:
-    return diet_rows(spark).where(retrieval.relevant(F.col("question"))).select("query_id", "rank")
+    return planted.hits(documents(spark, d)).where(retrieval.relevant(F.col("question"))).select("query_id", "rank")
 
 
 def diet_answer(spark: SparkSession, d: str) -> DataFrame:
-    hits = diet_rows(spark)
+    """Documents are hits, four to a question about diet."""
+    hits = planted.hits(documents(spark, d))
     asked = hits.select("query_id", "question", "answer_mode").distinct()
     return answers.extractive_answers(asked, hits).select("query_id", "answer_mode", "answer")
 
@@ -570,6 +508,9 @@ def sql_any(text: str, vocabulary: tuple[str, ...]) -> str:
     return f"list_has_any({WORDS.format(text)}, [{', '.join(repr(v) for v in vocabulary)}])"
 
 
+SQL_HITS = f"hits AS (SELECT query_id AS q, answer_mode AS mode, rank, text || ' ' || title || ' ' || coalesce(section, 'None') || ' ' || source_id AS e FROM (SELECT {', '.join(planted.HIT)} FROM documents))"
+
+
 def sql_diet_answer() -> str:
     parts = []
     firsts = []
@@ -580,40 +521,34 @@ def sql_diet_answer() -> str:
     parts.append(f"CASE WHEN f0 IS NULL AND f1 IS NULL AND f2 IS NULL THEN '{rules.DIET_UNCLEAR}' END")
     parts.append(f"CASE WHEN f2 IS NULL THEN '{rules.DIET_NO_PLAN}' END")
     return f"""
-WITH hits AS (SELECT q, mode, rank, text || ' ' || title || ' ' || coalesce(section, 'None') || ' s.pdf' AS e FROM {sql_values(list(DIET_HITS))} v(q, mode, rank, text, title, section)),
+WITH {SQL_HITS},
 one AS (SELECT q, mode, {', '.join(firsts)} FROM hits GROUP BY q, mode)
 SELECT q AS query_id, mode AS answer_mode, concat_ws(chr(10) || chr(10), {', '.join(parts)}, '{rules.SAFETY_NOTICE}') AS answer FROM one"""
 
 
-EVAL = (
-    ("hit", ("guide",), ("swallow", "salt"), False, ("Guide.pdf", "other.pdf"), ("Screen Swallowing.", "nothing"), "Answer [1]."), ("miss", ("diet",), ("salt",), False, ("guide.pdf",), ("nothing",), "Answer."),
-    ("empty", ("diet",), (), False, (), (), "I could not find it."), ("negative", (), (), True, (), (), "No."), ("talks", (), ("x",), True, ("a.pdf",), ("y",), "I cannot find that."),
-)
-
-
-def eval_rows(spark: SparkSession) -> DataFrame:
-    rows = [(i, list(h), list(t), r, list(s), list(e), a) for i, h, t, r, s, e, a in EVAL]
-    return answers.evaluation(spark.createDataFrame(rows, "id string, source_hints array<string>, answer_terms array<string>, should_refuse boolean, sources array<string>, excerpts array<string>, answer string"))
-
-
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return answers.evaluation_summary(eval_rows(spark)).select("in_scope", F.round("hit_rate", 6).alias("hit_rate"), F.round("mean_relevance", 6).alias("mean_relevance"), F.round("refusal_correctness", 6).alias("refusal_correctness"), "failed")
+    """Every document as the answer to a question."""
+    return answers.evaluation_summary(answers.evaluation(planted.judged(documents(spark, d)))).select("in_scope", F.round("hit_rate", 6).alias("hit_rate"), F.round("mean_relevance", 6).alias("mean_relevance"), F.round("refusal_correctness", 6).alias("refusal_correctness"), "failed")
 
 
-SQL_EVAL = """
-WITH r(id, hit, relevance, should_refuse, refused) AS (VALUES ('hit', true, 0.5, false, false), ('miss', false, 0.0, false, false), ('empty', false, 1.0, false, true), ('negative', false, 1.0, true, true), ('talks', false, 0.0, true, true))
+SAID = " OR ".join("contains(lower(answer), '" + p.replace("'", "''") + "')" for p in rules.REFUSAL_PHRASES)
+SQL_EVAL = f"""
+WITH {planted.SQL_JUDGED},
+r AS (SELECT should_refuse, len(list_filter(sources, lambda s: len(list_filter(hints, lambda h: contains(lower(s), lower(h)))) > 0)) > 0 AS hit, len(sources) = 0 OR {SAID} AS refused,
+  CASE WHEN len(terms) = 0 THEN 1.0 WHEN len(sources) = 0 THEN 0.0 ELSE len(list_filter(excerpts, lambda e: len(list_filter(terms, lambda t: contains(lower(e), lower(t)))) > 0)) / len(sources) END AS relevance FROM lists)
 SELECT count(*) FILTER (NOT should_refuse) AS in_scope, round(avg(hit::INTEGER) FILTER (NOT should_refuse), 6) AS hit_rate, round(avg(relevance::DOUBLE) FILTER (NOT should_refuse), 6) AS mean_relevance,
   round(avg(refused::INTEGER) FILTER (should_refuse), 6) AS refusal_correctness, count(*) FILTER (NOT should_refuse AND NOT (hit AND relevance >= 0.4)) AS failed FROM r"""
-TIMES = (("legacy", 14.4), ("legacy", 13.9), ("legacy", 13.8), ("cold", 5.7), ("cold", 5.6), ("cold", 5.8), ("noop", 0.33), ("noop", 0.34))
 
 
 def bench_summary(spark: SparkSession, d: str) -> DataFrame:
-    return summary.summarise(spark.createDataFrame(list(TIMES), "scenario string, seconds double"), "legacy")
+    """Events as runs: their types are the scenarios, their values the seconds."""
+    runs = read_table(spark, d, "events").select(F.col("event_type").alias("scenario"), F.col("value").alias("seconds"))
+    return summary.summarise(runs, "view")
 
 
-SQL_BENCH = f"""
-WITH t AS (SELECT * FROM {sql_values(list(TIMES))} v(scenario, seconds)), s AS (SELECT scenario, avg(seconds::DOUBLE) AS m, median(seconds::DOUBLE) AS d, min(seconds)::DOUBLE AS lo, max(seconds)::DOUBLE AS hi FROM t GROUP BY scenario)
-SELECT scenario, round(m, 6) AS mean, round(d, 6) AS median, lo AS min, hi AS max, round((SELECT m FROM s WHERE scenario = 'legacy') / m, 6) AS speed_up FROM s"""
+SQL_BENCH = """
+WITH s AS (SELECT event_type AS scenario, avg(value) AS m, median(value) AS d, min(value) AS lo, max(value) AS hi FROM events GROUP BY event_type)
+SELECT scenario, round(m, 6) AS mean, round(d, 6) AS median, lo AS min, hi AS max, round((SELECT m FROM s WHERE scenario = 'view') / m, 6) AS speed_up FROM s"""
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -631,7 +566,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     ranks = "SELECT query_id, doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM"
-    hits = f"SELECT * FROM {sql_values(list(DIET_HITS))} v(q, mode, rank, text, title, section)"
     hashed = sql_hashed("stored", "doc_id", "documents")
     return {
         "tokenize_terms": f"WITH {SQL_TERMS} SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS terms_md5 FROM tokens",
@@ -666,20 +600,20 @@ def oracle_sql() -> dict[str, str]:
         "repeated_lines": r"""WITH l AS (SELECT source AS doc, doc_id AS page, lower(regexp_replace(trim(unnest(string_split(coalesce(text, ''), chr(10)))), '\s+', ' ', 'g')) AS norm FROM documents)
             SELECT l.doc, norm, count(DISTINCT page) AS n FROM l WHERE norm <> '' AND length(norm) < 120 GROUP BY l.doc, norm HAVING n >= greatest(3, floor(0.15 * (SELECT count(*) FROM documents d WHERE d.source IS NOT DISTINCT FROM l.doc)))""",
         "clean_lines": f"WITH {SQL_DOC_LINES} SELECT source_id AS doc_id, line_no::INTEGER AS line_no, line FROM merged",
-        "noise_lines": f"SELECT id::BIGINT AS id, line, {SQL_NOISE} AS noise FROM {sql_values(list(enumerate(NOISE)))} v(id, line)",
-        "hyphen_merge": f"WITH lines AS (SELECT * FROM {sql_values([(p, i, x) for i, (p, x) in enumerate(HYPHENS)])} v(source_id, line_no, line)), {SQL_ISLANDS} SELECT source_id, line_no, line FROM merged",
-        "headings": f"SELECT id::BIGINT AS id, {sql_heading('line')} AS heading FROM {sql_values(list(enumerate(HEADINGS)))} v(id, line)",
+        "noise_lines": f"WITH {planted.SQL_LINES} SELECT doc_id, i::INTEGER AS line_no, {SQL_NOISE} AS noise FROM sheet",
+        "hyphen_merge": f"WITH {planted.SQL_LINES}, lines AS (SELECT doc_id AS source_id, i AS line_no, line FROM sheet), {SQL_ISLANDS} SELECT source_id AS doc_id, line_no::INTEGER AS line_no, line FROM merged",
+        "headings": f"WITH {planted.SQL_LINES}, h AS (SELECT doc_id, i::INTEGER AS line_no, {sql_heading('line')} AS heading FROM sheet) SELECT * FROM h WHERE heading IS NOT NULL",
         "line_headings": f"WITH {SQL_DOC_LINES}, h AS (SELECT {sql_heading('line')} AS heading FROM merged) SELECT heading, count(*) AS n FROM h WHERE heading IS NOT NULL GROUP BY heading",
-        "segments": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id, seg_id::INTEGER AS seg_id, section, page_start, page_end, text FROM segs",
+        "segments": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id AS doc_id, seg_id::INTEGER AS seg_id, section, page_start, page_end, length(text)::INTEGER AS chars, md5(text) AS text_md5 FROM segs",
         "document_segments": f"WITH {SQL_DOC_LINES}, placed AS (SELECT *, 1 AS page FROM merged), {sql_segments('placed')} SELECT source_id AS doc_id, seg_id::INTEGER AS seg_id, section, length(text)::INTEGER AS chars, md5(text) AS text_md5 FROM segs",
-        "references_cut": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id, count(*) AS sections, sum(length(text))::BIGINT AS chars, max(page_end) AS last_page FROM segs GROUP BY source_id",
+        "references_cut": f"WITH {SQL_PAPER}, {sql_segments('placed')} SELECT source_id AS doc_id, count(*) AS sections, sum(length(text))::BIGINT AS chars, max(page_end) AS last_page FROM segs GROUP BY source_id",
         "sentences": SQL_SENTENCES,
-        "column_order": f"WITH {SQL_BLOCKS} SELECT doc, page, block_no, columns, place::INTEGER AS place FROM placed",
-        "table_rows": f"WITH {SQL_BLOCKS} SELECT doc, page, block_no, is_table, row FROM placed",
+        "column_order": f"WITH {planted.SQL_BLOCKS} SELECT doc, page, block_no, columns, place::INTEGER AS place FROM placed",
+        "table_rows": f"WITH {planted.SQL_BLOCKS} SELECT doc, page, block_no, is_table, row FROM placed",
         "page_assembly": f"WITH {SQL_PAGES}",
         "citations": SQL_CITATIONS,
-        "diet_expand": f"SELECT id::BIGINT AS id, {sql_any('question', rules.DIET_QUERY_TERMS)} AS is_diet, CASE WHEN {sql_any('question', rules.DIET_QUERY_TERMS)} THEN question || ' {rules.DIET_EXPANSION}' ELSE question END AS expanded FROM {sql_values(list(DIET_QUESTIONS))} v(id, question)",
-        "diet_filter": f"SELECT q AS query_id, rank FROM ({hits}) WHERE {sql_any(repr('') + ' || text || ' + repr(' ') + ' || title || ' + repr(' ') + ' || coalesce(section, ' + repr('None') + ') || ' + repr(' s.pdf'), rules.DIET_CONTEXT_TERMS)}",
+        "diet_expand": f"SELECT item_id, {sql_any('question', rules.DIET_QUERY_TERMS)} AS is_diet, CASE WHEN {sql_any('question', rules.DIET_QUERY_TERMS)} THEN question || ' {rules.DIET_EXPANSION}' ELSE question END AS expanded FROM (SELECT item_id, {planted.QUESTION} AS question FROM benchmark)",
+        "diet_filter": f"WITH {SQL_HITS} SELECT q AS query_id, rank FROM hits WHERE {sql_any('e', rules.DIET_CONTEXT_TERMS)}",
         "diet_answer": sql_diet_answer(),
         "eval_metrics": SQL_EVAL,
         "bench_summary": SQL_BENCH,
