@@ -108,7 +108,7 @@ class Engine:
 
     def _extracted(self, listed: DataFrame, files: DataFrame, pdfs: bool) -> DataFrame:
         rows = listed.join(files.select("path"), "path", "left_semi")
-        found = sources.extract(rows, self.parse_pdf) if pdfs else sources.text_pages(rows)
+        found = sources.extract(rows, self.parse_pdf, self.settings.pdf_workers) if pdfs else sources.text_pages(rows)
         return found.join(files, "path").select("path", *CACHED, "error", *KEYS)
 
     def _chunks(self, pages: DataFrame, state: DataFrame) -> DataFrame:

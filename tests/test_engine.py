@@ -138,6 +138,36 @@ def test_a_folder_without_files_is_an_error(make):
         make({"x.doc": "x"}, incremental=False).ingest()
 
 
+def test_a_parser_that_hangs_or_dies_costs_its_own_file(spark, tmp_path):
+    from plinth.sources import files
+
+    def read(data, first, last):
+        import os
+        import time
+
+        if data == b"hangs" and first > 64:
+            time.sleep(600)
+        if data == b"dies":
+            os.kill(os.getpid(), 9)
+        print("not an answer")
+        return [{"page": p, "width": 600.0, "block_no": 0, "type": 0, "bbox": [0.0] * 4, "lines": [{"spans": [{"text": f"Page {p} by {os.getpid()}", "bbox": [0.0] * 4}]}]} for p in range(first, last + 1)]
+
+    def count(data):
+        if data == b"bad":
+            raise ValueError("no pages")
+        return {b"long": 2000, b"empty": 0}.get(data, 100)
+
+    for name in ("bad", "dies", "empty", "hangs", "long", "short"):
+        (tmp_path / f"{name}.pdf").write_bytes(name.encode())
+    rows = files.pdf_pages(files.list_files(spark, str(tmp_path)), files.PagedParser(count, read), limit=5.0).collect()
+    errors = {r.path.rpartition("/")[2]: r.error for r in rows if r.error}
+    assert errors == {"bad.pdf": "ValueError: no pages", "dies.pdf": "ChildProcessError: the parser's process ended with code -9", "hangs.pdf": "TimeoutError: no result within 5 seconds"}
+    assert sum(r.error is not None for r in rows) == 3
+    pages = {name: sorted(r.page_number for r in rows if r.path.endswith(f"/{name}.pdf") and not r.error) for name in ("long", "short", "hangs", "empty")}
+    assert pages == {"long": list(range(1, 2001)), "short": list(range(1, 101)), "hangs": [], "empty": []}
+    assert len({r.text.rpartition(" ")[2] for r in rows if r.path.endswith("/long.pdf")}) > 1
+
+
 def test_pages_of_a_parsed_file(spark, tmp_path):
     from plinth.sources import files
 
