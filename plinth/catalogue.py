@@ -504,6 +504,19 @@ def diet_answer(spark: SparkSession, d: str) -> DataFrame:
     return answers.extractive_answers(asked, hits).select("query_id", "answer_mode", "answer")
 
 
+SQL_EXCERPTS = rf"""
+WITH asked AS (SELECT doc_id, coalesce(text, '') AS text, list_distinct({WORDS.format("left(coalesce(text, ''), 60)")}) AS words FROM documents),
+cut AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') AS parts FROM asked),
+parts AS (SELECT doc_id, words, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM cut),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(list_intersect(list_distinct({WORDS.format("s")}), words)) DESC, length(s), i) AS k FROM parts QUALIFY k <= 3),
+three AS (SELECT doc_id, max(s) FILTER (k = 1) AS s1, max(s) FILTER (k = 2) AS s2, max(s) FILTER (k = 3) AS s3 FROM best GROUP BY doc_id),
+two AS (SELECT *, length(s1) + 1 < 520 AND length(s1) + length(s2) + 2 <= 520 AS has2, length(s1) + 1 + CASE WHEN has2 THEN length(s2) + 1 ELSE 0 END AS n FROM three),
+chosen AS (SELECT doc_id, s1, CASE WHEN has2 THEN s2 END AS s2, CASE WHEN n < 520 AND n + length(s3) + 1 <= 520 THEN s3 END AS s3 FROM two),
+joined AS (SELECT p.doc_id, string_agg(s, ' ' ORDER BY i) AS x FROM parts p JOIN chosen c ON p.doc_id = c.doc_id AND (s = s1 OR s = s2 OR s = s3) GROUP BY p.doc_id)
+SELECT doc_id, CASE WHEN x IS NULL THEN regexp_replace(left(text, 520), '^\s+|\s+$', '', 'g') WHEN length(x) <= 520 THEN x
+  ELSE trim(CASE WHEN contains(x[:519], ' ') THEN regexp_replace(x[:519], '(?s) [^ ]*$', '') ELSE x[:519] END) || '...' END AS excerpt FROM asked LEFT JOIN joined USING (doc_id)"""
+
+
 def sql_any(text: str, vocabulary: tuple[str, ...]) -> str:
     return f"list_has_any({WORDS.format(text)}, [{', '.join(repr(v) for v in vocabulary)}])"
 
@@ -612,6 +625,7 @@ def oracle_sql() -> dict[str, str]:
         "table_rows": f"WITH {planted.SQL_BLOCKS} SELECT doc, page, block_no, is_table, row FROM placed",
         "page_assembly": f"WITH {SQL_PAGES}",
         "citations": SQL_CITATIONS,
+        "excerpts": SQL_EXCERPTS,
         "diet_expand": f"SELECT item_id, {sql_any('question', rules.DIET_QUERY_TERMS)} AS is_diet, CASE WHEN {sql_any('question', rules.DIET_QUERY_TERMS)} THEN question || ' {rules.DIET_EXPANSION}' ELSE question END AS expanded FROM (SELECT item_id, {planted.QUESTION} AS question FROM benchmark)",
         "diet_filter": f"WITH {SQL_HITS} SELECT q AS query_id, rank FROM hits WHERE {sql_any('e', rules.DIET_CONTEXT_TERMS)}",
         "diet_answer": sql_diet_answer(),

@@ -31,7 +31,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_queries_without_sql_are_few():
-    assert set(catalogue.queries()) - set(SQL) == {"hash_embed_blake2b", "chunks_packed", "chunk_ids", "excerpts"}
+    assert set(catalogue.queries()) - set(SQL) == {"hash_embed_blake2b", "chunks_packed", "chunk_ids"}
 
 
 def test_entry(spark):
