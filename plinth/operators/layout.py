@@ -47,30 +47,49 @@ def repeated_texts(texts: DataFrame, pages: DataFrame) -> DataFrame:
     return counted.join(sizes, "doc").where(F.col("n") >= least).select("doc", "norm", "n")
 
 
-def reading_order(blocks: DataFrame) -> DataFrame:
-    """Adds columns (1 or 2) and place: by y, or left column first."""
+def placed(rows: DataFrame) -> DataFrame:
+    """Adds columns (1 or 2) and place to rows of doc, page, width, block_no, x, y, is_text: by y, or left column first. Blocks that
+    aren't text come last and count for nothing."""
     page = Window.partitionBy("doc", "page")
-    right = (F.get("bbox", 0) > rules.COLUMN_AT * F.col("width")).cast("int")
-    two = (F.avg(right).over(page) > rules.COLUMN_SHARE) & (F.col("width") > 0)
-    rows = blocks.where("type = 0").withColumn("columns", F.when(two, 2).otherwise(1))
+    right = (F.col("x") > rules.COLUMN_AT * F.col("width")).cast("int")
+    two = (F.avg(F.when(F.col("is_text"), right)).over(page) > rules.COLUMN_SHARE) & (F.col("width") > 0)
+    rows = rows.withColumn("columns", F.when(two, 2).otherwise(1))
     side = F.when(F.col("columns") == 2, right).otherwise(0)
-    return rows.withColumn("place", F.row_number().over(page.orderBy(side, F.get("bbox", 1), "block_no")))
+    return rows.withColumn("place", F.row_number().over(page.orderBy(F.desc("is_text"), side, "y", "block_no")))
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Blocks of text with columns and place."""
+    rows = blocks.where("type = 0").withColumns({"x": F.get("bbox", 0), "y": F.get("bbox", 1), "is_text": F.lit(True)})
+    return placed(rows).drop("x", "y", "is_text")
 
 
 def assemble_pages(blocks: DataFrame) -> DataFrame:
     """(doc, page, text, columns, has_table) for each page that has any block. All from a references heading on is dropped: the page
-    where it stands keeps what is above it, and later pages go."""
-    rows = reading_order(blocks).withColumn("raw", block_text(F.col("lines"))).withColumn("norm", normalised(F.col("raw")))
-    repeated = repeated_texts(rows, blocks).select("doc", "norm")
-    seen = rows.where("raw <> ''").join(repeated, ["doc", "norm"], "left_anti")
-    upto = Window.partitionBy("doc").orderBy("page", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ref = F.regexp_replace(T.strip(F.col("norm")), "^:+|:+$", "").isin(*rules.REFERENCE_HEADINGS)
-    kept = seen.withColumn("stopped", F.max(ref).over(upto)).where(~F.col("stopped") & ~T.is_noise(F.col("raw")))
-    kept = kept.withColumn("is_table", is_table_row(F.col("lines"))).withColumn("line", F.when(F.col("is_table"), table_row(F.col("lines"))).otherwise(F.col("raw")))
-    lines = F.array_sort(F.collect_list(F.struct("place", "line")))
-    texts = kept.groupBy("doc", "page").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.max("is_table").alias("has_table"))
-    columns = rows.groupBy("doc", "page").agg(F.max("columns").alias("columns"))
-    stops = seen.where(ref).groupBy("doc").agg(F.min("page").alias("last"))
-    pages = blocks.select("doc", "page").distinct().join(stops, "doc", "left").where(F.col("last").isNull() | (F.col("page") <= F.col("last")))
-    pages = pages.join(columns, ["doc", "page"], "left").join(texts, ["doc", "page"], "left")
-    return pages.select("doc", "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("columns", F.lit(1)).alias("columns"), F.coalesce("has_table", F.lit(False)).alias("has_table"))
+    where it stands keeps what is above it, and later pages go.
+
+    Blocks become texts first and are then dealt by document, once: whatever is done by document, page or text needs no other
+    exchange and no join. A window holds one document's blocks at most."""
+    is_table = is_table_row(F.col("lines"))
+    rows = blocks.select(
+        "doc", "page", "width", "block_no", F.get("bbox", 0).alias("x"), F.get("bbox", 1).alias("y"), F.coalesce(F.col("type") == 0, F.lit(False)).alias("is_text"),
+        block_text(F.col("lines")).alias("raw"), F.when(is_table, table_row(F.col("lines"))).alias("row"),
+    )
+    rows = placed(rows.repartition("doc")).withColumn("norm", F.when(F.col("is_text") & (F.col("raw") != ""), normalised(F.col("raw"))))
+    whole, same = Window.partitionBy("doc"), Window.partitionBy("doc", "norm")
+    first_of_page = (F.col("place") == 1).cast("int")
+    counted = F.col("norm").isNotNull() & (F.col("norm") != "") & (F.length("norm") < rules.REPEAT_CHARS)
+    first_in_page = (F.row_number().over(Window.partitionBy("doc", "norm", "page").orderBy("place")) == 1).cast("int")
+    rows = rows.withColumn("first_in_page", first_in_page).withColumn("n", F.sum("first_in_page").over(same)).withColumn("pages", F.sum(first_of_page).over(whole))
+    repeated = counted & (F.col("n") >= F.greatest(F.lit(rules.REPEAT_LEAST), F.floor(F.col("pages") * rules.REPEAT_SHARE)))
+    rows = rows.withColumn("seen", F.col("norm").isNotNull() & ~repeated)
+    ref = F.col("seen") & F.regexp_replace(T.strip(F.col("norm")), "^:+|:+$", "").isin(*rules.REFERENCE_HEADINGS)
+    upto = whole.orderBy("page", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("is_ref", F.coalesce(ref, F.lit(False)))
+    rows = rows.withColumns({"stopped": F.max("is_ref").over(upto), "last": F.min(F.when(F.col("is_ref"), F.col("page"))).over(whole)})
+    rows = rows.where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).withColumn("kept", F.col("seen") & ~F.col("stopped") & ~T.is_noise(F.col("raw")))
+    lines = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("place", F.coalesce("row", "raw").alias("line")))))
+    return rows.groupBy("doc", "page").agg(
+        F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.coalesce(F.max(F.when(F.col("is_text"), F.col("columns"))), F.lit(1)).alias("columns"),
+        F.max(F.col("kept") & F.col("row").isNotNull()).alias("has_table"),
+    )

@@ -57,14 +57,15 @@ def line_arrays(docs: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    return line_arrays(docs).select("doc_id", "lang", F.posexplode("lines").alias("i", "line"))
+    # Outer, as no list is empty: else each list would be worked out a second time to see that it isn't.
+    return line_arrays(docs).select("doc_id", "lang", F.posexplode_outer("lines").alias("i", "line"))
 
 
 def pages(docs: DataFrame) -> DataFrame:
     """Each document as a source of pages of twelve lines."""
     last = F.floor((F.size("lines") - 1) / PAGE_LINES).cast("int")
     texts = F.transform(F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice("lines", p * PAGE_LINES + 1, F.lit(PAGE_LINES)), "\n"))
-    found = line_arrays(docs).select("doc_id", F.posexplode(texts).alias("p", "text"))
+    found = line_arrays(docs).select("doc_id", F.posexplode_outer(texts).alias("p", "text"))
     return found.select(
         (F.col("p") + 1).alias("page_ord"), F.col("doc_id").alias("source_id"), F.concat(F.lit("/corpus/"), "doc_id").alias("source_path"), F.concat(F.lit("Document "), "doc_id").alias("title"),
         (F.col("p") + 1).alias("page_number"), "text", F.lit(None).cast("array<string>").alias("hierarchy"),
