@@ -183,3 +183,18 @@ def test_dense_ranks_by_broadcast_and_by_shares(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", most)
         got = retrieval.dense_topk(queries, vectors, 4).select("query_id", "chunk_id", "score", "rank").collect()
         assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
+
+
+def test_pages_with_headers_pictures_and_references(spark):
+    """Beside the query over all documents: cases by hand."""
+    block = lambda doc, page, no, *spans, x=10.0, y=None: (doc, page, 600.0, no, 0 if spans else 1, [x, y or 10.0 * no, 0.0, 0.0], [([(t, [x + 30 * i, 0.0]) for i, t in enumerate(spans)],)] if spans else [])
+    rows = [block("rep", p, 0, "Journal  of X") for p in (1, 2, 3)] + [block("rep", p, 1, f"Body {p}") for p in (1, 2, 3, 4, 5)]
+    rows += [block("rep", 4, 2, "References:"), block("rep", 4, 3, "1. Gone"), block("rep", 2, 2, "Page 2"), block("rep", 2, 3, "Drug", "Dose", "n = 12")]
+    rows += [block("scan", 1, 0, "Text"), block("scan", 2, 0), block("scan", 3, 0, "References"), block("scan", 3, 1, "Gone"), block("scan", 4, 0, "References"), block("scan", 5, 0)]
+    rows += [block("two", 1, 0, "left one", y=50.0), block("two", 1, 1, "right", x=320.0, y=1.0), block("two", 1, 2, "left two", y=90.0), block("two", 1, 3, x=320.0)]
+    got = {(r.doc, r.page): (r.text, r.columns, r.has_table) for r in layout.assemble_pages(spark.createDataFrame(rows, layout.BLOCKS)).collect()}
+    plain = lambda text: (text, 1, False)
+    assert got == {
+        ("rep", 1): plain("Body 1"), ("rep", 2): ("Body 2\nDrug | Dose | n = 12", 1, True), ("rep", 3): plain("Body 3"), ("rep", 4): plain("Body 4"),
+        ("scan", 1): plain("Text"), ("scan", 2): plain(""), ("scan", 3): plain(""), ("two", 1): ("left one\nleft two\nright", 2, False),
+    }
