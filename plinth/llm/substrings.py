@@ -1,14 +1,14 @@
 """Substring dedup by level-wise doubling.
 
 Windows that are repeated at one length alone are extended to about twice that length, until the wanted length is reached
-or no candidate survives. A 13-word window holds two overlapping 7-word ones, and one of 26 two of 13. At the first level
-not all windows are counted but one for each window of the next level, that with the smallest hash in it: equal windows
-choose equal ones, so none is missed, and a quarter of the windows travels. At each level only windows that occur in two
-different texts go on.
+or no candidate survives: 4, 7 and 13 words (``levels``), and 26, 52 ... in ``repeated_spans``. Below the wanted length not
+all runs are counted but one for each window, chosen from the top down: in a window its run of 7 words with the smallest
+hash, in that its smallest run of 4. Equal windows choose equal runs, so none is missed, and a quarter of the runs travels.
+At each level only runs that occur in two different texts go on, and only texts that still have one are read again.
 
 Texts of equal words are one class first, by partial aggregation: only the class's first document has windows, and in the
 others every window starts in a smaller document. Window hashes of the last level have 64 bits and are compared in full;
-at the first level 32 bits and the bucket stand for them, which can only add candidates.
+below it 32 bits and the bucket stand for them, which can only add candidates.
 
 A word is removed if a window of ``window`` words that covers it also starts in a document with a smaller id; windows are
 judged on the input. Defined results: a null text has no words; documents shorter than a window lose nothing; rows
@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +34,48 @@ from plinth.llm.words import fingerprint, runs
 from plinth.runtime import bound_batches, discard, materialise
 
 WINDOW = 13
+#: Words of the first level at most.
+SHORTEST = 4
+
+
+def levels(window: int) -> list[int]:
+    """Lengths of at most twice the one before, from ``SHORTEST`` words or fewer up to the window's."""
+    out = [window]
+    while len(out) < 2 or out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def smallest(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, place) of the smallest number in each span of h; the first of equal ones."""
+    n = max(len(h) - span + 1, 0)
+    best, place = h[:n].copy(), np.arange(n)
+    for i in range(1, span):
+        other = h[i : i + n]
+        less = other < best
+        best[less] = other[less]
+        place[less] = np.flatnonzero(less) + i
+    return best, place
 
 
 def anchors(h: np.ndarray, window: int) -> np.ndarray:
     """For each window the hash of its smallest run of half its length."""
     half = (window + 1) // 2
-    if len(h) < window:
-        return np.empty(0, np.uint64)
-    return sliding_window_view(runs(h, half), window - half + 1).min(axis=1)
+    return smallest(runs(h, half), window - half + 1)[0]
+
+
+def chosen(h: np.ndarray, window: int, length: int) -> np.ndarray:
+    """Places of the runs of ``length`` words, one of levels(window), that the text's windows choose."""
+    places, longer = np.arange(max(len(h) - window + 1, 0)), window
+    while longer > length:
+        half = (longer + 1) // 2
+        places, longer = np.unique(smallest(runs(h, half), longer - half + 1)[1][places]), half
+    return places
 
 
 def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
-    """(id, text, key) -> in one pass, a row for each document and blobs of (anchor, fingerprint of the words)."""
+    """(id, text, key) -> in one pass, a row for each document and blobs of (hash of a first-level run, fingerprint of the words)."""
+    length = levels(window)[0]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_settle_anchors)
@@ -57,7 +86,7 @@ def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
                 sizes.append(len(h))
                 prints.append(fingerprint(h))
                 if known and len(h) >= window:
-                    first = np.unique(anchors(h, window))
+                    first = np.unique(runs(h, length)[chosen(h, window, length)])
                     for blobs in packer.add(first, first.astype(np.uint32), np.full(len(first), prints[-1][1], np.int64)):
                         yield _blobs(blobs).append_column("key", pa.nulls(blobs.num_rows, pa.int64()))
             yield _documents(ids, sizes, prints).append_column("key", batch.column(2))
@@ -67,6 +96,26 @@ def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
     return rows.select("id", "text", "key").mapInArrow(read, SCAN + ", key long")
 
 
+def extended(rows: DataFrame, n: int, window: int, length: int) -> DataFrame:
+    """(id, text, print, found) -> blobs as scan's, of the chosen runs of ``length`` words, those alone whose own chosen run of the
+    level below is among found."""
+    half = (length + 1) // 2
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, packer = _hashes(), Packer(n, settle=_settle_anchors)
+        for batch in batches:
+            for text, record, found in zip(_texts(batch, 0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
+                h = hashes.of((text or b"").split())
+                if len(h) < window or fingerprint(h)[1] != record:
+                    continue
+                at, below = chosen(h, window, length), smallest(runs(h, half), length - half + 1)[0].astype(np.uint32)
+                keys = np.unique(runs(h, length)[at[np.isin(below[at], np.frombuffer(found, np.uint32))]])
+                yield from packer.add(keys, keys.astype(np.uint32), np.full(len(keys), record, np.int64))
+        yield from packer.flush()
+
+    return rows.select("text", "print", "found").mapInArrow(emit, exchange.schema(3))
+
+
 def shared_anchors(blobs: DataFrame, n: int) -> DataFrame:
     """(print, found): for each text the sorted 32-bit anchors that another text has too."""
 
@@ -111,8 +160,8 @@ def gathered(blobs: DataFrame, n: int) -> DataFrame:
 
 
 def windows(rows: DataFrame, n: int, length: int, first: bool, smaller: bool) -> DataFrame:
-    """(id, text, print, found) -> blobs of the candidate windows of that length: hash, place, id, print. first: found holds anchors;
-    else it holds the places where windows of the length below are repeated. smaller: as for repeated()."""
+    """(id, text, print, found) -> blobs of the candidate windows of that length: hash, place, id, print. first: found holds runs
+    that the windows choose; else it holds the places where windows of the length below are repeated. smaller: as for repeated()."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_settle_windows if smaller else None)
@@ -183,9 +232,9 @@ def keep_words(window: int) -> object:
     return keep
 
 
-def first_level(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFrame]:
-    """rows: (id, text, key). Returns firsts (id, key, print, found): one document for each class of equal words that shares an
-    anchor with another class; and copies (id, key): documents with the words of a smaller one."""
+def lower_levels(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """rows: (id, text, key). Returns firsts (id, key, print, found): one document for each class of equal words that shares a run
+    of each level below the window with another class; and copies (id, key): documents with the words of a smaller one."""
     if window < 2:
         raise ValueError("a window has 2 words at least")
     seen = materialise(scan(rows, n, window), "anchors")
@@ -197,9 +246,18 @@ def first_level(rows: DataFrame, n: int, window: int) -> tuple[DataFrame, DataFr
     copies = documents.join(small(repeats, repeats.count()), ["print", "high"]).where("id > least").select("id", "key").distinct()
     copies = materialise(copies, "copies")
     discard(seen, repeats)
+    for length in levels(window)[1:-1]:
+        longer = shared_anchors(extended(candidates(rows, firsts), n, window, length), n)
+        below, firsts = firsts, materialise(firsts.drop("found").join(longer, "print"), "firsts")
+        discard(below)
     return firsts, copies
 
 
+def candidates(rows: DataFrame, level: DataFrame) -> DataFrame:
+    """The texts that a level goes on with."""
+    return maybe_among(rows, level, "id").join(level, ["id", "key"])
+
+
 def texts_of(docs: DataFrame, id_column: str, text: str) -> DataFrame:
     """key tells different texts of one id apart."""
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("key"))
@@ -210,11 +268,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, longest: int | None =
     ``longest`` (by default until no window survives), the starts of its windows that another text repeats, as 32-bit numbers."""
     bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs)
-    firsts, _ = first_level(rows, n, window)
+    firsts, _ = lower_levels(rows, n, window)
     length, level, levels = window, firsts, []
     while True:
-        candidates = maybe_among(rows, level, "id").join(level, ["id", "key"])
-        found = repeated(windows(candidates, n, length, first=length == window, smaller=False), n, smaller=False)
+        found = repeated(windows(candidates(rows, level), n, length, first=length == window, smaller=False), n, smaller=False)
         level = materialise(firsts.drop("found").join(found, "print"), "level")
         if level.isEmpty():
             break
@@ -234,9 +291,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_
     docs = docs.drop("kept", "n_words", "n_removed")
     bound_batches(docs.sparkSession)
     rows, n = texts_of(docs, id_column, text), exchange.n_buckets(docs)
-    firsts, copies = first_level(rows, n, window)
-    candidates = maybe_among(rows, firsts, "id").join(firsts, ["id", "key"])
-    removed = repeated(windows(candidates, n, window, first=True, smaller=True), n, smaller=True)
+    firsts, copies = lower_levels(rows, n, window)
+    removed = repeated(windows(candidates(rows, firsts), n, window, first=True, smaller=True), n, smaller=True)
     marks = removed.join(firsts.drop("found"), "print").select("id", "key", "found", F.lit(False).alias("whole"))
     marks = materialise(marks.unionByName(copies.select("id", "key", F.lit(None).cast("binary").alias("found"), F.lit(True).alias("whole"))), "marks")
     discard(firsts, copies)
