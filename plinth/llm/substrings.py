@@ -20,6 +20,7 @@ five ``repeats_`` columns that joins use, are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from plinth.llm import exchange
 from plinth.llm.exchange import Packer, deal, groups, unpack
 from plinth.llm.jaccard import SCAN, _blobs, _by_record, _documents, _hashes, _texts, first_of_each, open_entries
 from plinth.llm.sift import maybe_among, parted, small
-from plinth.llm.words import fingerprint, runs
+from plinth.llm.words import PLACES, WordHashes, fingerprint, mix, runs
 from plinth.runtime import bound_batches, discard, materialise
 
 WINDOW = 13
@@ -46,50 +47,93 @@ def levels(window: int) -> list[int]:
     return out
 
 
-def smallest(h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(value, place) of the smallest number in each span of h; the first of equal ones."""
-    n = max(len(h) - span + 1, 0)
-    best, place = h[:n].copy(), np.arange(n)
-    for i in range(1, span):
-        other = h[i : i + n]
-        less = other < best
-        best[less] = other[less]
-        place[less] = np.flatnonzero(less) + i
-    return best, place
+def spans(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of each ``span`` numbers in a row, by spans that double."""
+    if len(x) < span:
+        return x[:0]
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        x, done = best(x[: len(x) - step], x[step:]), done + step
+    return x
 
 
-def anchors(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window the hash of its smallest run of half its length."""
-    half = (window + 1) // 2
-    return smallest(runs(h, half), window - half + 1)[0]
+def ladder(h: np.ndarray, lengths: list[int]) -> list[np.ndarray]:
+    """The hashes of all runs of each length, each from two overlapping runs of the length before."""
+    out = [runs(h, lengths[0])]
+    for short, long in pairwise(lengths):
+        r, n = out[-1], max(len(h) - long + 1, 0)
+        out.append(mix(r[:n] * PLACES[0] + r[long - short :][:n] * PLACES[1] + np.uint64(long)))
+    return out
+
+
+def chosen(steps: list[np.ndarray], lengths: list[int], inside: np.ndarray, level: int) -> np.ndarray:
+    """Places of the runs of lengths[level] that windows choose; inside: which windows there are. A run is chosen if it is as
+    small as the least of a window around it; equal runs are chosen alike."""
+    mask = inside
+    for lower in range(len(lengths) - 2, level - 1, -1):
+        if not mask.any():
+            return np.empty(0, np.int64)
+        span = lengths[lower + 1] - lengths[lower] + 1
+        least = np.where(mask, spans(steps[lower], span, np.minimum), np.uint64(0))
+        edge = np.zeros(span - 1, np.uint64)
+        mask = spans(np.concatenate([edge, least, edge]), span, np.maximum) == steps[lower]
+    return np.flatnonzero(mask)
+
+
+class Words:
+    """The words of a batch's texts as one array of hashes."""
+
+    def __init__(self, texts: list[bytes | None], hashes: WordHashes) -> None:
+        words = [(text or b"").split() for text in texts]
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.h = hashes.of(list(chain.from_iterable(words)))
+        self.owner = np.repeat(np.arange(len(words)), self.sizes)
+        self.prints = [fingerprint(self.h[a:b]) for a, b in zip(self.starts, self.ends, strict=True)]
+
+    def inside(self, length: int, wanted: np.ndarray) -> np.ndarray:
+        """For each place whether a wanted text has a run of that length there."""
+        owner = self.owner[: max(len(self.h) - length + 1, 0)]
+        return (np.arange(len(owner)) + length <= self.ends[owner]) & wanted[owner]
+
+    def are(self, records: np.ndarray) -> np.ndarray:
+        return np.array([p[1] for p in self.prints], np.int64) == records
+
+
+def by_text(found: list[bytes]) -> np.ndarray:
+    """Sorted 32-bit numbers of each text -> one sorted array, with the text's place in the batch above them."""
+    data = [np.frombuffer(x, np.uint32) for x in found]
+    text = np.repeat(np.arange(len(data), dtype=np.uint64), [len(x) for x in data])
+    return (text << np.uint64(32)) | (np.concatenate(data) if data else np.empty(0, np.uint32))
+
+
+def among_sorted(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def chosen(h: np.ndarray, window: int, length: int) -> np.ndarray:
-    """Places of the runs of ``length`` words, one of levels(window), that the text's windows choose."""
-    places, longer = np.arange(max(len(h) - window + 1, 0)), window
-    while longer > length:
-        half = (longer + 1) // 2
-        places, longer = np.unique(smallest(runs(h, half), longer - half + 1)[1][places]), half
-    return places
+def _of_text(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return (owner.astype(np.uint64) << np.uint64(32)) | values.astype(np.uint32)
 
 
 def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
     """(id, text, key) -> in one pass, a row for each document and blobs of (hash of a first-level run, fingerprint of the words)."""
-    length = levels(window)[0]
+    lengths = levels(window)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_settle_anchors)
         for batch in batches:
-            ids, sizes, prints = batch.column(0), [], []
-            for known, text in zip(ids.is_valid().to_pylist(), _texts(batch, 1), strict=True):
-                h = hashes.of((text or b"").split())
-                sizes.append(len(h))
-                prints.append(fingerprint(h))
-                if known and len(h) >= window:
-                    first = np.unique(runs(h, length)[chosen(h, window, length)])
-                    for blobs in packer.add(first, first.astype(np.uint32), np.full(len(first), prints[-1][1], np.int64)):
-                        yield _blobs(blobs).append_column("key", pa.nulls(blobs.num_rows, pa.int64()))
-            yield _documents(ids, sizes, prints).append_column("key", batch.column(2))
+            ids, words = batch.column(0), Words(_texts(batch, 1), hashes)
+            steps, inside = ladder(words.h, lengths), words.inside(window, ids.is_valid().to_numpy(zero_copy_only=False))
+            at = chosen(steps, lengths, inside, 1)
+            first = spans(steps[0], lengths[1] - lengths[0] + 1, np.minimum)[at]
+            record = np.array([p[1] for p in words.prints], np.int64)[words.owner[at]]
+            for blobs in packer.add(first, first.astype(np.uint32), record):
+                yield _blobs(blobs).append_column("key", pa.nulls(blobs.num_rows, pa.int64()))
+            yield _documents(ids, words.sizes.tolist(), words.prints).append_column("key", batch.column(2))
         for blobs in packer.flush():
             yield _blobs(blobs).append_column("key", pa.nulls(blobs.num_rows, pa.int64()))
 
@@ -99,18 +143,19 @@ def scan(rows: DataFrame, n: int, window: int) -> DataFrame:
 def extended(rows: DataFrame, n: int, window: int, length: int) -> DataFrame:
     """(id, text, print, found) -> blobs as scan's, of the chosen runs of ``length`` words, those alone whose own chosen run of the
     level below is among found."""
-    half = (length + 1) // 2
+    lengths = levels(window)
+    level = lengths.index(length)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_settle_anchors)
         for batch in batches:
-            for text, record, found in zip(_texts(batch, 0), *(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
-                h = hashes.of((text or b"").split())
-                if len(h) < window or fingerprint(h)[1] != record:
-                    continue
-                at, below = chosen(h, window, length), smallest(runs(h, half), length - half + 1)[0].astype(np.uint32)
-                keys = np.unique(runs(h, length)[at[np.isin(below[at], np.frombuffer(found, np.uint32))]])
-                yield from packer.add(keys, keys.astype(np.uint32), np.full(len(keys), record, np.int64))
+            words, record = Words(_texts(batch, 0), hashes), batch.column(1).to_numpy()
+            steps = ladder(words.h, lengths)
+            at = chosen(steps, lengths, words.inside(window, words.are(record)), level)
+            below = spans(steps[level - 1], length - lengths[level - 1] + 1, np.minimum)[at]
+            at = at[among_sorted(_of_text(words.owner[at], below), by_text(batch.column(2).to_pylist()))]
+            keys = steps[level][at]
+            yield from packer.add(keys, keys.astype(np.uint32), record[words.owner[at]])
         yield from packer.flush()
 
     return rows.select("text", "print", "found").mapInArrow(emit, exchange.schema(3))
@@ -162,21 +207,24 @@ def gathered(blobs: DataFrame, n: int) -> DataFrame:
 def windows(rows: DataFrame, n: int, length: int, first: bool, smaller: bool) -> DataFrame:
     """(id, text, print, found) -> blobs of the candidate windows of that length: hash, place, id, print. first: found holds runs
     that the windows choose; else it holds the places where windows of the length below are repeated. smaller: as for repeated()."""
+    lengths = levels(length)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = _hashes(), Packer(n, settle=_settle_windows if smaller else None)
         for batch in batches:
-            for one, text, record, found in zip(batch.column(0).to_pylist(), _texts(batch, 1), *(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
-                h, data = hashes.of((text or b"").split()), np.frombuffer(found, np.uint32)
-                if len(h) < length or fingerprint(h)[1] != record:
-                    continue
-                if first:
-                    at = np.flatnonzero(np.isin(anchors(h, length).astype(np.uint32), data))
-                else:
-                    half = (length + 1) // 2
-                    at = data[np.isin(data + np.uint32(length - half), data)].astype(np.int64)
-                keys = runs(h, length)[at]
-                yield from packer.add(keys, keys, at.astype(np.uint32), np.full(len(at), one, np.int64), np.full(len(at), record, np.int64))
+            ids, record, words = batch.column(0).to_numpy(), batch.column(2).to_numpy(), Words(_texts(batch, 1), hashes)
+            steps, known, wanted = ladder(words.h, lengths), by_text(batch.column(3).to_pylist()), words.are(record)
+            if first:
+                inside = words.inside(length, wanted)
+                least = spans(steps[-2], length - lengths[-2] + 1, np.minimum)
+                at = np.flatnonzero(inside & among_sorted(_of_text(words.owner[: len(least)], least), known))
+            else:
+                known = known[wanted[known >> np.uint64(32)]]
+                both = known[among_sorted(known + np.uint64(length - lengths[-2]), known)]
+                at = words.starts[both >> np.uint64(32)] + (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            owner = words.owner[at]
+            keys, place = steps[-1][at], (at - words.starts[owner]).astype(np.uint32)
+            yield from packer.add(keys, keys, place, ids[owner], record[owner])
         yield from packer.flush()
 
     return rows.select("id", "text", "print", "found").mapInArrow(emit, exchange.schema(4))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.llm import substrings
-from plinth.llm.words import WordHashes, fingerprint, runs
+from plinth.llm.words import WordHashes, fingerprint
 
 
 def brute(docs, window=13):
@@ -75,13 +75,12 @@ def by_level(docs, window):
     lengths, texts = substrings.levels(window), {}
     for _, text in docs:
         h = WordHashes().of(text.encode().split())
-        chains = set()
+        values, chains = dict(zip(lengths, substrings.ladder(h, lengths), strict=True)), set()
         for at in range(len(h) - window + 1):
             chain, longer = [], window
             for length in lengths[-2::-1]:
-                values = runs(h, length)
-                at = min(range(at, at + longer - length + 1), key=lambda i: (int(values[i]), i))
-                chain.append(int(values[at]))
+                at = min(range(at, at + longer - length + 1), key=lambda i: (int(values[length][i]), i))
+                chain.append(int(values[length][at]))
                 longer = length
             chains.add(tuple(reversed(chain)))
         texts[fingerprint(h)[1]] = chains
