@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from plinth.functions import rules
 from plinth.functions import text as T
-from plinth.runtime import materialise, shuffle_partitions
+from plinth.runtime import bound_batches, materialise, shuffle_partitions
 
 #: Weights of a batch of questions that go along with the code: some 20 bytes each. Beyond it they are joined.
 BROADCAST_WEIGHTS = 500_000
-TILE_ROWS = 1024
+#: Components of dense questions that are broadcast, 4 bytes each as floats.
+BROADCAST_COMPONENTS = 4_000_000
+#: Rows and cells of a tile, questions that are scored at once, and questions whose matrices a task keeps.
+TILE_ROWS, TILE_CELLS, BLOCK_QUESTIONS, HELD_QUESTIONS = 1024, 1 << 21, 256, 1024
 
 
 def ranked(rows: DataFrame, by: list[Column], name: str = "rank", limit: int | None = None) -> DataFrame:
@@ -38,26 +41,55 @@ def matches(filters: dict[str, Any] | None, as_text: bool = False, columns: list
     return out
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def dealt(rows: DataFrame, tiles: int, parts: int) -> DataFrame:
+    """(n, share, rows): vectors (id, vector) of n components in about so many arrays."""
+    shared = rows.withColumns({"n": F.size("vector"), "share": F.pmod(F.xxhash64("id"), F.lit(tiles))}).where("n is not null")
+    return shared.repartition(parts, "share").groupBy("share", "n").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+
+
+def matrix_of(rows: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Ids and vectors of an array of both. A missing component adds nothing."""
+    vectors = rows.field("vector")
+    return rows.field("id"), pc.fill_null(vectors.flatten(), 0).to_numpy().astype(np.float64).reshape(len(rows), -1)
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, id_column: str = "chunk_id", vector: str = "vector", keep: Column | None = None) -> DataFrame:
     """Every question against every vector: (query_id, id, score, rank). queries: query_id, vector. The filter comes first.
-    Questions go to the vectors where they are: by broadcast if their weights are counted few, else once to each share of the vectors."""
+    Tiles of vectors meet blocks of questions as matrices, and only each pair's best with their ties are summed component by component
+    and ranked. Blocks are broadcast if their weights are counted few, else sent once to each share of the tiles."""
+    spark = vectors.sparkSession
+    bound_batches(spark)
     rows = vectors if keep is None else vectors.where(keep)
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
-    stored = rows.select(id_column, F.col(vector).alias("stored"), F.size(vector).alias("n"))
-    asked, on = asked.withColumn("n", F.size("asked")), ["n"]
-    if (asked.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_WEIGHTS:
-        asked = F.broadcast(asked)
+    stored, asked = rows.select(F.col(id_column).alias("id"), F.col(vector).alias("vector")), queries.select(F.col("query_id").alias("id"), "vector")
+    n, (n_asked, weights) = stored.count(), asked.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    shares = shuffle_partitions(spark)
+    tiles = max(1, -(-n // TILE_ROWS), min(shares, n // 64))
+    parts = min(tiles, shares)
+    blocks = dealt(asked, max(1, -(-n_asked // BLOCK_QUESTIONS)), 1 if weights <= BROADCAST_COMPONENTS else shares).select("n", F.col("rows").alias("asked"))
+    held, on = dealt(stored, tiles, parts), ["n"]
+    if weights <= BROADCAST_COMPONENTS:
+        blocks = F.broadcast(blocks)
     else:
-        shares, on = shuffle_partitions(vectors.sparkSession), ["n", "share"]
-        stored = stored.withColumn("share", F.pmod(F.xxhash64(id_column), F.lit(shares)))
-        asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-    scored = stored.join(asked, on)
-    scored = scored.select("query_id", id_column, F.round(dot(F.col("asked"), F.col("stored")), 9).alias("score"))
-    return ranked(scored, [F.desc("score"), F.col(id_column)], limit=k)
+        on = ["n", "part"]
+        held = held.withColumn("part", F.pmod("share", F.lit(parts)))
+        blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, x), (asking, y) = (matrix_of(batch.column(c).slice(i, 1).flatten()) for c in (0, 1))
+                with np.errstate(invalid="ignore"):
+                    rough = y @ x.T
+                rough[np.isnan(rough)] = np.inf  # the greatest, as Spark sorts it
+                least = np.partition(rough, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(asking), -np.inf)
+                slack = np.where(np.isfinite(least), 1e-8 + 1e-9 * np.abs(least), 0)
+                q, c = np.nonzero(rough >= (least - slack)[:, None])
+                scores = np.add.accumulate(y[q] * x[c], axis=1)[:, -1] if x.shape[1] else np.zeros(len(q))
+                yield pa.RecordBatch.from_arrays([asking.take(pa.array(q)), ids.take(pa.array(c)), pa.array(scores)], ["query_id", id_column, "score"])
+
+    kinds = [asked.schema["id"].dataType.simpleString(), stored.schema["id"].dataType.simpleString()]
+    scored = held.join(blocks, on).select("rows", "asked").mapInArrow(best, f"query_id {kinds[0]}, {id_column} {kinds[1]}, score double")
+    return ranked(scored.withColumn("score", F.round("score", 9)), [F.desc("score"), F.col(id_column)], limit=k)
 
 
 def packed(weights: DataFrame, id_column: str) -> DataFrame:
@@ -72,28 +104,44 @@ def unpacked(vectors: DataFrame, id_column: str) -> DataFrame:
 
 def tiled_topk(asked: pa.Table, queries: DataFrame, weights: DataFrame, k: int, id_column: str) -> DataFrame:
     """(query_id, id, score) with the k best positive scores of each tile of vectors and their ties: products of whole tiles with the
-    questions' matrix, so that only top lists are shuffled. A join of single weights makes a row for each product instead."""
+    questions' matrix, so that only top lists are shuffled. A join of single weights makes a row for each product instead. Questions
+    come in blocks, whose matrices and tiles have only their own buckets. What stays below a task's k-th best so far is left out."""
     ids = pc.unique(asked["query_id"])
-    row = pc.index_in(asked["query_id"], value_set=ids).to_numpy()
-    bucket, weight = asked["bucket"].to_numpy(), asked["weight"].to_numpy()
+    row = pc.index_in(asked["query_id"], value_set=ids).to_numpy().astype(np.int32)
+    bucket, weight = asked["bucket"].to_numpy().astype(np.int32), asked["weight"].to_numpy()
     size = int(bucket.max()) + 1 if len(bucket) else 1
-    matrix = np.zeros((size, len(ids)))
-    matrix[bucket, row] = weight
     vectors = (weights if "buckets" in weights.columns else packed(weights, id_column)).select(id_column, "buckets", "weights")
 
+    def blocks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for start in range(0, len(ids), BLOCK_QUESTIONS):
+            own = (row >= start) & (row < start + BLOCK_QUESTIONS)
+            used = np.unique(bucket[own])
+            place = np.full(size, -1, np.int32)
+            place[used] = np.arange(len(used))
+            matrix = np.zeros((len(used), min(BLOCK_QUESTIONS, len(ids) - start)))
+            matrix[place[bucket[own]], row[own] - start] = weight[own]
+            yield start, place, matrix
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(len(ids), -np.inf)
+        held = list(blocks()) if len(ids) <= HELD_QUESTIONS else None
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE_ROWS):
-                tile = batch.slice(at, TILE_ROWS)
-                n = tile.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                b, w = (tile.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
-                own = np.repeat(np.arange(tile.num_rows), n)
-                x = np.zeros((tile.num_rows, size))
-                x[own[b < size], b[b < size]] = w[b < size]
-                scores = np.round(x @ matrix, 9).T
-                least = np.partition(scores, -k, axis=1)[:, -k] if tile.num_rows > k else np.full(len(scores), -np.inf)
-                q, i = np.nonzero((scores >= least[:, None]) & (scores > 0))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), tile.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["query_id", id_column, "score"])
+            for start, place, matrix in held or blocks():
+                rows = max(1, min(TILE_ROWS, TILE_CELLS // max(1, len(matrix))))
+                for at in range(0, batch.num_rows, rows):
+                    tile = batch.slice(at, rows)
+                    n = tile.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                    b, w = (tile.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+                    own, b, w = np.repeat(np.arange(tile.num_rows), n)[b < size], b[b < size], w[b < size]
+                    known = place[b] >= 0
+                    x = np.zeros((tile.num_rows, len(matrix)))
+                    x[own[known], place[b[known]]] = w[known]
+                    scores = np.round(x @ matrix, 9).T
+                    least = floor[start : start + len(scores)]
+                    if tile.num_rows >= k:
+                        np.maximum(least, np.partition(scores, -k, axis=1)[:, -k], out=least)
+                    q, i = np.nonzero((scores >= least[:, None]) & (scores > 0))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + start)), tile.column(0).take(pa.array(i)), pa.array(scores[q, i])], ["query_id", id_column, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in (queries.schema["query_id"], weights.schema[id_column])}
     return vectors.mapInArrow(score, f"query_id {kinds['query_id']}, {id_column} {kinds[id_column]}, score double")

@@ -198,3 +198,22 @@ def test_pages_with_headers_pictures_and_references(spark):
         ("rep", 1): plain("Body 1"), ("rep", 2): ("Body 2\nDrug | Dose | n = 12", 1, True), ("rep", 3): plain("Body 3"), ("rep", 4): plain("Body 4"),
         ("scan", 1): plain("Text"), ("scan", 2): plain(""), ("scan", 3): plain(""), ("two", 1): ("left one\nleft two\nright", 2, False),
     }
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_dense_topk_by_tiles(spark, monkeypatch, most):
+    """Equal vectors tie by id; the pairs' products never become rows."""
+    rng = random.Random(5)
+    kinds = [[rng.choice((-1.0, 0.1, 0.7)) for _ in range(8)] for _ in range(30)]
+    rows = [(i, rng.choice(kinds)) for i in range(300)] + [(300, None), (301, [1.0, 2.0])]
+    monkeypatch.setattr(retrieval, "BROADCAST_COMPONENTS", most)
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 3)
+    vectors = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    found = retrieval.dense_topk(vectors.where("chunk_id % 40 = 0 or chunk_id = 301").withColumnRenamed("chunk_id", "query_id"), vectors, 5)
+    want = set()
+    for q, x in rows:
+        if x and (q % 40 == 0 or q == 301):
+            scored = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)), 9), i) for i, y in rows if y and len(y) == len(x))
+            want |= {(q, i, -s, k) for k, (s, i) in enumerate(scored[:5], 1)}
+    assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in found.collect()} == want
+    assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
