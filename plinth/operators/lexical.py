@@ -2,23 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import rules
 from plinth.functions import text as T
+from plinth.operators.retrieval import BROADCAST_WEIGHTS, tiled_topk
+from plinth.runtime import bound_batches, materialise
+
+
+def repeated_ids(rows: DataFrame, id_column: str) -> DataFrame | None:
+    """(again) ids of more than one row, none if there are none: ids alone are counted, and all else by id needs a shuffle only of
+    these rows."""
+    again = materialise(rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col(id_column).alias("again")), "again")
+    return None if again.isEmpty() else again
+
+
+def where_id(rows: DataFrame, id_column: str, again: DataFrame, how: str) -> DataFrame:
+    return rows.join(again, F.col(id_column).eqNullSafe(F.col("again")), how)
+
+
+def term_counts(rows: DataFrame, names: list[str], text: str) -> DataFrame:
+    """The named columns with term and tf, a row for each distinct token. Counted batch by batch where the texts are: a table of counts would
+    grow with the rows of a task."""
+    bound_batches(rows.sparkSession)
+    read = rows.select(*names, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(names))
+            own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            coded = lists.flatten().dictionary_encode()
+            key, tf = np.unique(own * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(key, max(1, len(coded.dictionary)))
+            kept = [batch.column(i).take(pa.array(row)) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, coded.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], [*names, "term", "tf"])
+
+    kinds = ", ".join(f"`{n}` {read.schema[n].dataType.simpleString()}" for n in names)
+    return read.mapInArrow(counts, f"{kinds}, term string, tf long")
 
 
 def occurrences(rows: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    """(id, term): a row for each token. Texts are dealt by id first: counts by id and term then need no shuffle of tokens, which are
-    many times the texts' rows."""
-    dealt = rows.select(F.col(id_column), F.col(text)).repartition(id_column)
-    each = dealt.select(F.col(id_column), F.explode_outer(T.tokens(F.col(text))).alias("term"))
+    """(id, term): a row for each token."""
+    each = rows.select(F.col(id_column), F.explode_outer(T.tokens(F.col(text))).alias("term"))
     return each.where("term is not null")
 
 
 def postings(rows: DataFrame, id_column: str = "chunk_id", text: str = "text") -> DataFrame:
-    return occurrences(rows, id_column, text).groupBy(id_column, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf). Rows of ids that repeat are summed."""
+    rows = rows.select(F.col(id_column), F.col(text).alias("text"))
+    again = repeated_ids(rows, id_column)
+    if again is None:
+        return term_counts(rows, [id_column], "text")
+    summed = term_counts(where_id(rows, id_column, again, "left_semi"), [id_column], "text").groupBy(id_column, "term").agg(F.sum("tf").alias("tf"))
+    return term_counts(where_id(rows, id_column, again, "left_anti"), [id_column], "text").unionByName(summed)
 
 
 def term_stats(found: DataFrame) -> DataFrame:
@@ -50,6 +92,45 @@ def bm25_scores(queries: DataFrame, found: DataFrame, docs: DataFrame, id_column
     return out.where("score > 0")
 
 
+def wanted_counts(tokens: Column, wanted: pa.Array) -> Column:
+    """(buckets, tfs) of each list: the numbers of the wanted terms that it holds, and how often."""
+
+    @F.arrow_udf("struct<buckets:array<int>,tfs:array<int>>")
+    def counts(lists: pa.Array) -> pa.Array:
+        own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        term = pc.fill_null(pc.index_in(lists.flatten(), value_set=wanted), -1).to_numpy().astype(np.int64)
+        key, tf = np.unique(own[term >= 0] * len(wanted) + term[term >= 0], return_counts=True)
+        ends = pa.array(np.searchsorted(key, np.arange(len(lists) + 1) * len(wanted)).astype(np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key % max(1, len(wanted)), tf)], ["buckets", "tfs"])
+
+    return counts(tokens)
+
+
+def bm25_topk(queries: DataFrame, rows: DataFrame, k: int, id_column: str = "chunk_id", text: str = "text", query: str = "question") -> DataFrame:
+    """(query_id, id, score): as bm25_scores(), rounded to nine places, of the k best rows of each question with their ties, and of some
+    others. Rows keep the counts of the questions' own terms alone, and whole tiles of them are scored at once. Very many
+    questions, and ids that repeat, go by joins of postings."""
+    asked = occurrences(queries, "query_id", query).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    few = asked.limit(BROADCAST_WEIGHTS + 1).toArrow()
+    if few.num_rows > BROADCAST_WEIGHTS or repeated_ids(rows, id_column) is not None:
+        return bm25_scores(queries, postings(rows, id_column, text), doc_stats(rows, id_column, text), id_column, query).withColumn("score", F.round("score", 9))
+    bound_batches(rows.sparkSession)
+    wanted = pc.unique(few["term"])
+    tokens = T.tokens(F.coalesce(F.col(text), F.lit("")))
+    read = rows.select(id_column, tokens.alias("tokens"))
+    found = read.select(id_column, F.size("tokens").cast("long").alias("dl"), wanted_counts(F.col("tokens"), wanted).alias("x"))
+    found = materialise(found.select(id_column, "dl", "x.buckets", "x.tfs"), "found")
+    one = corpus_stats(found).first()
+    df = np.zeros(len(wanted))
+    held = found.select(F.explode("buckets").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).toArrow()  # a row a wanted term
+    df[held["term"].to_numpy()] = held["df"].to_numpy()
+    idf = np.log((one.n - df + 0.5) / (df + 0.5) + 1)
+    term = pc.index_in(few["term"], value_set=wanted).to_numpy()
+    table = pa.table({"query_id": few["query_id"], "bucket": pa.array(term), "weight": pa.array(few["qtf"].to_numpy() * idf[term])})
+    parts = F.transform("tfs", lambda tf: impact(tf, F.col("dl"), float(one.avgdl)))
+    return tiled_topk(table, queries, found.select(id_column, "buckets", parts.alias("weights")), k, id_column)
+
+
 # -- blocks -------------------------------------------------------------------------------------------------------------------
 
 #: Postings of a block, and about so many chunks whose postings of one term meet in one task while blocks are made.
@@ -63,10 +144,8 @@ SLACK = 1e-6
 
 
 def postings_with_length(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl) of chunks with text and n_tokens."""
-    dealt = chunks.select("chunk_id", "n_tokens", "text").repartition("chunk_id")
-    each = dealt.select("chunk_id", "n_tokens", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return each.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_tokens").alias("dl"))
+    """(chunk_id, term, tf, dl) of chunks with text and n_tokens; an index holds a chunk_id once."""
+    return term_counts(chunks, ["chunk_id", "n_tokens"], "text").select("chunk_id", "term", "tf", F.col("n_tokens").alias("dl"))
 
 
 def impact(tf: Column, dl: Column, average: Column | float) -> Column:

@@ -200,6 +200,20 @@ def test_pages_with_headers_pictures_and_references(spark):
     }
 
 
+def test_bm25_by_tiles(spark, monkeypatch):
+    """The tiled way gives the k best of the joined one, in blocks of questions too."""
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choices("abcdefghij", k=rng.randrange(12)))) for i in range(60)]
+    rows = spark.createDataFrame([*texts, (60, None)], "chunk_id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choices("abcdefghijk", k=3))) for q in range(7)], "query_id long, question string")
+    ranks = lambda scores: sorted(map(tuple, retrieval.ranked(scores, [F.desc("score"), F.col("chunk_id")], limit=4).collect()))
+    joined = ranks(lexical.bm25_scores(asked, lexical.postings(rows), lexical.doc_stats(rows)).withColumn("score", F.round("score", 9)))
+    assert ranks(lexical.bm25_topk(asked, rows, 4)) == joined
+    for name, value in (("BLOCK_QUESTIONS", 2), ("HELD_QUESTIONS", 1), ("TILE_ROWS", 8)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert ranks(lexical.bm25_topk(asked, rows, 4)) == joined
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_dense_topk_by_tiles(spark, monkeypatch, most):
     """Equal vectors tie by id; the pairs' products never become rows."""
