@@ -200,6 +200,27 @@ def test_pages_with_headers_pictures_and_references(spark):
     }
 
 
+def test_counts_by_text_need_no_exchange(spark):
+    """A table of counts by id and term, or of sums by id and bucket, grows with a task's rows."""
+    rows = spark.createDataFrame([(1, "Stroke stroke care"), (2, ""), (3, None)], "id long, text string")
+    for found in (lexical.postings(rows, "id"), embedding.hash_embed(rows, "id", profile="md5"), embedding.hash_embed(rows, "id")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Aggregate" not in plan
+    assert sorted(lexical.postings(rows, "id").collect()) == [(1, "care", 1), (1, "stroke", 2)]
+    assert {r.id for r in embedding.hash_vectors(rows, "id").collect()} == {1}
+
+
+def test_ids_that_repeat_are_summed(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "a b"), (None, "x"), (None, "x y"), (4, None), (4, "z")], "id long, text string")
+    got = {(r.id, r.term): r.tf for r in lexical.postings(rows, "id").collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 2, (1, "c"): 1, (2, "a"): 1, (2, "b"): 1, (None, "x"): 2, (None, "y"): 1, (4, "z"): 1}
+    got = {}
+    for r in embedding.hash_embed(rows, "id", profile="md5", dimensions=1 << 20).collect():
+        got.setdefault(r.id, []).append(round(abs(r.weight), 6))
+    # Id 1 holds a, b twice, c, a_b and b_c; no pair crosses two texts.
+    assert sorted(got[1]) == [round(x / 8**0.5, 6) for x in (1, 1, 1, 1, 2)] and len(got[None]) == 3 and got[4] == [1.0]
+
+
 def test_bm25_by_tiles(spark, monkeypatch):
     """The tiled way gives the k best of the joined one, in blocks of questions too."""
     rng = random.Random(3)
