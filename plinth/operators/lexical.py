@@ -175,7 +175,10 @@ def block_scores(queries: DataFrame, stored: DataFrame, n: int, average: float,
     dead_terms: (term, df) of these.
 
     The k-th best sum over each term's best blocks is a bound from below. A block is read only if its own bound from above, with the
-    best that the question's other terms can add, reaches it: chunks of a block that is left out can't be among the k best."""
+    best that the question's other terms can add, reaches it: chunks of a block that is left out can't be among the k best.
+
+    Where questions share frequent words, a row for each of their postings and questions would be many times the postings: then each
+    posting is read once, and tiles of chunks are scored."""
     asked = occurrences(queries, "query_id", query).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = [r.term for r in asked.select("term").distinct().limit(TOLD_TERMS + 1).collect()]
     if not terms:
@@ -196,9 +199,12 @@ def block_scores(queries: DataFrame, stored: DataFrame, n: int, average: float,
     weighed = asked.join(heads, "term").withColumn("weight", F.col("qtf") * idf)
     weighed = weighed.select("query_id", "term", "weight", "blocks", (F.col("weight") * F.col("best")).alias("most"))
     local = weighed.limit(BATCH_TERMS + 1).toArrow()
+    total = sum(local.column("blocks").to_pylist())
+    alone = sum(dict(zip(local.column("term").to_pylist(), local.column("blocks").to_pylist(), strict=True)).values())
+    if local.num_rows <= BATCH_TERMS and total > max(TILE_FROM, TILE_SHARED * alone):
+        return _tiled_block_scores(queries, hit, local, average, k, dead)
     if local.num_rows <= BATCH_TERMS:  # a few numbers for each word of each question
         weighed = F.broadcast(queries.sparkSession.createDataFrame(local)) if local.num_rows else weighed
-    total = sum(local.column("blocks").to_pylist())
     joined = hit.join(weighed.drop("blocks"), "term").withColumn("above", F.col("weight") * impact(F.col("most_tf"), F.col("least_dl"), average))
 
     def parts(rows: DataFrame) -> DataFrame:
@@ -215,6 +221,22 @@ def block_scores(queries: DataFrame, stored: DataFrame, n: int, average: float,
     return parts(joined).where("score > 0")
 
 
+def _tiled_block_scores(queries: DataFrame, hit: DataFrame, local: pa.Table, average: float, k: int, dead: DataFrame | None) -> DataFrame:
+    terms = pc.unique(local["term"])
+    number = pa.array(pc.index_in(local["term"], value_set=terms).to_numpy().astype(np.int32))
+    numbers = queries.sparkSession.createDataFrame(pa.table({"term": terms, "bucket": pa.array(np.arange(len(terms), dtype=np.int32))}))
+    each = hit.join(F.broadcast(numbers), "term").select("segment", "bucket", F.explode(F.arrays_zip("chunk_ids", "tfs", "dls")).alias("p"))
+    each = each.select("segment", F.col("p.chunk_ids").alias("chunk_id"), "bucket", impact(F.col("p.tfs"), F.col("p.dls"), average).alias("weight"))
+    each = each if dead is None else each.join(dead.select("segment", "chunk_id"), ["segment", "chunk_id"], "left_anti")
+    # One list, so that buckets and weights stay aligned.
+    held = each.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "weight")).alias("p"))
+    held = held.select("chunk_id", F.col("p.bucket").alias("buckets"), F.col("p.weight").alias("weights"))
+    bound_batches(queries.sparkSession)
+    return tiled_topk(pa.table({"query_id": local["query_id"], "bucket": number, "weight": local["weight"]}), queries, held, k, "chunk_id")
+
+
+#: Blocks of all words of all questions from which on chunks are scored by tiles, if each block is asked for so often.
+TILE_FROM, TILE_SHARED = 32_768, 4
 #: Words of a batch of questions whose numbers are broadcast, some 50 bytes each; more of them are joined. Blocks of each word that
 #: give the first bound.
 BATCH_TERMS, SEED_BLOCKS = 100_000, 2

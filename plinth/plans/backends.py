@@ -118,7 +118,16 @@ class Backends:
         """(id, text) -> (id, bucket, weight), past the cache: questions don't belong there."""
         if self.embedder or self.embedding == "service":
             return self._served(texts.select(F.col(id_column).alias("text_sha256"), "text"), s).withColumnRenamed("text_sha256", id_column)
-        return embedding.hash_embed(texts, id_column, "text", "blake2b" if self.embedding == "hash" else "md5", s.embedding_dimensions)
+        return embedding.hash_embed(texts, id_column, "text", self._profile(), s.embedding_dimensions)
+
+    def _profile(self) -> str:
+        return "blake2b" if self.embedding == "hash" else "md5"
+
+    def vectors(self, texts: DataFrame, s: Settings) -> DataFrame:
+        """(text_sha256, text), each once -> (text_sha256, buckets, weights)."""
+        if self.embedder or self.embedding == "service":
+            return packed(self.weights(texts, "text_sha256", s), "text_sha256")
+        return embedding.hash_vectors(texts, "text_sha256", "text", self._profile(), s.embedding_dimensions, unique=True)
 
     def embed(self, rows: DataFrame, spark: SparkSession, s: Settings) -> DataFrame:
         """(chunk_id, text) -> (chunk_id, buckets, weights). Texts that repeat are embedded once, cached ones not at all; the others are
@@ -127,14 +136,14 @@ class Backends:
         texts = keyed.select("text_sha256", "text").dropDuplicates(["text_sha256"])
         at = f"{s.cache_path}/vectors"
         if not s.cache_path:
-            return keyed.select("chunk_id", "text_sha256").join(packed(self.weights(texts, "text_sha256", s), "text_sha256"), "text_sha256").drop("text_sha256")
+            return keyed.select("chunk_id", "text_sha256").join(self.vectors(texts, s), "text_sha256").drop("text_sha256")
         missing = texts
         if tables.exists(spark, at):
             missing = texts.join(self._cached(spark, at).select("text_sha256"), "text_sha256", "left_anti")
         missing = materialise(missing, "missing")
         if not missing.isEmpty():
             # A text without a term has an empty vector, so that it isn't embedded in each run anew.
-            made = missing.select("text_sha256").join(packed(self.weights(missing, "text_sha256", s), "text_sha256"), "text_sha256", "left")
+            made = missing.select("text_sha256").join(self.vectors(missing, s), "text_sha256", "left")
             made = made.withColumns({"buckets": F.coalesce("buckets", F.array().cast("array<int>")), "weights": F.coalesce("weights", F.array().cast("array<double>"))})
             made.withColumn("model", F.lit(self.embedding_name)).select(*VECTORS).write.mode("append").parquet(at)
         discard(missing)

@@ -241,3 +241,28 @@ def test_an_ask_reads_its_terms_blocks_only(spark, tmp_path):
     leaf = plan.executedPlan().collectLeaves().apply(0)
     given = leaf.metrics().apply("numOutputRows").value()
     assert 2 <= given <= 512 < stored.count()  # what the scan gave out before the filter: pages of 64 rows
+
+
+def test_shared_words_are_scored_by_tiles(spark, monkeypatch):
+    """Questions that share their words read each posting once; scores are those of the joins, ties too."""
+    rng = random.Random(2)
+    texts = [(f"c{i:04d}", " ".join(rng.choices(WORDS, k=rng.randrange(1, 9)))) for i in range(300)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, text string").withColumn("n_tokens", F.size(F.split("text", " ")).cast("long"))
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(WORDS, k=6))) for q in range(20)], "query_id long, question string")
+    stored = lexical.blocks(lexical.postings_with_length(chunks), 300).withColumn("segment", F.lit("s")).cache()
+    dead = chunks.where("chunk_id like '%7'").select(F.lit("s").alias("segment"), "chunk_id")
+    gone = lexical.postings(chunks.join(dead, "chunk_id", "left_semi")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n, tokens = chunks.where("chunk_id not like '%7'").agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    monkeypatch.setattr(lexical, "TILE_SHARED", 1)
+    found, tiled = [], []
+    plain = lexical.tiled_topk
+    monkeypatch.setattr(lexical, "tiled_topk", lambda *given: tiled.append(1) or plain(*given))
+    for tile_from in (10**9, 0):
+        monkeypatch.setattr(lexical, "TILE_FROM", tile_from)
+        scores = lexical.block_scores(asked, stored, n, tokens / n, 10, dead, gone)
+        assert len(tiled) == (tile_from == 0)
+        every = {}
+        for r in scores.collect():
+            every.setdefault(r.query_id, []).append((round(r.score, 9), r.chunk_id))
+        found.append({q: [x for x in sorted(v, reverse=True) if x[0] >= sorted(v, reverse=True)[9][0]] for q, v in every.items()})
+    assert found[0] == found[1] and len(found[0]) == 20
