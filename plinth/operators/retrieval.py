@@ -175,6 +175,12 @@ def sparse_topk(queries: DataFrame, weights: DataFrame, chunks: DataFrame, k: in
     return best.join(needy, "query_id", "left_anti").unionByName(again, allowMissingColumns=True)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Top lists, to be joined with a corpus where that is: by broadcast if they are counted few."""
+    held = materialise(rows, "few")
+    return F.broadcast(held) if held.count() <= BROADCAST_WEIGHTS else held
+
+
 def rrf(left: DataFrame, right: DataFrame, limit: int, id_column: str = "chunk_id") -> DataFrame:
     """Reciprocal ranks of two rankings (query_id, id, rank), summed: (query_id, id, left_rank, right_rank, score). Who is in one only
     ranks limit + 60 in the other."""

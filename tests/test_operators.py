@@ -252,3 +252,17 @@ def test_dense_topk_by_tiles(spark, monkeypatch, most):
             want |= {(q, i, -s, k) for k, (s, i) in enumerate(scored[:5], 1)}
     assert {(r.query_id, r.chunk_id, r.score, r.rank) for r in found.collect()} == want
     assert "zip_with" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_lists_go_to_the_corpus(spark, monkeypatch):
+    """A corpus of texts isn't shuffled to meet a few results; more of them than counted few are joined as Spark sees fit."""
+    corpus, found = spark.range(50).withColumnRenamed("id", "chunk_id"), spark.createDataFrame([(3, 1), (7, 2)], "chunk_id long, rank int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, kind in ((10, "BroadcastHashJoin"), (1, "SortMergeJoin")):
+            monkeypatch.setattr(retrieval, "BROADCAST_WEIGHTS", most)
+            joined = corpus.join(retrieval.few(found), "chunk_id")
+            assert kind in joined._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, joined.collect())) == [(3, 1), (7, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
