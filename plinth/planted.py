@@ -53,7 +53,7 @@ def line_arrays(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, lines): words are parted by hyphens where a line would pass sixty characters."""
     wrapped = F.regexp_replace(F.coalesce("text", F.lit("")), r"([^\n]{59}\p{L})(\p{Ll})", "$1-\n$2")
     planted = docs.select("doc_id", "lang", F.split(wrapped, "\n").alias("raw")).selectExpr("doc_id", "lang", f"transform(raw, (line, i) -> {LINE}) AS lines")
-    return planted.withColumn("lines", F.transform("lines", lambda x: T.strip(F.regexp_replace(x, "[ \t]+", " "))))
+    return planted.withColumn("lines", F.transform("lines", T.tidied))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:

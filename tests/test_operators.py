@@ -239,7 +239,7 @@ def test_bm25_by_tiles(spark, monkeypatch):
 def test_dense_topk_by_tiles(spark, monkeypatch, most):
     """Equal vectors tie by id; the pairs' products never become rows."""
     rng = random.Random(5)
-    kinds = [[rng.choice((-1.0, 0.1, 0.7)) for _ in range(8)] for _ in range(30)]
+    kinds = "\t\x0b\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
     rows = [(i, rng.choice(kinds)) for i in range(300)] + [(300, None), (301, [1.0, 2.0])]
     monkeypatch.setattr(retrieval, "BROADCAST_COMPONENTS", most)
     monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 3)
@@ -266,3 +266,28 @@ def test_top_lists_go_to_the_corpus(spark, monkeypatch):
             assert sorted(map(tuple, joined.collect())) == [(3, 1), (7, 2)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headings_are_worked_out_once(spark):
+    """Not once for each use of a part, nor again in a filter."""
+    from plinth import catalogue
+    from plinth.functions import rules
+
+    plan = plan_of(catalogue.headings(spark, "/root/testdata/sf0.001"))
+    assert plan.count(rules.NUMBERED_HEADING) == 1 and plan.count(rules.LEADING_NUMBER) == 2  # the former begins with the latter
+    got = [one(spark, T.heading(F.col("t")), t=t) for t in (" :Methods::\x1f", "1.2  Study design", "No heading here.", "---:", "SEE (BELOW)", "x" * 111, "A B", "::")]
+    assert got == ["Methods", "Study design", None, None, "See (Below)", None, "A B", None]
+
+
+def test_white_space_and_guards_of_noise(spark):
+    kinds = "\t\x0b\x1c\x1f \x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000"
+    assert one(spark, T.strip(F.col("t")), t=f"{kinds}a{kinds}b{kinds}") == f"a{kinds}b"
+    assert one(spark, T.collapse(F.col("t")), t=f"{kinds}a{kinds}b c  d{kinds}") == "a b c d"
+    assert one(spark, T.sentences(F.col("t")), t=" One.  Two?  (Three) 4. five! Six ") == ["One.", "Two?", "(Three) 4. five!", "Six"]
+    noisy = ("HTTPS://x", "see wWw.x", "see DOI: 10.1", "CopyRight by", "Supplemental Material is", "page 12", "1234")
+    clean = ("www x", "http:/x.", "doi 10.1", "xdoi: 10.", "a copyright", "supplemental", "12345", "")
+    assert all(one(spark, T.is_noise(F.col("t")), t=t) for t in noisy) and not any(one(spark, T.is_noise(F.col("t")), t=t) for t in clean)
