@@ -291,3 +291,30 @@ def test_white_space_and_guards_of_noise(spark):
     noisy = ("HTTPS://x", "see wWw.x", "see DOI: 10.1", "CopyRight by", "Supplemental Material is", "page 12", "1234")
     clean = ("www x", "http:/x.", "doi 10.1", "xdoi: 10.", "a copyright", "supplemental", "12345", "")
     assert all(one(spark, T.is_noise(F.col("t")), t=t) for t in noisy) and not any(one(spark, T.is_noise(F.col("t")), t=t) for t in clean)
+
+
+def test_lines_are_cleaned_in_their_page(spark):
+    """As merge_hyphens joins them, without windows, sorts or groups of rows."""
+    rng = random.Random(6)
+    pieces = ["reha-", "bilita-", "tion", "Care-", "-", "", "  a\t b ", "ébauche-", "42", "9-", "www.x.org", "x -", "- 3", "ﬁrst"]
+    texts = ["\n".join(rng.choices(pieces, k=rng.randrange(12))) for _ in range(80)] + ["", "a-\r\nb-\rc\n\n-\nd"]
+    df = pages(spark, *[(f"s{i % 9}", i, t, None) for i, t in enumerate(texts)])
+    found = cleaning.clean_lines(df)
+    plan = plan_of(found)
+    assert not any(x in plan for x in ("Window", "Aggregate", "Sort "))
+    rows = []
+    for i, t in enumerate(texts):
+        lines = [(n, " ".join(x.replace("\t", " ").split(" ")).strip()) for n, x in enumerate(t.replace("\r\n", "\n").replace("\r", "\n").split("\n"))]
+        rows += [(f"s{i % 9}", i, n, " ".join(x for x in y.split(" ") if x)) for n, y in lines if y and y not in ("42", "www.x.org")]
+    whole = cleaning.merge_hyphens(spark.createDataFrame(rows, "source_id string, page_ord int, line_no int, line string"))
+    key = ["source_id", "page_ord", "line_no", "line"]
+    assert sorted(map(tuple, found.select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+
+
+def test_sections_need_one_exchange(spark):
+    df = pages(spark, ("s", 1, "", None), ("s", 2, "a-\nb.\nMETHODS\nc.", None), ("t", 3, "References\nx", None), ("s", 4, "d .\nBibliography:\ne", ["x", "Y"]))
+    found = cleaning.segments(df)
+    plan = plan_of(found)
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
+    got = sorted((r.source_id, r.source_path, r.source_ord, r.seg_id, r.section, r.page_start, r.page_end, r.text) for r in found.collect())
+    assert got == [("s", "/c/s", 0, 0, None, 2, 2, "ab."), ("s", "/c/s", 0, 1, "Methods", 2, 4, "c. d.")]
