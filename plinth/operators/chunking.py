@@ -85,7 +85,8 @@ def chunks(segments: DataFrame, settings: Settings) -> DataFrame:
     limit = F.greatest(F.lit(rules.BODY_FLOOR), settings.chunk_size_chars - F.length("prefix"))
     rows = segments.withColumn("prefix", prefix).withColumn("limit", limit)
     rows = rows.select("*", packed(F.col("text"), F.col("limit"), settings.chunk_overlap_chars).alias("pieces"))
-    rows = rows.select("*", F.posexplode("pieces").alias("piece_no", "piece"))
+    # Outer, and filtered behind: else each text would be packed a second time to see that it has pieces.
+    rows = rows.select("*", F.posexplode_outer("pieces").alias("piece_no", "piece")).where("piece is not null")
     order = Window.partitionBy("source_id").orderBy("seg_id", "piece_no")
     rows = rows.withColumn("chunk_index", F.row_number().over(order)).withColumn("chunk_text", F.concat("prefix", "piece"))
     shown = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in ("source_path", "page_start", "page_end", "section")]

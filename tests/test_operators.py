@@ -318,3 +318,9 @@ def test_sections_need_one_exchange(spark):
     assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("LocalTableScan") + plan.count("Scan ExistingRDD") == 1
     got = sorted((r.source_id, r.source_path, r.source_ord, r.seg_id, r.section, r.page_start, r.page_end, r.text) for r in found.collect())
     assert got == [("s", "/c/s", 0, 0, None, 2, 2, "ab."), ("s", "/c/s", 0, 1, "Methods", 2, 4, "c. d.")]
+
+
+def test_texts_are_packed_once(spark):
+    df = pages(spark, ("s", 1, "METHODS\nOne. Two.", None))
+    found = chunking.chunks(cleaning.segments(df), Settings())
+    assert plan_of(found).count("ArrowEvalPython") == 1 and [r.text for r in found.collect()] == ["Section: Methods\n\nOne. Two."]
