@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plinth.runtime import release, shuffle_partitions
+from plinth.runtime import input_bytes, release, shuffle_partitions
 
 #: Pairs that a packer holds before it passes them on.
 HELD = 500_000
@@ -27,9 +27,7 @@ BUCKET_BYTES = 128 << 20
 
 def n_buckets(rows: DataFrame) -> int:
     """spark.sql.shuffle.partitions, or more if the files that rows are read from are too large for so few buckets."""
-    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaf.stats().sizeInBytes())) for leaf in map(leaves.apply, range(leaves.size())) if leaf.getClass().getSimpleName() == "LogicalRelation"]
-    return max(shuffle_partitions(rows.sparkSession), -(-sum(sizes) // BUCKET_BYTES))
+    return max(shuffle_partitions(rows.sparkSession), -(-input_bytes(rows) // BUCKET_BYTES))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from plinth.functions import rules
 from plinth.functions import text as T
+from plinth.runtime import input_bytes, shuffle_partitions
 
+#: Bytes of input files for each task that holds documents' blocks, at most: compressed, a task's sorts take some fifty times as many.
+DEAL_BYTES = 4 << 20
 BLOCKS = "doc string, page int, width double, block_no int, type int, bbox array<double>, lines array<struct<spans:array<struct<text:string,bbox:array<double>>>>>"
 
 
@@ -64,32 +67,41 @@ def reading_order(blocks: DataFrame) -> DataFrame:
     return placed(rows).drop("x", "y", "is_text")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """By document, in as many tasks as spark.sql.shuffle.partitions says, or more if the input is too large for so few."""
+    n = -(-input_bytes(rows) // DEAL_BYTES)
+    return rows.repartition(n, "doc") if n > shuffle_partitions(rows.sparkSession) else rows.repartition("doc")
+
+
 def assemble_pages(blocks: DataFrame) -> DataFrame:
     """(doc, page, text, columns, has_table) for each page that has any block. All from a references heading on is dropped: the page
     where it stands keeps what is above it, and later pages go.
 
     Blocks become texts first and are then dealt by document, once: whatever is done by document, page or text needs no other
-    exchange and no join. A window holds one document's blocks at most."""
+    exchange and no join. Sorts hold a block's text once, and a short one's normal form. A window holds one document's blocks at most."""
     is_table = is_table_row(F.col("lines"))
     rows = blocks.select(
         "doc", "page", "width", "block_no", F.get("bbox", 0).alias("x"), F.get("bbox", 1).alias("y"), F.coalesce(F.col("type") == 0, F.lit(False)).alias("is_text"),
         block_text(F.col("lines")).alias("raw"), F.when(is_table, table_row(F.col("lines"))).alias("row"),
     )
-    rows = placed(rows.repartition("doc")).withColumn("norm", F.when(F.col("is_text") & (F.col("raw") != ""), normalised(F.col("raw"))))
-    whole, same = Window.partitionBy("doc"), Window.partitionBy("doc", "norm")
+    rows = placed(dealt(rows.withColumn("noise", T.is_noise(F.col("raw"))))).drop("width", "block_no", "x", "y")
+    rows = rows.withColumn("norm", F.when(F.col("is_text") & (F.col("raw") != ""), normalised(F.col("raw"))))
+    rows = rows.select(
+        "doc", "page", "place", "columns", "is_text", "noise", F.coalesce("row", "raw").alias("line"), F.col("row").isNotNull().alias("is_row"), F.col("norm").isNotNull().alias("held"),
+        F.when((F.col("norm") != "") & (F.length("norm") < rules.REPEAT_CHARS), F.col("norm")).alias("short"), F.coalesce(T.without_colons(F.col("norm")).isin(*rules.REFERENCE_HEADINGS), F.lit(False)).alias("names_ref"),
+    )
+    whole, same = Window.partitionBy("doc"), Window.partitionBy("doc", "short")
     first_of_page = (F.col("place") == 1).cast("int")
-    counted = F.col("norm").isNotNull() & (F.col("norm") != "") & (F.length("norm") < rules.REPEAT_CHARS)
-    first_in_page = (F.row_number().over(Window.partitionBy("doc", "norm", "page").orderBy("place")) == 1).cast("int")
+    first_in_page = (F.row_number().over(Window.partitionBy("doc", "short", "page").orderBy("place")) == 1).cast("int")
     rows = rows.withColumn("first_in_page", first_in_page).withColumn("n", F.sum("first_in_page").over(same)).withColumn("pages", F.sum(first_of_page).over(whole))
-    repeated = counted & (F.col("n") >= F.greatest(F.lit(rules.REPEAT_LEAST), F.floor(F.col("pages") * rules.REPEAT_SHARE)))
-    rows = rows.withColumn("seen", F.col("norm").isNotNull() & ~repeated)
-    ref = F.col("seen") & F.regexp_replace(T.strip(F.col("norm")), "^:+|:+$", "").isin(*rules.REFERENCE_HEADINGS)
+    repeated = F.col("short").isNotNull() & (F.col("n") >= F.greatest(F.lit(rules.REPEAT_LEAST), F.floor(F.col("pages") * rules.REPEAT_SHARE)))
+    rows = rows.withColumn("seen", F.col("held") & ~repeated).drop("short", "first_in_page", "n", "pages")
     upto = whole.orderBy("page", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("is_ref", F.coalesce(ref, F.lit(False)))
+    rows = rows.withColumn("is_ref", F.col("seen") & F.col("names_ref"))
     rows = rows.withColumns({"stopped": F.max("is_ref").over(upto), "last": F.min(F.when(F.col("is_ref"), F.col("page"))).over(whole)})
-    rows = rows.where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).withColumn("kept", F.col("seen") & ~F.col("stopped") & ~T.is_noise(F.col("raw")))
-    lines = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("place", F.coalesce("row", "raw").alias("line")))))
+    rows = rows.where(F.col("last").isNull() | (F.col("page") <= F.col("last"))).withColumn("kept", F.col("seen") & ~F.col("stopped") & ~F.col("noise"))
+    lines = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("place", "line"))))
     return rows.groupBy("doc", "page").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"), F.coalesce(F.max(F.when(F.col("is_text"), F.col("columns"))), F.lit(1)).alias("columns"),
-        F.max(F.col("kept") & F.col("row").isNotNull()).alias("has_table"),
+        F.max(F.col("kept") & F.col("is_row")).alias("has_table"),
     )

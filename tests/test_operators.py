@@ -324,3 +324,14 @@ def test_texts_are_packed_once(spark):
     df = pages(spark, ("s", 1, "METHODS\nOne. Two.", None))
     found = chunking.chunks(cleaning.segments(df), Settings())
     assert plan_of(found).count("ArrowEvalPython") == 1 and [r.text for r in found.collect()] == ["Section: Methods\n\nOne. Two."]
+
+
+def test_tasks_of_layout_grow_in_number_with_the_input(spark, monkeypatch, tmp_path):
+    """And not in size: a task sorts its blocks several times."""
+    rows = [(f"d{i % 40}", 1 + i // 400, 600.0, i % 10, 0, [10.0, float(i % 7), 0.0, 0.0], [([(f"Text {i % 50}", [10.0, 0.0])],)]) for i in range(1200)]
+    spark.createDataFrame(rows, layout.BLOCKS).coalesce(1).write.parquet(f"{tmp_path}/blocks")
+    blocks = spark.read.parquet(f"{tmp_path}/blocks")
+    few = sorted(map(tuple, layout.assemble_pages(blocks).collect()))
+    monkeypatch.setattr(layout, "DEAL_BYTES", 500)
+    assert "REPARTITION_BY_NUM" in plan_of(layout.assemble_pages(blocks)) and layout.dealt(blocks).rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, layout.assemble_pages(blocks).collect())) == few and len(few) == 120
